@@ -7,7 +7,9 @@ from importlib import import_module
 # query -> module of this subpackage that holds the function of the same name
 MODULES = {
     "op2_url_filter": "urlfilter",
+    "op4_warc": "warc",
     "op6_sharding": "sharding",
+    "op9_packing": "packing",
 }
 
 
