@@ -6,6 +6,7 @@ from importlib import import_module
 
 # query -> module of this subpackage that holds the function of the same name
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_url_filter": "urlfilter",
     "op4_warc": "warc",
     "op6_sharding": "sharding",
