@@ -9,6 +9,7 @@ MODULES = {
     "op1_toxicity": "toxicity",
     "op2_url_filter": "urlfilter",
     "op4_warc": "warc",
+    "op5_ngram_jaccard": "jaccard",
     "op6_sharding": "sharding",
     "op9_packing": "packing",
 }
@@ -25,6 +26,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.llm.jaccard import OP5_SQL
     from tidemark.llm.urlfilter import OP2_SQL
 
-    return {"op2_url_filter": OP2_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL}
