@@ -11,6 +11,7 @@ MODULES = {
     "op4_warc": "warc",
     "op5_ngram_jaccard": "jaccard",
     "op6_sharding": "sharding",
+    "op8_suffix_dedup": "suffixdedup",
     "op9_packing": "packing",
 }
 
