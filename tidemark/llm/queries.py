@@ -8,11 +8,14 @@ from importlib import import_module
 MODULES = {
     "op1_toxicity": "toxicity",
     "op2_url_filter": "urlfilter",
+    "op3_quality": "quality",
     "op4_warc": "warc",
     "op5_ngram_jaccard": "jaccard",
     "op6_sharding": "sharding",
+    "op7_embedding_neardup": "embeddings",
     "op8_suffix_dedup": "suffixdedup",
     "op9_packing": "packing",
+    "op10_decontamination": "decontam",
 }
 
 
@@ -27,7 +30,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.llm.embeddings import OP7_SQL
     from tidemark.llm.jaccard import OP5_SQL
     from tidemark.llm.urlfilter import OP2_SQL
 
-    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_neardup": OP7_SQL}
