@@ -195,8 +195,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """Learn from labelled rows outside the held-out fold; null labels and rows without a document teach nothing."""
     rows = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
-    # the scoring pass's own tokens; the text is read once for the sample and kept for both uses
-    sample = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(rows, "doc_id").select("text", "toxic").persist()
+    # at most max_labelled ids and labels are broadcast
+    sample = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic").persist()
     words = lexicon(learn_insults(sample))
 
     def measure(batches):
