@@ -86,10 +86,13 @@ class Items:
         ends = np.cumsum(counts)
         self.words = {i: words[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())) if n}
         self.ids = [i for i, _ in items]
-        self.bigrams = np.unique(np.concatenate([_bigrams(w) for w in self.words.values()] or [np.empty(0, np.uint64)]))
+        self.bigrams = np.unique(np.concatenate([np.zeros(1, np.uint64), *[_bigrams(w) for w in self.words.values()]]))
+        self.own = {i: np.unique(_bigrams(w)) for i, w in self.words.items()}
+        self.distinct = {}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(w) for w in self.words.values()}):
             which = [i for i, w in self.words.items() if len(w) == n]
+            self.distinct[n] = min(len(self.own[i]) for i in which)
             keys = lsh_keys(np.stack([self.words[i] for i in which]))
             flat, owner = keys.ravel(), np.repeat(which, keys.shape[1])
             order = np.argsort(flat, kind="stable")
@@ -102,44 +105,82 @@ def _bigrams(w: np.ndarray) -> np.ndarray:
 
 
 def _needed(n: int) -> int:
-    """Known bigrams in the item-sized window at a leak's start: an edit breaks two, a shift of the end loses one."""
-    return max(1, n - 1 - 3 * int(EDITS * n)) if n > 1 else 1
-
-
-def leaks_in(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(item, edits, first word of the window) of the items that leak into one document's words."""
-    n_words = len(words)
-    if not n_words or not items.by_length:
-        return []
-    two = _bigrams(words)
-    known = np.concatenate(([0], np.cumsum(np.isin(two, items.bigrams)))) if len(two) else np.zeros(1, np.int64)
-    if known[-1] < min(map(_needed, items.by_length)):
-        return []
-    found: dict[int, tuple[int, int]] = {}
+    """Known bigrams in the item-sized window at a leak's start: no edit breaks or pushes out more than two."""
+    return max(1, n - 1 - 2 * int(EDITS * n))
+
+
+def _windows(known: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the windows of n words with enough known bigrams; a shorter document is one window itself."""
+    docs, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(known) > n - 1:
+        at = np.flatnonzero(known[n - 1 :] - known[: len(known) - n + 1] >= _needed(n)) if n > 1 else np.flatnonzero(np.diff(known))
+        doc = np.searchsorted(end, at, side="right")
+        whole = at + n <= end[np.minimum(doc, len(end) - 1)]
+        docs.append(doc[whole])
+        starts.append(at[whole])
+    size = end - begin
+    small = np.flatnonzero((size < n) & (size >= n - int(EDITS * n)) & (size > 0))
+    enough = known[np.maximum(end[small] - 1, begin[small])] - known[begin[small]] >= _needed(n)
+    docs.append(small[enough])
+    starts.append(begin[small[enough]])
+    return np.concatenate(docs), np.concatenate(starts)
+
+
+def leaks_in(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int]]]:
+    """Per text (item, edits, first word of the window) of the items that leak into it."""
+    out: list[list] = [[] for _ in texts]
+    words, counts = words_of(texts)
+    if not len(words) or not items.by_length:
+        return out
+    end = np.cumsum(counts)
+    begin = end - counts
+    flag = np.zeros(len(words), np.int32)
+    two = _bigrams(words) if len(words) > 1 else np.empty(0, np.uint64)
+    if len(two):
+        at = np.minimum(np.searchsorted(items.bigrams, two), len(items.bigrams) - 1)
+        flag[:-1] = items.bigrams[at] == two
+    flag[end[counts > 0] - 1] = 0  # no bigram goes on into the next text
+    known = np.concatenate((np.zeros(1, np.int32), np.cumsum(flag, dtype=np.int32)))
     for n, (keys, owner) in items.by_length.items():
-        size = min(n, n_words)  # a shorter document is a window itself
-        start = np.arange(n_words - size + 1)
-        span = max(1, size - 1)
-        hits = known[np.minimum(start + span, len(known) - 1)] - known[np.minimum(start, len(known) - 1)]
-        start = start[hits >= _needed(n)]
-        if not len(start):
+        doc, start = _windows(known, begin, end, n)
+        if not len(doc):
             continue
-        window = words[start[:, None] + np.arange(size)]
-        if size < n:
-            window = np.concatenate((window, np.full((len(window), n - size), _PAD)), axis=1)
-        mine = lsh_keys(window)
+        if n > 1:  # as many different known bigrams as an item keeps after the edits
+            at = start[:, None] + np.arange(n - 1)
+            rows = np.sort(np.where(flag[np.minimum(at, len(flag) - 1)] * (at + 1 < end[doc][:, None]), two[np.minimum(at, len(two) - 1)] if len(two) else _PAD, _PAD), axis=1)
+            varied = ((rows[:, 1:] != rows[:, :-1]).sum(axis=1) + (rows[:, 0] != _PAD)) >= items.distinct[n] - 2 * int(EDITS * n)
+            doc, start = doc[varied], start[varied]
+            if not len(doc):
+                continue
+        place = start[:, None] + np.arange(n)
+        inside = place < end[doc][:, None]
+        mine = lsh_keys(np.where(inside, words[np.minimum(place, len(words) - 1)], _PAD))
         a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        pairs = {(int(owner[k]), int(start[i])) for i, j in zip(*np.nonzero(b > a)) for k in range(a[i, j], b[i, j])}
-        slack, last = int(EDITS * n), {}
-        for item, at in sorted(pairs):
-            if at <= last.get(item, -1):
-                continue  # the region that was aligned covers this window
-            begin, stop = max(0, at - slack), min(n_words, at + 2 * n + slack)
-            last[item] = at + n - slack
-            edits, _ = best_alignment(items.words[item], words[begin:stop])
-            if edits <= slack and (item not in found or edits < found[item][0]):
-                found[item] = (edits, at)
-    return [(i, e, at) for i, (e, at) in sorted(found.items())]
+        hits = (b - a).ravel()
+        slot = np.repeat(a.ravel(), hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+        met = np.unique(np.repeat(np.arange(len(start)), mine.shape[1])[np.repeat(np.arange(hits.size), hits)] * len(items.ids) + owner[slot])
+        which, item_of = met // len(items.ids), met % len(items.ids)
+        pairs = []
+        for item in np.unique(item_of):  # enough bigrams of this very item
+            w = which[item_of == item]
+            at = start[w][:, None] + np.arange(max(1, n - 1))
+            own = items.own[item]
+            mine_two = two[np.minimum(at, len(two) - 1)] if len(two) else np.zeros(at.shape, np.uint64)
+            near = own[np.minimum(np.searchsorted(own, mine_two), len(own) - 1)] == mine_two
+            ok = (near & (at + 1 < end[doc[w]][:, None])).sum(axis=1) >= _needed(n) if n > 1 else np.ones(len(w), bool)
+            pairs += [(int(doc[i]), int(item), int(start[i])) for i in w[ok]]
+        slack, last, best = int(EDITS * n), {}, {}
+        for d, item, at in sorted(pairs):
+            if at <= last.get((d, item), -1):
+                continue  # the stretch that was aligned covers this window
+            low, high = max(int(begin[d]), at - slack), min(int(end[d]), at + 2 * n + slack)
+            last[d, item] = at + n - slack
+            edits, _ = best_alignment(items.words[item], words[low:high])
+            if edits <= slack and (edits, at) < best.get((d, item), (slack + 1, 0)):
+                best[d, item] = (edits, at)
+        for (d, item), (edits, at) in best.items():
+            out[d].append((item, edits, at - int(begin[d])))
+    return [sorted(x) for x in out]
 
 
 MATCH = "array<struct<item_id:long,edits:int,word:int>>"
@@ -169,11 +210,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
             items = known.value
             for b in batches:
                 texts, new = utf8(b.column(at)), []
-                for part in chunked(texts):
-                    words, counts = words_of(texts[part])
-                    ends = np.cumsum(counts)
-                    for e, c in zip(ends.tolist(), counts.tolist()):
-                        new.append([{"item_id": items.ids[i], "edits": d, "word": w} for i, d, w in leaks_in(words[e - c : e], items)])
+                for part in chunked(texts, 4 << 20):
+                    new += [[{"item_id": items.ids[i], "edits": d, "word": w} for i, d, w in found] for found in leaks_in(texts[part], items)]
                 old = b.column(b.num_columns - 1).to_pylist()
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + y for x, y in zip(old, new)], kind)], names=schema.names)
