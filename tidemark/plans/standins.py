@@ -1,9 +1,575 @@
-"""Bindings of the engine's operators to the driver tables."""
+"""Bindings of the engine's operators to the driver tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import footnotes, scalars
+from tidemark.operators import rel, temporal
+from tidemark.plans import concepts, cross, flows, items, market
+from tidemark.plans.concept_config import ConceptConfig
+from tidemark.sources import markup
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register the function below under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- vintages ----------------------------------------------------------------------------------------------------------
+
+CHAIN_ORDER = ["known_at", "adsh", "line", "supplier"]
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as facts: the part is the key, the shipping day the day it became known."""
+    day = F.col("l_shipdate").cast("date")
+    return t(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("adsh"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"), day.alias("known_at"), day.alias("tradable_from"), F.col("l_quantity").alias("value"))
+
+
+LINES = """lines AS (SELECT l_partkey AS part, l_orderkey AS adsh, l_linenumber AS line, l_suppkey AS supplier, CAST(l_shipdate AS DATE) AS known_at,
+  CAST(l_shipdate AS DATE) AS tradable_from, l_quantity AS value FROM lineitem),
+chain AS (SELECT *, row_number() OVER w AS vintage_seq, lead(known_at) OVER w AS superseded_known_at, lead(tradable_from) OVER w AS superseded_tradable,
+  row_number() OVER w AS rank_pit, count(*) OVER (PARTITION BY part) - row_number() OVER w + 1 AS rank_latest
+  FROM lines WINDOW w AS (PARTITION BY part ORDER BY known_at, adsh, line, supplier))"""
+IN_FORCE = "tradable_from <= DATE '1998-06-30' AND (superseded_tradable > DATE '1998-06-30' OR superseded_tradable IS NULL)"
+
+
+def chain(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.vintage_chain(lines(spark, d), ["part"], CHAIN_ORDER)
+
+
+@query(f"WITH {LINES} SELECT * FROM chain")
+def vintage_chain(spark, d):
+    return chain(spark, d)
+
+
+@query(f"WITH {LINES} SELECT part, adsh, line, tradable_from, value, vintage_seq FROM chain WHERE {IN_FORCE}")
+def asof_slice(spark, d):
+    """What was believed about each part on a day."""
+    day = F.lit("1998-06-30").cast("date")
+    now = chain(spark, d).where(temporal.asof_pred(F.col("tradable_from"), F.col("superseded_tradable"), day))
+    return now.select("part", "adsh", "line", "tradable_from", "value", "vintage_seq")
+
+
+@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_pit = 1")
+def financials_pit(spark, d):
+    return chain(spark, d).where("rank_pit = 1").select("part", "adsh", "line", "value", "vintage_seq")
+
+
+@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_latest = 1")
+def financials_latest(spark, d):
+    return chain(spark, d).where("rank_latest = 1").select("part", "adsh", "line", "value", "vintage_seq")
+
+
+@query(f"WITH {LINES} SELECT * FROM chain")
+def incremental_fold(spark, d):
+    """Folding the lines shipped in 1997 into the chain of the others equals the chain of all lines."""
+    rows = lines(spark, d)
+    new = F.year("known_at") == 1997
+    late = rows.where(new)
+    old = temporal.vintage_chain(rows.where(~new), ["part"], CHAIN_ORDER)
+    return temporal.fold_chain(old, late, ["part"], "known_at", order=CHAIN_ORDER)
+
+
+# --- as-of and interval joins ------------------------------------------------------------------------------------------
+
+EVENTS = "e AS (SELECT event_id, user_id, event_type, ts, value FROM events)"
+
+
+def events(spark, d):
+    return t(spark, d, "events").select("event_id", "user_id", "event_type", "ts", "value")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT user_id, ts, event_id AS hit FROM e WHERE event_type = 'signup')
+SELECT l.event_id, r.hit FROM (SELECT * FROM e WHERE event_type = 'error') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts < r.ts""")
+def asof_forward(spark, d):
+    e = events(spark, d)
+    right = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("hit"))
+    return temporal.asof_join(e.where("event_type = 'error'"), right, "ts", "ts", ["hit"], by=["user_id"]).select("event_id", "hit")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT user_id, ts, event_id AS hit FROM e WHERE event_type = 'view')
+SELECT l.event_id, CASE WHEN date_diff('day', CAST(r.ts AS DATE), CAST(l.ts AS DATE)) <= 2 THEN r.hit END AS hit
+FROM (SELECT * FROM e WHERE event_type = 'purchase') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_backward_tolerance(spark, d):
+    e = events(spark, d)
+    right = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("hit"))
+    return temporal.asof_join(e.where("event_type = 'purchase'"), right, "ts", "ts", ["hit"], by=["user_id"], direction="backward", strict=False, tolerance_days=2).select("event_id", "hit")
+
+
+@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders WHERE o_orderkey % 7 = 0),
+k AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS known FROM lineitem)
+SELECT known, session FROM k ASOF LEFT JOIN c ON k.known < c.session""")
+def availability_calendar(spark, d):
+    """The first session strictly after each day, without a key to partition by."""
+    sessions = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("session")).distinct()
+    known = t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("known")).distinct()
+    return temporal.asof_join(known, sessions.withColumn("at", F.col("session")), "known", "at", ["session"])
+
+
+@query("""WITH c AS (SELECT session, row_number() OVER (ORDER BY session) AS seq FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders)),
+k AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem),
+m AS (SELECT day, seq FROM k ASOF LEFT JOIN c ON k.day >= c.session)
+SELECT m.day, c.session AS shifted FROM m LEFT JOIN c ON c.seq = m.seq - 5""")
+def shift_sessions(spark, d):
+    calendar = t(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("session_date")).distinct()
+    days = t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")).distinct()
+    return temporal.shift_sessions_column(days, calendar, "day", 5, "shifted")
+
+
+SPANS = """spans AS (SELECT o_custkey AS cust, o_orderkey AS id, o_orderpriority AS label, CAST(o_orderdate AS DATE) AS lo,
+  CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS hi FROM orders)"""
+
+
+def spans(spark, d):
+    """Each order holds for 90 days, every 17th for ever."""
+    lo = F.col("o_orderdate").cast("date")
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), lo.alias("lo"), F.when(F.col("o_orderkey") % 17 != 0, F.date_add(lo, 90)).alias("hi"))
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT c_custkey AS cust, DATE '1998-01-01' + CAST(c_custkey % 365 AS INTEGER) AS day FROM customer)
+SELECT p.cust, p.day, s.id FROM p JOIN spans s ON s.cust = p.cust AND s.lo <= p.day AND (s.hi > p.day OR s.hi IS NULL)""")
+def interval_join(spark, d):
+    points = t(spark, d, "customer").select(F.col("c_custkey").alias("cust"), F.date_add(F.lit("1998-01-01").cast("date"), (F.col("c_custkey") % 365).cast("int")).alias("day"))
+    return temporal.interval_join(points, spans(spark, d), ["cust"], "day", "lo", "hi").select("cust", "day", "id")
+
+
+MERGED = """n AS (SELECT cust, lo, coalesce(hi, DATE '9999-12-31') AS h FROM spans),
+m AS (SELECT *, max(h) OVER (PARTITION BY cust ORDER BY lo, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM n),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR lo > p THEN 1 ELSE 0 END) OVER (PARTITION BY cust ORDER BY lo, h ROWS UNBOUNDED PRECEDING) AS k FROM m),
+merged AS (SELECT cust, min(lo) AS lo, nullif(max(h), DATE '9999-12-31') AS hi FROM g GROUP BY cust, k)"""
+
+
+@query(f"WITH {SPANS}, {MERGED} SELECT * FROM merged")
+def merge_intervals(spark, d):
+    return temporal.merge_intervals(spans(spark, d), ["cust"], "lo", "hi")
+
+
+@query(f"""WITH {SPANS}, {MERGED}, c AS (SELECT cust, greatest(lo, DATE '1996-01-01') AS lo, coalesce(least(hi, DATE '2000-01-01'), DATE '2000-01-01') AS hi FROM merged)
+SELECT * FROM c WHERE lo < hi""")
+def clip_intervals(spark, d):
+    merged = temporal.merge_intervals(spans(spark, d), ["cust"], "lo", "hi")
+    return temporal.clip_intervals(merged, "lo", "hi", F.lit("1996-01-01").cast("date"), F.lit("2000-01-01").cast("date"))
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT cust, lo AS f FROM spans UNION SELECT cust, hi FROM spans WHERE hi IS NOT NULL),
+s AS (SELECT cust, f, lead(f) OVER (PARTITION BY cust ORDER BY f) AS u FROM b),
+c AS (SELECT s.cust, f, u, label, row_number() OVER (PARTITION BY s.cust, f ORDER BY label, lo DESC) AS rn
+      FROM s JOIN spans i ON i.cust = s.cust AND i.lo <= f AND (i.hi > f OR i.hi IS NULL)),
+w AS (SELECT cust, f, u, label FROM c WHERE rn = 1),
+k AS (SELECT *, sum(CASE WHEN lag_u IS NOT DISTINCT FROM f AND lag_l IS NOT DISTINCT FROM label THEN 0 ELSE 1 END) OVER (PARTITION BY cust ORDER BY f ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, lag(u) OVER (PARTITION BY cust ORDER BY f) AS lag_u, lag(label) OVER (PARTITION BY cust ORDER BY f) AS lag_l FROM w))
+SELECT cust, label, min(f) AS lo, CASE WHEN count(*) = count(u) THEN max(u) END AS hi FROM k GROUP BY cust, label, run""")
+def flatten_intervals(spark, d):
+    """Disjoint timeline of priorities: the most urgent order that holds."""
+    return temporal.flatten_intervals(spans(spark, d), ["cust"], "lo", "hi", ["label"], [F.col("label").asc()])
+
+
+ACTIVE = "a AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)"
+
+
+@query(f"""WITH {ACTIVE}, n AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', day) AS INTEGER) AS k FROM a),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS r FROM n)
+SELECT user_id, min(k) AS first, max(k) AS last, count(*) AS n FROM g GROUP BY user_id, r""")
+def islands(spark, d):
+    days = t(spark, d, "events").select("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).alias("k"))
+    return temporal.islands(days, ["user_id"], "k")
+
+
+CAPTURES = f"""{ACTIVE}, c AS (SELECT day, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS day FROM events) GROUP BY day),
+caps AS (SELECT day, n, coalesce(n < 0.85 * max(n) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), FALSE) AS is_partial FROM c)"""
+
+
+def captures(spark, d):
+    from tidemark.plans.spine import captures as quality
+
+    return quality(t(spark, d, "events").select(F.col("ts").cast("date").alias("observed_on")))
+
+
+@query(f"WITH {CAPTURES} SELECT day AS observed_on, n AS n_rows, is_partial FROM caps")
+def capture_quality(spark, d):
+    return captures(spark, d)
+
+
+@query(f"""WITH {CAPTURES}, q AS (SELECT day, is_partial, row_number() OVER (ORDER BY day) AS sn FROM caps),
+s AS (SELECT user_id, a.day, sn, lag(sn) OVER w AS psn, lag(a.day) OVER w AS pday FROM a JOIN q ON q.day = a.day WINDOW w AS (PARTITION BY user_id ORDER BY a.day)),
+f AS (SELECT *, CASE WHEN psn IS NULL THEN 1 WHEN sn - psn <= 1 OR date_diff('day', pday, day) <= 2 THEN 0
+  WHEN NOT EXISTS (SELECT 1 FROM q WHERE q.sn > s.psn AND q.sn < s.sn AND NOT q.is_partial) THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS k FROM f),
+r AS (SELECT user_id, min(day) AS valid_from, max(day) AS last_seen, max(sn) + 1 AS nsn FROM g GROUP BY user_id, k)
+SELECT user_id, valid_from, last_seen, q.day AS valid_to FROM r LEFT JOIN q ON q.sn = r.nsn""")
+def bridged_islands(spark, d):
+    seen = t(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("observed_on"))
+    return temporal.bridge_islands(seen, captures(spark, d).select("observed_on", "is_partial"), ["user_id"], max_gap_days=2)
+
+
+@query("""WITH p AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+e AS (SELECT user_id, CAST(ts AS DATE) AS ed, min(event_id) AS hit FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+j AS (SELECT event_id, hit, row_number() OVER (PARTITION BY event_id ORDER BY abs(date_diff('day', day, ed)) NULLS LAST, ed) AS rn
+      FROM p LEFT JOIN e ON e.user_id = p.user_id AND abs(date_diff('day', day, ed)) <= 3)
+SELECT event_id, hit FROM j WHERE rn = 1""")
+def nearest_join(spark, d):
+    e = events(spark, d).withColumn("day", F.col("ts").cast("date"))
+    errors = e.where("event_type = 'error'").groupBy("user_id", F.col("day").alias("at")).agg(F.min("event_id").alias("hit"))
+    return temporal.nearest_join(e.where("event_type = 'purchase'"), errors, "user_id", "day", "at", ["hit"], ["event_id"], 3).select("event_id", "hit")
+
+
+@query("""WITH x AS (SELECT user_id, CAST(ts AS DATE) AS day, max(event_type) AS label FROM events GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR label IS DISTINCT FROM lag(label) OVER w THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS k FROM c),
+g AS (SELECT user_id, k, min(label) AS label, min(day) AS valid_from FROM r GROUP BY user_id, k)
+SELECT user_id, label, valid_from, lead(valid_from) OVER (PARTITION BY user_id ORDER BY k) AS valid_to FROM g""")
+def label_segments(spark, d):
+    days = t(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max("event_type").alias("label"))
+    return temporal.label_segments(days, ["user_id"], "day", "label")
+
+
+# --- relational primitives ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1""")
+def first_per_group(spark, d):
+    return rel.first_per_group(t(spark, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 12""")
+def candidate_periods(spark, d):
+    return rel.top_k_per_group(t(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()], 12).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS v FROM customer
+UNION ALL SELECT c_custkey + 1000000, 0.0 FROM customer WHERE c_custkey % 5 = 0""")
+def upsert(spark, d):
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = old.where("k % 3 = 0").withColumn("v", F.col("v") * 2).unionByName(old.where("k % 5 = 0").select((F.col("k") + 1000000).alias("k"), F.lit(0.0).alias("v")))
+    return rel.upsert(old, new, ["k"])
+
+
+@query("""WITH x AS (SELECT user_id, ts, event_id, event_type, value > 50 AS big FROM events)
+SELECT user_id, event_id, event_type, big FROM x WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+QUALIFY row_number() OVER w = 1 OR event_type IS DISTINCT FROM lag(event_type) OVER w OR big IS DISTINCT FROM lag(big) OVER w""")
+def changed_states(spark, d):
+    rows = events(spark, d).withColumn("big", F.col("value") > 50)
+    return rel.changed_rows(rows, ["user_id"], [F.col("ts").asc()], ["event_type", "big"]).select("user_id", "event_id", "event_type", "big")
+
+
+@query("""SELECT n_regionkey AS region, string_agg(n_name, ' | ' ORDER BY n_name) AS names, count(*) AS n, mode(substr(n_name, 1, 1) ORDER BY substr(n_name, 1, 1)) AS initial,
+ count(*) FILTER (WHERE n_nationkey % 2 = 0) AS even, bool_or(n_nationkey > 20) AS late FROM nation GROUP BY 1""")
+def aggregates(spark, d):
+    initial = F.substring("n_name", 1, 1)
+    return t(spark, d, "nation").withColumn("_i", initial).groupBy(F.col("n_regionkey").alias("region")).agg(
+        F.expr("listagg(n_name, ' | ') WITHIN GROUP (ORDER BY n_name)").alias("names"), F.count("*").alias("n"),
+        F.expr("mode() WITHIN GROUP (ORDER BY _i)").alias("initial"), F.count_if(F.col("n_nationkey") % 2 == 0).alias("even"), F.bool_or(F.col("n_nationkey") > 20).alias("late"),
+    )
+
+
+@query("""SELECT user_id, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'error') AS error,
+ max(value) FILTER (WHERE event_type = 'purchase') AS purchase FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY user_id""")
+def pivot_wide(spark, d):
+    kinds = ["click", "error", "purchase"]
+    return t(spark, d, "events").where(F.col("event_type").isin(kinds)).groupBy("user_id").pivot("event_type", kinds).agg(F.max("value"))
+
+
+@query("""SELECT l_partkey, 'quantity' AS name, l_quantity AS value FROM lineitem UNION ALL SELECT l_partkey, 'tax', l_tax FROM lineitem""")
+def unpivot_long(spark, d):
+    rows = t(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
+    return rel.unpivot(rows, ["l_partkey"], ["quantity", "tax"])
+
+
+@query("""SELECT coalesce(s_nationkey, c_nationkey) AS nation, s AS suppliers, c AS customers FROM (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
+FULL JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_custkey % 11 = 0 GROUP BY 1) ON s_nationkey = c_nationkey""")
+def full_outer(spark, d):
+    from tidemark.plans.exports import join_footnotes
+
+    s = t(spark, d, "supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    c = t(spark, d, "customer").where("c_custkey % 11 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    return join_footnotes(s, c, ["nation"])
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
+def suspect_anti_join(spark, d):
+    refused = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return rel.semi(t(spark, d, "orders").select("o_orderkey"), refused, ["o_orderkey"], "left_anti")
+
+
+@query(None)
+def table_digest(spark, d):
+    return rel.table_digest(t(spark, d, "orders"))
+
+
+# --- scalars -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, replace(upper(trim(p_brand)), '.', '-') AS ticker, regexp_matches(p_type, '^[0-9]+$') AS digits,
+ CASE WHEN regexp_matches(CAST(p_retailprice AS VARCHAR), '^-?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN p_retailprice END AS number FROM part""")
+def scalar_text(spark, d):
+    return t(spark, d, "part").select("p_partkey", scalars.norm_ticker(F.col("p_brand")).alias("ticker"), scalars.only_digits(F.col("p_type")).alias("digits"), scalars.strict_number(F.col("p_retailprice").cast("string")).alias("number"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) <= 5 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS fyear,
+ last_day(CAST(o_orderdate - INTERVAL 3 MONTH AS DATE)) AS month_end FROM orders""")
+def scalar_dates(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    return t(spark, d, "orders").select("o_orderkey", scalars.fiscal_year_of(day).cast("long").alias("fyear"), scalars.month_end_back(day).alias("month_end"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_scan(spark, d):
+    return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(None)
+def classify_names(spark, d):
+    """Name and dimension classifiers over part names."""
+    name = F.initcap("p_name")
+    sic, naics = footnotes.sin_codes(name)
+    segment = F.concat(F.lit("RetirementPlanType="), F.regexp_replace(name, " ", ""), F.lit(";"))
+    return t(spark, d, "part").select("p_partkey", scalars.norm_company_name(name).alias("company"), scalars.camel_words(F.regexp_replace(name, " ", "")).alias("words"), footnotes.customer_type(name).alias("ctype"), sic.alias("sic"), naics.alias("naics"), footnotes.pension_scope(segment).alias("scope"), scalars.classify_form(F.col("p_type")).alias("event"))
+
+
+@query(None)
+def html_tables(spark, d):
+    """Rows of the tables in pages."""
+    return markup.page_tables(t(spark, d, "pages"))
+
+
+# --- concepts --------------------------------------------------------------------------------------------------------------
+
+CONFIG = ConceptConfig(
+    concepts=[("sales", "flow", True), ("cost", "flow", True), ("margin", "derived", True), ("views", "flow", True), ("ratio", "ratio", True), ("sales_growth", "growth", True)],
+    tags=[("sales", "purchase", 1, 1, ""), ("sales", "click", 2, 1, ""), ("sales", "signup", 1, 1, "1"), ("cost", "error", 1, 1, ""), ("views", "view", 1, 1, "")],
+    formulas=[("margin", 1, [], None, None, [("sales", 1, True), ("cost", -1, True)]), ("margin", 2, ["2"], None, None, [("views", 1, True), ("sales", -1, False)])],
+    ratios=[("ratio", "cost", "sales")],
+    growths=[("sales_growth", "sales")],
+)
+
+
+def concept_facts(spark, d):
+    """Daily maxima of a user's events; the user number is the company and its industry."""
+    day = F.col("ts").cast("date")
+    return t(spark, d, "events").groupBy(F.col("user_id").alias("cik"), day.alias("value_date"), F.col("event_type").alias("tag")).agg(F.max("value").alias("value")).withColumns({"qtrs": F.lit(4), "uom": F.lit("USD"), "tradable_from": F.col("value_date"), "sic": F.col("cik")})
+
+
+CONCEPTS = """facts AS (SELECT user_id AS cik, CAST(ts AS DATE) AS value_date, event_type AS tag, max(value) AS value FROM events GROUP BY 1, 2, 3),
+map(concept, tag, priority, prefix) AS (VALUES ('sales', 'purchase', 1, ''), ('sales', 'click', 2, ''), ('sales', 'signup', 1, '1'), ('cost', 'error', 1, ''), ('views', 'view', 1, '')),
+direct AS (SELECT cik, concept, value_date, value FROM facts JOIN map USING (tag) WHERE prefix = '' OR starts_with(CAST(cik AS VARCHAR), prefix)
+  QUALIFY row_number() OVER (PARTITION BY cik, concept, value_date ORDER BY CASE WHEN prefix <> '' THEN 0 ELSE 1 END, priority, tag) = 1),
+v1 AS (SELECT s.cik, s.value_date, s.value - c.value AS value FROM direct s JOIN direct c ON c.cik = s.cik AND c.value_date = s.value_date AND c.concept = 'cost' WHERE s.concept = 'sales'),
+v2 AS (SELECT v.cik, v.value_date, v.value - coalesce(s.value, 0) AS value FROM direct v LEFT JOIN direct s ON s.cik = v.cik AND s.value_date = v.value_date AND s.concept = 'sales'
+  WHERE v.concept = 'views' AND starts_with(CAST(v.cik AS VARCHAR), '2')),
+canon AS (SELECT cik, concept, value_date, value FROM direct UNION ALL SELECT cik, 'margin', value_date, value FROM v1
+  UNION ALL SELECT cik, 'margin', value_date, value FROM v2 WHERE NOT EXISTS (SELECT 1 FROM v1 WHERE v1.cik = v2.cik AND v1.value_date = v2.value_date)),
+newest AS (SELECT * FROM canon QUALIFY row_number() OVER (PARTITION BY cik, concept ORDER BY value_date DESC) = 1),
+ratios AS (SELECT n.cik, 'ratio' AS concept, n.value_date, n.value / b.value AS value FROM newest n JOIN canon b ON b.cik = n.cik AND b.value_date = n.value_date AND b.concept = 'sales' AND b.value > 0 WHERE n.concept = 'cost'),
+growth AS (SELECT n.cik, 'sales_growth' AS concept, n.value_date, (n.value - b.value) / b.value AS value FROM newest n
+  JOIN canon b ON b.cik = n.cik AND b.concept = 'sales' AND b.value > 0 AND date_diff('day', b.value_date, n.value_date) BETWEEN 7 AND 14 WHERE n.concept = 'sales'
+  QUALIFY row_number() OVER (PARTITION BY n.cik ORDER BY b.value_date DESC) = 1)"""
+
+
+@query(f"WITH {CONCEPTS} SELECT cik, concept, value_date, round(value, 6) AS value FROM canon")
+def concept_values(spark, d):
+    return concepts.canonical(concept_facts(spark, d), CONFIG).select("cik", "concept", "value_date", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {CONCEPTS} SELECT cik, concept, value_date, round(value, 6) AS value FROM newest UNION ALL SELECT cik, concept, value_date, round(value, 6) FROM ratios UNION ALL SELECT cik, concept, value_date, round(value, 6) FROM growth")
+def concept_snapshot(spark, d):
+    history = concepts.canonical(concept_facts(spark, d), CONFIG)
+    newest = concepts.latest(history)
+    out = newest.select("cik", "concept", "value_date", "value", "tradable_from").unionByName(concepts.ratios(newest, history, CONFIG)).unionByName(concepts.growths(newest, history, CONFIG, 7, 14))
+    return out.select("cik", "concept", "value_date", F.round("value", 6).alias("value"))
+
+
+ITEMS = """item,period,rule,variant,priority,term,coefficient,required,notes
+sale,duration,tag,,1,purchase,1,,
+sale,duration,tag,,2,click,1,,
+cost,duration,tag,,1,error,1,,
+gain,duration,formula,1,,item:sale,1,TRUE,
+gain,duration,formula,1,,item:cost,-1,FALSE,
+gain,duration,formula,2,,tag:view,1,TRUE,
+"""
+
+
+@query("""WITH w AS (SELECT user_id, max(value) FILTER (WHERE event_type = 'purchase' AND value > 60) AS p, max(value) FILTER (WHERE event_type = 'click' AND value > 90) AS c,
+  max(value) FILTER (WHERE event_type = 'error' AND value > 80) AS e, max(value) FILTER (WHERE event_type = 'view') AS v FROM events GROUP BY user_id)
+SELECT user_id, coalesce(p, c) AS sale, e AS cost, round(CASE WHEN coalesce(p, c) IS NOT NULL THEN coalesce(p, c) - coalesce(e, 0) ELSE v END, 6) AS gain FROM w""")
+def item_map(spark, d):
+    kinds = ["purchase", "click", "error", "view"]
+    rows = t(spark, d, "events").where("event_type = 'view' OR event_type = 'signup' OR (event_type = 'purchase' AND value > 60) OR (event_type = 'click' AND value > 90) OR (event_type = 'error' AND value > 80)")
+    users = t(spark, d, "events").select("user_id").distinct()
+    wide = users.join(rows.groupBy("user_id").pivot("event_type", kinds).agg(F.max("value")), "user_id", "left")
+    return items.resolve_items(wide, items.parse_items(ITEMS)).select("user_id", "sale", "cost", F.round("gain", 6).alias("gain"))
+
+
+# --- flows ---------------------------------------------------------------------------------------------------------------
+
+FLOWS = """q AS (SELECT o_custkey AS cik, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS e, quarter(o_orderdate) AS n, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders WHERE o_custkey % 4 <> 3 GROUP BY 1, 2, 3, 4),
+grid AS (SELECT cik, y, n, v, e, (SELECT sum(v) FROM q b WHERE b.cik = q.cik AND b.y = q.y AND b.n <= q.n) AS ytd, (SELECT count(*) FROM q b WHERE b.cik = q.cik AND b.y = q.y AND b.n <= q.n) AS k FROM q),
+period AS (SELECT cik, e AS d, n AS qtrs, ytd AS v FROM grid WHERE k = n UNION ALL SELECT cik, e, 1, v FROM grid WHERE n = 3)"""
+
+
+def flow_periods(spark, d):
+    """A customer's orders as year-to-date figures at quarter ends (whole ones only), and the third quarter by itself."""
+    o = t(spark, d, "orders").where("o_custkey % 4 <> 3")
+    end = F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2))
+    q = o.groupBy(F.col("o_custkey").alias("cik"), end.alias("value_date"), F.quarter("o_orderdate").alias("n"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("v"))
+    w = Window.partitionBy("cik", "y").orderBy("n")
+    ytd = q.select("*", F.sum("v").over(w).alias("ytd"), F.row_number().over(w).alias("k"))
+    base = [F.col("cik"), F.lit("sales").alias("concept"), F.col("value_date")]
+    whole = ytd.where("k = n").select(*base, F.col("n").alias("qtrs"), F.col("ytd").alias("value"), F.col("value_date").alias("tradable_from"))
+    third = ytd.where("n = 3").select(*base, F.lit(1).alias("qtrs"), F.col("v").alias("value"), F.col("value_date").alias("tradable_from"))
+    return whole.unionByName(third)
+
+
+@query(f"""WITH {FLOWS}, c AS (SELECT cik, d, v, 'reported' AS s, 0 AS p, 0 AS g, 1 AS l FROM period WHERE qtrs = 1
+UNION ALL SELECT a.cik, a.d, a.v - b.v, 'ytd_difference', 1, abs(date_diff('day', b.d, a.d) - 91), a.qtrs FROM period a JOIN period b ON b.cik = a.cik AND b.qtrs = a.qtrs - 1 AND date_diff('day', b.d, a.d) BETWEEN 70 AND 110 WHERE a.qtrs BETWEEN 2 AND 4)
+SELECT cik, d AS quarter_end, round(v, 2) AS q_value, s AS q_source FROM c QUALIFY row_number() OVER (PARTITION BY cik, d ORDER BY p, g, l, v DESC) = 1""")
+def quarterly_values(spark, d):
+    return flows.quarters(flow_periods(spark, d)).select("cik", "quarter_end", F.round("q_value", 2).alias("q_value"), "q_source")
+
+
+@query(None)
+def quarterly_series(spark, d):
+    """Quarters with comparisons and trailing years."""
+    s = flows.quarterly(flow_periods(spark, d))
+    return s.select("cik", "quarter_end", "fiscal_quarter", *[F.round(c, 4).alias(c) for c in ("q_value", "qoq_growth", "yoy_growth", "ttm_value", "ttm_growth")], "q_source", "ttm_source")
+
+
+@query("""WITH x AS (SELECT user_id, ts, event_id, value - lag(value, 4) OVER (PARTITION BY user_id ORDER BY ts) AS change FROM events),
+w AS (SELECT *, count(change) OVER f AS n, stddev_samp(change) OVER f AS sd FROM x WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+SELECT event_id, round(CASE WHEN n = 8 AND sd > 0 THEN change / sd END, 6) AS sue FROM w""")
+def earnings_surprise(spark, d):
+    """Seasonal change over the deviation of the eight before; the series is a user's events in order."""
+    w = Window.partitionBy("user_id").orderBy("ts")
+    n = F.row_number().over(w)
+    e = events(spark, d).select("event_id", "ts", F.col("user_id").alias("cik"), F.lit("value").alias("concept"), F.col("value").alias("q_value"), F.lag("value", 4).over(w).alias("q_yoy_value"), F.date_add(F.lit("2000-03-31").cast("date"), (n * 91).cast("int")).alias("quarter_end"))
+    return flows.surprise(e).select("event_id", F.round("sue", 6).alias("sue"))
+
+
+# --- cross-sections ----------------------------------------------------------------------------------------------------------
+
+PEERS = """s AS (SELECT c_custkey AS cik, 'balance' AS concept, c_acctbal AS value, c_mktsegment AS sector, CAST(c_nationkey AS VARCHAR) AS sub FROM customer),
+lev AS (SELECT cik, concept, value, 'sector' AS peer_level, sector AS peer_group FROM s UNION ALL SELECT cik, concept, value, 'sub_industry', sub FROM s),
+mom AS (SELECT concept, peer_level, peer_group, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM lev GROUP BY 1, 2, 3 HAVING count(*) >= 5)"""
+
+
+@query(f"""WITH {PEERS} SELECT cik, peer_level, peer_group, n AS peer_count, round(m, 4) AS peer_mean, round(CASE WHEN sd <> 0 THEN (value - m) / sd END, 3) AS zscore,
+round(percent_rank() OVER (PARTITION BY concept, peer_level, peer_group ORDER BY value), 4) AS peer_percentile FROM lev JOIN mom USING (concept, peer_level, peer_group)""")
+def peer_stats(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.lit("balance").alias("concept"), F.col("c_acctbal").alias("value"), F.col("c_mktsegment").alias("sector"), F.col("c_nationkey").cast("string").alias("sub"))
+    out = cross.peer_moments(c, {"sector": "sector", "sub_industry": "sub"}, ["concept"])
+    z = F.when(F.col("peer_stddev") != 0, F.round((F.col("value") - F.col("peer_mean")) / F.col("peer_stddev"), 3))
+    return out.select("cik", "peer_level", "peer_group", "peer_count", F.round("peer_mean", 4).alias("peer_mean"), z.alias("zscore"), "peer_percentile")
+
+
+FACTS = """f AS (SELECT c_custkey AS cik, c_mktsegment AS sector, c_acctbal AS a, n::DOUBLE AS b, mx AS c, mn AS d FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS mx, min(o_totalprice) AS mn FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+l AS (SELECT cik, sector, 'a' AS k, a AS v, a AS s FROM f UNION ALL SELECT cik, sector, 'b', b, b FROM f UNION ALL SELECT cik, sector, 'c', c, -c FROM f UNION ALL SELECT cik, sector, 'd', d, d FROM f),
+r AS (SELECT cik, k, v, round(percent_rank() OVER (PARTITION BY k ORDER BY s), 4) AS p, round(percent_rank() OVER (PARTITION BY k, sector ORDER BY s), 4) AS q FROM l WHERE v IS NOT NULL),
+sheet AS (SELECT cik, max(p) FILTER (WHERE k = 'a') AS a_pct, max(q) FILTER (WHERE k = 'a') AS a_sector_pct, max(p) FILTER (WHERE k = 'c') AS c_pct, count(*) AS n, avg(p) AS comp FROM r GROUP BY cik)"""
+
+
+def sheet(spark, d):
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("b"), F.max("o_totalprice").alias("c"), F.min("o_totalprice").alias("d"))
+    f = t(spark, d, "customer").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("sector"), F.col("c_acctbal").alias("a"), "b", "c", "d")
+    return cross.factor_percentiles(f, ["cik"], "sector", {"a": 1, "b": 1, "c": -1, "d": 1})
+
+
+@query(f"WITH {FACTS} SELECT f.cik, a_pct, a_sector_pct, c_pct, CAST(coalesce(n, 0) AS INTEGER) AS n_factors, CASE WHEN n >= 4 THEN CAST(round(comp * 40000) AS BIGINT) END AS pct_sum FROM f LEFT JOIN sheet USING (cik)")
+def factor_sheet(spark, d):
+    """Percentiles and their sum in ten-thousandths (an average would round ties by the last bit)."""
+    s = sheet(spark, d)
+    total = sum((F.col(f"{k}_pct") for k in "abcd"), F.lit(0.0))
+    return s.select("cik", "a_pct", "a_sector_pct", "c_pct", "n_factors", F.when(F.col("n_factors") >= 4, F.round(total * 10000).cast("long")).alias("pct_sum"))
+
+
+# --- market ------------------------------------------------------------------------------------------------------------------
+
+PRICES = """bar AS (SELECT o_custkey AS cik, last_day(CAST(o_orderdate AS DATE)) AS m, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS px FROM orders GROUP BY 1, 2),
+ret AS (SELECT cik, m, px, CASE WHEN date_diff('day', lag(m) OVER w, m) <= 95 AND lag(px) OVER w >= 1 THEN px / lag(px) OVER w - 1 END AS r FROM bar WINDOW w AS (PARTITION BY cik ORDER BY m))"""
+
+
+def prices(spark, d):
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), F.last_day(F.col("o_orderdate").cast("date")).alias("month_end")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("adj_close"))
+    return o.withColumns({"ticker": F.col("cik").cast("string"), "close_raw": F.col("adj_close"), "volume": F.lit(1)})
+
+
+@query(f"WITH {PRICES} SELECT cik, m AS month_end, round(r, 6) AS ret_1m FROM ret")
+def monthly_returns(spark, d):
+    return market.monthly_returns(prices(spark, d), 95).select("cik", "month_end", F.round("ret_1m", 6).alias("ret_1m"))
+
+
+@query(f"""WITH {PRICES} SELECT c_custkey AS cik, px AS close_raw FROM (SELECT c_custkey, DATE '1998-06-30' AS day FROM customer) c ASOF LEFT JOIN bar ON bar.cik = c.c_custkey AND c.day > bar.m AND TRUE""".replace(" AND TRUE", "") + " WHERE m IS NULL OR date_diff('day', m, day) <= 45 UNION ALL SELECT c_custkey, NULL FROM (SELECT c_custkey, DATE '1998-06-30' AS day FROM customer) c ASOF JOIN bar ON bar.cik = c.c_custkey AND c.day > bar.m WHERE date_diff('day', m, day) > 45")
+def price_at(spark, d):
+    wanted = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.lit("1998-06-30").cast("date").alias("day"))
+    return market.prices_at(prices(spark, d), wanted, "day").select("cik", "close_raw")
+
+
+def panel(spark, d):
+    """A panel per quarter end: customers sorted by account balance."""
+    dates = t(spark, d, "orders").select(F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2)).alias("asof")).distinct()
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.lit(None).cast("string").alias("ticker_then"), F.col("c_acctbal").alias("bal_pct"))
+    return c.crossJoin(F.broadcast(dates))
+
+
+BACKTEST = f"""{PRICES}, dates AS (SELECT DISTINCT last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS rb FROM orders),
+win AS (SELECT rb, lead(rb) OVER (ORDER BY rb) AS nxt FROM dates),
+mem AS (SELECT rb, nxt, c_custkey AS cik, ntile(5) OVER (PARTITION BY rb ORDER BY c_acctbal, c_custkey) AS bucket FROM win CROSS JOIN customer),
+held AS (SELECT rb, m, bucket, r FROM mem JOIN ret USING (cik) WHERE m > rb AND m <= coalesce(nxt, rb + 400)),
+per AS (SELECT rb, m, bucket, CAST(count(*) AS INTEGER) AS members, CAST(count(r) AS INTEGER) AS priced, avg(r) AS ret FROM held GROUP BY 1, 2, 3),
+ben AS (SELECT rb, m, avg(r) AS b FROM held WHERE r IS NOT NULL GROUP BY 1, 2),
+spr AS (SELECT rb, m, max(ret) FILTER (WHERE bucket = 5) - max(ret) FILTER (WHERE bucket = 1) AS s FROM per GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {BACKTEST} SELECT rb AS rebalance_date, m AS month_end, bucket::INTEGER AS bucket, members, priced, round(round(ret, 6), 5) AS ret, round(round(b, 6), 5) AS benchmark_ret, round(round(s, 6), 5) AS spread
+FROM per LEFT JOIN ben USING (rb, m) LEFT JOIN spr USING (rb, m)""")
+def backtest(spark, d):
+    bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
+    return bt.select("rebalance_date", "month_end", "bucket", "members", "priced", *[F.round(c, 5).alias(c) for c in ("ret", "benchmark_ret", "spread")])
+
+
+@query(f"""WITH {BACKTEST} SELECT 'bucket ' || bucket AS series, CAST(count(ret) AS INTEGER) AS months, round(avg(ret), 4) AS mean_monthly FROM (SELECT bucket, round(ret, 6) AS ret FROM per) WHERE ret IS NOT NULL GROUP BY 1""")
+def backtest_summary(spark, d):
+    bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
+    return market.summary(bt).where("series LIKE 'bucket%'").select("series", "months", F.round("mean_monthly", 4).alias("mean_monthly"))
+
+
+@query(None)
+def factor_regression(spark, d):
+    """Buckets on the benchmark, with errors robust to autocorrelation."""
+    bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
+    rows = bt.select(F.concat(F.lit("bucket "), F.col("bucket").cast("string")).alias("series"), "month_end", F.col("ret").alias("r"), F.col("benchmark_ret").alias("mkt"))
+    return market.factor_regressions(rows, ["mkt"])
+
+
+@query(None)
+def security_lifecycle(spark, d):
+    """First trades and delistings of customers from their orders' priorities as events."""
+    from tidemark.plans import security
+
+    kinds = {"1-URGENT": "LISTING_REGISTRATION", "2-HIGH": "IPO_PRICING", "3-MEDIUM": "PERIODIC_REPORT", "4-NOT SPECIFIED": "PERIODIC_REPORT", "5-LOW": "DELISTING_NOTICE"}
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("o_orderpriority"))
+    ev = t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), kind.alias("event_type"), F.col("o_orderdate").cast("date").alias("event_date"), F.lit("25").alias("form"), F.col("o_orderkey").cast("string").alias("adsh"))
+    return security.first_trades(ev).join(security.delistings(ev, "2005-01-01"), "cik", "left")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
