@@ -535,11 +535,10 @@ ben AS (SELECT rb, m, avg(r) AS b FROM held WHERE r IS NOT NULL GROUP BY 1, 2),
 spr AS (SELECT rb, m, max(ret) FILTER (WHERE bucket = 5) - max(ret) FILTER (WHERE bucket = 1) AS s FROM per GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {BACKTEST} SELECT rb AS rebalance_date, m AS month_end, bucket::INTEGER AS bucket, members, priced, round(round(ret, 6), 5) AS ret, round(round(b, 6), 5) AS benchmark_ret, round(round(s, 6), 5) AS spread
+@query(f"""WITH {BACKTEST} SELECT rb AS rebalance_date, m AS month_end, bucket::INTEGER AS bucket, members, priced, round(ret, 6) AS ret, round(b, 6) AS benchmark_ret, round(s, 6) AS spread
 FROM per LEFT JOIN ben USING (rb, m) LEFT JOIN spr USING (rb, m)""")
 def backtest(spark, d):
-    bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
-    return bt.select("rebalance_date", "month_end", "bucket", "members", "priced", *[F.round(c, 5).alias(c) for c in ("ret", "benchmark_ret", "spread")])
+    return market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
 
 
 @query(f"""WITH {BACKTEST} SELECT 'bucket ' || bucket AS series, CAST(count(ret) AS INTEGER) AS months, round(avg(ret), 4) AS mean_monthly FROM (SELECT bucket, round(ret, 6) AS ret FROM per) WHERE ret IS NOT NULL GROUP BY 1""")
