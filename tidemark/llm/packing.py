@@ -8,13 +8,16 @@ a monotone queue, so the cost is linear in the number of cuts.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import table, utf8
+from tidemark.llm.common import chunked, table, utf8
 
 WINDOW = 4096
 END_OF_DOCUMENT = 2
@@ -24,8 +27,11 @@ PENALTY = (0, 4, 64)
 STEP = 256
 #: Tokens that are packed at once; the last window of a stretch moves on to the next one.
 STRETCH = 2_000_000
-#: Words kept with their ids in a task.
-CACHE = 1_000_000
+#: Words kept with their ids in a Python worker.
+CACHE = 700_000
+#: A special token of the vocabulary that separates words encoded together.
+BETWEEN = "<|startoftext|>"
+LONE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -55,14 +61,15 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
 def cut_points(lengths: np.ndarray, sentence_ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """(positions, penalties): ends of documents and of sentences, and steps inside longer gaps."""
     ends = np.cumsum(lengths)
-    at = np.unique(np.concatenate(([0], ends, sentence_ends)))
+    cost = np.full(int(ends[-1]) + 1, -1, np.int32)
+    cost[sentence_ends] = PENALTY[1]
+    cost[0] = cost[ends] = PENALTY[0]
+    at = np.flatnonzero(cost >= 0)
     gap = np.diff(at)
-    extra = [np.arange(a + step, a + g, step) for a, g in zip(at[:-1][gap > step], gap[gap > step])]
-    every = np.unique(np.concatenate([at, *extra]))
-    penalty = np.full(len(every), PENALTY[2])
-    penalty[np.isin(every, sentence_ends)] = PENALTY[1]
-    penalty[np.isin(every, ends)] = PENALTY[0]
-    return every, penalty
+    for a, g in zip(at[:-1][gap > step].tolist(), gap[gap > step].tolist()):
+        cost[a + step : a + g : step] = PENALTY[2]
+    at = np.flatnonzero(cost >= 0)
+    return at, cost[at]
 
 
 class WordIds:
@@ -71,38 +78,70 @@ class WordIds:
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.clear()
-
-    def clear(self) -> None:
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.number: dict[bytes, int] = {}
-        self.ids, self.length, self.stops = [], [], []
-        self.flat = self.first = self.count = self.stop = None
-
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, positions after words that end a sentence)."""
-        words = text.split()
-        if not words:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        if len(self.number) > CACHE:
-            self.clear()
-        number = self.number
-        if new := set(words).difference(number):
-            new = sorted(new)
-            for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                number[word] = len(self.length)
-                self.ids.extend(e.ids)
-                self.length.append(len(e.ids))
-                self.stops.append(word[-1:] in b".!?")
-            self.flat = None
-        if self.flat is None:
-            self.flat, self.count = np.array(self.ids, np.int32), np.array(self.length, np.int64)
-            self.first, self.stop = np.cumsum(self.count) - self.count, np.array(self.stops, bool)
-        w = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        self.used = 0  # of flat
+        self.flat = np.empty(1 << 16, np.int32)
+        self.first, self.count, self.stop = np.empty(1 << 15, np.int64), np.empty(1 << 15, np.int64), np.empty(1 << 15, bool)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids per word); words are encoded many at a time, with a special token between them."""
+        flat, counts = [], []
+        for i in range(0, len(words), 2000):
+            part = [w.decode() for w in words[i : i + 2000]]
+            if any("<|" in w for w in part):
+                for e in self.tokenizer.encode_batch(part, add_special_tokens=False):
+                    flat.append(np.array(e.ids, np.int32))
+                    counts.append(np.array([len(e.ids)]))
+            else:
+                ids = np.array(self.tokenizer.encode(BETWEEN.join(part), add_special_tokens=False).ids, np.int32)
+                cut = np.concatenate(([-1], np.flatnonzero(ids == self.between), [len(ids)]))
+                flat.append(ids[ids != self.between])
+                counts.append(np.diff(cut) - 1)
+        return np.concatenate(flat), np.concatenate(counts).astype(np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids, n = self._ids(new)
+        base, total = len(self.number), len(ids)
+        for name, need in (("flat", self.used + total), ("first", base + len(new)), ("count", base + len(new)), ("stop", base + len(new))):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate((old, np.empty(max(need, 2 * len(old)) - len(old), old.dtype))))
+        self.flat[self.used : self.used + total] = ids
+        at = slice(base, base + len(new))
+        self.first[at], self.count[at] = self.used + np.cumsum(n) - n, n
+        self.stop[at] = [w[-1:] in (b".", b"!", b"?") for w in new]
+        self.used += total
+        self.number.update(zip(new, range(base, base + len(new))))
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per text (ids, positions after words that end a sentence)."""
+        # lower-casing A-Z and parting a lone mark from the letter before it change no id; both make for fewer words
+        split = [LONE_MARK.sub(rb" \1", t.lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
+        w = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        mark = len(self.number), self.used
+        new: list[bytes] = []
+        if len(miss := np.flatnonzero(w < 0)):
+            new = sorted({words[i] for i in miss.tolist()})
+            self._learn(new)
+            w[miss] = [self.number[words[i]] for i in miss.tolist()]
         n = self.count[w]
-        end = np.cumsum(n)
-        where = np.repeat(self.first[w] - (end - n), n) + np.arange(end[-1])
-        return self.flat[where], end[self.stop[w]]
+        end = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.first[w] - end[:-1], n) + np.arange(end[-1])]
+        stop = self.stop[w]
+        if len(self.number) > CACHE:  # a full cache forgets what this call added
+            for x in new:
+                del self.number[x]
+            self.used = mark[1]
+        out, a = [], 0
+        for text in split:
+            b = a + len(text)
+            out.append((ids[end[a] : end[b]], end[a + 1 : b + 1][stop[a:b]] - end[a]))
+            a = b
+        return out
 
 
 def pack_stretch(items: list[tuple], window: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
@@ -120,7 +159,7 @@ def pack_stretch(items: list[tuple], window: int, last: bool) -> tuple[list[list
         while a < b:
             doc, start, ids, total, _ = items[k]
             stop = min(b, begin[k] + lengths[k])
-            pieces.append((doc, start + int(a - begin[k]), ids[a - begin[k] : stop - begin[k]], total, ))
+            pieces.append((doc, start + int(a - begin[k]), ids[a - begin[k] : stop - begin[k]], total))
             a = stop
             if a == begin[k] + lengths[k]:
                 k += 1
@@ -133,6 +172,16 @@ def pack_stretch(items: list[tuple], window: int, last: bool) -> tuple[list[list
     return windows, rest
 
 
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    """A worker's word cache, kept from task to task."""
+    if tokenizer_path not in _word_ids:
+        _word_ids[tokenizer_path] = WordIds(tokenizer_path)
+    return _word_ids[tokenizer_path]
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -150,7 +199,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, w
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 32
         items: list[tuple] = []
         size = 0
@@ -171,11 +220,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, w
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), types)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                ids, ends = words.encode(text)
-                ids = np.append(ids, np.int32(END_OF_DOCUMENT))
-                items.append((doc, 0, ids, len(ids), ends))
-                size += len(ids)
+            texts, ids_of = utf8(batch.column(1)), batch.column(0).to_pylist()
+            for part in chunked(texts, 2 << 20):
+                for doc, (ids, ends) in zip(ids_of[part], words.encode(texts[part])):
+                    ids = np.append(ids, np.int32(END_OF_DOCUMENT))
+                    items.append((doc, 0, ids, len(ids), ends))
+                    size += len(ids)
                 if size >= STRETCH:
                     windows, items = pack_stretch(items, window, last=False)
                     size = sum(len(x[2]) for x in items)
