@@ -107,7 +107,9 @@ def submission_names(documents: DataFrame) -> DataFrame:
 
 def snapshot_pairs(snapshot: DataFrame) -> DataFrame:
     """(cik, ticker, title) of a snapshot document, a JSON object or list of records; malformed records go."""
-    records = F.coalesce(F.from_json("value", "array<struct<cik_str:string,ticker:string,title:string>>"), F.map_values(F.from_json("value", "map<string,struct<cik_str:string,ticker:string,title:string>>")))
+    record = "struct<cik_str:string,ticker:string,title:string>"
+    listed, keyed = F.from_json("value", f"array<{record}>"), F.map_values(F.from_json("value", f"map<string,{record}>"))
+    records = F.when(F.ltrim("value").startswith("["), listed).otherwise(keyed)
     rows = snapshot.select(F.explode(records).alias("x")).select(F.col("x.cik_str").try_cast("int").alias("cik"), norm_ticker(F.col("x.ticker")).alias("ticker"), F.col("x.title").alias("title"))
     return rows.where("cik IS NOT NULL AND ticker <> ''").dropDuplicates(["cik", "ticker"])
 
