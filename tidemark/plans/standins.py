@@ -566,6 +566,216 @@ def security_lifecycle(spark, d):
     return security.first_trades(ev).join(security.delistings(ev, "2005-01-01"), "cik", "left")
 
 
+# --- more of the inventory ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT * FROM (VALUES ('25-NSE/A'), ('253G2'), ('15-12G'), ('8-A12B'), ('S-11'), ('424B4'), (' 10-k405 '), ('20-F'), ('8-K')) t(form)),
+x AS (SELECT form, upper(trim(form)) AS u FROM f)
+SELECT form, n_name, CASE WHEN regexp_full_match(u, '8-A12[BG](/A)?') THEN 'LISTING_REGISTRATION' WHEN regexp_full_match(u, '25(-NSE)?(/A)?') THEN 'DELISTING_NOTICE'
+ WHEN regexp_full_match(u, '15F?-(12B|12G|15D)(/A)?') THEN 'DEREGISTRATION' WHEN regexp_full_match(u, '(S-1|F-1)(/A|MEF)?') THEN 'IPO_REGISTRATION'
+ WHEN regexp_full_match(u, '424B[14]') THEN 'IPO_PRICING' WHEN regexp_full_match(u, '10-[KQ].*|[24]0-F(/A)?') THEN 'PERIODIC_REPORT' END AS event FROM x CROSS JOIN nation""")
+def form_events(spark, d):
+    forms = spark.createDataFrame([(x,) for x in ("25-NSE/A", "253G2", "15-12G", "8-A12B", "S-11", "424B4", " 10-k405 ", "20-F", "8-K")], "form string")
+    return forms.crossJoin(t(spark, d, "nation").select("n_name")).withColumn("event", scalars.classify_form(F.col("form")))
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '/[a-z]{2,3}(/|$)|\(new\)|\bnew$|\([a-z]{2,3}\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'),
+ '\b(inc|corp|co)\s+(a|b|de)\s*$', ' ', 'g'), '\b(the|inc|corp|co|group|sa|ag|int)\b', ' ', 'g'), '[^a-z0-9]', '', 'g')) AS company FROM part""")
+def company_names(spark, d):
+    return t(spark, d, "part").select("p_partkey", scalars.norm_company_name(F.col("p_name")).alias("company"))
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'A' || user_id END AS axis_a, CASE WHEN user_id % 2 = 0 THEN event_type END AS axis_b FROM events""")
+def segment_maps(spark, d):
+    """Dimensions written as text and read back as maps."""
+    text = F.concat(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("AxisA=A"), F.col("user_id").cast("string"), F.lit(";"))).otherwise(""), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("AxisB="), F.col("event_type"), F.lit(";"))).otherwise(""))
+    m = scalars.parse_segments(F.col("s"))
+    return t(spark, d, "events").withColumn("s", text).select("event_id", F.try_element_at(m, F.lit("AxisA")).alias("axis_a"), F.try_element_at(m, F.lit("AxisB")).alias("axis_b"))
+
+
+@query("""SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'total' WHEN 2 THEN 'foreign' WHEN 3 THEN 'opeb' ELSE 'detail' END AS scope FROM events""")
+def pension_scopes(spark, d):
+    cases = ["", "RetirementPlanType=PensionPlan;", "RetirementPlanSponsorLocation=Foreign;RetirementPlanType=PensionPlan;", "RetirementPlanType=OtherPostretirementBenefitPlan;", "RetirementPlanSponsorLocation=US;"]
+    text = F.element_at(F.array(*map(F.lit, cases)), (F.col("user_id") % 5 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", footnotes.pension_scope(text).alias("scope"))
+
+
+SUSPECTS = """f AS (SELECT l_suppkey AS adsh, l_partkey % 20 AS tag, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS d, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3),
+g AS (SELECT adsh, tag, d, CASE WHEN adsh % 10 = 3 AND d = DATE '1998-01-01' THEN v * 1000 / 1000000 ELSE v * 1000 END AS v FROM f),
+c AS (SELECT a.adsh, a.tag, a.d, a.v, b.v AS cv FROM g a JOIN g b ON b.adsh = a.adsh AND b.tag = a.tag AND b.d < a.d AND date_diff('day', b.d, a.d) <= 400 QUALIFY row_number() OVER (PARTITION BY a.adsh, a.tag, a.d ORDER BY b.d DESC) = 1),
+k AS (SELECT *, CASE WHEN cv / v BETWEEN 1e6 / 3 AND 3e6 THEN 1e6 WHEN cv / v BETWEEN 1e3 / 3 AND 3e3 THEN 1e3 END AS factor FROM c),
+n AS (SELECT adsh, d, factor, count(*) AS n, max(cv) AS m FROM k WHERE factor IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {SUSPECTS} SELECT k.adsh, CAST(k.tag AS VARCHAR) AS tag, k.d AS value_date, CAST(k.factor AS DOUBLE) AS factor, n AS tags_in_filing FROM k JOIN n ON n.adsh = k.adsh AND n.d = k.d AND n.factor = k.factor WHERE n >= 4 AND m >= 1000000 AND k.factor = 1e6")
+def scale_suspects(spark, d):
+    """Columns a million times too small; suppliers stand for filings."""
+    from tidemark.plans import gold
+
+    day = F.date_trunc("quarter", "l_shipdate").cast("date")
+    f = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("adsh"), (F.col("l_partkey") % 20).cast("string").alias("tag"), day.alias("value_date")).agg(F.max("l_extendedprice").alias("v"))
+    v = F.when((F.col("adsh") % 10 == 3) & (F.col("value_date") == "1998-01-01"), F.col("v") * 1000 / 1000000).otherwise(F.col("v") * 1000)
+    f = f.select("adsh", F.col("adsh").alias("cik"), "tag", F.lit(0).alias("qtrs"), "value_date", v.alias("value"), F.col("value_date").alias("tradable_from"))
+    return gold.scale_suspects(f).where("factor = 1e6").select("adsh", "tag", "value_date", "factor", "tags_in_filing")
+
+
+@query("""WITH v AS (SELECT o_custkey AS cik, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderpriority = '2-HIGH' THEN 2 WHEN o_orderpriority = '3-MEDIUM' THEN 3 ELSE 8 END AS rung,
+ CAST(o_orderdate AS DATE) AS d, o_totalprice AS s, o_orderkey FROM orders),
+m AS (SELECT *, rung <= 5 AND date_diff('day', d, max(d) OVER (PARTITION BY cik)) <= 400 AS inst FROM v)
+SELECT cik, s AS shares, d AS value_date FROM m QUALIFY row_number() OVER (PARTITION BY cik ORDER BY inst DESC, d DESC, rung, s DESC) = 1""")
+def share_ladder(spark, d):
+    from tidemark.plans import gold
+
+    tags = {"1-URGENT": "EntityCommonStockSharesOutstanding", "2-HIGH": "CommonStockSharesOutstanding", "3-MEDIUM": "CommonStockSharesIssued"}
+    tag = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in tags.items() for x in p]), F.col("o_orderpriority")), F.lit("WeightedAverageNumberOfDilutedSharesOutstanding"))
+    day = F.col("o_orderdate").cast("date")
+    null = F.lit(None).cast("string")
+    f = t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), tag.alias("tag"), null.alias("segments"), null.alias("coreg"), F.lit("shares").alias("uom"), day.alias("value_date"), F.lit(0).alias("qtrs"), F.col("o_totalprice").alias("value"), day.alias("tradable_from"))
+    classes = spark.createDataFrame([], "cik long, class_label string, ticker string, is_excluded boolean, conversion_ratio double, effective_from date, effective_to date")
+    return gold.shares_outstanding(f, classes).select("cik", "shares", "value_date")
+
+
+LIFE = """ev AS (SELECT o_custkey AS cik, CASE o_orderpriority WHEN '1-URGENT' THEN 'L' WHEN '2-HIGH' THEN 'I' WHEN '5-LOW' THEN 'D' ELSE 'P' END AS e, CAST(o_orderdate AS DATE) AS d, o_orderkey FROM orders),
+b AS (SELECT cik, min(d) FILTER (WHERE e = 'L') AS f8, min(d) FILTER (WHERE e = 'I') AS fi, min(d) FILTER (WHERE e = 'P') AS fp, max(d) FILTER (WHERE e = 'P') AS lp, max(d) FILTER (WHERE e = 'L') AS ll FROM ev GROUP BY cik),
+a AS (SELECT b.*, coalesce((SELECT max(d) FROM ev WHERE ev.cik = b.cik AND e = 'L' AND d <= b.fi), fi, f8) AS le FROM b)"""
+
+
+@query(f"""WITH {LIFE} SELECT cik, CASE WHEN le IS NOT NULL AND (fp IS NULL OR fp >= le) THEN le ELSE fp END AS first_trade_date,
+CASE WHEN le IS NOT NULL AND (fp IS NULL OR fp >= le) THEN CASE WHEN le = fi THEN '424B' ELSE '8-A' END WHEN fp IS NOT NULL THEN 'already_reporting' ELSE 'first_edgar_filing' END AS first_trade_basis FROM a""")
+def first_trades(spark, d):
+    from tidemark.plans import security
+
+    return security.first_trades(_events_of_orders(spark, d)).select("cik", "first_trade_date", "first_trade_basis")
+
+
+@query(f"""WITH {LIFE} SELECT ev.cik, min(ev.d) AS delisting_date FROM ev JOIN b USING (cik) WHERE ev.e = 'D' AND NOT coalesce(lp > DATE '2003-10-01', FALSE) AND NOT coalesce(ll >= ev.d, FALSE)
+AND NOT coalesce(date_diff('day', ev.d, lp) > 180, FALSE) GROUP BY ev.cik""")
+def delistings(spark, d):
+    from tidemark.plans import security
+
+    return security.delistings(_events_of_orders(spark, d), "2005-01-01").select("cik", "delisting_date")
+
+
+def _events_of_orders(spark, d):
+    kinds = {"1-URGENT": "LISTING_REGISTRATION", "2-HIGH": "IPO_PRICING", "5-LOW": "DELISTING_NOTICE"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("o_orderpriority")), F.lit("PERIODIC_REPORT"))
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), kind.alias("event_type"), F.col("o_orderdate").cast("date").alias("event_date"), F.lit("25").alias("form"), F.col("o_orderkey").cast("string").alias("adsh"))
+
+
+@query("""WITH w AS (SELECT o_custkey AS security_id, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate + INTERVAL 15 MONTH AS DATE) AS hi FROM orders WHERE o_orderpriority = '3-MEDIUM'),
+m AS (SELECT *, max(hi) OVER (PARTITION BY security_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR lo > p THEN 1 ELSE 0 END) OVER (PARTITION BY security_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS k FROM m),
+x AS (SELECT security_id, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY security_id, k)
+SELECT security_id, greatest(lo, DATE '1996-01-01') AS valid_from, least(hi, DATE '2000-01-01') AS valid_to, CASE WHEN hi > DATE '2000-01-01' THEN 'delisted' ELSE 'no_annual_report_within_15m' END AS reason_out
+FROM x WHERE greatest(lo, DATE '1996-01-01') <= least(hi, DATE '2000-01-01')""")
+def eligibility(spark, d):
+    from tidemark.plans import security
+
+    s = t(spark, d, "customer").select(F.col("c_custkey").alias("security_id"), F.col("c_custkey").alias("cik"), F.lit("1996-01-01").cast("date").alias("first_trade_date"), F.lit("8-A").alias("first_trade_basis"), F.lit(None).cast("date").alias("first_pricing_date"), F.lit("2000-01-01").cast("date").alias("delisting_date"))
+    reports = t(spark, d, "orders").where("o_orderpriority = '3-MEDIUM'").select(F.col("o_custkey").alias("cik"), F.col("o_orderdate").cast("date").alias("tradable_from"))
+    out = security.eligibility(s, reports).where("universe_name = 'filers_10k_15m'")
+    return out.select("security_id", "valid_from", "valid_to", "reason_out")
+
+
+@query("""WITH p AS (SELECT o_custkey % 40 AS cik, 'T' || (o_custkey % 7) AS ticker, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + 30 AS hi, o_orderkey FROM orders)
+SELECT cik, ticker FROM p WHERE lo <= DATE '1998-06-30' AND hi > DATE '1998-06-30' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY lo DESC, ticker) = 1""")
+def ticker_on_a_day(spark, d):
+    from tidemark.plans import spine
+
+    day = F.col("o_orderdate").cast("date")
+    p = t(spark, d, "orders").select((F.col("o_custkey") % 40).alias("cik"), F.concat(F.lit("T"), (F.col("o_custkey") % 7).cast("string")).alias("ticker"), F.lit(True).alias("is_primary"), day.alias("valid_from"), F.date_add(day, 30).alias("valid_to"))
+    return spine.ticker_at(p, "1998-06-30").select("cik", "ticker")
+
+
+@query("""WITH p AS (SELECT o_custkey AS cik, 'T' || (o_custkey % 50) AS ticker, min(CAST(o_orderdate AS DATE)) AS lo, min(CAST(o_orderdate AS DATE)) + 400 AS hi FROM orders GROUP BY 1, 2),
+c AS (SELECT c_custkey AS cik, DATE '1990-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS ff FROM customer)
+SELECT a.cik AS old_cik, b.cik AS new_cik, a.ticker, b.lo AS handoff_date FROM p a JOIN p b ON b.ticker = a.ticker AND b.cik <> a.cik AND date_diff('day', a.hi, b.lo) BETWEEN -45 AND 120
+JOIN c ca ON ca.cik = a.cik JOIN c cb ON cb.cik = b.cik WHERE date_diff('day', ca.ff, cb.ff) > 30""")
+def successions(spark, d):
+    from tidemark.plans import spine
+
+    p = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), F.concat(F.lit("T"), (F.col("o_custkey") % 50).cast("string")).alias("ticker")).agg(F.min(F.col("o_orderdate").cast("date")).alias("valid_from"))
+    p = p.withColumns({"valid_to": F.date_add("valid_from", 400), "is_primary": F.lit(True)})
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 1000).cast("int")).alias("first_filed"), F.lit(None).cast("date").alias("last_filed"))
+    return spine.successions(p, c).select("old_cik", "new_cik", "ticker", "handoff_date")
+
+
+@query("""WITH o AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS tag, max(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3),
+x AS (SELECT *, lead(d) OVER (PARTITION BY cik, tag ORDER BY d) AS n FROM o), days AS (SELECT DISTINCT cik, d AS s FROM o)
+SELECT days.cik, s AS state_from, tag, v AS value FROM days JOIN x ON x.cik = days.cik AND x.d <= s AND (x.n > s OR x.n IS NULL)""")
+def state_expansion(spark, d):
+    """Every customer at every day on which something became known, with what held then."""
+    from tidemark.plans import exports
+
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), F.col("o_orderdate").cast("date").alias("tradable_from"), F.col("o_orderpriority").alias("tag")).agg(F.max("o_totalprice").alias("value"))
+    o = o.withColumns({"superseded_tradable": F.lead("tradable_from").over(Window.partitionBy("cik", "tag").orderBy("tradable_from")), "adsh": F.lit("")})
+    return exports.states(o, ["cik"]).select("cik", "state_from", "tag", "value")
+
+
+@query(f"""WITH {FLOWS}, a AS (SELECT cik, d, v FROM period WHERE qtrs = 4), y AS (SELECT cik, d, qtrs, v FROM period p WHERE qtrs = (SELECT max(qtrs) FROM period g WHERE g.cik = p.cik AND g.d = p.d))
+SELECT cik, d AS quarter_end, round(v, 2) AS ttm_value FROM a""")
+def trailing_annual(spark, d):
+    """Trailing years that are an annual figure."""
+    p = flow_periods(spark, d)
+    return flows.trailing_years(p, flows.quarters(p)).where("ttm_source = 'annual'").select("cik", "quarter_end", F.round("ttm_value", 2).alias("ttm_value"))
+
+
+@query(f"""WITH {FLOWS}, q1 AS (SELECT cik, last_day(d) AS d, v FROM period WHERE qtrs = 1 QUALIFY row_number() OVER (PARTITION BY cik, d ORDER BY v DESC) = 1),
+bal AS (SELECT o_custkey AS cik, last_day(CAST(o_orderdate AS DATE)) AS m, max(o_totalprice) AS b FROM orders GROUP BY 1, 2)
+SELECT q1.cik, q1.d AS quarter_end, round(q1.v / bal.b, 6) AS roe_q FROM q1 LEFT JOIN bal ON bal.cik = q1.cik AND bal.m = last_day(CAST(q1.d - INTERVAL 3 MONTH AS DATE))""")
+def profitability(spark, d):
+    q = flows.quarters(flow_periods(spark, d).where("qtrs = 1")).withColumn("concept", F.lit("net_income"))
+    m = F.last_day(F.col("o_orderdate").cast("date"))
+    b = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), m.alias("value_date")).agg(F.max("o_totalprice").alias("value")).withColumns({"concept": F.lit("total_equity"), "tradable_from": F.col("value_date")})
+    return flows.profitability(q, b).select("cik", "quarter_end", F.round("roe_q", 6).alias("roe_q"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS cik, c_mktsegment AS seg, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer)
+SELECT cik, rank() OVER (PARTITION BY seg ORDER BY v DESC) AS rank, round(percent_rank() OVER (PARTITION BY seg ORDER BY v), 4) AS percentile FROM r WHERE v IS NOT NULL UNION ALL SELECT cik, NULL, NULL FROM r WHERE v IS NULL""")
+def ranked_members(spark, d):
+    r = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("seg"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
+    return flows.ranked(r, "v", ["seg"]).select("cik", "rank", "percentile")
+
+
+@query(f"""WITH {PRICES}, w AS (SELECT c_custkey AS cik, DATE '1998-06-30' AS day, c_acctbal AS shares FROM customer)
+SELECT w.cik, CASE WHEN date_diff('day', m, day) <= 45 THEN round(px * shares / 1000, 0) END AS market_cap FROM w ASOF LEFT JOIN bar ON bar.cik = w.cik AND w.day > bar.m""")
+def market_caps(spark, d):
+    s = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.lit("1998-06-30").cast("date").alias("day"), F.col("c_acctbal").alias("shares"))
+    return market.market_caps(prices(spark, d), s, "day").select("cik", F.round(F.col("market_cap") / 1000, 0).alias("market_cap"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part)
+SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN s ON p_partkey = l_partkey AND p_size > 25 LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0""")
+def denormalised(spark, d):
+    """Two inner and two optional sides in one wide table."""
+    line = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    part = t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    supplier = t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return t(spark, d, "orders").select("o_orderkey").join(line, "o_orderkey").join(part, "l_partkey", "left").join(supplier, "l_suppkey", "left")
+
+
+@query("""SELECT o_orderpriority AS item, round(avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0.0 END), 4) AS share FROM orders GROUP BY 1""")
+def item_coverage(spark, d):
+    from tidemark.plans import exports
+
+    kinds = sorted(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+    out = None
+    for k in kinds:
+        rows = t(spark, d, "orders").where(F.col("o_orderpriority") == k).select(F.when(F.col("o_totalprice") > 200000, 1).alias("v"))
+        one = exports.coverage(rows, ["v"]).withColumn("item", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH m AS (SELECT c_custkey AS cik, 'A' AS ix, c_mktsegment AS s, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'B', c_mktsegment, c_acctbal + 1 FROM customer WHERE c_custkey % 3 = 0),
+u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY cik ORDER BY ix) = 1)
+SELECT cik, round(percent_rank() OVER (ORDER BY v), 4) AS roa_pct, round(percent_rank() OVER (PARTITION BY s ORDER BY v), 4) AS roa_sector_pct FROM u""")
+def union_of_indices(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("gics_sector"), F.col("c_acctbal").alias("roa"), F.lit("2024-01-31").cast("date").alias("asof"), F.lit("t").alias("ticker"))
+    panel_ = c.where("cik % 2 = 0").withColumn("index_name", F.lit("A")).unionByName(c.where("cik % 3 = 0").withColumns({"index_name": F.lit("B"), "roa": F.col("roa") + 1}))
+    return cross.union_panel(panel_, ["A", "B"], "AB", {"roa": 1}).select("cik", "roa_pct", "roa_sector_pct")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
