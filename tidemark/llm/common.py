@@ -13,7 +13,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch: texts are long, and both ends of a Python worker's pipe hold whole batches.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,7 +67,7 @@ _pow = _ipow = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _ipow
     if len(_pow) < n:
-        size = max(n, 2 * len(_pow))
+        size = (n + (1 << 18) - 1) >> 18 << 18
         step = np.full(size, _MULT)
         step[0] = 1
         _pow = np.cumprod(step, dtype=np.uint64)
@@ -129,6 +138,13 @@ def chunked(texts: list[bytes], limit: int = 1 << 20):
         yield slice(begin, len(texts))
 
 
+def slices(batches, rows: int = 2000):
+    """Arrow batches in pieces of so many rows, so that a task holds few texts at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as bytes; null is the empty text."""
     import pyarrow as pa

@@ -17,15 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunked, discard, materialise, mix, shingle_sets, table, utf8
+from tidemark.llm.common import chunked, discard, materialise, mix, shingle_sets, slices, small_batches, table, utf8
 from tidemark.llm.components import components
 
 #: Tokens whose order is by frequency (the most frequent of all, at the end); others come first, by hash.
-FREQUENT = 20_000
-#: A batch reports tokens that it has in so many sets at least; this only shapes the order, never the result.
-REPORT = 4
+FREQUENT = 100_000
+#: A stretch of so many tokens reports those that it has in so many sets at least; this shapes the order, never the result.
+STRETCH, REPORT = 2_000_000, 3
 #: Prefix tokens with more sets than this make groups; sets in a group at most (on average).
-CROWD, GROUP = 32, 256
+CROWD, GROUP = 256, 256
 #: Counted cells of a sketch; bits of the filter for the second reading of the texts (a fixed 4 MB).
 CELLS, FILTER_BITS = 256, 1 << 25
 
@@ -59,11 +59,24 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         import pyarrow as pa
 
-        for b in batches:
-            all_ = [s for _, sets in _sets(b, k) for s in sets]
-            tokens, n = np.unique(np.concatenate(all_), return_counts=True) if all_ else (np.empty(0, np.int64), np.empty(0, np.int64))
+        def report(held):
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n >= REPORT
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(n[keep])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(n[keep])], names=["token", "n"])
+
+        held, size, seen = [], 0, set()  # copies in a stretch count once
+        for b in slices(batches):
+            for _, sets in _sets(b, k):
+                for s in sets:
+                    if len(s) and (x := s[:8].tobytes() + s[-8:].tobytes()) not in seen:
+                        seen.add(x)
+                        held.append(s)
+                        size += len(s)
+            if size >= STRETCH:
+                yield report(held)
+                held, size, seen = [], 0, set()
+        if held:
+            yield report(held)
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
@@ -78,7 +91,7 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
     def sign(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             n, nodes, prefixes, seen = [], [], [], set()
             for _, sets in _sets(b, k):
                 for s in sets:
@@ -102,8 +115,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, node binary, prefix array<long>")
 
 
-def token_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """(node, n, tokens, sketch) once for each node of ``nodes`` (and a few others that pass the fixed-size filter)."""
+def read_sets(docs: DataFrame, k: int, nodes: DataFrame, what: str) -> DataFrame:
+    """(node, n, tokens or sketch) once for each node of ``nodes``: the texts are read again, and a fixed-size filter keeps
+    most of the others from being shuffled."""
+    form, kind = {"tokens": (lambda s: s, "array<long>"), "sketch": (_sketch, "binary")}[what]
     def positions(batches):
         import pyarrow as pa
 
@@ -119,7 +134,7 @@ def token_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
     def gather(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             rows, seen = [], set()
             for _, sets in _sets(b, k):
                 for s in sets:
@@ -127,12 +142,12 @@ def token_sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
                         seen.add(node)
                         at = _slot(node)
                         if int(wanted.value[at >> 6]) >> (at & 63) & 1:
-                            rows.append((node, len(s), s, _sketch(s)))
-            cols = list(zip(*rows)) or [[]] * 4
-            types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", "tokens", "sketch"])
+                            rows.append((node, len(s), form(s)))
+            cols = list(zip(*rows)) or [[]] * 3
+            types = [pa.binary(), pa.int64(), pa.list_(pa.int64()) if what == "tokens" else pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", what])
 
-    found = docs.select("text").mapInArrow(gather, "node binary, n long, tokens array<long>, sketch binary")
+    found = docs.select("text").mapInArrow(gather, f"node binary, n long, {what} {kind}")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -220,24 +235,26 @@ def link_nodes(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -
     tokens = signed.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
     once = tokens.groupBy("token", "node").agg(F.first("n").alias("n"))
     live = materialise(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "matrix")
-    crowded = live.where(F.col("m") > CROWD).groupBy("node").agg(F.max(F.struct("m", "token")).alias("top"))
+    crowded = F.max(F.when(F.col("m") > CROWD, F.struct("m", "token"))).over(Window.partitionBy("node"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / GROUP))
-    groups = materialise(crowded.select("node", F.encode(F.concat_ws(":", "top.token", chunk), "UTF-8").alias("gid")), "groups")
-    grouped = live.join(groups, "node", "left").withColumn("big", F.col("gid").isNotNull()).withColumn("gid", F.coalesce("gid", "node"))
+    gid = F.coalesce(F.encode(F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string")), "UTF-8"), F.col("node"))
+    grouped = live.withColumn("top", crowded).withColumn("big", F.col("top").isNotNull()).withColumn("gid", F.when(F.col("big"), gid).otherwise(F.col("node")))
+    groups = materialise(grouped.where("big").select("node", "gid").distinct(), "groups")
     matrix = grouped.groupBy("token", "gid", "big").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = (matrix.select("token", *[F.col(c).alias(c + i) for c in ("gid", "big", "lo", "hi")]) for i in "12")
     compatible = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
     met = a.join(b, "token").where((F.col("gid1") < F.col("gid2")) & compatible).select("gid1", "gid2", "big1", "big2").distinct()
     met = materialise(met, "met")
-    sets = materialise(token_sets(docs, k, live.select("node").distinct()), "sets")
 
-    # single sets
-    short = sets.select("node", "n", "sketch")
-    first, second = (short.select(F.col("node").alias("u" if i == "1" else "v"), F.col("n").alias("n" + i), F.col("sketch").alias("s" + i)) for i in "12")
+    # single sets: sketches of those that meet, then the tokens of those whose bound holds
     single = met.where("not big1 and not big2").select(F.col("gid1").alias("u"), F.col("gid2").alias("v"))
-    kept = single.join(first, "u").join(second, "v").select("u", "v", "n1", "n2", "s1", "s2").mapInArrow(_bounded(num, den), "u binary, v binary")
-    full = sets.select("node", "n", "tokens")
-    first, second = (full.select(F.col("node").alias("u" if i == "1" else "v"), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for i in "12")
+    ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    short = materialise(read_sets(docs, k, ends(single), "sketch"), "sketches")
+    first, second = (short.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("sketch").alias("s" + i)) for e, i in ("u1", "v2"))
+    bounded = single.join(first, "u").join(second, "v").select("u", "v", "n1", "n2", "s1", "s2").mapInArrow(_bounded(num, den), "u binary, v binary")
+    kept = materialise(bounded, "bounded")
+    full = materialise(read_sets(docs, k, ends(kept).union(groups.select("node")).distinct(), "tokens"), "sets")
+    first, second = (full.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for e, i in ("u1", "v2"))
     overlap = F.size(F.array_intersect("t1", "t2"))
     pairs = kept.join(first, "u").join(second, "v").where((num + den) * overlap >= num * (F.col("n1") + F.col("n2"))).select("u", "v")
 
@@ -253,7 +270,7 @@ def link_nodes(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -
     query, member = (fresh(x.join(full, "node")) for x in (query, member))
     opened = query.groupBy("gid", "part").cogroup(member.groupBy("gid", "part")).applyInPandas(_open(num, den), "u binary, v binary")
     edges = materialise(pairs.union(opened), "links")
-    discard(live, groups, met, sets)
+    discard(live, groups, met, short, kept, full)
     return edges
 
 
@@ -264,6 +281,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     texts have no set and are components of their own; repeated rows are copies; a null doc_id is never a component's
     id unless all of its documents lack one.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, k, num, den, frequent_tokens(docs, k)), "signatures")
     roots = components(link_nodes(docs, signed, k, num, den))
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
