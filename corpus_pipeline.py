@@ -38,7 +38,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, with their token ids, in windows of 4096."""
-    return pack_documents(docs, default_tokenizer(), with_ids=True)
+    return pack_documents(docs, default_tokenizer(), with_ids=True, cache=150_000)
 
 
 STAGES = [

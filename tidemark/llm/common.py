@@ -14,7 +14,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Bytes of an Arrow batch: texts are long, and both ends of a Python worker's pipe hold whole batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

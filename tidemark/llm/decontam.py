@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunked, mix, table, utf8, word_hashes
+from tidemark.llm.common import chunked, mix, slices, small_batches, table, utf8, word_hashes
 
 #: An item leaks where some run of words is within this share of its words in edits.
 EDITS = 0.2
@@ -46,7 +46,7 @@ def cgk(x: np.ndarray, seed: int) -> np.ndarray:
         symbol = padded[row, at]
         out[:, j] = symbol
         with np.errstate(over="ignore"):
-            step = (mix(symbol + np.uint64((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(1)).astype(np.int64)
+            step = ((symbol * np.uint64(((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 | 1) % 2**64)) >> np.uint64(63)).astype(np.int64)
         at = np.minimum(at + step, n)
     return out
 
@@ -84,9 +84,11 @@ class Items:
     def __init__(self, items: list[tuple]):
         words, counts = words_of([(t or "").encode() for _, t in items])
         ends = np.cumsum(counts)
-        self.words = {i: words[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())) if n}
+        self.words = {i: words[e - n : e] for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())) if n > 1}
         self.ids = [i for i, _ in items]
         self.bigrams = np.unique(np.concatenate([np.zeros(1, np.uint64), *[_bigrams(w) for w in self.words.values()]]))
+        self.seen = np.zeros(1 << 20, bool)  # a first look by the low bits
+        self.seen[(self.bigrams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.own = {i: np.unique(_bigrams(w)) for i, w in self.words.items()}
         self.distinct = {}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -101,7 +103,7 @@ class Items:
 
 def _bigrams(w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(w[:-1] * np.uint64(3) + mix(w[1:])) if len(w) > 1 else mix(w)
+        return mix(w[:-1] * np.uint64(3) + mix(w[1:]))
 
 
 def _needed(n: int) -> int:
@@ -113,7 +115,7 @@ def _windows(known: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> t
     """(document, start) of the windows of n words with enough known bigrams; a shorter document is one window itself."""
     docs, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if len(known) > n - 1:
-        at = np.flatnonzero(known[n - 1 :] - known[: len(known) - n + 1] >= _needed(n)) if n > 1 else np.flatnonzero(np.diff(known))
+        at = np.flatnonzero(known[n - 1 :] - known[: len(known) - n + 1] >= _needed(n))
         doc = np.searchsorted(end, at, side="right")
         whole = at + n <= end[np.minimum(doc, len(end) - 1)]
         docs.append(doc[whole])
@@ -130,44 +132,45 @@ def leaks_in(texts: list[bytes], items: Items) -> list[list[tuple[int, int, int]
     """Per text (item, edits, first word of the window) of the items that leak into it."""
     out: list[list] = [[] for _ in texts]
     words, counts = words_of(texts)
-    if not len(words) or not items.by_length:
+    if len(words) < 2 or not items.by_length:
         return out
     end = np.cumsum(counts)
     begin = end - counts
     flag = np.zeros(len(words), np.int32)
-    two = _bigrams(words) if len(words) > 1 else np.empty(0, np.uint64)
-    if len(two):
-        at = np.minimum(np.searchsorted(items.bigrams, two), len(items.bigrams) - 1)
-        flag[:-1] = items.bigrams[at] == two
+    two = _bigrams(words)
+    maybe = np.flatnonzero(items.seen[(two & np.uint64(len(items.seen) - 1)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(items.bigrams, two[maybe]), len(items.bigrams) - 1)
+    flag[maybe] = items.bigrams[at] == two[maybe]
     flag[end[counts > 0] - 1] = 0  # no bigram goes on into the next text
     known = np.concatenate((np.zeros(1, np.int32), np.cumsum(flag, dtype=np.int32)))
     for n, (keys, owner) in items.by_length.items():
         doc, start = _windows(known, begin, end, n)
         if not len(doc):
             continue
-        if n > 1:  # as many different known bigrams as an item keeps after the edits
-            at = start[:, None] + np.arange(n - 1)
-            rows = np.sort(np.where(flag[np.minimum(at, len(flag) - 1)] * (at + 1 < end[doc][:, None]), two[np.minimum(at, len(two) - 1)] if len(two) else _PAD, _PAD), axis=1)
-            varied = ((rows[:, 1:] != rows[:, :-1]).sum(axis=1) + (rows[:, 0] != _PAD)) >= items.distinct[n] - 2 * int(EDITS * n)
-            doc, start = doc[varied], start[varied]
-            if not len(doc):
-                continue
+        # as many different known bigrams as an item keeps after the edits
+        at = start[:, None] + np.arange(n - 1)
+        rows = np.sort(np.where(flag[np.minimum(at, len(flag) - 1)] * (at + 1 < end[doc][:, None]), two[np.minimum(at, len(two) - 1)], _PAD), axis=1)
+        varied = ((rows[:, 1:] != rows[:, :-1]).sum(axis=1) + (rows[:, 0] != _PAD)) >= items.distinct[n] - 2 * int(EDITS * n)
+        doc, start = doc[varied], start[varied]
+        if not len(doc):
+            continue
         place = start[:, None] + np.arange(n)
         inside = place < end[doc][:, None]
         mine = lsh_keys(np.where(inside, words[np.minimum(place, len(words) - 1)], _PAD))
-        a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-        hits = (b - a).ravel()
-        slot = np.repeat(a.ravel(), hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
-        met = np.unique(np.repeat(np.arange(len(start)), mine.shape[1])[np.repeat(np.arange(hits.size), hits)] * len(items.ids) + owner[slot])
+        first = np.searchsorted(keys, mine)
+        row, col = np.nonzero(keys[np.minimum(first, len(keys) - 1)] == mine)
+        a = first[row, col]
+        hits = np.searchsorted(keys, mine[row, col], "right") - a
+        slot = np.repeat(a, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+        met = np.unique(np.repeat(row, hits) * len(items.ids) + owner[slot])
         which, item_of = met // len(items.ids), met % len(items.ids)
         pairs = []
         for item in np.unique(item_of):  # enough bigrams of this very item
             w = which[item_of == item]
-            at = start[w][:, None] + np.arange(max(1, n - 1))
-            own = items.own[item]
-            mine_two = two[np.minimum(at, len(two) - 1)] if len(two) else np.zeros(at.shape, np.uint64)
-            near = own[np.minimum(np.searchsorted(own, mine_two), len(own) - 1)] == mine_two
-            ok = (near & (at + 1 < end[doc[w]][:, None])).sum(axis=1) >= _needed(n) if n > 1 else np.ones(len(w), bool)
+            at = start[w][:, None] + np.arange(n - 1)
+            own, bigrams = items.own[item], two[np.minimum(at, len(two) - 1)]
+            near = own[np.minimum(np.searchsorted(own, bigrams), len(own) - 1)] == bigrams
+            ok = (near & (at + 1 < end[doc[w]][:, None])).sum(axis=1) >= _needed(n)
             pairs += [(int(doc[i]), int(item), int(start[i])) for i in w[ok]]
         slack, last, best = int(EDITS * n), {}, {}
         for d, item, at in sorted(pairs):
@@ -189,9 +192,10 @@ MATCH = "array<struct<item_id:long,edits:int,word:int>>"
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """``docs`` with the benchmark items (item_id, text) that leak into each text: item, edits, where.
 
-    Null, empty and wordless texts and items never match; repeated items are all named; an empty benchmark finds
+    Null and empty texts and items of fewer than two words never match; repeated items are all named; an empty benchmark finds
     nothing.  Whole texts are searched; items go through in blocks of ``BLOCK``.
     """
+    small_batches(docs.sparkSession)
     if out in docs.columns:
         raise ValueError(f"column already present: {out}")
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
@@ -208,9 +212,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: s
             import pyarrow as pa
 
             items = known.value
-            for b in batches:
+            for b in slices(batches):
                 texts, new = utf8(b.column(at)), []
-                for part in chunked(texts, 4 << 20):
+                for part in chunked(texts, 2 << 20):
                     new += [[{"item_id": items.ids[i], "edits": d, "word": w} for i, d, w in found] for found in leaks_in(texts[part], items)]
                 old = b.column(b.num_columns - 1).to_pylist()
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("word", pa.int32())]))

@@ -78,7 +78,7 @@ def grid_order(vectors: DataFrame, axes: np.ndarray, eps: float, block: int) ->
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cell), pa.list_(pa.int64()))], names=["id", "x", "p", "cell"])
 
     placed = materialise(vectors.select("id", "x").mapInArrow(place, "id long, x array<double>, p array<double>, cell array<long>"), "cells")
-    parts = max(1, -(-placed.count() // block))
+    parts = max(1, min(2000, -(-placed.count() // block)))
 
     def number(batches):
         import pyarrow as pa

@@ -79,8 +79,17 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
             yield report(held)
 
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r["token"] for r in reversed(top)], np.int64)
+    counts = materialise(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "frequent")
+    # the least bin from which on all tokens fit; a few hundred bins, then at most FREQUENT tokens, reach the driver
+    cut, total = 1 << 30, 0
+    for r in sorted(counts.groupBy("bin").count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        cut = r["bin"]
+    top = counts.where(F.col("bin") >= cut).collect()
+    discard(counts)
+    return np.array([r["token"] for r in sorted(top, key=lambda r: (r["n"], -r["token"]))], np.int64)
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:

@@ -17,7 +17,7 @@ from itertools import chain, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import chunked, table, utf8
+from tidemark.llm.common import chunked, slices, small_batches, table, utf8
 
 WINDOW = 4096
 END_OF_DOCUMENT = 2
@@ -26,9 +26,9 @@ PENALTY = (0, 4, 64)
 #: Sentences longer than this get cuts inside, every so many tokens.
 STEP = 256
 #: Tokens that are packed at once; the last window of a stretch moves on to the next one.
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 #: Words kept with their ids in a Python worker.
-CACHE = 700_000
+CACHE = 800_000
 #: A special token of the vocabulary that separates words encoded together.
 BETWEEN = "<|startoftext|>"
 LONE_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
@@ -75,11 +75,11 @@ def cut_points(lengths: np.ndarray, sentence_ends: np.ndarray, step: int = STEP)
 class WordIds:
     """Token ids per word; the tokenizer never looks across ASCII white space, so a text's ids are its words' ids."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer, self.cache = Tokenizer.from_file(tokenizer_path), cache
         self.between = self.tokenizer.token_to_id(BETWEEN)
         self.number: dict[bytes, int] = {}
         self.used = 0  # of flat
@@ -132,7 +132,7 @@ class WordIds:
         end = np.concatenate(([0], np.cumsum(n)))
         ids = self.flat[np.repeat(self.first[w] - end[:-1], n) + np.arange(end[-1])]
         stop = self.stop[w]
-        if len(self.number) > CACHE:  # a full cache forgets what this call added
+        if len(self.number) > self.cache:  # a full cache forgets what this call added
             for x in new:
                 del self.number[x]
             self.used = mark[1]
@@ -172,34 +172,37 @@ def pack_stretch(items: list[tuple], window: int, last: bool) -> tuple[list[list
     return windows, rest
 
 
-_word_ids: dict[str, WordIds] = {}
+_word_ids: dict[tuple, WordIds] = {}
 
 
-def word_ids(tokenizer_path: str) -> WordIds:
+def word_ids(tokenizer_path: str, cache: int = CACHE) -> WordIds:
     """A worker's word cache, kept from task to task."""
-    if tokenizer_path not in _word_ids:
-        _word_ids[tokenizer_path] = WordIds(tokenizer_path)
-    return _word_ids[tokenizer_path]
+    key = (tokenizer_path, cache)
+    if key not in _word_ids:
+        _word_ids.clear()
+        _word_ids[key] = WordIds(*key)
+    return _word_ids[key]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents (doc_id, text) in windows of at most ``window`` tokens.
 
     A document is its text's ids and then id 2; null and empty texts are that id alone.  Repeated rows are packed as
     often as they occur, a null doc_id stays null, an empty table has no pieces.  Windows never cross input splits (at
     most one short window a split); ``sequence_id`` is the split's number times 2**32 plus a count.  ``with_ids`` adds
-    the ids themselves.
+    the ids themselves; ``cache`` bounds the words that a worker keeps with their ids.
     """
+    small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words = word_ids(tokenizer_path)
+        words = word_ids(tokenizer_path, cache)
         sequence = TaskContext.get().partitionId() << 32
         items: list[tuple] = []
         size = 0
@@ -216,10 +219,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, w
                 sequence += 1
             names = [x.split()[0] for x in schema.split(", ")]
             types = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
-            for i in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), types)], names=names)
+            for i in range(0, len(rows), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000]), types)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids_of = utf8(batch.column(1)), batch.column(0).to_pylist()
             for part in chunked(texts, 2 << 20):
                 for doc, (ids, ends) in zip(ids_of[part], words.encode(texts[part])):

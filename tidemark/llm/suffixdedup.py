@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import common
-from tidemark.llm.common import chunked, discard, materialise, mix, table, utf8
+from tidemark.llm.common import chunked, discard, materialise, mix, slices, small_batches, table, utf8
 
 GRAM = 32
 #: Bits of the filter of repeated grams (a fixed 8 MB; a gram that passes wrongly only costs an exchange of its suffix).
 FILTER_BITS = 1 << 26
-#: Suffixes that a merging task should get.
-PART = 25_000
+#: Suffixes that a merging task should get; parts at most (every task knows the splitters).
+PART, MAX_PARTS = 12_000, 100_000
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -256,7 +256,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     grams = materialise(gram_counts(docs, length), "grams")
     total = grams.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(total) // PART))
+    parts = max(1, min(MAX_PARTS, -(-int(total) // PART)))
     splitters = np.array(grams.approxQuantile("head", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts)) if parts > 1 and total else [], np.float64)
     slot = F.pmod(F.col("gram"), F.lit(FILTER_BITS))
     words = grams.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(gram, {FILTER_BITS}) & 63 as int))")).alias("w"))
@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     def runs(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 3000):
             records = []
             for texts, twice, (which, at, alo, ahi, gram) in _batches(b, length):
                 s = (gram % np.uint64(FILTER_BITS)).astype(np.int64)
@@ -326,6 +326,7 @@ def remove_repeats(docs: DataFrame, length: int, text: str = "text", as_text: bo
     Each byte goes that a ``length``-byte string covers which also starts anywhere else in ``docs``, the same text
     included; nulls are empty texts and lose nothing, repeated rows repeat all their strings, an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     added = {"kept": T.StringType() if as_text else T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
     if clash := {*added, "_key", "_spans"} & set(docs.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
@@ -338,7 +339,7 @@ def remove_repeats(docs: DataFrame, length: int, text: str = "text", as_text: bo
     def cut(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = b.column(b.num_columns - 1)
             rows = [cut_spans(t, [(s["lo"], s["hi"]) for s in (x or [])]) + (len(t),) for t, x in zip(utf8(b.column(at)), found.to_pylist())]
             kept, removed, runs, size = zip(*rows) if rows else ((), (), (), ())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import slices, small_batches, table
 
 # Seed words of each class.
 INSULTS = """idiot idiots moron morons scum trash worthless clown loser losers stupid disgusting pathetic imbecile vermin
@@ -215,6 +215,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; null and empty texts score like any text without a match."""
+    small_batches(docs.sparkSession)
     if out in docs.columns:
         raise ValueError(f"column already present: {out}")
     at = docs.columns.index(text)
@@ -223,7 +224,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(at).to_pylist()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
