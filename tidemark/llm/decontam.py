@@ -42,11 +42,12 @@ def cgk(x: np.ndarray, seed: int) -> np.ndarray:
     k, n = x.shape
     padded = np.concatenate((x, np.full((k, 1), _PAD)), axis=1)
     at, out, row = np.zeros(k, np.int64), np.empty((k, 3 * n), np.uint64), np.arange(k)
+    factors = np.random.Generator(np.random.PCG64([seed, 7])).integers(0, 2**64, 3 * n, np.uint64) | np.uint64(1)
     for j in range(3 * n):
         symbol = padded[row, at]
         out[:, j] = symbol
         with np.errstate(over="ignore"):
-            step = ((symbol * np.uint64(((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 | 1) % 2**64)) >> np.uint64(63)).astype(np.int64)
+            step = ((symbol * factors[j]) >> np.uint64(63)).astype(np.int64)
         at = np.minimum(at + step, n)
     return out
 
