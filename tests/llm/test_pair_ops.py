@@ -91,6 +91,17 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == groups(edges, list(sets))
 
 
+def test_a_single_set_that_meets_only_a_group(spark):
+    """A family just above the crowd and a copy that lacks exactly the crowded prefix tokens, linked with one member alone."""
+    base = ["w%d" % i for i in range(100)]
+    rows = [" ".join([*base, f"a{i}", f"b{i}"]) for i in range(jaccard.CROWD + 4)] + [" ".join(base), " ".join(base[9:])]
+    rows = list(enumerate(rows))
+    sets = {i: shingles(t, 1) for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, 100).collect()}
+    assert got == groups(edges, list(sets))
+
+
 def test_jaccard_edges_and_stage(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (4, None, "z"), (5, "", "z"), (6, "q " * 30_000, "long"), (7, "q " * 30_000 + "r", "long")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

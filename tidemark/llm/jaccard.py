@@ -262,7 +262,8 @@ def link_nodes(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -
     first, second = (short.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("sketch").alias("s" + i)) for e, i in ("u1", "v2"))
     bounded = single.join(first, "u").join(second, "v").select("u", "v", "n1", "n2", "s1", "s2").mapInArrow(_bounded(num, den), "u binary, v binary")
     kept = materialise(bounded, "bounded")
-    full = materialise(read_sets(docs, k, ends(kept).union(groups.select("node")).distinct(), "tokens"), "sets")
+    lone = met.where("big1 <> big2").select(F.when(F.col("big1"), F.col("gid2")).otherwise(F.col("gid1")).alias("node"))  # asked of groups
+    full = materialise(read_sets(docs, k, ends(kept).union(groups.select("node")).union(lone).distinct(), "tokens"), "sets")
     first, second = (full.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for e, i in ("u1", "v2"))
     overlap = F.size(F.array_intersect("t1", "t2"))
     pairs = kept.join(first, "u").join(second, "v").where((num + den) * overlap >= num * (F.col("n1") + F.col("n2"))).select("u", "v")
