@@ -3,8 +3,10 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,27 @@ def test_sharding_laws(spark):
     assert order != sorted(order, key=lambda x: x or -1)
 
 
+def test_sharding_writes_whole_documents(spark, monkeypatch, tmp_path):
+    rows = [(i, "é %d " % i * (i % 50), "en") for i in range(600)] + [(5, None, "de"), (None, "no id", "fr"), (7, "twice", "en"), (7, "twice", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    paths, shuffle, write = [], sharding.external_shuffle, sharding.write_shards
+    monkeypatch.setattr(sharding, "external_shuffle", lambda *a: shuffle(*a, bucket_bytes=1024))
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: (paths.append(path), write(df, path)))
+    got = sharding.op6_sharding(spark, str(tmp_path)).collect()
+    want = sorted((repr(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted((repr(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    assert len(paths) == 1
+    records, place = [], {(r["shard"], r["slot"]): r["doc_id"] for r in got}
+    for shard in range(16):
+        files = sorted(Path(paths[0].removeprefix("file://")).glob(f"shard={shard}/*.parquet"))
+        found = [r for f in files for r in pq.ParquetFile(f).read().to_pylist()]
+        assert [r["slot"] for r in found] == list(range(len(found)))
+        assert all(place[shard, r["slot"]] == r["doc_id"] for r in found)
+        records += [(r["doc_id"], r["text"], r["lang"]) for r in found]
+    assert sorted(records, key=repr) == sorted(rows, key=repr)
+
+
 def test_sharding_edges(spark):
     assert sharding.external_shuffle(empty(spark, "doc_id long, size long"), "doc_id", "size", 4).count() == 0
     with pytest.raises(ValueError):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import scratch_path, table
 
 
 def rendezvous(key: Column, n: int, seed: int) -> Column:
@@ -37,12 +37,14 @@ def external_shuffle(df: DataFrame, key: str, size: str, n_shards: int, seed: in
         F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in df.columns]), F.lit(per_shard)).alias("bucket"),
         record.alias("record"),
     )
-    buckets = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("record", "grown_shard"))).alias("rows"))
+    # dealt by range, so that buckets stay in the order of shards for write_shards without a second exchange of the records
+    dealt = scattered.repartitionByRange("shard", "bucket")
+    buckets = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("record", "grown_shard"))).alias("rows"))
     placed = buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed + 2))).alias("at", "row"))
     counts = scattered.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    return placed.join(first, ["shard", "bucket"]).select(
+    return placed.join(F.broadcast(first), ["shard", "bucket"]).select(
         *[F.col("row.record")[c].alias(c) for c in df.columns],
         F.col("shard").cast("int").alias("shard"),
         (F.col("first") + F.col("at")).cast("long").alias("slot"),
@@ -51,15 +53,19 @@ def external_shuffle(df: DataFrame, key: str, size: str, n_shards: int, seed: in
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write one folder per shard, each in slot order over its files."""
-    shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write a result of ``external_shuffle``, one folder per shard, each in slot order over its files."""
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0..15.  Null text has size 1 and the checksum of no bytes."""
-    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    """All documents in shards 0..15: whole records are shuffled and written, and the digests come from the written shards.
+    Null text has size 1 and the checksum of no bytes."""
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long")
+    out = external_shuffle(table(spark, sf_dir, "documents").withColumn("_size", size), "doc_id", "_size", 16).drop("_size")
+    path = scratch_path(spark, "shards")
+    write_shards(out, path)
+    written = spark.read.schema(out.schema).parquet(path)
+    return written.select(
+        "doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
-    out = external_shuffle(docs, "doc_id", "size", 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
