@@ -132,8 +132,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed,length", [(1, 40), (2, 64), (3, 400)])
-def test_repeats_against_brute_force(spark, seed, length):
+@pytest.mark.parametrize("seed,length,crowd", [(1, 40, 50_000), (2, 64, 50_000), (3, 400, 50_000), (1, 40, 2), (3, 400, 1)])
+def test_repeats_against_brute_force(spark, monkeypatch, seed, length, crowd):
+    monkeypatch.setattr(suffixdedup, "CROWD", crowd)
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     shared = [text(rng.randint(length // 2, 3 * length)) for _ in range(6)]
@@ -146,6 +147,22 @@ def test_repeats_against_brute_force(spark, seed, length):
     assert [got[i] for i in range(len(rows))] == brute_repeats([(t or "").encode() for t in rows], length)
 
 
+@pytest.mark.parametrize("crowd", [50_000, 1000])
+def test_one_passage_in_thousands_of_documents(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixdedup, "CROWD", crowd)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, near = text(450), text(700)
+    rows = [text(rng.randint(0, 150)) + passage + text(rng.randint(0, 150)) for _ in range(3000)]
+    for _ in range(1500):
+        at = rng.randrange(700)
+        rows.append(near[:at] + text(3) + near[at:])
+    rows += [near] * 500 + ["xy " * 300] * 3 + ["z" + "xy " * 200]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]) for r in suffixdedup.remove_repeats(df, 400).withColumn("h", F.sha2("kept", 256)).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_repeats([t.encode() for t in rows], 400)
+
+
 def test_loser_tree_merges_with_true_prefixes():
     rng = random.Random(4)
     for k in (1, 2, 3, 7):

@@ -2,14 +2,20 @@
 
 Sorting every suffix of a corpus costs many times its size, so suffixes start at anchors only: the leftmost place with
 the least hash of ``GRAM`` bytes in each window of ``length`` bytes.  Equal windows have their anchors at equal places, so
-two windows are equal iff the suffixes at their anchors share enough of a prefix and the bytes before them agree.
+two windows are equal iff the suffixes at their anchors share enough of a prefix and the bytes before them agree.  An
+anchor's context is all that its windows cover.
 
-1. Count the anchors' grams; an anchor whose gram occurs once has no equal window.
-2. Each batch sorts its suffixes into a run, cut at the splitters; runs are front-coded (length of the prefix shared with
-   the suffix before, then the rest) and exchanged.
+1. Count the distinct contexts of the anchors' grams; an anchor whose gram has one context, seen once, has no equal window.
+2. Each task sorts the distinct contexts of a stretch into a run, cut at the splitters; runs are front-coded (length of the
+   prefix shared with the suffix before, then the rest) and exchanged.  A context seen twice in the stretch is repeated
+   whole: its places are told at once and only one copy travels, so copies and periodic texts cost no exchange.
 3. A task merges its runs with a loser tree that keeps, for each run's head, the length of the prefix shared with the
    last winner: differing lengths decide without a look at the bytes, equal ones compare only what follows.
 4. In the merged order, neighbours' common prefixes and the bytes before the anchors tell which windows occur twice.
+
+A gram with more than ``CROWD`` distinct contexts never meets in one task: its distinct contexts are counted by Spark, their
+windows are dealt by hash, and those that occur twice are joined back.  Windows and contexts are equated by 64-bit hashes
+within a gram (itself 64 bits), so the result is exact up to their collisions.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +37,16 @@ GRAM = 32
 FILTER_BITS = 1 << 26
 #: Suffixes that a merging task should get; parts at most (every task knows the splitters).
 PART, MAX_PARTS = 12_000, 100_000
+#: Distinct contexts of a gram that one task may hold (about 1.5 kB each).
+CROWD = 50_000
+#: Bytes of contexts, and places, that a task gathers into one run.
+RUN_BYTES, RUN_PLACES = 8 << 20, 200_000
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, anchor, first and last window start, gram hash) of every anchor; places within their text."""
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    """(text number, anchor, first and last window start, gram hash, context hash) of every anchor; places within their
+    text."""
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     size = np.array([len(t) for t in texts], np.int64)
     if not len(size) or size.max() < length:
         return none
@@ -58,8 +69,10 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     at = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
     last = np.concatenate((new[1:], [len(at)])) - 1
-    which = text[new]
-    return which, at[new] - begin[which], start[new] - begin[which], start[last] - begin[which], gram[at[new]]
+    which, low, high = text[new], start[new], start[last] + length
+    with np.errstate(over="ignore"):
+        context = mix((total[high] - total[low]) * ipow[low] + mix((at[new] - low).astype(np.uint64) * np.uint64(1 << 20) + (high - low).astype(np.uint64)))
+    return which, at[new] - begin[which], low - begin[which], high - length - begin[which], gram[at[new]], context
 
 
 def text_key(text: bytes) -> bytes:
@@ -79,23 +92,30 @@ def _batches(batch, length: int):
 
 
 def gram_counts(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, n, head): how often anchors have each gram (up to twice a batch is enough), and its first bytes."""
+    """(gram, n, head) of the grams that may be repeated: their contexts, distinct within each batch, and first bytes."""
 
     def count(batches):
         import pyarrow as pa
 
         for b in batches:
-            grams, weights, heads = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for texts, twice, (which, at, _, _, gram) in _batches(b, length):
-                grams.append(gram)
-                weights.append(1 + twice[which].astype(np.int64))
-                heads.append(np.array([int.from_bytes(texts[w][p : p + 7], "big") for w, p in zip(which.tolist(), at.tolist())], np.int64))
-            gram, first, inverse = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(gram)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n), pa.array(np.concatenate(heads)[first])], names=["gram", "n", "head"])
-
-    found = docs.select("text").mapInArrow(count, "gram long, n long, head long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("head").alias("head")).where("n > 1")
+            grams, contexts, weights, heads = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for texts, twice, (which, at, _, _, gram, context) in _batches(b, length):
+                context, first, inverse = np.unique(context, return_index=True, return_inverse=True)
+                weights.append(np.bincount(inverse, weights=1 + twice[which], minlength=len(context)).astype(np.int64))
+                contexts.append(context)
+                grams.append(gram[first])
+                heads.append(np.array([int.from_bytes(texts[w][p : p + 7], "big") for w, p in zip(which[first].tolist(), at[first].tolist())], np.int64))
+            context, first, inverse = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+            often = np.bincount(inverse, weights=np.concatenate(weights), minlength=len(context)) > 1
+            gram, head, inverse = np.unique(np.concatenate(grams)[first], return_index=True, return_inverse=True)
+            n = np.bincount(inverse, minlength=len(gram)).astype(np.int64)
+            again = np.bincount(inverse, weights=often, minlength=len(gram)) > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), pa.array(n), pa.array(again), pa.array(np.concatenate(heads)[first][head])], names=["gram", "n", "again", "head"]
+            )
+
+    found = docs.select("text").mapInArrow(count, "gram long, n long, again boolean, head long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.max("again").alias("again"), F.min("head").alias("head")).where("n > 1 or again").drop("again")
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -191,15 +211,17 @@ def repeated_windows(shared: np.ndarray, before: list[bytes], lo: np.ndarray, hi
     bytes_ = np.frombuffer(b"".join(b.ljust(reach, b"\0") for b in before), np.uint8).reshape(m, reach)
     size = np.array([len(b) for b in before])
     pow_, _ = common._powers(reach + 1)
-    with np.errstate(over="ignore"):
-        left = np.concatenate((np.zeros((m, 1), np.uint64), np.cumsum(common._BYTE[bytes_] * pow_[:reach], axis=1, dtype=np.uint64)), axis=1)
     out = np.zeros((m, reach + 1), bool)
-    cols = max(1, 2_000_000 // m)
+    left = np.zeros((m, 1), np.uint64)  # hash of the a bytes before each anchor
+    cols = max(1, 1_000_000 // m)
     for a in range(0, reach + 1, cols):
         o = np.arange(a, min(reach + 1, a + cols))
         group = np.cumsum(shared[:, None] < (length - o)[None, :], axis=0).astype(np.uint64)
         with np.errstate(over="ignore"):
-            key = mix(left[:, o] + mix(group))
+            step = common._BYTE[bytes_[:, a : a + cols]] * pow_[a : min(reach, a + cols)]
+            upto = np.cumsum(np.concatenate((left, step), axis=1), axis=1, dtype=np.uint64)
+            left = upto[:, -1:].copy()
+            key = mix(upto[:, : len(o)] + mix(group))
         fits = (o[None, :] <= size[:, None]) & (o[None, :] >= lo[:, None]) & (o[None, :] <= hi[:, None])
         key[~fits] = mix(np.arange(m, dtype=np.uint64) + np.uint64(1 << 60))[np.nonzero(~fits)[0]]
         order = np.argsort(key, axis=0, kind="stable")
@@ -223,29 +245,153 @@ def _spans(key: bytes, q: int, mask: np.ndarray, length: int) -> list[tuple]:
     return [(key, q - int(b), q - int(a) + length) for a, b in zip(first, last)]
 
 
-def resolve(group: list[tuple], length: int) -> list[tuple]:
-    """Byte spans (text key, from, to) of the repeated windows among suffixes with equal grams, in suffix order."""
-    out = []
-    if len(group) == 2:
-        r = group[1][1]
-        g = common_prefix(group[0][2], group[1][2])
-        for _, _, _, (key, q, alo, ahi, twice) in group:
-            a, b = (q - ahi, q - alo) if twice else (max(length - r, q - ahi), min(g, q - alo))
-            if a <= b:
-                out.append((key, q - b, q - a + length))
-        return out
-    lo = np.array([q - ahi for _, _, _, (_, q, _, ahi, _) in group])
-    hi = np.array([q - alo for _, _, _, (_, q, alo, _, _) in group])
-    if len(group) > 1:
-        shared = np.array([g[1] for g in group])
+class Group:
+    """The distinct contexts of one gram in suffix order; a context's second place tells both places at once."""
+
+    def __init__(self, length: int):
+        self.length, self.place, self.records = length, {}, []
+
+    def add(self, suffix: bytes, shared: int, before: bytes, owner: tuple | None, out: list) -> None:
+        """``owner``: (text key, anchor) of a context seen once, None of one that is known to be repeated."""
+        at = self.place.setdefault((suffix, before), len(self.records))
+        if at == len(self.records):
+            self.records.append((suffix, shared, before, owner))
+            return
+        old = self.records[at][3]
+        for key, q in (x for x in (old, owner) if x is not None):
+            out.append((key, q - len(before), q + len(suffix)))
+        if old is not None:
+            self.records[at] = (*self.records[at][:3], None)
+
+    def resolve(self, out: list) -> None:
+        """Byte spans (text key, from, to) of the repeated windows of contexts that were seen once."""
+        group, length = self.records, self.length
+        if len(group) < 2 or all(r[3] is None for r in group):
+            return
+        lo, hi = np.array([length - len(r[0]) for r in group]), np.array([len(r[2]) for r in group])
+        if len(group) == 2:
+            low, high = max(int(lo.max()), length - group[1][1]), min(int(hi.min()), common_prefix(group[0][2], group[1][2]))
+            if low <= high:
+                out.extend((r[3][0], r[3][1] - high, r[3][1] - low + length) for r in group if r[3] is not None)
+            return
+        shared = np.array([r[1] for r in group])
         shared[0] = 0
-        mask = repeated_windows(shared, [g[2] for g in group], lo, hi, length)
-    for i, (_, _, _, (key, q, alo, ahi, twice)) in enumerate(group):
-        if twice:
-            out.append((key, alo, ahi + length))
-        elif len(group) > 1:
-            out.extend(_spans(key, q, mask[i], length))
-    return out
+        mask = repeated_windows(shared, [r[2] for r in group], lo, hi, length)
+        for i, r in enumerate(group):
+            if r[3] is not None:
+                out.extend(_spans(*r[3], mask[i], length))
+
+
+def _filter(keys: DataFrame, column: str) -> np.ndarray:
+    """The fixed-size bit set of the values of a column of longs."""
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {FILTER_BITS}) & 63 as int))")).alias("w"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():
+        bits[r["i"]] = r["w"]
+    return bits
+
+
+def _in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    s = (values % np.uint64(FILTER_BITS)).astype(np.int64)
+    return ((bits[s >> 6] >> (s & 63)) & 1).astype(bool)
+
+
+class Run:
+    """The distinct contexts that a task gathers, and the places of those that are repeated among them."""
+
+    def __init__(self):
+        self.contexts: dict[int, list] = {}  # context hash -> [suffix, bytes before reversed, owner or None]
+        self.told: list[tuple] = []  # (text key, from, to), neighbours of one text joined
+        self.size = 0
+
+    def tell(self, key: bytes, lo: int, hi: int) -> None:
+        if self.told and self.told[-1][0] == key and self.told[-1][1] <= lo <= self.told[-1][2]:
+            self.told[-1] = (key, self.told[-1][1], max(hi, self.told[-1][2]))
+        else:
+            self.told.append((key, lo, hi))
+
+    def gather(self, texts, twice, found, keep, length: int) -> None:
+        which, at, alo, ahi, _, context = (x[keep] for x in found)
+        key, last = b"", -1
+        for w, q, x, y, c in zip(which.tolist(), at.tolist(), alo.tolist(), ahi.tolist(), context.tolist()):
+            if w != last:
+                key, last = text_key(texts[w]), w
+            if (old := self.contexts.get(c)) is None:
+                t = texts[w]
+                self.contexts[c] = [t[q : y + length], t[x:q][::-1], None if twice[w] else (key, q)]
+                self.size += y + length - x
+                if twice[w]:
+                    self.tell(key, x, y + length)
+                continue
+            if old[2] is not None:
+                k, p = old[2]
+                self.tell(k, p - len(old[1]), p + len(old[0]))
+                old[2] = None
+            self.tell(key, x, y + length)
+
+    def blobs(self, splitters: np.ndarray):
+        """(part, front-coded piece of the run); parts below zero hold places that are told."""
+        records = sorted(map(tuple, self.contexts.values()), key=lambda r: r[:2])
+        part = np.searchsorted(splitters, np.array([int.from_bytes(r[0][:7], "big") for r in records], np.float64), side="right")
+        edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(records)] if records else [0]
+        for a, z in zip(edge, edge[1:]):
+            yield int(part[a]), encode_run(records[a:z])
+        for i in range(0, len(self.told), 5000):
+            yield -1 - self.told[i][0][0], pickle.dumps(self.told[i : i + 5000], protocol=5)
+
+
+def crowded_spans(docs: DataFrame, length: int, crowded: np.ndarray) -> DataFrame:
+    """(key, lo, hi) for the anchors whose gram is in the bit set: contexts are counted by Spark, their windows by hash."""
+
+    def places(batches):
+        import pyarrow as pa
+
+        seen, size = set(), 0
+        for b in slices(batches):
+            rows = []
+            for texts, twice, found in _batches(b, length):
+                which, _, alo, ahi, gram, context = (x[_in(crowded, found[4])] for x in found)
+                for w, x, y, g, c in zip(which.tolist(), alo.tolist(), ahi.tolist(), gram.view(np.int64).tolist(), context.view(np.int64).tolist()):
+                    content = None if c in seen else texts[w][x : y + length]
+                    seen.add(c)
+                    size += len(content or b"")
+                    rows.append((g, c, text_key(texts[w]), x, 2 if twice[w] else 1, content))
+            if size > RUN_BYTES:
+                seen, size = set(), 0
+            for i in range(0, len(rows), 5000):
+                cols = list(zip(*rows[i : i + 5000]))
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["gram", "context", "key", "x", "n", "content"])
+
+    found = materialise(docs.select("text").mapInArrow(places, "gram long, context long, key binary, x long, n long, content binary"), "crowded")
+    contexts = materialise(found.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.max("content").alias("content")), "contexts")
+
+    def windows(bits):
+        def deal(batches):
+            import pyarrow as pa
+
+            pow_, ipow = common._powers(4 * length)
+            names = ["gram", "window", "context", "at"]
+            for b in batches:
+                for g, c, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    with np.errstate(over="ignore"):
+                        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(common._BYTE[np.frombuffer(t, np.uint8)] * pow_[: len(t)], dtype=np.uint64)))
+                        hashed = mix((upto[length:] - upto[:-length]) * ipow[: len(t) - length + 1])
+                    at = np.arange(len(hashed)) if bits is None else np.flatnonzero(_in(bits.value, hashed))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(hashed[at].view(np.int64)), pa.array(np.full(len(at), c)), pa.array(at)], names=names)
+
+        return deal
+
+    schema = "gram long, window long, context long, at long"
+    all_ = contexts.select("gram", "context", "content").mapInArrow(windows(None), schema)
+    again = materialise(all_.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "windows")
+    known = docs.sparkSession.sparkContext.broadcast(_filter(again, "window"))
+    mine = contexts.where("n = 1").select("gram", "context", "content").mapInArrow(windows(known), schema).join(again, ["gram", "window"], "left_semi")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("gram", "context").orderBy("at"))  # at most ``length`` rows each
+    parts = mine.withColumn("island", island).groupBy("gram", "context", "island").agg(F.min("at").alias("a"), (F.max("at") + length).alias("z")).drop("island")
+    marks = parts.union(contexts.where("n > 1").select("gram", "context", F.lit(0).cast("long").alias("a"), F.length("content").cast("long").alias("z")))
+    return found.select("gram", "context", "key", "x").join(marks, ["gram", "context"]).select("key", (F.col("x") + F.col("a")).alias("lo"), (F.col("x") + F.col("z")).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -255,50 +401,53 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """
     spark = docs.sparkSession
     grams = materialise(gram_counts(docs, length), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, min(MAX_PARTS, -(-int(total) // PART)))
-    splitters = np.array(grams.approxQuantile("head", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts)) if parts > 1 and total else [], np.float64)
-    slot = F.pmod(F.col("gram"), F.lit(FILTER_BITS))
-    words = grams.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(gram, {FILTER_BITS}) & 63 as int))")).alias("w"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.toLocalIterator():
-        bits[r["i"]] = r["w"]
-    known = spark.sparkContext.broadcast(bits)
+    sizes = grams.agg(F.sum(F.when(F.col("n") <= CROWD, F.col("n"))).alias("n"), F.count(F.when(F.col("n") > CROWD, 1)).alias("crowded")).first()
+    parts = max(1, min(MAX_PARTS, -(-int(sizes["n"] or 0) // PART)))
+    # a gram weighs by its contexts
+    heavy = grams.where(F.col("n") <= CROWD).select("head", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 4)))) if parts > 1 else None
+    splitters = np.array(heavy.approxQuantile("head", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts)) if parts > 1 else [], np.float64)
+    known = spark.sparkContext.broadcast(_filter(grams, "gram"))
+    crowded = spark.sparkContext.broadcast(_filter(grams.where(F.col("n") > CROWD), "gram") if sizes["crowded"] else None)
 
     def runs(batches):
         import pyarrow as pa
 
-        for b in slices(batches, 3000):
-            records = []
-            for texts, twice, (which, at, alo, ahi, gram) in _batches(b, length):
-                s = (gram % np.uint64(FILTER_BITS)).astype(np.int64)
-                keep = np.flatnonzero((known.value[s >> 6] >> (s & 63)) & 1)
-                keys: dict[int, bytes] = {}
-                for w, q, x, y in zip(which[keep].tolist(), at[keep].tolist(), alo[keep].tolist(), ahi[keep].tolist()):
-                    t = texts[w]
-                    if w not in keys:
-                        keys[w] = text_key(t)
-                    records.append((t[q : y + length], t[x:q][::-1], (keys[w], q, x, y, bool(twice[w]))))
-            records.sort(key=lambda r: r[0])
-            heads = np.array([int.from_bytes(r[0][:7], "big") for r in records], np.float64)
-            part = np.searchsorted(splitters, heads, side="right")
-            edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(records)] if records else [0]
-            blobs = [(int(part[a]), encode_run(records[a:z])) for a, z in zip(edge, edge[1:])]
-            cols = list(zip(*blobs)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "run"])
+        def flush(run):
+            cols = list(zip(*run.blobs(splitters))) or [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "run"])
+
+        run = Run()
+        for b in slices(batches):
+            for texts, twice, found in _batches(b, length):
+                keep = _in(known.value, found[4])
+                if crowded.value is not None:
+                    keep &= ~_in(crowded.value, found[4])
+                run.gather(texts, twice, found, keep, length)
+            if run.size > RUN_BYTES or len(run.told) > RUN_PLACES:
+                yield flush(run)
+                run = Run()
+        yield flush(run)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, group = [], []
-        for record in LoserTree([decode_run(r) for r in pdf["run"]]):
-            if group and record[1] < GRAM:
-                rows.extend(resolve(group, length))
-                group = []
-            group.append(record)
-        rows.extend(resolve(group, length))
+        rows: list[tuple] = []
+        if len(pdf) and pdf["part"].iloc[0] < 0:
+            for blob in pdf["run"]:
+                rows.extend(pickle.loads(blob))
+        else:
+            group = Group(length)
+            for suffix, shared, before, owner in LoserTree([decode_run(r) for r in pdf["run"]]):
+                if shared < GRAM:
+                    group.resolve(rows)
+                    group = Group(length)
+                group.add(suffix, shared, before, owner, rows)
+            group.resolve(rows)
         return pd.DataFrame(rows, columns=["key", "lo", "hi"]).astype({"lo": "int64", "hi": "int64"})
 
     exchanged = docs.select("text").mapInArrow(runs, "part int, run binary")
-    spans = materialise(exchanged.groupBy("part").applyInPandas(merge, "key binary, lo long, hi long"), "spans")
+    spans = exchanged.groupBy("part").applyInPandas(merge, "key binary, lo long, hi long")
+    if sizes["crowded"]:
+        spans = spans.union(crowded_spans(docs, length, crowded.value))
+    spans = materialise(spans, "spans")
     discard(grams)
     return spans
 
@@ -331,7 +480,7 @@ def remove_repeats(docs: DataFrame, length: int, text: str = "text", as_text: bo
     if clash := {*added, "_key", "_spans"} & set(docs.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
     spans = repeated_spans(docs.select(F.col(text).alias("text")), length)
-    listed = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("key", "_key")
+    listed = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("key", "_key")
     keyed = docs.withColumn("_key", F.when(F.octet_length(text) >= length, F.unhex(F.md5(F.encode(text, "UTF-8")))))
     joined = keyed.join(listed, "_key", "left").select(*[keyed[c] for c in docs.columns], "_spans")
     at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
