@@ -108,10 +108,20 @@ def test_jaccard_edges_and_stage(spark):
     got = jaccard.jaccard_components(df)
     assert got.count() == 7 and {r["component_id"] for r in got.where("n_shingles = 2 AND doc_id < 6").collect()} == {1}
     kept = jaccard.keep_one_per_group(spark, df, "").collect()
-    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 4, 5, 6, 7]
+    assert sorted(r["doc_id"] for r in kept) == [1, 4, 5, 6, 7]  # the row without an id is a copy of 1
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_are_judged_apart(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("w%d" % rng.randrange(10**6) for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, c), (9, d), (12, d + " tail"), (None, b), (None, "x y z"), (9, c)]
+    kept = jaccard.keep_one_per_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 99, r["text"]) for r in kept) == sorted([(1, a), (5, b), (9, c), (9, d), (99, "x y z")])
+    with pytest.raises(ValueError):
+        jaccard.keep_one_per_group(spark, spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, _key int"), "")
+
+
 # --- suffix dedup
 
 

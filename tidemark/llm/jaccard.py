@@ -3,10 +3,11 @@
 1. Equal sets become one node.  Each set's tokens have a global order, rare ones first; sets that reach the threshold
    share a token among their first ``n - ceil(t n) + 1`` (the prefix).
 2. Similar sets that crowd the same prefix token form groups of a bounded size; every other set is a group of its own.
-   The matrix has a row for each prefix token and group, with the sizes of the group's sets.
-3. Group pairs that meet in the matrix with compatible sizes are bounded: single sets by a counted-cell sketch (the sum
-   of the lesser counts is never below the overlap), groups by their token union.  Only pairs whose bound reaches the
-   overlap that the threshold needs are opened and compared exactly.
+   The matrix has a row for each prefix token and group, with the bounds of its sets' sizes and of the token's place in
+   them.  Groups meet where they share a row, if sizes and places leave room for the overlap that the threshold needs.
+3. A group's token union is kept as a sketch of counted cells (the greatest count of its sets in each cell); a query's
+   overlap with any of them is never above the sum of the lesser counts.  Only query and group pairs whose bound reaches
+   the threshold are opened: their tokens are read and compared exactly.
 4. Links make components.
 """
 
@@ -25,7 +26,7 @@ FREQUENT = 100_000
 #: A stretch of so many tokens reports those that it has in so many sets at least; this shapes the order, never the result.
 STRETCH, REPORT = 2_000_000, 3
 #: Prefix tokens with more sets than this make groups; sets in a group at most (on average).
-CROWD, GROUP = 256, 256
+CROWD, GROUP = 32, 256
 #: Counted cells of a sketch; bits of the filter for the second reading of the texts (a fixed 4 MB).
 CELLS, FILTER_BITS = 256, 1 << 25
 
@@ -93,7 +94,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix) per row; a set repeated in a batch has its prefix once, empty sets have no node."""
+    """(doc_id, key, n, node, prefix) per row; a set repeated in a batch has its prefix once, empty sets have no node."""
     by_token = np.argsort(frequent, kind="stable")
     known = frequent[by_token]
 
@@ -118,10 +119,11 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
                     first = len(s) - -(-num * len(s) // den) + 1
                     prefixes.append(s[np.argsort(rank, kind="stable")[:first]])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"]
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "key", "n", "node", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, node binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "text").mapInArrow(sign, "doc_id long, key string, n long, node binary, prefix array<long>")
 
 
 def read_sets(docs: DataFrame, k: int, nodes: DataFrame, what: str) -> DataFrame:
@@ -161,7 +163,7 @@ def read_sets(docs: DataFrame, k: int, nodes: DataFrame, what: str) -> DataFrame
 
 
 def _bounded(num: int, den: int):
-    """Keeps the pairs whose sketches' bound reaches the overlap that the threshold needs."""
+    """Keeps the (query, group) pairs whose sketches' bound reaches the overlap that the threshold needs."""
 
     def keep(batches):
         import pyarrow as pa
@@ -169,15 +171,20 @@ def _bounded(num: int, den: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            n1, n2 = (b.column(i).to_numpy() for i in (2, 3))
+            n, lo = (b.column(i).to_numpy() for i in (2, 3))
             s1, s2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, CELLS) for i in (4, 5))
             bound = np.minimum(s1, s2).sum(axis=1, dtype=np.int64)
-            ok = (num + den) * bound >= num * (n1 + n2)
-            yield b.select([0, 1]).filter(pa.array(ok))
+            yield b.select([0, 1]).filter(pa.array((num + den) * bound >= num * (n + lo)))
 
     return keep
 
 
+def _union(members: pd.DataFrame) -> pd.DataFrame:
+    """A group's sketch and least size."""
+    cells = np.frombuffer(b"".join(members["sketch"]), "<u4").reshape(-1, CELLS).max(axis=0)
+    return pd.DataFrame({"gid": [members["gid"].iloc[0]], "lo": [int(members["n"].min())], "union": [cells.tobytes()]})
+
+
 def _forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
     """A spanning forest of the linked positions."""
     parent = list(range(size))
@@ -239,77 +246,99 @@ def _open(num: int, den: int):
     return compare
 
 
-def link_nodes(docs: DataFrame, signed: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (u, v) between nodes that connect exactly the linked sets."""
-    tokens = signed.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "node", "n").repartition("token")
-    once = tokens.groupBy("token", "node").agg(F.first("n").alias("n"))
+def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (u, v) between nodes that connect exactly the linked sets; ``prefixes``: (node, n, prefix), rows may repeat."""
+    tokens = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").repartition("token")
+    once = tokens.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     live = materialise(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "matrix")
     crowded = F.max(F.when(F.col("m") > CROWD, F.struct("m", "token"))).over(Window.partitionBy("node"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / GROUP))
     gid = F.coalesce(F.encode(F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string")), "UTF-8"), F.col("node"))
     grouped = live.withColumn("top", crowded).withColumn("big", F.col("top").isNotNull()).withColumn("gid", F.when(F.col("big"), gid).otherwise(F.col("node")))
     groups = materialise(grouped.where("big").select("node", "gid").distinct(), "groups")
-    matrix = grouped.groupBy("token", "gid", "big").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = (matrix.select("token", *[F.col(c).alias(c + i) for c in ("gid", "big", "lo", "hi")]) for i in "12")
-    compatible = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+    span = [f(c).alias(n + c) for c in ("n", "pos") for n, f in (("lo_", F.min), ("hi_", F.max))]
+    matrix = grouped.groupBy("token", "gid", "big").agg(*span)
+    a, b = (matrix.select("token", *[F.col(c).alias(c + i) for c in matrix.columns if c != "token"]) for i in "12")
+    compatible = (F.col("hi_n1") * den >= F.col("lo_n2") * num) & (F.col("hi_n2") * den >= F.col("lo_n1") * num)
+    # shared tokens: some before this one's place, this one, and what follows it in both
+    room = F.least("hi_pos1", "hi_pos2") + 1 + F.least(*[F.col(f"hi_n{i}") - 1 - F.col(f"lo_pos{i}") for i in "12"])
+    compatible = compatible & ((num + den) * room >= num * (F.col("lo_n1") + F.col("lo_n2")))
     met = a.join(b, "token").where((F.col("gid1") < F.col("gid2")) & compatible).select("gid1", "gid2", "big1", "big2").distinct()
     met = materialise(met, "met")
 
-    # single sets: sketches of those that meet, then the tokens of those whose bound holds
-    single = met.where("not big1 and not big2").select(F.col("gid1").alias("u"), F.col("gid2").alias("v"))
-    ends = lambda pairs: pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    short = materialise(read_sets(docs, k, ends(single), "sketch"), "sketches")
-    first, second = (short.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("sketch").alias("s" + i)) for e, i in ("u1", "v2"))
-    bounded = single.join(first, "u").join(second, "v").select("u", "v", "n1", "n2", "s1", "s2").mapInArrow(_bounded(num, den), "u binary, v binary")
+    # who asks whom: of a pair with one group the other side asks it, of two groups the first's sets ask the second
+    first = F.col("big1") & ~F.col("big2")
+    asked = met.select(F.when(first, F.col("gid2")).otherwise(F.col("gid1")).alias("of"), F.when(first, F.col("gid1")).otherwise(F.col("gid2")).alias("gid"))
+    asks = asked.join(groups.select(F.col("gid").alias("of"), F.col("node").alias("member")), "of", "left").select(F.coalesce("member", "of").alias("node"), "gid")
+    asks = materialise(asks, "asks")
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    alone = met.where("not big1 or not big2").select(F.explode(F.array(F.when(~F.col("big1"), F.col("gid1")), F.when(~F.col("big2"), F.col("gid2")))).alias("node"))
+    nodes = alone.where("node is not null").union(groups.select("node")).distinct()
+    short = materialise(read_sets(docs, k, nodes, "sketch"), "sketches")
+    unions = fresh(groups.join(short, "node")).groupBy("gid").applyInPandas(_union, "gid binary, lo long, union binary")
+    unions = materialise(unions.union(short.join(groups, "node", "left_anti").select(F.col("node").alias("gid"), F.col("n").alias("lo"), F.col("sketch").alias("union"))), "unions")
+    bounded = asks.join(unions, "gid").join(fresh(short), "node").select("node", "gid", "n", "lo", "sketch", "union").mapInArrow(_bounded(num, den), "node binary, gid binary")
     kept = materialise(bounded, "bounded")
-    lone = met.where("big1 <> big2").select(F.when(F.col("big1"), F.col("gid2")).otherwise(F.col("gid1")).alias("node"))  # asked of groups
-    full = materialise(read_sets(docs, k, ends(kept).union(groups.select("node")).union(lone).distinct(), "tokens"), "sets")
-    first, second = (full.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for e, i in ("u1", "v2"))
+    discard(live, met, asks, short, unions)
+
+    own = groups.select("node", "gid").distinct()
+    wanted = kept.select("node").union(kept.select(F.col("gid").alias("node"))).union(groups.select("node")).distinct()  # group ids are no nodes
+    full = materialise(read_sets(docs, k, wanted, "tokens"), "sets")
+    t1, t2 = (full.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for e, i in (("node", "1"), ("gid", "2")))
     overlap = F.size(F.array_intersect("t1", "t2"))
-    pairs = kept.join(first, "u").join(second, "v").where((num + den) * overlap >= num * (F.col("n1") + F.col("n2"))).select("u", "v")
+    pairs = kept.join(t2, "gid").join(t1, "node").where((num + den) * overlap >= num * (F.col("n1") + F.col("n2"))).select(F.col("node").alias("u"), F.col("gid").alias("v"))
 
-    # groups: every set of the one side is a query to the other side's group
-    other = F.when(F.col("big1"), F.col("gid2")).otherwise(F.col("gid1"))
-    asked = met.where("big1 or big2").select(F.when(F.col("big1"), F.col("gid1")).otherwise(F.col("gid2")).alias("gid"), other.alias("of"))
-    asked = asked.union(groups.select("gid", F.col("gid").alias("of")).distinct())
-    query = asked.join(groups.select(F.col("gid").alias("of"), "node"), "of", "left").select("gid", F.coalesce("node", "of").alias("node"))
+    ids = groups.select("gid").distinct()
+    query = kept.join(ids, "gid", "left_semi").select("gid", "node").union(own.select("gid", "node"))
     parts = query.groupBy("gid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     query = query.join(parts, "gid").select("gid", F.pmod(F.hash("node"), F.col("parts")).alias("part"), "node")
     member = groups.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node")
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
     query, member = (fresh(x.join(full, "node")) for x in (query, member))
     opened = query.groupBy("gid", "part").cogroup(member.groupBy("gid", "part")).applyInPandas(_open(num, den), "u binary, v binary")
     edges = materialise(pairs.union(opened), "links")
-    discard(live, groups, met, short, kept, full)
+    discard(groups, kept, full)
     return edges
 
 
+def linked_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, key, n, node, root) per row of ``docs`` (doc_id, key, text): the set's size and identity, and the least
+    node linked with it; node and root are null where the text has no word."""
+    small_batches(docs.sparkSession)
+    signed = materialise(signatures(docs, k, num, den, frequent_tokens(docs, k)), "signatures")
+    plain = materialise(signed.drop("prefix"), "nodes")
+    edges = link_nodes(docs, signed.where(F.col("prefix").isNotNull()).select("node", "n", "prefix"), k, num, den)
+    discard(signed)
+    return plain.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text); links where den * overlap >= num * union.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than k words make one shingle.  Null, empty and blank
     texts have no set and are components of their own; repeated rows are copies; a null doc_id is never a component's
-    id unless all of its documents lack one.  An empty table gives an empty result.
+    id unless all of its documents lack one.  An empty table gives an empty result.  Other columns are not read.
     """
-    small_batches(docs.sparkSession)
-    signed = materialise(signatures(docs, k, num, den, frequent_tokens(docs, k)), "signatures")
-    roots = components(link_nodes(docs, signed, k, num, den))
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
+    rows = linked_rows(docs.select("doc_id", F.lit("").alias("key"), "text"), k, num, den)
+    least = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return signed.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one_per_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (five words, 0.8) the least doc_id stays; documents without words
-    or without an id all stay."""
-    found = jaccard_components(docs)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti")
-    lonely = F.col("doc_id").isNull() | (F.trim(F.coalesce("text", F.lit(""))) == "")
-    return rows.where(~lonely).dropDuplicates(["doc_id"]).unionByName(rows.where(lonely))
+    """Pipeline stage: of each group of near duplicates (five words, 0.8) one row stays: the least doc_id (null last), of
+    several texts with that id the least digest, of equal ones any.  Rows without words all stay.
+
+    Rows are decided by id and text, so different texts under one id are judged apart.  Columns called ``_key`` are refused.
+    """
+    if "_key" in docs.columns:
+        raise ValueError("columns already present: ['_key']")
+    keyed = docs.withColumn("_key", F.md5("text"))
+    rows = linked_rows(keyed.select("doc_id", F.col("_key").alias("key"), "text"), 5, 80, 100)
+    best = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    kept = materialise(best.select(F.col("best.doc_id").alias("i"), F.col("best.key").alias("k")), "kept")
+    wordless = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\x0c\r", " " * 5)) == "", F.lit(True))
+    stay = keyed.where(~wordless).join(kept, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_key") == F.col("k")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_key"]).unionByName(keyed.where(wordless)).drop("_key")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
