@@ -7,7 +7,7 @@
    them.  Groups meet where they share a row, if sizes and places leave room for the overlap that the threshold needs.
 3. A group's token union is kept as a sketch of counted cells (the greatest count of its sets in each cell); a query's
    overlap with any of them is never above the sum of the lesser counts.  Only query and group pairs whose bound reaches
-   the threshold are opened: their tokens are read and compared exactly.
+   the threshold are opened: first by the sketches of the single sets, then the texts left are read and compared exactly.
 4. Links make components.
 """
 
@@ -26,9 +26,11 @@ FREQUENT = 100_000
 #: A stretch of so many tokens reports those that it has in so many sets at least; this shapes the order, never the result.
 STRETCH, REPORT = 2_000_000, 3
 #: Prefix tokens with more sets than this make groups; sets in a group at most (on average).
-CROWD, GROUP = 32, 256
-#: Counted cells of a sketch; bits of the filter for the second reading of the texts (a fixed 4 MB).
-CELLS, FILTER_BITS = 256, 1 << 25
+CROWD, GROUP = 128, 256
+#: Bits of the filter for the second reading of the texts (a fixed 4 MB).
+FILTER_BITS = 1 << 25
+#: A sketch's count at which it stops; two such cells bound nothing.
+FULL = 255
 
 
 def _node(tokens: np.ndarray) -> bytes:
@@ -41,7 +43,22 @@ def _node(tokens: np.ndarray) -> bytes:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    return np.bincount(tokens.view(np.uint64) % np.uint64(CELLS), minlength=CELLS).astype("<u4").tobytes()
+    """Counted cells, a power of two of about one to two tokens each."""
+    cells = 1 << max(6, len(tokens).bit_length() - 1)
+    return np.minimum(np.bincount(tokens & (cells - 1), minlength=cells), FULL).astype(np.uint8).tobytes()
+
+
+def _fold(sketches: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of sketches with fewer cells."""
+    if sketches.shape[1] == cells:
+        return sketches
+    return np.minimum(sketches.reshape(len(sketches), -1, cells).sum(axis=1, dtype=np.int64), FULL).astype(np.uint8)
+
+
+def _most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of rows of sketches with equal cells."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(axis=-1), np.int64(1) << 40, least.sum(axis=-1, dtype=np.int64))
 
 
 def _slot(node: bytes) -> int:
@@ -51,7 +68,7 @@ def _slot(node: bytes) -> int:
 def _sets(batch, k: int):
     texts = utf8(batch.column("text"))
     for part in chunked(texts):
-        yield part, shingle_sets(texts[part], k)
+        yield texts[part], shingle_sets(texts[part], k)
 
 
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
@@ -127,9 +144,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
 
 
 def read_sets(docs: DataFrame, k: int, nodes: DataFrame, what: str) -> DataFrame:
-    """(node, n, tokens or sketch) once for each node of ``nodes``: the texts are read again, and a fixed-size filter keeps
+    """(node, n, text or sketch) once for each node of ``nodes``: the texts are read again, and a fixed-size filter keeps
     most of the others from being shuffled."""
-    form, kind = {"tokens": (lambda s: s, "array<long>"), "sketch": (_sketch, "binary")}[what]
+
     def positions(batches):
         import pyarrow as pa
 
@@ -147,18 +164,18 @@ def read_sets(docs: DataFrame, k: int, nodes: DataFrame, what: str) -> DataFrame
 
         for b in slices(batches):
             rows, seen = [], set()
-            for _, sets in _sets(b, k):
-                for s in sets:
+            for texts, sets in _sets(b, k):
+                for t, s in zip(texts, sets):
                     if len(s) and (node := _node(s)) not in seen:
                         seen.add(node)
                         at = _slot(node)
                         if int(wanted.value[at >> 6]) >> (at & 63) & 1:
-                            rows.append((node, len(s), form(s)))
+                            rows.append((node, len(s), t if what == "text" else _sketch(s)))
             cols = list(zip(*rows)) or [[]] * 3
-            types = [pa.binary(), pa.int64(), pa.list_(pa.int64()) if what == "tokens" else pa.binary()]
+            types = [pa.binary(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", what])
 
-    found = docs.select("text").mapInArrow(gather, f"node binary, n long, {what} {kind}")
+    found = docs.select("text").mapInArrow(gather, f"node binary, n long, {what} binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -172,19 +189,64 @@ def _bounded(num: int, den: int):
             if not b.num_rows:
                 continue
             n, lo = (b.column(i).to_numpy() for i in (2, 3))
-            s1, s2 = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, CELLS) for i in (4, 5))
-            bound = np.minimum(s1, s2).sum(axis=1, dtype=np.int64)
+            mine, union = (b.column(i).to_pylist() for i in (4, 5))
+            bound, sizes = np.zeros(len(n), np.int64), np.array([(len(x), len(y)) for x, y in zip(mine, union)])
+            for pair in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == pair).all(axis=1))
+                x, y = (_fold(np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), -1), pair.min()) for side in (mine, union))
+                bound[at] = _most(x, y)
             yield b.select([0, 1]).filter(pa.array((num + den) * bound >= num * (n + lo)))
 
     return keep
 
 
 def _union(members: pd.DataFrame) -> pd.DataFrame:
-    """A group's sketch and least size."""
-    cells = np.frombuffer(b"".join(members["sketch"]), "<u4").reshape(-1, CELLS).max(axis=0)
+    """A group's sketch and least size; its sets have equally many cells."""
+    cells = np.frombuffer(b"".join(members["sketch"]), np.uint8).reshape(len(members), -1).max(axis=0)
     return pd.DataFrame({"gid": [members["gid"].iloc[0]], "lo": [int(members["n"].min())], "union": [cells.tobytes()]})
 
 
+def _partners(num: int, den: int):
+    """Of a group's queries and members, those whose own sketches leave them a partner: (gid, node, asks)."""
+
+    def keep(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        rows, wanted = [], np.zeros(len(members), bool)
+        if len(queries) and len(members):
+            sketches, sizes = np.frombuffer(b"".join(members["sketch"]), np.uint8).reshape(len(members), -1), members["n"].to_numpy()
+            folded, names = {}, members["node"].to_numpy()
+            for node, n, sketch in zip(queries["node"], queries["n"], queries["sketch"]):
+                q = np.frombuffer(sketch, np.uint8)[None, :]
+                cells = min(q.shape[1], sketches.shape[1])
+                if cells not in folded:
+                    folded[cells] = _fold(sketches, cells)
+                ok = ((num + den) * _most(folded[cells], _fold(q, cells)) >= num * (n + sizes)) & (names != node)
+                if ok.any():
+                    rows.append((queries["gid"].iloc[0], node, True))
+                    wanted |= ok
+            rows.extend((members["gid"].iloc[0], x, False) for x in names[wanted])
+        return pd.DataFrame(rows, columns=["gid", "node", "asks"])
+
+    return keep
+
+
+def _exact(k: int, num: int, den: int):
+    """Links among pairs of texts (u, v, text, other)."""
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, z = (b.column(i).to_pylist() for i in (2, 3))
+            texts = list(dict.fromkeys([*a, *z]))
+            sets = dict(zip(texts, (s for part in chunked(texts) for s in shingle_sets(texts[part], k))))
+            ok = [(num + den) * len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= num * (len(sets[x]) + len(sets[y])) for x, y in zip(a, z)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return compare
+
+
 def _forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
     """A spanning forest of the linked positions."""
     parent = list(range(size))
@@ -204,13 +266,16 @@ def _forest(pairs: np.ndarray, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def _open(num: int, den: int):
+def _open(k: int, num: int, den: int):
     """Compare queries with a group's members: bound by the group's token union first, then exact overlaps."""
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"u": pd.Series([], dtype=object), "v": pd.Series([], dtype=object)})
         if not len(queries) or not len(members):
             return none
+        for side in (queries, members):
+            texts = side["text"].to_list()
+            side["tokens"] = [s for part in chunked(texts) for s in shingle_sets(texts[part], k)]
         union = np.unique(np.concatenate(members["tokens"].to_list()))
         inside = [np.searchsorted(union, t[np.isin(t, union, assume_unique=True)]) for t in queries["tokens"]]
         low = int(members["n"].min())
@@ -253,50 +318,50 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int)
     live = materialise(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "matrix")
     crowded = F.max(F.when(F.col("m") > CROWD, F.struct("m", "token"))).over(Window.partitionBy("node"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / GROUP))
-    gid = F.coalesce(F.encode(F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string")), "UTF-8"), F.col("node"))
+    gid = F.coalesce(F.encode(F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string"), F.length(F.bin("n")).cast("string")), "UTF-8"), F.col("node"))
     grouped = live.withColumn("top", crowded).withColumn("big", F.col("top").isNotNull()).withColumn("gid", F.when(F.col("big"), gid).otherwise(F.col("node")))
     groups = materialise(grouped.where("big").select("node", "gid").distinct(), "groups")
     span = [f(c).alias(n + c) for c in ("n", "pos") for n, f in (("lo_", F.min), ("hi_", F.max))]
     matrix = grouped.groupBy("token", "gid", "big").agg(*span)
-    a, b = (matrix.select("token", *[F.col(c).alias(c + i) for c in matrix.columns if c != "token"]) for i in "12")
-    compatible = (F.col("hi_n1") * den >= F.col("lo_n2") * num) & (F.col("hi_n2") * den >= F.col("lo_n1") * num)
+    # of two single sets or two groups one asks the other, of a set and a group the set asks; who asks is a set that has
+    # the token itself, so a group's other sets are not read for it
+    sets = grouped.select("token", "node", F.col("gid").alias("mine"), F.col("big").alias("in_group"), "n", "pos")
+    turn = F.when(F.col("in_group") == F.col("big"), F.col("mine") < F.col("gid")).otherwise(F.col("big"))
+    compatible = (F.col("n") * den >= F.col("lo_n") * num) & (F.col("hi_n") * den >= F.col("n") * num)
     # shared tokens: some before this one's place, this one, and what follows it in both
-    room = F.least("hi_pos1", "hi_pos2") + 1 + F.least(*[F.col(f"hi_n{i}") - 1 - F.col(f"lo_pos{i}") for i in "12"])
-    compatible = compatible & ((num + den) * room >= num * (F.col("lo_n1") + F.col("lo_n2")))
-    met = a.join(b, "token").where((F.col("gid1") < F.col("gid2")) & compatible).select("gid1", "gid2", "big1", "big2").distinct()
-    met = materialise(met, "met")
-
-    # who asks whom: of a pair with one group the other side asks it, of two groups the first's sets ask the second
-    first = F.col("big1") & ~F.col("big2")
-    asked = met.select(F.when(first, F.col("gid2")).otherwise(F.col("gid1")).alias("of"), F.when(first, F.col("gid1")).otherwise(F.col("gid2")).alias("gid"))
-    asks = asked.join(groups.select(F.col("gid").alias("of"), F.col("node").alias("member")), "of", "left").select(F.coalesce("member", "of").alias("node"), "gid")
-    asks = materialise(asks, "asks")
+    room = F.least("pos", "hi_pos") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("hi_n") - 1 - F.col("lo_pos"))
+    compatible = compatible & ((num + den) * room >= num * (F.col("n") + F.col("lo_n")))
+    asks = materialise(sets.join(matrix, "token").where(turn & compatible).select("node", "gid").distinct(), "asks")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
-    alone = met.where("not big1 or not big2").select(F.explode(F.array(F.when(~F.col("big1"), F.col("gid1")), F.when(~F.col("big2"), F.col("gid2")))).alias("node"))
-    nodes = alone.where("node is not null").union(groups.select("node")).distinct()
+    nodes = asks.select("node").union(asks.select(F.col("gid").alias("node"))).union(groups.select("node")).distinct()  # group ids are no nodes
     short = materialise(read_sets(docs, k, nodes, "sketch"), "sketches")
     unions = fresh(groups.join(short, "node")).groupBy("gid").applyInPandas(_union, "gid binary, lo long, union binary")
     unions = materialise(unions.union(short.join(groups, "node", "left_anti").select(F.col("node").alias("gid"), F.col("n").alias("lo"), F.col("sketch").alias("union"))), "unions")
     bounded = asks.join(unions, "gid").join(fresh(short), "node").select("node", "gid", "n", "lo", "sketch", "union").mapInArrow(_bounded(num, den), "node binary, gid binary")
     kept = materialise(bounded, "bounded")
-    discard(live, met, asks, short, unions)
-
-    own = groups.select("node", "gid").distinct()
-    wanted = kept.select("node").union(kept.select(F.col("gid").alias("node"))).union(groups.select("node")).distinct()  # group ids are no nodes
-    full = materialise(read_sets(docs, k, wanted, "tokens"), "sets")
-    t1, t2 = (full.select(F.col("node").alias(e), F.col("n").alias("n" + i), F.col("tokens").alias("t" + i)) for e, i in (("node", "1"), ("gid", "2")))
-    overlap = F.size(F.array_intersect("t1", "t2"))
-    pairs = kept.join(t2, "gid").join(t1, "node").where((num + den) * overlap >= num * (F.col("n1") + F.col("n2"))).select(F.col("node").alias("u"), F.col("gid").alias("v"))
-
-    ids = groups.select("gid").distinct()
-    query = kept.join(ids, "gid", "left_semi").select("gid", "node").union(own.select("gid", "node"))
+    discard(live, asks)
+
+    big = groups.select("gid").distinct()
+    inside = groups.join(short, "node").select("gid", "node", "n", "sketch")
+    query = kept.join(big, "gid", "left_semi").select("node", "gid").union(groups.select("node", "gid")).join(short, "node").select("gid", "node", "n", "sketch")
+    parts = query.groupBy("gid").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("parts"))
+    deal = lambda of, member: of.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if member else F.pmod(F.hash("node"), F.col("parts")))
+    ask, member = fresh(deal(query, False)), fresh(deal(inside, True))
+    partners = ask.groupBy("gid", "part").cogroup(member.groupBy("gid", "part")).applyInPandas(_partners(num, den), "gid binary, node binary, asks boolean")
+    partners = materialise(partners.distinct(), "partners")
+    single = kept.join(big, "gid", "left_anti")
+    wanted = single.select("node").union(single.select("gid")).union(partners.select("node")).distinct()
+    full = materialise(read_sets(docs, k, wanted, "text"), "texts")
+    discard(unions, short)
+    t1, t2 = (full.select(F.col("node").alias(e), F.col("text").alias(t)) for e, t in (("node", "text"), ("gid", "other")))
+    pairs = single.join(t2, "gid").join(t1, "node").select(F.col("node").alias("u"), F.col("gid").alias("v"), "text", "other").mapInArrow(_exact(k, num, den), "u binary, v binary")
+
+    query, inside = partners.where("asks").select("gid", "node"), partners.where("not asks").select("gid", "node")
     parts = query.groupBy("gid").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    query = query.join(parts, "gid").select("gid", F.pmod(F.hash("node"), F.col("parts")).alias("part"), "node")
-    member = groups.join(parts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node")
-    query, member = (fresh(x.join(full, "node")) for x in (query, member))
-    opened = query.groupBy("gid", "part").cogroup(member.groupBy("gid", "part")).applyInPandas(_open(num, den), "u binary, v binary")
+    ask, member = (fresh(deal(x, m).join(full, "node")) for x, m in ((query, False), (inside, True)))
+    opened = ask.groupBy("gid", "part").cogroup(member.groupBy("gid", "part")).applyInPandas(_open(k, num, den), "u binary, v binary")
     edges = materialise(pairs.union(opened), "links")
-    discard(groups, kept, full)
+    discard(groups, kept, partners, full)
     return edges
 
 
