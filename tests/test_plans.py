@@ -1,7 +1,7 @@
 """Domain plans on golden cases."""
 
 from datetime import date as D
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,7 +155,7 @@ def test_item_map_errors():
         items.levels(items.parse_items(HEAD + f.format("a", "b") + f.format("b", "a")))
     with pytest.raises(ValueError, match="unknown item"):
         items.levels(items.parse_items(HEAD + f.format("a", "zz")))
-    with pytest.raises(ValueError, match="more fields"):
+    with pytest.raises(ValueError, match="10 fields for 9"):
         items.parse_items(HEAD + "x,instant,tag,,1,A,1,,a note, with a comma\n")
     m = items.parse_items(HEAD + "x,instant,tag,,1,Revenues,1,,\n_h,instant,tag,,1,B,1,,\nx,instant,formula,1,,item:_h,1,TRUE,\n")
     assert "duration" in items.problems(m, {"Revenues": "duration", "B": "instant"})[0] and items.exported(m) == ["x"]
@@ -282,6 +282,33 @@ def test_runs_resolve_in_order(spark):
     assert got == {"AAA": (1, "page"), "BBB": (2, "crosswalk"), "CCC": (3, "name"), "DDD": (4, "override")}
 
 
+def test_runs_number_captures_by_index_and_bridge_partial_ones(spark):
+    day = lambda m: D(2020, m, 1)
+    # another index was captured between; the number comes late in the run; then a partial capture without AAA, and AAA again
+    obs = [("SP500", "AAA", day(m), c, "Alpha") for m, c in ((1, None), (3, None), (5, 1), (9, None))] + [("SP600", "ZZZ", day(m), 9, "Zeta") for m in (2, 4)]
+    obs += [("SP500", "BBB", day(m), 2, "Beta") for m in (1, 3, 5, 7, 9)] + [("SP500", "CCC", day(m), c, "Gamma") for m, c in ((1, 3), (5, None))]
+    sight = spark.createDataFrame(obs, "index_name string, ticker string, observed_on date, cik int, name string")
+    captures = spark.createDataFrame([("SP500", day(m), m == 7) for m in (1, 3, 5, 7, 9)] + [("SP600", day(m), False) for m in (2, 4)], "index_name string, observed_on date, is_partial boolean")
+    none = lambda schema: spark.createDataFrame([], schema)
+    rest = [none("cik int, ticker string, is_primary boolean, valid_from date, valid_to date"), spark.createDataFrame([(i,) for i in (1, 2, 3, 9)], "cik int")]
+    rest += [none("cik int, name string, valid_from date, valid_to date"), none("index_name string, ticker string, first_seen date, cik int")]
+    rows = spine.resolve_runs(sight, *rest, captures=captures).orderBy("ticker", "first_seen").collect()
+    got = [(r["ticker"], r["first_seen"], r["last_seen"], r["cik"], r["cik_source"]) for r in rows]
+    assert got == [
+        ("AAA", day(1), day(5), 1, "page"), ("AAA", day(9), day(9), 1, "bridged"), ("BBB", day(1), day(9), 2, "page"),
+        ("CCC", day(1), day(1), 3, "page"), ("CCC", day(5), day(5), None, None), ("ZZZ", day(2), day(4), 9, "page"),
+    ]
+
+
+def test_face_zero_follows_the_governing_filing(spark):
+    faces = [(1, "a", D(2020, 2, 1), True), (1, "b", D(2020, 5, 1), False), (2, "c", D(2020, 2, 1), False), (2, "d", D(2020, 5, 1), True)]
+    df = spark.createDataFrame([(c, a, f, f, z, D(2019, 12, 31), 100) for c, a, f, z in faces], "cik int, adsh string, filed_date date, tradable_from date, zero_by_face boolean, period_date date, sic int")
+    assert [r["cik"] for r in concepts.face_zero_debt(df).collect()] == [1]
+    assert [r["cik"] for r in concepts.face_zero_debt(df, "latest").collect()] == [2]
+    with pytest.raises(ValueError):
+        concepts.face_zero_debt(df, "other")
+
+
 def test_membership_splits_on_labels_and_flattens(spark):
     days = [D(2020, m, 1) for m in (1, 2, 3, 4)]
     obs = spark.createDataFrame([("SP500", 1, "A", x, "Energy" if i < 2 else "Utilities", "s") for i, x in enumerate(days[:3])], "index_name string, cik int, ticker string, observed_on date, gics_sector string, gics_sub_industry string")
@@ -387,12 +414,23 @@ def test_markup(spark):
     assert [(r["row_no"], r["cells"]) for r in markup.page_tables(page).orderBy("row_no").collect()] == [(0, ["a", "b"]), (1, ["1", "2"])]
     cover = """<html xmlns:ix="i" xmlns:xbrli="x" xmlns:xbrldi="d"><xbrli:context id="c2"><xbrldi:explicitMember dimension="us-gaap:StatementClassOfStockAxis">us-gaap:CommonClassAMember</xbrldi:explicitMember></xbrli:context>
       <ix:nonNumeric name="dei:TradingSymbol" contextRef="c2">ACM.E</ix:nonNumeric><ix:nonNumeric name="dei:TradingSymbol" contextRef="c1">ACM30</ix:nonNumeric><ix:nonNumeric name="dei:NoTradingSymbolFlag" contextRef="c1">true</ix:nonNumeric></html>"""
-    got = {r["class_member"]: r["trading_symbol"] for r in markup.cover_classes(cover)}
-    assert got == {"CommonClassA": "ACM-E", "": ""}
-    two = {"CommonClassA", "CommonClassB"}
-    assert markup.title_member("Class B Common Stock", two) == "CommonClassB" and markup.title_member("Common Stock", two) is None and markup.title_member("Common Stock", {"One"}) == "One" and markup.title_member("Class A Common Stock", {"CommonClassA", "CommonClassA1"}) == "CommonClassA"
-    chained, unclear = markup.chain_class_symbols([{"class_member": "A", "trading_symbol": s, "day": d} for s, d in (("X", 0), ("X", 150), ("Y", 300))] + [{"class_member": "B", "trading_symbol": s, "day": 1} for s in "PQ"])
-    assert [(r["symbol"], r["from"], r["to"]) for r in chained] == [("X", 0, 300), ("Y", 300, None)] and unclear == [("B", 1)]
+    facts = markup.cover_facts(spark.createDataFrame([(7, cover), (8, None), (9, "<p>torn")], "page_id long, html string"))
+    assert [r["page_id"] for r in facts.where("fault IS NOT NULL").collect()] == [9]
+    got = {(r["page_id"], r["class_member"]): r["trading_symbol"] for r in markup.cover_classes(facts).collect()}
+    assert got == {(7, "CommonClassA"): "ACM-E", (7, ""): ""}
+    ab, titles = ["CommonClassA", "CommonClassB"], ["Class B Common Stock", "Common Stock", "Class A Common Stock", None]
+    members = spark.createDataFrame([(1, m) for m in ab] + [(2, "One")] + [(3, "CommonClassA"), (3, "CommonClassA1"), (3, "CommonStock")], "page_id long, member string")
+    named = markup.title_members(spark.createDataFrame([(p, x) for p in (1, 2, 3) for x in titles], "page_id long, title string"), members).collect()
+    assert {(r["page_id"], r["title"]): r["member"] for r in named} == {
+        (1, titles[0]): "CommonClassB", (1, titles[1]): None, (1, titles[2]): "CommonClassA", (1, None): None,
+        (2, titles[0]): None, (2, titles[1]): "One", (2, titles[2]): None, (2, None): "One",
+        (3, titles[0]): None, (3, titles[1]): "CommonStock", (3, titles[2]): "CommonClassA", (3, None): None,
+    }
+    day = lambda n: D(2020, 1, 1) + timedelta(n)
+    seen = [(1, "A", x, day(n)) for x, n in (("X", 0), ("X", 150), ("Y", 300), ("Y", 900))] + [(1, "B", x, day(1)) for x in "PQ"]
+    chained, unclear = markup.chain_class_symbols(spark.createDataFrame(seen, "cik int, class_member string, trading_symbol string, day date"))
+    assert [(r["symbol"], r["from"], r["to"]) for r in chained.orderBy("from").collect()] == [("X", day(0), day(300)), ("Y", day(300), None), ("Y", day(900), None)]
+    assert [(r["class_member"], r["day"]) for r in unclear.collect()] == [("B", day(1))]
     arcs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "parent string, child string")
     assert sorted((r["tag"], r["depth"]) for r in markup.descendants(arcs, spark.createDataFrame([("a",)], "tag string"), 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
 

@@ -56,27 +56,43 @@ def resolve_formulas(direct: DataFrame, config: ConceptConfig, guarded: DataFram
         operands = operands.join(guarded, ["cik", "value_date", "qtrs", "concept", "variant"], "left_anti")
     sums = operands.groupBy(*PERIOD, "variant", "n_required").agg(
         F.sum(F.col("coefficient") * F.col("value")).alias("value"), F.max("tradable_from").alias("tradable_from"),
-        F.count_if("required").alias("_have"), F.first("sic").alias("sic"),
+        F.count_if("required").alias("_have"), F.max_by("sic", "tradable_from").alias("sic"),
     )
     return first_per_group(sums.where("_have = n_required"), PERIOD, [F.col("variant").asc()]).select(*PERIOD, "value", "tradable_from", "sic")
 
 
-def face_zero_debt(faces: DataFrame) -> DataFrame:
-    """total_debt of 0 where the newest filing of a period shows a face without borrowings."""
-    zero = first_per_group(faces.where("zero_by_face"), ["cik", "period_date"], [F.col("tradable_from").desc(), F.col("adsh").desc()])
+def face_zero_debt(faces: DataFrame, mode: str = "pit") -> DataFrame:
+    """total_debt of 0 where the filing that governs a period (the first filed, or in mode latest the last) shows a face
+    without borrowings."""
+    if mode not in ("pit", "latest"):
+        raise ValueError(f"unknown mode {mode!r}")
+    order = [F.col("filed_date").asc_nulls_last(), F.col("adsh").asc()] if mode == "pit" else [F.col("filed_date").desc_nulls_last(), F.col("adsh").desc()]
+    zero = first_per_group(faces, ["cik", "period_date"], order).where("zero_by_face")
     return zero.select("cik", F.lit("total_debt").alias("concept"), F.col("period_date").alias("value_date"), F.lit(0).alias("qtrs"), F.lit(0.0).alias("value"), "tradable_from", "sic")
 
 
-def canonical(facts: DataFrame, config: ConceptConfig, standard_tags: DataFrame | None = None, faces: DataFrame | None = None, suspects: DataFrame | None = None) -> DataFrame:
-    """Every concept's value at every period, by preference."""
+def canonical(facts: DataFrame, config: ConceptConfig, standard_tags: DataFrame | None = None, faces: DataFrame | None = None, suspects: DataFrame | None = None, mode: str = "pit") -> DataFrame:
+    """Every concept's value at every period, by preference; ``mode`` says which filing's face governs a period."""
     direct = resolve_direct(facts, config, suspects)
     guarded = guarded_periods(facts, config, standard_tags) if standard_tags is not None else None
     parts = [direct, resolve_formulas(direct, config, guarded)]
     if faces is not None:
-        parts.append(face_zero_debt(faces))
+        parts.append(face_zero_debt(faces, mode))
     return union_prefer(parts, PERIOD)
 
 
+def canonical_available(values: DataFrame, facts: DataFrame, config: ConceptConfig) -> DataFrame:
+    """``values`` with ``available_from``: the latest first-known day of any tag that is mapped to the concept or to an
+    operand of one of its formulas at the period, used or not."""
+    spark = values.sparkSession
+    tags, terms = config.frame(spark, "tags").select("concept", "tag", "sic_prefix"), config.frame(spark, "terms").select("concept", "operand")
+    own = tags.withColumnRenamed("concept", "operand")
+    mapped = tags.union(terms.join(own, "operand").select("concept", "tag", "sic_prefix")).distinct()
+    rows = facts.where(F.col("value").isNotNull() & (F.col("uom") == "USD")).join(F.broadcast(mapped), "tag").where(industry_scope(F.col("sic"), F.col("sic_prefix")))
+    known = rows.groupBy(*PERIOD).agg(F.max("tradable_from").alias("available_from"))
+    return values.join(known, PERIOD, "left").withColumn("available_from", F.coalesce("available_from", "tradable_from"))
+
+
 def length_of(fact_type: Column) -> Column:
     """Quarters in an annual reading of a concept."""
     return F.when(fact_type == "balance", 0).otherwise(4)

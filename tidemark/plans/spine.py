@@ -27,10 +27,9 @@ def captures(sightings: DataFrame, keys=(), around: int = 6, share: float = 0.85
 def company_tickers(sightings: DataFrame, universe: DataFrame, today) -> DataFrame:
     """Dated (cik, ticker) intervals, one primary per overlapping run: current, in the universe, longest, alphabetical."""
     spans = bridge_islands(sightings, captures(sightings), ["cik", "ticker"], max_gap_days=BRIDGE_DAYS).drop("last_seen")
-    w = Window.partitionBy("cik").orderBy("valid_from")
+    w = Window.partitionBy("cik").orderBy("valid_from", "ticker")
     before = F.max(F.coalesce("valid_to", F.lit(FOREVER).cast("date"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("_new", (before.isNull() | (F.col("valid_from") >= before)).cast("int"))
-    # rows of one valid_from belong together, hence a frame by value
     runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     listed = F.broadcast(universe.select("ticker").distinct().withColumn("_in", F.lit(True)))
     length = F.datediff(F.coalesce(F.col("valid_to"), F.lit(today).cast("date")), F.col("valid_from"))
@@ -101,14 +100,19 @@ def subtract_sightings(sightings: DataFrame, oversized: DataFrame, sibling: Data
     return sightings.join(listed, ["observed_on", "ticker"], "left_anti")
 
 
-def resolve_runs(sightings: DataFrame, tickers: DataFrame, companies: DataFrame, names: DataFrame, overrides: DataFrame) -> DataFrame:
+def resolve_runs(sightings: DataFrame, tickers: DataFrame, companies: DataFrame, names: DataFrame, overrides: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """The company of each run of sightings of a ticker, and how it is known.
 
     In order: the page's own number where the crosswalk agrees or is silent; the crosswalk at the last sighting; a name
-    that one company alone bore then; an audited override.  Unresolved runs keep a null cik.
+    that one company alone bore then; an audited override; the runs before and after, where only partial captures lie
+    between and they agree.  Unresolved runs keep a null cik.  ``captures`` (index_name, observed_on, is_partial) are numbered
+    for each index by itself; without it, they are the days with sightings, all whole.
     """
-    known = numbered_captures(sightings.select("observed_on", F.lit(False).alias("is_partial")).distinct())
-    obs = sightings.join(known.select("observed_on", "sn"), "observed_on")
+    if captures is None:
+        captures = sightings.select("index_name", "observed_on", F.lit(False).alias("is_partial")).distinct()
+    days = Window.partitionBy("index_name").orderBy("observed_on")  # a row per capture of one index
+    known = captures.withColumn("sn", F.row_number().over(days).cast("long")).withColumn("whole", F.sum(F.when(F.col("is_partial"), 0).otherwise(1)).over(days))
+    obs = sightings.join(known.select("index_name", "observed_on", "sn"), ["index_name", "observed_on"])
     runs = islands(obs, ["index_name", "ticker"], "sn").withColumnRenamed("first", "first_sn").withColumnRenamed("last", "last_sn").drop("n")
     inside = obs.join(runs, ["index_name", "ticker"]).where(F.col("sn").between(F.col("first_sn"), F.col("last_sn")))
     key = ["index_name", "ticker", "first_sn"]
@@ -125,7 +129,18 @@ def resolve_runs(sightings: DataFrame, tickers: DataFrame, companies: DataFrame,
     unique = bore.groupBy(*key).agg(F.countDistinct("cik").alias("_n"), F.min("cik").alias("cik")).where("_n = 1").select(*key, "cik", F.lit("name").alias("cik_source"))
     by_hand = spans.join(overrides.select("index_name", "ticker", F.col("first_seen").alias("first_seen"), "cik"), ["index_name", "ticker", "first_seen"]).select(*key, "cik", F.lit("override").alias("cik_source"))
     best = union_prefer([page, xw, unique, by_hand], key)
-    return runs.join(spans, key).join(best, key, "left")
+    resolved = runs.join(spans, key).join(best, key, "left")
+    at = known.select("index_name", "sn", "whole", F.when(F.col("is_partial"), 0).otherwise(1).alias("self"))
+    first, last = (at.select("index_name", F.col("sn").alias(f"{e}_sn"), F.col("whole").alias(f"_{e}"), F.col("self").alias(f"_{e}_self")) for e in ("first", "last"))
+    placed = resolved.join(first, ["index_name", "first_sn"]).join(last, ["index_name", "last_sn"])
+    w = Window.partitionBy("index_name", "ticker").orderBy("first_sn")
+    # whole captures strictly between two neighbouring runs
+    before = F.when(F.col("_first") - F.col("_first_self") - F.lag("_last").over(w) == 0, F.lag("cik").over(w))
+    after = F.when(F.lead("_first").over(w) - F.lead("_first_self").over(w) - F.col("_last") == 0, F.lead("cik").over(w))
+    bridged = placed.withColumns({"_before": before, "_after": after})
+    near = F.when(~F.coalesce(F.col("_before") != F.col("_after"), F.lit(False)), F.coalesce("_before", "_after"))
+    source = F.when(F.col("cik").isNotNull(), F.col("cik_source")).when(near.isNotNull(), "bridged")
+    return bridged.select(*[c for c in resolved.columns if c not in ("cik", "cik_source")], F.coalesce("cik", near).alias("cik"), source.alias("cik_source"))
 
 
 def fill_sectors(observations: DataFrame) -> DataFrame:

@@ -113,12 +113,12 @@ def asof_backward_tolerance(spark, d):
     return temporal.asof_join(e.where("event_type = 'purchase'"), right, "ts", "ts", ["hit"], by=["user_id"], direction="backward", strict=False, tolerance_days=2).select("event_id", "hit")
 
 
-@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders WHERE isodow(o_orderdate) <= 5),
 k AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS known FROM lineitem)
 SELECT known, session FROM k ASOF LEFT JOIN c ON k.known < c.session""")
 def availability_calendar(spark, d):
-    """The first session strictly after each day, without a key to partition by."""
-    sessions = t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderdate").cast("date").alias("session")).distinct()
+    """The first session (a weekday with orders) strictly after each day, without a key to partition by."""
+    sessions = t(spark, d, "orders").where(F.weekday("o_orderdate") < 5).select(F.col("o_orderdate").cast("date").alias("session")).distinct()
     known = t(spark, d, "lineitem").select(F.col("l_shipdate").cast("date").alias("known")).distinct()
     return temporal.asof_join(known, sessions.withColumn("at", F.col("session")), "known", "at", ["session"])
 
@@ -253,11 +253,11 @@ def candidate_periods(spark, d):
     return rel.top_k_per_group(t(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()], 12).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS v FROM customer
-UNION ALL SELECT c_custkey + 1000000, 0.0 FROM customer WHERE c_custkey % 5 = 0""")
+@query("""SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN c_acctbal * 2 ELSE c_acctbal END AS v FROM customer
+UNION ALL SELECT c_custkey + 1000000, 0.0 FROM customer WHERE c_acctbal > 5000""")
 def upsert(spark, d):
     old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = old.where("k % 3 = 0").withColumn("v", F.col("v") * 2).unionByName(old.where("k % 5 = 0").select((F.col("k") + 1000000).alias("k"), F.lit(0.0).alias("v")))
+    new = old.where("v < 0").withColumn("v", F.col("v") * 2).unionByName(old.where("v > 5000").select((F.col("k") + 1000000).alias("k"), F.lit(0.0).alias("v")))
     return rel.upsert(old, new, ["k"])
 
 
@@ -292,13 +292,13 @@ def unpivot_long(spark, d):
     return rel.unpivot(rows, ["l_partkey"], ["quantity", "tax"])
 
 
-@query("""SELECT coalesce(s_nationkey, c_nationkey) AS nation, s AS suppliers, c AS customers FROM (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
-FULL JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_custkey % 11 = 0 GROUP BY 1) ON s_nationkey = c_nationkey""")
+@query("""SELECT coalesce(s_nationkey, c_nationkey) AS nation, s AS suppliers, c AS customers FROM (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_acctbal < 0 GROUP BY 1)
+FULL JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON s_nationkey = c_nationkey""")
 def full_outer(spark, d):
     from tidemark.plans.exports import join_footnotes
 
-    s = t(spark, d, "supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
-    c = t(spark, d, "customer").where("c_custkey % 11 = 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = t(spark, d, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    c = t(spark, d, "customer").where("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
     return join_footnotes(s, c, ["nation"])
 
 
@@ -418,14 +418,14 @@ def item_map(spark, d):
 
 # --- flows ---------------------------------------------------------------------------------------------------------------
 
-FLOWS = """q AS (SELECT o_custkey AS cik, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS e, quarter(o_orderdate) AS n, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders WHERE o_custkey % 4 <> 3 GROUP BY 1, 2, 3, 4),
+FLOWS = """q AS (SELECT o_custkey AS cik, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS e, quarter(o_orderdate) AS n, year(o_orderdate) AS y, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3, 4),
 grid AS (SELECT cik, y, n, v, e, (SELECT sum(v) FROM q b WHERE b.cik = q.cik AND b.y = q.y AND b.n <= q.n) AS ytd, (SELECT count(*) FROM q b WHERE b.cik = q.cik AND b.y = q.y AND b.n <= q.n) AS k FROM q),
 period AS (SELECT cik, e AS d, n AS qtrs, ytd AS v FROM grid WHERE k = n UNION ALL SELECT cik, e, 1, v FROM grid WHERE n = 3)"""
 
 
 def flow_periods(spark, d):
     """A customer's orders as year-to-date figures at quarter ends (whole ones only), and the third quarter by itself."""
-    o = t(spark, d, "orders").where("o_custkey % 4 <> 3")
+    o = t(spark, d, "orders")
     end = F.last_day(F.add_months(F.date_trunc("quarter", "o_orderdate").cast("date"), 2))
     q = o.groupBy(F.col("o_custkey").alias("cik"), end.alias("value_date"), F.quarter("o_orderdate").alias("n"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("v"))
     w = Window.partitionBy("cik", "y").orderBy("n")
@@ -767,12 +767,12 @@ def item_coverage(spark, d):
     return out
 
 
-@query("""WITH m AS (SELECT c_custkey AS cik, 'A' AS ix, c_mktsegment AS s, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'B', c_mktsegment, c_acctbal + 1 FROM customer WHERE c_custkey % 3 = 0),
+@query("""WITH m AS (SELECT c_custkey AS cik, 'A' AS ix, c_mktsegment AS s, c_acctbal AS v FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'B', c_mktsegment, c_acctbal + 1 FROM customer WHERE c_nationkey < 10),
 u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY cik ORDER BY ix) = 1)
 SELECT cik, round(percent_rank() OVER (ORDER BY v), 4) AS roa_pct, round(percent_rank() OVER (PARTITION BY s ORDER BY v), 4) AS roa_sector_pct FROM u""")
 def union_of_indices(spark, d):
-    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("gics_sector"), F.col("c_acctbal").alias("roa"), F.lit("2024-01-31").cast("date").alias("asof"), F.lit("t").alias("ticker"))
-    panel_ = c.where("cik % 2 = 0").withColumn("index_name", F.lit("A")).unionByName(c.where("cik % 3 = 0").withColumns({"index_name": F.lit("B"), "roa": F.col("roa") + 1}))
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_mktsegment").alias("gics_sector"), F.col("c_acctbal").alias("roa"), F.lit("2024-01-31").cast("date").alias("asof"), F.lit("t").alias("ticker"), "c_nationkey")
+    panel_ = c.where("roa >= 0").withColumn("index_name", F.lit("A")).unionByName(c.where("c_nationkey < 10").withColumns({"index_name": F.lit("B"), "roa": F.col("roa") + 1})).drop("c_nationkey")
     return cross.union_panel(panel_, ["A", "B"], "AB", {"roa": 1}).select("cik", "roa_pct", "roa_sector_pct")
 
 
