@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, jaccard, suffixdedup
+from tidemark.llm.common import materialise
 from tidemark.llm.components import components
 
 
@@ -217,6 +218,22 @@ def test_embeddings_against_brute_force(spark):
         assert (r["n_links"], r["component_id"], r["kept"]) == (links.get(r["id"], 0), want[r["id"]], want[r["id"]] == r["id"])
 
 
+def test_embeddings_skip_distant_blocks_and_join_copies_once(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = np.repeat(centres, 60, axis=0) + rng.normal(scale=0.02, size=(2400, 24))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(3000 + i, x[7].tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    known = embeddings.usable(df, "vec_id", "embedding")
+    axes, eps = embeddings.principal_axes(known, 24), (2 - 2 * 0.95) ** 0.5
+    order = materialise(embeddings.grid_order(known.select("id", "x"), axes, eps, 64), "order")
+    near = embeddings.near_blocks(order, eps)
+    opened, n = embeddings.open_pairs(near, embeddings.intervals(order, axes), 24, eps).count(), order.agg(F.max("block")).first()[0] + 1
+    assert opened < 0.35 * n * (n + 1) / 2
+    got = {r["id"]: r for r in embeddings.near_vectors(df, "vec_id", "embedding", block=64).collect()}
+    assert all(got[i]["n_links"] == (559 if i >= 3000 or i // 60 == 0 else 59) and got[i]["component_id"] == (0 if i >= 3000 else i // 60 * 60) for i, _ in rows)
+
+
 def test_embeddings_edges(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding").count() == 0
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]

@@ -1,9 +1,10 @@
 """Near duplicates among embeddings by an epsilon grid order join.
 
-Unit vectors are rotated to their principal axes, laid on a grid with cells of width epsilon on the leading axes and
-sorted by cell (the epsilon grid order).  The sorted sequence is cut into blocks; only blocks whose boxes are within
-epsilon are joined, and inside a pair of blocks sequence intervals are halved recursively until they are small or provably
-too far apart.  Cosine >= c is the same as a distance of sqrt(2 - 2c) at most between unit vectors.
+Equal vectors become one node.  Unit vectors are rotated to their principal axes, laid on a grid with cells of width epsilon
+on the leading axes and sorted by cell (the epsilon grid order).  The sorted sequence is cut into blocks, and blocks into
+intervals that keep a box on the leading axes and a ball on all of them; a pair of blocks is opened only if some pair of their
+intervals may be within epsilon.  Inside it, sequence intervals are halved recursively until they are small or provably too
+far apart.  Cosine >= c is the same as a distance of sqrt(2 - 2c) at most between unit vectors.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from tidemark.llm.common import materialise, table
 from tidemark.llm.components import components
 
 #: Leading axes that make the grid; vectors in a block; vectors of an interval that is not halved further.
-AXES, BLOCK, LEAF = 4, 4096, 512
+AXES, BLOCK, LEAF = 8, 4096, 512
+#: Axes of an interval's box; slack of its single-precision figures.
+BOX, SLACK = 16, 1e-4
 #: Cosines this close to the threshold are computed again, one by one.
 DOUBT = 1e-9
 
@@ -77,7 +80,7 @@ def grid_order(vectors: DataFrame, axes: np.ndarray, eps: float, block: int) ->
                 cell = np.floor(p / eps).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cell), pa.list_(pa.int64()))], names=["id", "x", "p", "cell"])
 
-    placed = materialise(vectors.select("id", "x").mapInArrow(place, "id long, x array<double>, p array<double>, cell array<long>"), "cells")
+    placed = materialise(vectors.select("id", "x").mapInArrow(place, "id long, x array<double>, p array<double>, cell array<long>"), "cells")  # id: any key
     parts = max(1, min(2000, -(-placed.count() // block)))
 
     def number(batches):
@@ -117,21 +120,75 @@ def near_blocks(ranked: DataFrame, eps: float) -> DataFrame:
     return close.select(F.col("a_block").alias("b1"), F.col("b_block").alias("b2")).distinct()
 
 
+def intervals(ranked: DataFrame, axes: np.ndarray) -> DataFrame:
+    """(block, figures): of each ``LEAF`` ranks a box on the leading axes, then centre and radius of a ball, as float32."""
+    lead = min(BOX, axes.shape[1])
+
+    def figures(pdf: pd.DataFrame) -> pd.DataFrame:
+        turned = _unit(np.array(pdf["x"].to_list(), np.float64)) @ axes
+        centre = turned.mean(axis=0)
+        radius = np.sqrt(((turned - centre) ** 2).sum(axis=1)).max()
+        row = np.concatenate((turned[:, :lead].min(axis=0), turned[:, :lead].max(axis=0), centre, [radius])).astype("<f4")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "figures": [row.tobytes()]})
+
+    own = ranked.withColumn("interval", F.floor(F.col("rank") / LEAF)).select("block", "interval", "x")
+    each = own.groupBy("block", "interval").applyInPandas(figures, "block long, figures binary")
+    # at most a block's ranks over LEAF of them, and one more
+    return each.groupBy("block").agg(F.array_join(F.collect_list(F.base64("figures")), " ").alias("figures"))
+
+
+def open_pairs(pairs: DataFrame, summaries: DataFrame, dim: int, eps: float) -> DataFrame:
+    """The pairs (b1, b2) of blocks with some pair of intervals whose boxes and balls are within eps."""
+    lead = min(BOX, dim)
+
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        gap = np.maximum(0, np.maximum(b[None, :, :lead] - a[:, None, lead : 2 * lead], a[:, None, :lead] - b[None, :, lead : 2 * lead]))
+        boxes = (gap * gap).sum(axis=2) <= (eps + SLACK) ** 2
+        apart = np.sqrt(((a[:, None, 2 * lead : -1] - b[None, :, 2 * lead : -1]) ** 2).sum(axis=2))
+        return bool((boxes & (apart <= a[:, None, -1] + b[None, :, -1] + eps + SLACK)).any())
+
+    def keep(batches):
+        import base64
+
+        read = lambda text: np.frombuffer(b"".join(base64.b64decode(x) for x in text.split()), "<f4").reshape(-1, 2 * lead + dim + 1)
+        for pdf in batches:
+            ok = [p == q or near(read(a), read(b)) for p, q, a, b in pdf[["b1", "b2", "f1", "f2"]].itertuples(index=False)]
+            yield pdf.loc[np.array(ok, bool), ["b1", "b2"]]
+
+    f1, f2 = (summaries.select(F.col("block").alias(f"b{i}"), F.col("figures").alias(f"f{i}")) for i in "12")
+    return pairs.join(f1, "b1").join(f2, "b2").select("b1", "b2", "f1", "f2").mapInPandas(keep, "b1 long, b2 long")
+
+
 class _Side:
-    def __init__(self, pdf: pd.DataFrame, axes: np.ndarray):
+    def __init__(self, pdf: pd.DataFrame, axes: np.ndarray, at: int):
         pdf = pdf.sort_values("rank")
-        self.rank, self.raw = pdf["rank"].to_numpy(), np.array(pdf["x"].to_list(), np.float64)
+        self.rank, self.raw, self.copies = pdf["rank"].to_numpy(), np.array(pdf["x"].to_list(), np.float64), pdf["copies"].to_numpy()
+        self.at = at  # place of the first vector in the forest
         self.unit = _unit(self.raw)
         self.turned = self.unit @ axes
         self.links = np.zeros(len(self.rank), np.int64)
 
 
+class _Forest:
+    """Spanning links among numbered vectors."""
+
+    def __init__(self, size: int):
+        self.label, self.edges = np.arange(size), []
+
+    def link(self, x: int, others: np.ndarray) -> None:
+        found, first = np.unique(self.label[others], return_index=True)
+        for root, i in zip(found, first):
+            if root != (own := self.label[x]):
+                self.edges.append((x, int(others[i])))
+                self.label[self.label == root] = own
+
+
 def _boxes_apart(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
     gap = np.maximum(0, np.maximum(b.min(axis=0) - a.max(axis=0), a.min(axis=0) - b.max(axis=0)))
     return float(gap @ gap) > (eps + 1e-9) ** 2
 
 
-def _join(a: _Side, b: _Side, i: slice, j: slice, cosine: float, eps: float, edges: list) -> None:
+def _join(a: _Side, b: _Side, i: slice, j: slice, cosine: float, eps: float, forest: _Forest) -> None:
     """Recursive join of the intervals i of a and j of b; of one side with itself, each pair once."""
     n, m = i.stop - i.start, j.stop - j.start
     if not n or not m or (a is b and i.start > j.start) or _boxes_apart(a.turned[i], b.turned[j], eps):
@@ -141,7 +198,7 @@ def _join(a: _Side, b: _Side, i: slice, j: slice, cosine: float, eps: float, edg
         split = lambda s, k: half(s) if k > LEAF else (s,)
         for x in split(i, n):
             for y in split(j, m):
-                _join(a, b, x, y, cosine, eps, edges)
+                _join(a, b, x, y, cosine, eps, forest)
         return
     sim = a.unit[i] @ b.unit[j].T
     if sim.max() < cosine - DOUBT:
@@ -153,41 +210,23 @@ def _join(a: _Side, b: _Side, i: slice, j: slice, cosine: float, eps: float, edg
     same = a is b and i.start == j.start
     if same:
         np.fill_diagonal(hit, False)
-    rows, cols = np.nonzero(hit)
-    a.links[i] += hit.sum(axis=1)
+    a.links[i] += hit @ b.copies[j]
     if not same:
-        b.links[j] += hit.sum(axis=0)
-    edges.append((a.rank[i][rows], b.rank[j][cols]))
-
-
-def _forest(edges: list) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for u, v in edges:
-        for x, y in zip(u.tolist(), v.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                parent[p] = q
-                out.append((x, y))
-    return out
+        b.links[j] += a.copies[i] @ hit
+    for r in np.flatnonzero(hit.any(axis=1)):
+        forest.link(a.at + i.start + int(r), b.at + j.start + np.flatnonzero(hit[r]))
 
 
 def _worker(axes: np.ndarray, cosine: float, eps: float):
     """Join of two blocks, or of one with itself where the right side is empty: spanning links and counts of links."""
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a = _Side(left, axes)
-        b = _Side(right, axes) if len(right) else a
-        edges: list = []
-        _join(a, b, slice(0, len(a.rank)), slice(0, len(b.rank)), cosine, eps, edges)
-        rows = [(u, v, 0) for u, v in _forest(edges)]
+        a = _Side(left, axes, 0)
+        b = _Side(right, axes, len(left)) if len(right) else a
+        forest = _Forest(len(left) + len(right))
+        _join(a, b, slice(0, len(a.rank)), slice(0, len(b.rank)), cosine, eps, forest)
+        name = np.concatenate((a.rank, b.rank)) if len(right) else a.rank
+        rows = [(int(name[u]), int(name[v]), 0) for u, v in forest.edges]
         for s in (a,) if a is b else (a, b):
             at = np.flatnonzero(s.links)
             rows.extend(zip(s.rank[at].tolist(), s.rank[at].tolist(), s.links[at].tolist()))
@@ -200,29 +239,37 @@ def near_vectors(vectors: DataFrame, id_col: str, vector: str, cosine: float = 0
     """(id, n_links, component_id, kept) per row of ``vectors``; links at a cosine of at least ``cosine``.
 
     Vectors that are null, empty or zero or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths.  Repeated rows are vectors of their own and link with each other; a null id is never a component's
-    id unless all of its vectors lack one.  Only counts and spanning links leave a pair of blocks.
+    different lengths.  Equal vectors (by two 64-bit hashes) are joined once, as one node with a number of copies; repeated
+    rows are vectors of their own and link with each other; a null id is never a component's id unless all of its vectors
+    lack one.  Only counts and spanning links leave a pair of blocks.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
+    key = [F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2")]
     known = usable(vectors, id_col, vector)
     out = known.where("x is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     for dim in sorted(r["dim"] for r in known.where("x is not null").select("dim").distinct().collect()):
         mine = known.where((F.col("dim") == dim) & F.col("x").isNotNull())
-        axes = principal_axes(mine, dim)
-        ranked = materialise(grid_order(mine, axes, eps, block), "ranked")
-        pairs = materialise(near_blocks(ranked, eps), "pairs")
-
-        rows = ranked.select("rank", "block", "x")
+        nodes = mine.select("id", "x", *key).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("x").alias("x"))
+        nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        axes = principal_axes(nodes, dim)
+        order = materialise(grid_order(nodes.select(F.col("node").alias("id"), "x"), axes, eps, block), "ranked")
+        ranked = order.join(nodes.select(F.col("node").alias("id"), "copies"), "id")
+        pairs = open_pairs(near_blocks(order, eps), intervals(order, axes), dim, eps)
+        pairs = materialise(pairs, "pairs")
+
+        rows = ranked.select("rank", "block", "x", "copies")
         left = pairs.join(rows.withColumnRenamed("block", "b1"), "b1")
-        right = pairs.where("b1 < b2").select(F.col("b1").alias("c1"), F.col("b2").alias("c2")).join(rows.select(F.col("block").alias("c2"), F.col("rank").alias("rank"), F.col("x").alias("x")), "c2")
+        other = rows.select(F.col("block").alias("c2"), *[F.col(c).alias(c) for c in ("rank", "x", "copies")])
+        right = pairs.where("b1 < b2").select(F.col("b1").alias("c1"), F.col("b2").alias("c2")).join(other, "c2")
         found = left.groupBy("b1", "b2").cogroup(right.groupBy("c1", "c2")).applyInPandas(_worker(axes, cosine, eps), "u long, v long, links long")
         found = materialise(found, "vector_links")
         roots = components(found.where("u <> v").select("u", "v"))
-        links = found.groupBy(F.col("u").alias("rank")).agg(F.sum("links").alias("n_links"))
-        named = ranked.select("rank", "id").join(links, "rank", "left").join(roots.select(F.col("node").alias("rank"), "root"), "rank", "left")
-        named = named.withColumn("root", F.coalesce("root", "rank"))
-        least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-        out = out.union(named.join(least, "root").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id"))
+        links = found.groupBy(F.col("u").alias("rank")).agg(F.sum("links").alias("others"))
+        named = order.select("rank", F.col("id").alias("node")).join(links, "rank", "left").join(roots.select(F.col("node").alias("rank"), "root"), "rank", "left")
+        named = nodes.drop("x").join(named, "node").withColumn("root", F.coalesce("root", "rank"))
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        told = named.join(least, "root").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        out = out.union(mine.select("id", *key).join(told, ["h1", "h2"]).select("id", "n_links", "component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
