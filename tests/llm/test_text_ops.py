@@ -33,7 +33,30 @@ def test_machine_composes_facts_of_a_clause():
     x = toxicity.features(["you are an idiot", "what scum.", "i will kill you", "they kill time", "you are not an idiot", "he said idiot", "all fine", None, ""], words)
     names = ["one", *toxicity.PATTERNS]
     hits = [[n for n, v in zip(names[1:], row[1:]) if v] for row in x]
-    assert hits == [["directed insult"], ["insult"], ["threat"], ["threat"], ["negated"], ["reported"], [], [], []] or hits[3] in ([], ["threat"])
+    assert hits == [["directed insult"], ["insult"], ["threat"], ["threat"], ["negated"], ["reported"], [], [], []]
+
+
+def test_without_labels_an_aimed_clause_decides_and_a_lone_word_does_not():
+    model = toxicity.Model(toxicity.lexicon(), toxicity.PRIOR)
+    score = lambda t: float(model.score([t])[0])
+    assert score("you are an idiot") > 0.5 and score("i will kill you.") > 0.5
+    assert all(score(t) < 0.5 for t in ("idiot", "the word idiot", "you are not an idiot", "he said idiot", "kill time", "you. idiot."))
+
+
+def test_clauses_beat_a_count_of_listed_words(spark):
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice(["sun", "tree", "walk", "table", "blue", "song"]) for _ in range(n))
+    toxic = ["you are an idiot", "they are scum", "i will hurt you", "you moron"]
+    clean = ["you are not an idiot", "he said you are scum", "reported that he will hurt you", "never a moron", "kill the lights"]
+    rows = [(i, f"{fill(6)}. {rng.choice(toxic if i % 2 else clean)}. {fill(5)}.") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    held = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum((s >= 0.5) == (i % 2 == 1) for (i, _), s in zip(held, model.score([t for _, t in held])))
+    words = {w for w, k in model.words.items() if k in (toxicity.INSULT, toxicity.THREAT)}
+    count = [sum(w in words for w in toxicity.TOKEN.findall(t)) for _, t in held]
+    best = max(sum((c >= k) == (i % 2 == 1) for (i, _), c in zip(held, count)) for k in range(4))
+    assert len(held) > 50 and right == len(held) and best < 0.75 * len(held)
 
 
 def test_negation_reaches_only_a_few_tokens():
@@ -230,9 +253,10 @@ def test_packing_pieces(spark, docs):
     path = packing.default_tokenizer()
     rows = packing.pack_documents(docs, path, window=64, with_ids=True).collect()
     own = Tokenizer.from_file(path)
-    sizes = sorted(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in TEXTS)
-    assert sorted(sum(r["length"] for r in rows if r["start"] == 0 and r["doc_id"] == k) for k in {r["doc_id"] for r in rows})
-    assert sum(r["length"] for r in rows) == sum(sizes)
+    sizes: dict = {}
+    for i, t in TEXTS:
+        sizes[i] = sizes.get(i, 0) + len(own.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {k: sum(r["length"] for r in rows if r["doc_id"] == k) for k in {r["doc_id"] for r in rows}} == sizes
     for r in rows:
         assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     seqs: dict = {}
