@@ -109,6 +109,25 @@ def test_cascade_of_all_or_nothing(spark, listed):
     assert u.where(cascade.contains(F.col("key"))).count() == (50 if listed else 0)
 
 
+def test_long_lists_are_split_and_stay_exact(spark):
+    rng = random.Random(4)
+    keys = [(f"h{rng.randrange(10**9)}", rng.random() < 0.3) for _ in range(4000)]
+    u = spark.createDataFrame([*keys, (None, True), keys[0]], "key string, listed boolean")
+    cascade = urlfilter.build_cascade(u, max_bits=4096)
+    assert len(cascade.parts) >= 3
+    assert u.where("key is not null").where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+
+
+def test_url_filter_edges(spark):
+    pages = spark.createDataFrame([(1, "http://spam-x.io/a"), (1, "http://spam-x.io/a"), (2, None), (3, "http://y.com/en/q"), (4, "http://b.example.com/en/7" + "z" * 50_000), (5, "")], "page_id long, url string")
+    cascade = urlfilter.build_cascade(spark.createDataFrame([("spam-x.io", True), ("y.com", False), ("", False)], "key string, listed boolean"))
+    got = [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in urlfilter.filter_urls(pages, "url", cascade).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "spam-x.io", None, "block")] * 2 + [(2, "", None, "allow"), (3, "y.com", "com/en/", "block"), (4, "b.example.com", "example.com/en/7", "allow"), (5, "", None, "allow")], key=repr)
+    assert urlfilter.filter_urls(pages.limit(0), "url", cascade).count() == 0
+    with pytest.raises(ValueError):
+        urlfilter.filter_urls(pages.withColumn("rule", F.lit(1)), "url", cascade)
+
+
 def test_rules_and_parts(spark):
     rows = [("http://A.Example.com/en/7x?q", "a.example.com", "/en/7x", "example.com/en/7"), ("http://com/en/", "com", "/en/", "com/en/"), ("x://telecom/en/", "telecom", "/en/", None), ("no scheme", "", "", None), (None, "", "", None), ("a://b://c/d#e", "b:", "//c/d", None), ("http://q.net?x/de/", "q.net", "", None)]
     df = spark.createDataFrame([(r[0],) for r in rows], "url string")
