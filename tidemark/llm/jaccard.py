@@ -316,22 +316,32 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int)
     tokens = prefixes.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").repartition("token")
     once = tokens.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     live = materialise(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "matrix")
-    crowded = F.max(F.when(F.col("m") > CROWD, F.struct("m", "token"))).over(Window.partitionBy("node"))
+    top = live.where(F.col("m") > CROWD).groupBy("node").agg(F.max(F.struct("m", "token")).alias("top"), F.first("n").alias("n"))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / GROUP))
-    gid = F.coalesce(F.encode(F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string"), F.length(F.bin("n")).cast("string")), "UTF-8"), F.col("node"))
-    grouped = live.withColumn("top", crowded).withColumn("big", F.col("top").isNotNull()).withColumn("gid", F.when(F.col("big"), gid).otherwise(F.col("node")))
-    groups = materialise(grouped.where("big").select("node", "gid").distinct(), "groups")
-    span = [f(c).alias(n + c) for c in ("n", "pos") for n, f in (("lo_", F.min), ("hi_", F.max))]
-    matrix = grouped.groupBy("token", "gid", "big").agg(*span)
-    # of two single sets or two groups one asks the other, of a set and a group the set asks; who asks is a set that has
-    # the token itself, so a group's other sets are not read for it
-    sets = grouped.select("token", "node", F.col("gid").alias("mine"), F.col("big").alias("in_group"), "n", "pos")
-    turn = F.when(F.col("in_group") == F.col("big"), F.col("mine") < F.col("gid")).otherwise(F.col("big"))
-    compatible = (F.col("n") * den >= F.col("lo_n") * num) & (F.col("hi_n") * den >= F.col("n") * num)
-    # shared tokens: some before this one's place, this one, and what follows it in both
-    room = F.least("pos", "hi_pos") + 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("hi_n") - 1 - F.col("lo_pos"))
-    compatible = compatible & ((num + den) * room >= num * (F.col("n") + F.col("lo_n")))
-    asks = materialise(sets.join(matrix, "token").where(turn & compatible).select("node", "gid").distinct(), "asks")
+    name = F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string"), F.length(F.bin("n")).cast("string"))
+    groups = materialise(top.select("node", F.encode(name, "UTF-8").alias("gid")), "groups")
+
+    def compatible(n, pos, lo_n, hi_n, lo_pos, hi_pos):
+        """Sizes, and room for the overlap: some tokens before this one's place, this one, and what follows it in both."""
+        room = F.least(pos, hi_pos) + 1 + F.least(n - 1 - pos, hi_n - 1 - lo_pos)
+        return (n * den >= lo_n * num) & (hi_n * den >= n * num) & ((num + den) * room >= num * (n + lo_n))
+
+    # a token of few sets: pairs of sets; of two single sets or two groups one asks the other, of a set and a group the set
+    few = live.where(F.col("m") <= CROWD).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "pos"))).alias("sets"))
+    few = few.select("sets", F.posexplode("sets").alias("i", "a")).select("a", F.explode(F.slice("sets", F.col("i") + 2, F.size("sets"))).alias("b"))
+    fits = compatible(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.n"), F.col("b.pos"), F.col("b.pos"))
+    pairs = few.where(fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    for end in "uv":
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("gid").alias(f"g{end}")), end, "left")
+    gu, gv = F.coalesce("gu", "u"), F.coalesce("gv", "v")
+    u_asks = F.when(F.col("gu").isNull() == F.col("gv").isNull(), gu < gv).otherwise(F.col("gu").isNull())
+    asked = pairs.where(gu != gv).select(F.when(u_asks, F.col("u")).otherwise(F.col("v")).alias("node"), F.when(u_asks, gv).otherwise(gu).alias("gid"))
+    # a crowded token: all its sets are in groups; a set that has it asks the groups that have it
+    rows = live.where(F.col("m") > CROWD).join(groups, "node")
+    matrix = rows.groupBy("token", "gid").agg(*[f(c).alias(n + c) for c in ("n", "pos") for n, f in (("lo_", F.min), ("hi_", F.max))])
+    fits = compatible(*[F.col(c) for c in ("n", "pos", "lo_n", "hi_n", "lo_pos", "hi_pos")])
+    crowd = rows.withColumnRenamed("gid", "mine").join(matrix, "token").where((F.col("mine") < F.col("gid")) & fits).select("node", "gid")
+    asks = materialise(asked.union(crowd).distinct(), "asks")
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
     nodes = asks.select("node").union(asks.select(F.col("gid").alias("node"))).union(groups.select("node")).distinct()  # group ids are no nodes
     short = materialise(read_sets(docs, k, nodes, "sketch"), "sketches")
