@@ -1,8 +1,10 @@
 """Toxicity, URL filter, quality, WARC, sharding, packing, decontamination on small tables."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -139,24 +141,98 @@ def test_rules_and_parts(spark):
 # --- quality
 
 
-def test_kneser_ney_sums_to_one_and_orders_texts(spark):
-    trusted = spark.createDataFrame([("en", "the cat sat on the mat. " * 30), ("de", "der hund lief durch den wald. " * 30), (None, "x"), ("en", None)], "lang string, text string")
-    model = quality.fit(trusted)
-    table = {r["lang"]: np.frombuffer(r["logp"], np.float32) for r in model.collect()}
-    assert set(table) == {"en", "de", quality.POOLED}
-    sums = np.exp(table["en"].astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
-    rows = quality.perplexities(spark.createDataFrame([(1, "the mat sat on the cat.", "en"), (2, "%%% ###!! ZZQ", "en"), (3, "", "en"), (4, None, None)], "doc_id long, text string, lang string"), model).collect()
+TRUSTED = [("en", "the cat sat on the mat. " * 30), ("en", "a hat for the cat, a bat for the rat"), ("de", "der hund lief durch den wald. " * 30), (None, "xÄx"), ("en", None), ("fr", "")]
+
+
+def brute_kneser_ney(texts):
+    """probability(gram) under the same model, from plain dictionaries."""
+    n_max, counts = quality.ORDER, {}
+    counts[n_max] = Counter(g for t in texts for g in padded_grams(t))
+    for n in range(n_max - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discounts = {}
+    for n, c in counts.items():
+        have = Counter(c.values())
+        y = have[1] / max(have[1] + 2 * have[2], 1)
+        discounts[n] = [0] + [max(0.05, min(i - 0.05, i - (i + 1) * y * have[i + 1] / max(have[i], 1))) for i in (1, 2, 3)]
+
+    def probability(gram):
+        n = len(gram)
+        lower = probability(gram[1:]) if n > 1 else 1 / 256
+        after = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return lower
+        off = {g: discounts[n][min(c, 3)] for g, c in after.items()}
+        own = after[gram] - off[gram] if gram in after else 0
+        return (own + sum(off.values()) * lower) / sum(after.values())
+
+    return probability
+
+
+def padded_grams(text):
+    raw = b" " * (quality.ORDER - 1) + (text or "").encode()
+    return [raw[i : i + quality.ORDER] for i in range(len(raw) - quality.ORDER + 1)]
+
+
+def test_perplexity_is_that_of_a_brute_force_model(spark):
+    model = quality.fit(spark.createDataFrame(TRUSTED, "lang string, text string"))
+    docs = [(1, "the mat sat on the cat.", "en"), (2, "%%% ###!! ZZQ", "en"), (3, "", "en"), (4, None, None), (5, "der Hund, ÄÖ", "de"), (6, "le chat", "fr"), (7, "x", None), (7, "x", None)]
+    rows = quality.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model).collect()
+    assert len(rows) == len(docs) and {r["text"] for r in rows} == {d[1] for d in docs}
     p = {r["doc_id"]: r["perplexity"] for r in rows}
-    assert p[1] < p[2] and p[3] is None and p[4] is None
+    every = brute_kneser_ney([t for _, t in TRUSTED])
+    for doc, text, lang in docs:
+        if not text:
+            assert p[doc] is None
+            continue
+        mine = [t for k, t in TRUSTED if k == lang and lang]
+        n, own = sum(len((t or "").encode()) for t in mine), brute_kneser_ney(mine)
+        w = n / (n + quality.PRIOR_BYTES)
+        logs = [math.log((w * own(g) if n else 0) + (1 - w) * every(g)) for g in padded_grams(text)]
+        assert math.isclose(p[doc], math.exp(-sum(logs) / len(logs)), rel_tol=1e-9), doc
+    assert p[1] < p[2]
+
+
+def test_kneser_ney_sums_to_one_and_grows(spark):
+    model = quality.fit(spark.createDataFrame(TRUSTED, "lang string, text string"))
+    contexts = [b"the ", b"qqqq", b"    ", b" der"]
+    asked = [(lang, int.from_bytes(c + bytes([i]), "big")) for lang in ("en", "de", quality.POOLED) for c in contexts for i in range(256)]
+    rows = quality.probabilities(spark.createDataFrame(asked, "lang string, code long"), model).collect()
+    sums = Counter()
+    for r in rows:
+        sums[r["lang"], r["code"] >> 8] += math.exp(r["logp"])
+    assert len(sums) == 12 and all(abs(v - 1) < 1e-9 for v in sums.values())
+    more = quality.fit(spark.createDataFrame([*TRUSTED, ("en", "words never seen before")], "lang string, text string"))
+    assert more.count() > model.count()
+
+
+def trusted_corpus(n):
+    rng = random.Random(5)
+    words = [("".join(rng.choice("abcdefgh") for _ in range(4))) for _ in range(60)]
+    good = [(i, " ".join(rng.choice(words) for _ in range(80)), "en" if i % 40 else "xx") for i in range(n)]
+    return good, [(n + i, "".join(rng.choice("QXZ#%&0123 ") for _ in range(300)), "en" if i % 2 else "xx") for i in range(6)]
+
+
+def test_judge_keeps_trusted_like_texts_also_of_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BATCH_TEXT", 2000)  # many batches
+    good, bad = trusted_corpus(200)
+    d = spark.createDataFrame([*good, *bad, (1000, good[3][1] * 200, "en"), (1001, good[5][1], None)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["keep"] for r in quality.judge(d, spark.createDataFrame([(i,) for i, _, _ in good], "doc_id long")).collect()}
+    assert sum(out[i] for i, _, _ in good) >= 196 and not any(out[i] for i, _, _ in bad) and out[1000] and out[1001]
 
 
 def test_judge_edges(spark):
-    d = spark.createDataFrame([(1, "fine text here", "en"), (2, None, "en"), (1, "fine text here", "en"), (None, "fine", None)], "doc_id long, text string, lang string")
-    out = quality.judge(d, spark.createDataFrame([(1,)], "doc_id long")).collect()
-    assert len(out) == 4 and [r["keep"] for r in out if r["doc_id"] == 2] == [False] and all(r["keep"] for r in out if r["doc_id"] == 1)
+    good, _ = trusted_corpus(20)
+    d = spark.createDataFrame([*good, good[1], (100, None, "en"), (101, "", None), (None, good[2][1], None)], "doc_id long, text string, lang string").withColumn("n", F.lit("clash"))
+    out = quality.judge(d, spark.createDataFrame([(i,) for i, _, _ in good] + [(None,)], "doc_id long")).collect()
+    assert len(out) == 24 and all(r["n"] == "clash" for r in out)
+    assert [r["keep"] for r in out if r["doc_id"] in (100, 101)] == [False, False] and len({r["keep"] for r in out if r["doc_id"] == 1}) == 1
     none = quality.judge(d, spark.createDataFrame([], "doc_id long")).collect()
-    assert len(none) == 4 and not any(r["keep"] for r in none)
+    assert len(none) == 24 and not any(r["keep"] or r["perplexity"] for r in none)
+    assert quality.judge(d.limit(0), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
+    for taken in ("perplexity", "threshold", "keep", "_batch"):
+        with pytest.raises(ValueError):
+            quality.judge(d.withColumn(taken, F.lit(1)), spark.createDataFrame([(1,)], "doc_id long"))
 
 
 # --- WARC

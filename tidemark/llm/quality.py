@@ -1,9 +1,12 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams, per language.
-
-Counts of trusted text are sharded over Spark by (language, n-gram); joins of each order's counts with its contexts and
-discounts give the parts of the interpolation.  With 32 symbols and order 4 a language's table has 32**4 entries (4 MB)
-whatever the corpus, so tasks read it whole, and a document's perplexity is a lookup per byte.  A document is kept up
-to a quantile of the trusted documents' perplexities in its language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams, per language.
+
+An n-gram is its bytes packed into a long, so nothing is hashed.  Counts of trusted text are sharded over Spark by
+(language, n-gram) and grow with it; joins of each order's counts with its contexts and discounts give the parts of the
+interpolation.  Documents ask by batches of about 16 MB of text: a batch sends each n-gram once, the distinct n-grams
+meet the count tables of every order in joins, and the answers go back to the batch, where a document's perplexity is
+summed.  No key of these joins is hot: a context has at most 256 successors and an n-gram one request a batch.
+A language's model is mixed with that of all languages by the trusted bytes behind it, and documents are kept up to a
+quantile of trusted documents that were left out of the fit, drawn to the quantile of all languages by their number.
 """
 
 from __future__ import annotations
@@ -13,40 +16,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, slices, small_batches, table, utf8
-
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-#: Trusted documents keep up to this quantile of their own perplexities; a language with fewer of them uses all languages'.
-QUANTILE, MIN_TRUSTED = 0.99, 30
-#: Name of the model and threshold of all languages together.
+from tidemark.llm.common import chunked, materialise, slices, small_batches, table, utf8
+
+#: Bytes of an n-gram; up to 7 fit into a long.
+ORDER = 5
+#: Text of one batch of requests.
+BATCH_TEXT = 16 << 20
+#: Trusted bytes at which a language's own model and the pooled one weigh alike.
+PRIOR_BYTES = 20_000
+#: Left-out trusted documents keep up to this quantile; the pooled quantile counts like so many documents of a language.
+QUANTILE, PRIOR_DOCS = 0.99, 30
+#: One of so many trusted documents is left out of the fit and sets thresholds.
+FOLDS = 5
+#: Bits per byte are compared at so many digits, which bounds the distinct values of a sorted count.
+DIGITS = 3
+#: Name of the model of all languages together; documents without a language use it alone.
 POOLED = "*"
-SPACE = 27
-
-
-def _classes() -> np.ndarray:
-    """Byte -> symbol: 26 letters, then upper case, white space, sentence marks, digits, other ASCII, other bytes."""
-    out = np.full(256, 31, np.uint8)
-    out[:128] = 30
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[[9, 10, 11, 12, 13, 32]] = SPACE
-    out[[ord(c) for c in ".,;:!?"]] = 28
-    out[48:58] = 29
-    return out
 
 
-CLASS = _classes()
+def _low(n: int) -> int:
+    return (1 << 8 * n) - 1
 
 
-def codes(text: bytes) -> np.ndarray:
-    """The n-gram that ends at each byte, white space standing before the text."""
-    s = CLASS[np.frombuffer(text, np.uint8)].astype(np.int32)
-    padded = np.concatenate((np.full(ORDER - 1, SPACE, np.int32), s))
-    out = np.zeros(len(s), np.int32)
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte, blanks standing before each text, and the bytes per text."""
+    pad, sizes = b" " * (ORDER - 1), np.array([len(t) for t in texts], np.int64)
+    buf = np.frombuffer(pad.join([b"", *texts]), np.uint8)
+    n = len(buf) - ORDER + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), sizes
+    out = np.zeros(n, np.int64)
     for j in range(ORDER):
-        out = (out << BITS) | padded[j : j + len(s)]
-    return out
+        out = (out << 8) | buf[j : j + n]
+    across = (np.cumsum(sizes + ORDER - 1)[:-1, None] - np.arange(1, ORDER)).ravel()
+    return np.delete(out, across), sizes
+
+
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of some texts with their counts, a slice of about 1 MB at a time."""
+    parts = [np.unique(grams(texts[s])[0], return_counts=True) for s in chunked(texts)]
+    code, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)]), return_inverse=True)
+    return code, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]), len(code)).astype(np.int64)
 
 
 def count_ngrams(trusted: DataFrame) -> DataFrame:
@@ -55,127 +65,199 @@ def count_ngrams(trusted: DataFrame) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        total: dict[str, np.ndarray] = {}
+        def flush():
+            for lang, texts in held.items():
+                code, c = _distinct(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(c)], names=["lang", "code", "c"])
+
+        held, size = {}, 0
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                mine = total.setdefault(lang if lang is not None else POOLED, np.zeros(SYMBOLS**ORDER, np.int64))
-                code, n = np.unique(codes(text), return_counts=True)
-                mine[code] += n
-        for lang, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "code", "c"])
-
-    parts = trusted.select("lang", "text").mapInArrow(count, "lang string, code int, c long")
-    named = parts.groupBy("lang", "code").agg(F.sum("c").alias("c"))
+                held.setdefault(lang if lang is not None else POOLED, []).append(text)
+                size += len(text)
+                if size > BATCH_TEXT:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    parts = trusted.select("lang", "text").mapInArrow(count, "lang string, code long, c long")
+    named = materialise(parts.groupBy("lang", "code").agg(F.sum("c").alias("c")), "counts")
     pooled = named.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "code", "c")
     return materialise(named.where(F.col("lang") != POOLED).unionByName(pooled), "ngrams")
 
 
 def interpolation_parts(counts: DataFrame) -> DataFrame:
     """(lang, n, kind, code, v): kind ``a`` is an n-gram's discounted share of its context, ``g`` a context's weight of the
-    lower order.  Lower orders count distinct preceding symbols instead of occurrences."""
-    out, level = None, counts
+    lower order, ``s`` (n = 0) a language's bytes.  Lower orders count distinct preceding bytes instead of occurrences."""
+    row = lambda df, n, kind, code, v: df.select("lang", F.lit(n).alias("n"), F.lit(kind).alias("kind"), code.alias("code"), v.cast("double").alias("v"))
+    out, level = row(counts.groupBy("lang").agg(F.sum("c").alias("c")), 0, "s", F.lit(0).cast("long"), F.col("c")), counts
     for n in range(ORDER, 0, -1):
         have = lambda k: F.sum((F.col("c") == k).cast("long")).alias(f"n{k}")
         totals = level.groupBy("lang").agg(*[have(k) for k in (1, 2, 3, 4)])
         share = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
         discount = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * share * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)))).alias(f"d{i}") for i in (1, 2, 3)]
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = level.join(totals.select("lang", *discount), "lang").select("lang", "code", "c", d.alias("d"), F.shiftright("code", BITS).alias("context"))
+        seen = level.join(totals.select("lang", *discount), "lang").select("lang", "code", "c", d.alias("d"), F.shiftright("code", 8).alias("context"))
         contexts = seen.groupBy("lang", "context").agg(F.sum("c").alias("all"), F.sum("d").alias("off"))
-        alpha = seen.join(contexts, ["lang", "context"]).select("lang", F.lit(n).alias("n"), F.lit("a").alias("kind"), "code", ((F.col("c") - F.col("d")) / F.col("all")).alias("v"))
-        gamma = contexts.select("lang", F.lit(n).alias("n"), F.lit("g").alias("kind"), F.col("context").alias("code"), (F.col("off") / F.col("all")).alias("v"))
-        both = alpha.unionByName(gamma)
-        out = both if out is None else out.unionByName(both)
+        alpha = row(seen.join(contexts, ["lang", "context"]), n, "a", F.col("code"), (F.col("c") - F.col("d")) / F.col("all"))
+        out = out.unionByName(alpha).unionByName(row(contexts, n, "g", F.col("context"), F.col("off") / F.col("all")))
         if n > 1:
-            level = materialise(level.groupBy("lang", F.col("code").bitwiseAND(F.lit(SYMBOLS ** (n - 1) - 1)).alias("code")).agg(F.count("*").alias("c")), f"order{n - 1}")
+            level = materialise(level.groupBy("lang", F.col("code").bitwiseAND(F.lit(_low(n - 1))).alias("code")).agg(F.count("*").alias("c")), f"order{n - 1}")
     return out
 
 
-def assemble(pdf):
-    """One language's log probabilities of every n-gram's last symbol, from its rows of ``interpolation_parts``."""
-    import pandas as pd
+def fit(trusted: DataFrame) -> DataFrame:
+    """Model of (lang, text) as a table of ``interpolation_parts`` in the shared folder; nulls and empty texts count nothing,
+    a null language only in the pooled model.  The table grows with the distinct n-grams of the trusted text."""
+    return materialise(interpolation_parts(count_ngrams(trusted)), "model", partition_by=["n", "kind"])
+
+
+def probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(lang, code, logp): natural log of the probability of each n-gram's last byte after the others.
 
-    by = {key: rows for key, rows in pdf.groupby(["n", "kind"])}
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    ``asked`` holds distinct (lang, code).  Every order is three joins, of its n-grams, its contexts and the order below;
+    ``logp`` is null where the model has no text at all.
+    """
+    part = lambda n, kind, code, v: model.where((F.col("n") == n) & (F.col("kind") == kind)).select("lang", F.col("code").alias(code), F.col("v").alias(v))
+    levels = {ORDER: asked.unionByName(asked.select(F.lit(POOLED).alias("lang"), "code")).distinct()}
+    for n in range(ORDER - 1, 0, -1):
+        levels[n] = levels[n + 1].select("lang", F.col("code").bitwiseAND(F.lit(_low(n))).alias("code")).distinct()
+    p = None
     for n in range(1, ORDER + 1):
-        gamma, alpha = np.ones(SYMBOLS ** (n - 1)), np.zeros(SYMBOLS**n)
-        for kind, array in (("g", gamma), ("a", alpha)):
-            if (rows := by.get((n, kind))) is not None:
-                array[rows["code"].to_numpy()] = rows["v"].to_numpy()
-        lower = np.tile(p, SYMBOLS) if n > 1 else p  # P(w | shorter context) for every context
-        p = alpha + np.repeat(gamma, SYMBOLS) * lower
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "logp": [np.log(p).astype(np.float32).tobytes()]})
+        q = levels[n].withColumn("context", F.shiftright("code", 8)).withColumn("tail", F.col("code").bitwiseAND(F.lit(_low(n - 1))))
+        q = q.join(part(n, "a", "code", "a"), ["lang", "code"], "left").join(part(n, "g", "context", "g"), ["lang", "context"], "left")
+        if p is None:  # a language without any text stays null
+            q = q.withColumn("p", F.coalesce("a", F.lit(0.0)) + F.col("g") / 256)
+        else:
+            q = q.join(p.withColumnsRenamed({"code": "tail", "p": "lower"}), ["lang", "tail"])
+            q = q.withColumn("p", F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("lower"))
+        p = q.select("lang", "code", "p")
+    weight = F.coalesce(F.col("bytes") / (F.col("bytes") + PRIOR_BYTES), F.lit(0.0))
+    sizes = model.where("n = 0").select("lang", F.col("v").alias("bytes"))
+    pooled = p.where(F.col("lang") == POOLED).select("code", F.col("p").alias("all"))
+    mixed = asked.join(p, ["lang", "code"]).join(pooled, "code").join(sizes, "lang", "left")
+    return mixed.select("lang", "code", F.log(F.coalesce(weight * F.col("p"), F.lit(0.0)) + (1 - weight) * F.col("all")).alias("logp"))
+
+
+def _refuse(df: DataFrame, *names: str) -> None:
+    taken = [c for c in df.columns if c.lower() in names]
+    if taken:
+        raise ValueError(f"columns of the operator are in use: {taken}")
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """``docs`` written with ``_batch``, which numbers neighbouring rows of about BATCH_TEXT bytes.  Rows are told apart by
+    place, so equal rows spread like any others."""
+    _refuse(docs, "perplexity", "_batch")
+    small_batches(docs.sparkSession)
+    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("_batch", T.LongType())])
+
+    def number(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
+        mine, size = TaskContext.get().partitionId() << 32, 0
+        for b in slices(batches):
+            upto = size + np.cumsum([len(t) for t in utf8(b.column(at))], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mine + upto // BATCH_TEXT)], names=schema.names)
+            size = int(upto[-1])
 
-def fit(trusted: DataFrame) -> DataFrame:
-    """Model of (lang, text) as a table (lang, logp) in the shared folder; nulls and empty texts count nothing, a null
-    language only in the pooled model.
+    return materialise(docs.mapInArrow(number, schema), "batches", compression="zstd")
 
-    A language's parts are at most ``SYMBOLS**ORDER`` rows and its table has 4 MB, whatever the corpus.
-    """
-    return materialise(interpolation_parts(count_ngrams(trusted)).groupBy("lang").applyInPandas(assemble, "lang string, logp binary"), "model")
 
+def requests(batched: DataFrame) -> DataFrame:
+    """Distinct (_batch, lang, code) of a table of ``in_batches``; pre-aggregated where a batch's rows are neighbours."""
 
-_loaded: dict[str, dict[str, np.ndarray]] = {}
+    def ask(batches):
+        import pyarrow as pa
 
+        def flush():
+            for lang, texts in held.items():
+                code, _ = _distinct(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(code), pa.int64()), pa.array([lang] * len(code), pa.string()), pa.array(code)], names=["_batch", "lang", "code"])
 
-def load_model(uri: str) -> dict[str, np.ndarray]:
-    """A written model, read by the task itself and kept in its Python worker until another one is asked for."""
-    if uri not in _loaded:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
+        held, at = {}, None
+        for b in slices(batches):
+            for batch, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
+                if batch != at:
+                    yield from flush()
+                    held, at = {}, batch
+                held.setdefault(lang if lang is not None else POOLED, []).append(text)
+        yield from flush()
 
-        _loaded.clear()
-        store, path = fs.FileSystem.from_uri(uri)
-        model = {}
-        for f in store.get_file_info(fs.FileSelector(path)):
-            if f.path.endswith(".parquet"):
-                rows = pq.read_table(f.path, filesystem=store)
-                model |= {k: np.frombuffer(v, np.float32) for k, v in zip(rows["lang"].to_pylist(), rows["logp"].to_pylist())}
-        _loaded[uri] = model
-    return _loaded[uri]
+    asked = batched.select("_batch", "lang", "text").mapInArrow(ask, "_batch long, lang string, code long")
+    return materialise(asked.distinct(), "requests")
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs`` with perplexity; null for null and empty texts (and for all, without any trusted text)."""
-    small_batches(docs.sparkSession)
-    files = model.inputFiles()
-    uri = files[0].rsplit("/", 1)[0] if files else None
-    at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
-    schema = T.StructType([*docs.schema.fields, T.StructField("perplexity", T.DoubleType())])
+def perplexities(docs: DataFrame, model: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``docs`` with perplexity, on request without the text; null for null and empty texts (and for all, without any
+    trusted text).  Columns called perplexity or _batch are refused."""
+    return _score(in_batches(docs), model, keep_text)
 
-    def score(batches):
+
+def _score(batched: DataFrame, model: DataFrame, keep_text: bool = True) -> DataFrame:
+    asked = requests(batched)
+    answers = asked.join(probabilities(asked.select("lang", "code").distinct(), model), ["lang", "code"]).select("_batch", "lang", "code", "logp")
+    kept = [f for f in batched.schema.fields if f.name != "_batch" and (keep_text or f.name != "text")]
+    schema = T.StructType([*kept, T.StructField("perplexity", T.DoubleType())])
+
+    def score(docs, answers):
         import pyarrow as pa
 
-        models = load_model(uri) if uri else {}
-        fallback = models.get(POOLED)
-        for b in slices(batches):
-            texts, langs, out = utf8(b.column(at)), b.column(lang_at).to_pylist(), []
-            for lang, text in zip(langs, texts):
-                logp = models.get(lang, fallback)
-                out.append(float(np.exp(-np.mean(logp[codes(text)], dtype=np.float64))) if text and logp is not None else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=schema.names)
+        langs = np.array([x if x is not None else POOLED for x in docs["lang"].to_pylist()], object)
+        known = np.array(answers["lang"].to_pylist(), object)
+        code, logp = answers["code"].to_numpy(), answers["logp"].to_numpy()
+        texts, out = utf8(docs["text"]), np.full(len(langs), np.nan)
+        for lang in set(langs):
+            rows, mine = np.flatnonzero(langs == lang), np.flatnonzero(known == lang)
+            mine = mine[np.argsort(code[mine])]
+            own = [texts[i] for i in rows]
+            for s in chunked(own):
+                ends, sizes = grams(own[s])
+                total = np.concatenate(([0.0], np.cumsum(logp[mine][np.searchsorted(code[mine], ends)] if len(ends) else [])))
+                upto = np.cumsum(sizes)
+                some = sizes > 0
+                out[rows[s][some]] = np.exp(-(total[upto] - total[upto - sizes])[some] / sizes[some])
+        scores = pa.array(out, pa.float64(), mask=np.isnan(out))
+        return pa.Table.from_arrays([*(docs[f.name] for f in kept), scores], names=schema.names)
+
+    return batched.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(score, schema)
+
+
+def _quantile(values: DataFrame, by: str, q: float) -> DataFrame:
+    """(by, n, cut): the least value with a share of ``q`` at or below it, exact over the rounded ``bits``."""
+    from pyspark.sql import Window
 
-    return docs.mapInArrow(score, schema)
+    counted = values.groupBy(by, "bits").agg(F.count("*").alias("c"))
+    here = Window.partitionBy(by)
+    ranked = counted.withColumn("upto", F.sum("c").over(here.orderBy("bits"))).withColumn("n", F.sum("c").over(here))
+    return ranked.where(F.col("upto") >= q * F.col("n")).groupBy(by).agg(F.first("n").alias("n"), F.min("bits").alias("cut"))
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` (doc_id, text, lang) with perplexity, threshold and keep (perplexity up to the threshold of its language).
+    """``docs`` (doc_id, text, lang) without the text, with perplexity, threshold and keep.
 
-    Texts without a character are not kept; repeated rows are judged alike; without trusted rows nothing is kept.
+    Trusted documents whose crc32(doc_id) mod FOLDS is 0 are left out of the fit and set thresholds: a language's quantile
+    of bits per byte, averaged with the quantile of all languages by n to PRIOR_DOCS, at every n from none up.
+    Null and empty texts are not kept; repeated rows are judged alike; nothing is kept without trusted rows on both sides.
+    Columns called perplexity, threshold, keep, _batch, _lang, _n or _cut are refused.
     """
-    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    # a shuffled join at every size: the labelled ids grow with the corpus
-    model = fit(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
-    scored = materialise(perplexities(docs, model).drop("text"), "perplexities")
-    mine = scored.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    cut = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    by_lang = mine.groupBy("lang").agg(cut, F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED).select(F.col("lang").alias("_lang"), "threshold")
-    pooled = mine.agg(cut).first()["threshold"]
-    joined = scored.join(by_lang, F.col("lang") == F.col("_lang"), "left").drop("_lang")
-    judged = joined.withColumn("threshold", F.coalesce("threshold", F.lit(pooled).cast("double")))
-    return judged.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
+    _refuse(docs, "threshold", "keep", "_lang", "_n", "_cut")
+    batched = in_batches(docs)
+    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()  # sent to tasks while Spark finds it small
+    left_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
+    model = fit(batched.join(ids.where(~left_out), "doc_id", "left_semi"))
+    scored = materialise(_score(batched, model, keep_text=False), "perplexities")
+    mine = scored.join(ids.where(left_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    bits = materialise(mine.select("lang", F.lit(0).alias("every"), F.round(F.log2("perplexity"), DIGITS).alias("bits")), "left-out")
+    pooled = _quantile(bits, "every", quantile).first()
+    common = F.lit(pooled["cut"] if pooled else None).cast("double")
+    own = _quantile(bits.where("lang IS NOT NULL"), "lang", quantile).select(F.col("lang").alias("_lang"), F.col("n").alias("_n"), F.col("cut").alias("_cut"))
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    cut = F.round((n * F.coalesce("_cut", F.lit(0.0)) + PRIOR_DOCS * common) / (n + PRIOR_DOCS), DIGITS)
+    joined = scored.join(own, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", F.pow(F.lit(2.0), cut))
+    keep = F.coalesce(F.round(F.log2("perplexity"), DIGITS) <= cut, F.lit(False))
+    return joined.withColumn("keep", keep).drop("_lang", "_n", "_cut")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
