@@ -11,12 +11,14 @@ quantile of trusted documents that were left out of the fit, drawn to the quanti
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import chunked, materialise, slices, small_batches, table, utf8
+from tidemark.llm.common import chunked, discard, materialise, slices, small_batches, table, utf8
 
 #: Bytes of an n-gram; up to 7 fit into a long.
 ORDER = 5
@@ -83,60 +85,75 @@ def count_ngrams(trusted: DataFrame) -> DataFrame:
     parts = trusted.select("lang", "text").mapInArrow(count, "lang string, code long, c long")
     named = materialise(parts.groupBy("lang", "code").agg(F.sum("c").alias("c")), "counts")
     pooled = named.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "code", "c")
-    return materialise(named.where(F.col("lang") != POOLED).unionByName(pooled), "ngrams")
+    counts = materialise(named.where(F.col("lang") != POOLED).unionByName(pooled), "ngrams")
+    discard(named)
+    return counts
 
 
-def interpolation_parts(counts: DataFrame) -> DataFrame:
-    """(lang, n, kind, code, v): kind ``a`` is an n-gram's discounted share of its context, ``g`` a context's weight of the
-    lower order, ``s`` (n = 0) a language's bytes.  Lower orders count distinct preceding bytes instead of occurrences."""
-    row = lambda df, n, kind, code, v: df.select("lang", F.lit(n).alias("n"), F.lit(kind).alias("kind"), code.alias("code"), v.cast("double").alias("v"))
-    out, level = row(counts.groupBy("lang").agg(F.sum("c").alias("c")), 0, "s", F.lit(0).cast("long"), F.col("c")), counts
-    for n in range(ORDER, 0, -1):
+class Model(NamedTuple):
+    """Tables in the shared folder: per order the probabilities of seen n-grams (lang, code, p) and the weight that their
+    contexts leave to the lower order (lang, context, g); the trusted bytes of each language."""
+
+    seen: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    sizes: DataFrame
+
+
+def interpolate(counts: DataFrame) -> Model:
+    """Model of (lang, code, c).  Lower orders count distinct preceding bytes instead of occurrences; the end of a seen
+    n-gram is seen in the lower order, so an order is one join with its contexts and one with the order below."""
+    sizes = materialise(counts.groupBy("lang").agg(F.sum("c").cast("double").alias("bytes")), "sizes")
+    levels, seen, contexts = {ORDER: counts}, {}, {}
+    for n in range(ORDER - 1, 0, -1):
+        levels[n] = materialise(levels[n + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(_low(n))).alias("code")).agg(F.count("*").alias("c")), f"order{n}")
+    for n in range(1, ORDER + 1):
         have = lambda k: F.sum((F.col("c") == k).cast("long")).alias(f"n{k}")
-        totals = level.groupBy("lang").agg(*[have(k) for k in (1, 2, 3, 4)])
+        totals = levels[n].groupBy("lang").agg(*[have(k) for k in (1, 2, 3, 4)])
         share = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
         discount = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * share * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1)))).alias(f"d{i}") for i in (1, 2, 3)]
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = level.join(totals.select("lang", *discount), "lang").select("lang", "code", "c", d.alias("d"), F.shiftright("code", 8).alias("context"))
-        contexts = seen.groupBy("lang", "context").agg(F.sum("c").alias("all"), F.sum("d").alias("off"))
-        alpha = row(seen.join(contexts, ["lang", "context"]), n, "a", F.col("code"), (F.col("c") - F.col("d")) / F.col("all"))
-        out = out.unionByName(alpha).unionByName(row(contexts, n, "g", F.col("context"), F.col("off") / F.col("all")))
-        if n > 1:
-            level = materialise(level.groupBy("lang", F.col("code").bitwiseAND(F.lit(_low(n - 1))).alias("code")).agg(F.count("*").alias("c")), f"order{n - 1}")
-    return out
+        rows = levels[n].join(totals.select("lang", *discount), "lang").select("lang", "code", "c", d.alias("d"), F.shiftright("code", 8).alias("context"))
+        left = rows.groupBy("lang", "context").agg(F.sum("c").alias("all"), F.sum("d").alias("off"))
+        parts = rows.join(left, ["lang", "context"])
+        if n == 1:
+            parts = parts.withColumn("lower", F.lit(1 / 256))
+        else:
+            below = seen[n - 1].select("lang", F.col("code").alias("tail"), F.col("p").alias("lower"))
+            parts = parts.withColumn("tail", F.col("code").bitwiseAND(F.lit(_low(n - 1)))).join(below, ["lang", "tail"])
+        seen[n] = materialise(parts.select("lang", "code", ((F.col("c") - F.col("d") + F.col("off") * F.col("lower")) / F.col("all")).alias("p")), f"seen{n}")
+        contexts[n] = materialise(left.select("lang", "context", (F.col("off") / F.col("all")).alias("g")), f"contexts{n}")
+    discard(*levels.values())
+    return Model(seen, contexts, sizes)
 
 
-def fit(trusted: DataFrame) -> DataFrame:
-    """Model of (lang, text) as a table of ``interpolation_parts`` in the shared folder; nulls and empty texts count nothing,
-    a null language only in the pooled model.  The table grows with the distinct n-grams of the trusted text."""
-    return materialise(interpolation_parts(count_ngrams(trusted)), "model", partition_by=["n", "kind"])
+def fit(trusted: DataFrame) -> Model:
+    """Model of (lang, text); nulls and empty texts count nothing, a null language only in the pooled model.  Its tables grow
+    with the distinct n-grams of the trusted text."""
+    return interpolate(count_ngrams(trusted))
 
 
-def probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
+def probabilities(asked: DataFrame, model: Model) -> DataFrame:
     """(lang, code, logp): natural log of the probability of each n-gram's last byte after the others.
 
-    ``asked`` holds distinct (lang, code).  Every order is three joins, of its n-grams, its contexts and the order below;
-    ``logp`` is null where the model has no text at all.
+    ``asked`` holds distinct (lang, code).  An n-gram ends at the longest order that has seen it; only those an order has not
+    seen go on to its contexts and to the order below.  ``logp`` is null where the model has no text at all.
     """
-    part = lambda n, kind, code, v: model.where((F.col("n") == n) & (F.col("kind") == kind)).select("lang", F.col("code").alias(code), F.col("v").alias(v))
-    levels = {ORDER: asked.unionByName(asked.select(F.lit(POOLED).alias("lang"), "code")).distinct()}
-    for n in range(ORDER - 1, 0, -1):
-        levels[n] = levels[n + 1].select("lang", F.col("code").bitwiseAND(F.lit(_low(n))).alias("code")).distinct()
-    p = None
-    for n in range(1, ORDER + 1):
-        q = levels[n].withColumn("context", F.shiftright("code", 8)).withColumn("tail", F.col("code").bitwiseAND(F.lit(_low(n - 1))))
-        q = q.join(part(n, "a", "code", "a"), ["lang", "code"], "left").join(part(n, "g", "context", "g"), ["lang", "context"], "left")
-        if p is None:  # a language without any text stays null
-            q = q.withColumn("p", F.coalesce("a", F.lit(0.0)) + F.col("g") / 256)
-        else:
-            q = q.join(p.withColumnsRenamed({"code": "tail", "p": "lower"}), ["lang", "tail"])
-            q = q.withColumn("p", F.coalesce("a", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("lower"))
-        p = q.select("lang", "code", "p")
-    weight = F.coalesce(F.col("bytes") / (F.col("bytes") + PRIOR_BYTES), F.lit(0.0))
-    sizes = model.where("n = 0").select("lang", F.col("v").alias("bytes"))
+    rest = asked.unionByName(asked.select(F.lit(POOLED).alias("lang"), "code")).distinct().withColumn("weight", F.lit(1.0))
+    found = None
+    for n in range(ORDER, 0, -1):
+        end = F.col("code").bitwiseAND(F.lit(_low(n)))
+        seen = model.seen[n].select("lang", F.col("code").alias("end"), "p")
+        step = materialise(rest.withColumn("end", end).join(seen, ["lang", "end"], "left").select("lang", "code", "weight", "p"), f"asked{n}")
+        hits = step.where("p IS NOT NULL").select("lang", "code", (F.col("weight") * F.col("p")).alias("p"))
+        found = hits if found is None else found.unionByName(hits)
+        missed = step.where("p IS NULL").withColumn("context", F.shiftright(end, 8)).join(model.contexts[n], ["lang", "context"], "left")
+        left = F.coalesce("g", F.lit(1.0)) if n > 1 else F.col("g") / 256  # null for a language without any text
+        rest = missed.select("lang", "code", (F.col("weight") * left).alias("weight"))
+    p = found.unionByName(rest.withColumnRenamed("weight", "p"))
+    own = F.coalesce(F.col("bytes") / (F.col("bytes") + PRIOR_BYTES), F.lit(0.0))
     pooled = p.where(F.col("lang") == POOLED).select("code", F.col("p").alias("all"))
-    mixed = asked.join(p, ["lang", "code"]).join(pooled, "code").join(sizes, "lang", "left")
-    return mixed.select("lang", "code", F.log(F.coalesce(weight * F.col("p"), F.lit(0.0)) + (1 - weight) * F.col("all")).alias("logp"))
+    mixed = p.join(pooled, "code").join(model.sizes, "lang", "left")
+    return mixed.select("lang", "code", F.log(F.coalesce(own * F.col("p"), F.lit(0.0)) + (1 - own) * F.col("all")).alias("logp"))
 
 
 def _refuse(df: DataFrame, *names: str) -> None:
@@ -166,7 +183,8 @@ def in_batches(docs: DataFrame) -> DataFrame:
 
 
 def requests(batched: DataFrame) -> DataFrame:
-    """Distinct (_batch, lang, code) of a table of ``in_batches``; pre-aggregated where a batch's rows are neighbours."""
+    """(_batch, lang, code) that the texts of a table of ``in_batches`` need: once for neighbouring rows of a batch, and again
+    only where two tasks read parts of it."""
 
     def ask(batches):
         import pyarrow as pa
@@ -186,16 +204,16 @@ def requests(batched: DataFrame) -> DataFrame:
         yield from flush()
 
     asked = batched.select("_batch", "lang", "text").mapInArrow(ask, "_batch long, lang string, code long")
-    return materialise(asked.distinct(), "requests")
+    return materialise(asked, "requests")
 
 
-def perplexities(docs: DataFrame, model: DataFrame, keep_text: bool = True) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     """``docs`` with perplexity, on request without the text; null for null and empty texts (and for all, without any
     trusted text).  Columns called perplexity or _batch are refused."""
     return _score(in_batches(docs), model, keep_text)
 
 
-def _score(batched: DataFrame, model: DataFrame, keep_text: bool = True) -> DataFrame:
+def _score(batched: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     asked = requests(batched)
     answers = asked.join(probabilities(asked.select("lang", "code").distinct(), model), ["lang", "code"]).select("_batch", "lang", "code", "logp")
     kept = [f for f in batched.schema.fields if f.name != "_batch" and (keep_text or f.name != "text")]
