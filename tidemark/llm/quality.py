@@ -32,6 +32,8 @@ QUANTILE, PRIOR_DOCS = 0.99, 30
 FOLDS = 5
 #: Bits per byte are compared at so many digits, which bounds the distinct values of a sorted count.
 DIGITS = 3
+#: Trusted ids that may be broadcast (4 MB of longs).
+MAX_SENT = 500_000
 #: Name of the model of all languages together; documents without a language use it alone.
 POOLED = "*"
 
@@ -216,30 +218,54 @@ def perplexities(docs: DataFrame, model: Model, keep_text: bool = True) -> DataF
 def _score(batched: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     asked = requests(batched)
     answers = asked.join(probabilities(asked.select("lang", "code").distinct(), model), ["lang", "code"]).select("_batch", "lang", "code", "logp")
-    kept = [f for f in batched.schema.fields if f.name != "_batch" and (keep_text or f.name != "text")]
-    schema = T.StructType([*kept, T.StructField("perplexity", T.DoubleType())])
+    kept = [f.name for f in batched.schema.fields if f.name != "_batch" and (keep_text or f.name != "text")]
+    schema = T.StructType([*(batched.schema[c] for c in kept), T.StructField("perplexity", T.DoubleType())])
+    at = batched.columns.index("_batch")
 
-    def score(docs, answers):
+    def pack(batches):  # rows of a batch travel as compressed Arrow streams: a shuffle of plain texts is as large as they are
+        import pyarrow as pa
+
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for b in slices(batches):
+            ids = b.column(at).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
+            for i, j in zip(edges[:-1], edges[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                    out.write_batch(b.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_batch", "rows"])
+
+    def score(packed, answers):
         import pyarrow as pa
 
-        langs = np.array([x if x is not None else POOLED for x in docs["lang"].to_pylist()], object)
         known = np.array(answers["lang"].to_pylist(), object)
         code, logp = answers["code"].to_numpy(), answers["logp"].to_numpy()
-        texts, out = utf8(docs["text"]), np.full(len(langs), np.nan)
-        for lang in set(langs):
-            rows, mine = np.flatnonzero(langs == lang), np.flatnonzero(known == lang)
+        tables = {}
+        for lang in set(known):
+            mine = np.flatnonzero(known == lang)
             mine = mine[np.argsort(code[mine])]
-            own = [texts[i] for i in rows]
-            for s in chunked(own):
-                ends, sizes = grams(own[s])
-                total = np.concatenate(([0.0], np.cumsum(logp[mine][np.searchsorted(code[mine], ends)] if len(ends) else [])))
-                upto = np.cumsum(sizes)
-                some = sizes > 0
-                out[rows[s][some]] = np.exp(-(total[upto] - total[upto - sizes])[some] / sizes[some])
-        scores = pa.array(out, pa.float64(), mask=np.isnan(out))
-        return pa.Table.from_arrays([*(docs[f.name] for f in kept), scores], names=schema.names)
-
-    return batched.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(score, schema)
+            tables[lang] = code[mine], logp[mine]
+        scored = []
+        for stream in packed["rows"]:
+            docs = pa.ipc.open_stream(stream.as_buffer()).read_all()
+            langs = np.array([x if x is not None else POOLED for x in docs["lang"].to_pylist()], object)
+            texts, out = utf8(docs["text"]), np.full(len(langs), np.nan)
+            for lang in set(langs):
+                rows = np.flatnonzero(langs == lang)
+                own = [texts[i] for i in rows]
+                for s in chunked(own):
+                    ends, sizes = grams(own[s])
+                    if len(ends):
+                        codes, logs = tables[lang]
+                        total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(codes, ends)])))
+                        upto, some = np.cumsum(sizes), sizes > 0
+                        out[rows[s][some]] = np.exp(-(total[upto] - total[upto - sizes])[some] / sizes[some])
+            scores = pa.array(out, pa.float64(), mask=np.isnan(out))
+            scored.append(pa.Table.from_arrays([*(docs[c] for c in kept), scores], names=schema.names))
+        return pa.concat_tables(scored)
+
+    packed = batched.mapInArrow(pack, "_batch long, rows binary")
+    return packed.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(score, schema)
 
 
 def _quantile(values: DataFrame, by: str, q: float) -> DataFrame:
@@ -262,7 +288,9 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -
     """
     _refuse(docs, "threshold", "keep", "_lang", "_n", "_cut")
     batched = in_batches(docs)
-    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()  # sent to tasks while Spark finds it small
+    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    # up to MAX_SENT ids are sent to the texts; beyond it both sides are shuffled
+    ids = ids.hint("broadcast" if ids.count() <= MAX_SENT else "merge")
     left_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
     model = fit(batched.join(ids.where(~left_out), "doc_id", "left_semi"))
     scored = materialise(_score(batched, model, keep_text=False), "perplexities")
