@@ -456,10 +456,11 @@ def test_quarterly_panel(spark):
 
 def test_stream_folds_like_a_full_build(spark, tmp_path):
     from tidemark.operators.temporal import vintage_chain
-    from tidemark.streaming.fold import current_chain, fold_stream
+    from tidemark.streaming.fold import current_chain, fold_stream, superseded
 
     schema = "adsh string, cik int, value double, known_at date, tradable_from date"
-    batches = [[("a", 1, 1.0, D(2024, 1, 1), D(2024, 1, 1)), ("b", 2, 5.0, D(2024, 1, 1), D(2024, 1, 1))], [("c", 1, 3.0, D(2024, 3, 1), D(2024, 3, 1))], [("d", 1, 2.0, D(2024, 2, 1), D(2024, 2, 1))]]
+    others = [("b", k, 5.0, D(2024, 1, 1), D(2024, 1, 1)) for k in [None, *range(2, 12)]]
+    batches = [[("a", 1, 1.0, D(2024, 1, 1), D(2024, 1, 1)), *others], [("c", 1, 3.0, D(2024, 3, 1), D(2024, 3, 1))], [("d", 1, 2.0, D(2024, 2, 1), D(2024, 2, 1))]]
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
@@ -467,6 +468,11 @@ def test_stream_folds_like_a_full_build(spark, tmp_path):
     full = vintage_chain(spark.createDataFrame([r for b in batches for r in b], schema), ["cik"])
     got = current_chain(spark, str(tmp_path / "out")).select(*full.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, full.collect()))
+    folders = [sorted(p.name for p in (tmp_path / "out" / "data" / f"version={n}").glob("bucket=*")) for n in range(3)]
+    assert len(folders[0]) == 4 and len(folders[1]) == 1 and folders[1] == folders[2]
+    out = str(tmp_path / "out")
+    assert superseded(spark, out, keep=1) == [f"{out}/data/version={n}/{folders[1][0]}" for n in (0, 1)]
+    assert superseded(spark, out, keep=3) == []
 
 
 def test_every_query_has_the_columns_of_its_sql():
