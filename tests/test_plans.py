@@ -475,6 +475,20 @@ def test_stream_folds_like_a_full_build(spark, tmp_path):
     assert superseded(spark, out, keep=3) == []
 
 
+def test_values_by_ticker_and_screen(spark):
+    from tidemark.plans import concepts
+
+    values = spark.createDataFrame([(1, "sales", 5.0), (2, "sales", 7.0), (3, "sales", 7.0), (4, "sales", None), (1, "cost", 9.0)], "cik int, concept string, value double")
+    holders = spark.createDataFrame([("AA", 1), ("b.b", 2)], "ticker string, cik int")
+    got = concepts.by_ticker(values, holders, ["aa ", "B-B"])
+    assert sorted((r["ticker"], r["concept"], r["value"]) for r in got.collect()) == [("AA", "cost", 9.0), ("AA", "sales", 5.0), ("B-B", "sales", 7.0)]
+    assert concepts.by_ticker(values, holders, []).count() == 0 and concepts.by_ticker(values, holders).count() == 3
+    with pytest.raises(LookupError, match="ZZ"):
+        concepts.by_ticker(values, holders, ["AA", "zz"])
+    assert [r["cik"] for r in concepts.top_screen(values, "sales", 2).collect()] == [2, 3]
+    assert [r["cik"] for r in concepts.top_screen(values, "sales").collect()] == [2, 3, 1]
+
+
 def test_every_query_has_the_columns_of_its_sql():
     import __spark_entry__ as entry
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import industry_in, industry_scope
+from tidemark.functions.scalars import industry_in, industry_scope, norm_ticker
 from tidemark.operators.rel import first_per_group, top_k_per_group, union_prefer
 from tidemark.operators.temporal import asof_pred, shift_sessions
 from tidemark.plans.concept_config import ConceptConfig
@@ -152,3 +152,24 @@ def aliased_billions(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Annual facts under their reporting aliases (metric_alias, tag), in billions."""
     rows = facts.where((F.col("qtrs").isin(0, 4)) & (F.col("uom") == "USD")).join(F.broadcast(aliases), "tag")
     return rows.select("cik", "metric_alias", "value_date", (F.col("value") / 1e9).alias("value_billions"), "tradable_from")
+
+
+def by_ticker(values: DataFrame, holders: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Values with the ticker of their company; ``holders`` has (ticker, cik), a company a ticker, today's or a past day's.
+
+    With ``wanted`` only those tickers' rows; a wanted ticker that no company holds raises LookupError.
+    """
+    held = holders.select(norm_ticker(F.col("ticker")).alias("ticker"), "cik")
+    if wanted is not None:
+        names = values.sparkSession.createDataFrame([(w,) for w in wanted], "ticker string").select(norm_ticker(F.col("ticker")).alias("ticker")).distinct()
+        unknown = sorted(r["ticker"] for r in names.join(held, "ticker", "left_anti").collect())
+        if unknown:
+            raise LookupError(f"no company holds {', '.join(unknown)}")
+        held = held.join(names, "ticker", "left_semi")
+    return values.join(held, "cik")
+
+
+def top_screen(values: DataFrame, concept: str, n: int = 10, ties: tuple[str, ...] = ("cik",)) -> DataFrame:
+    """The ``n`` largest values of a concept; equal values in order of ``ties``, null values never."""
+    rows = values.where((F.col("concept") == concept) & F.col("value").isNotNull())
+    return rows.orderBy(F.col("value").desc(), *[F.col(c).asc_nulls_last() for c in ties]).limit(n)

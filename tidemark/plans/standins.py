@@ -397,6 +397,18 @@ def concept_values(spark, d):
     return concepts.canonical(concept_facts(spark, d), CONFIG).select("cik", "concept", "value_date", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {CONCEPTS} SELECT 'T-' || CAST(cik AS VARCHAR) AS ticker, concept, value_date, round(value, 6) AS value FROM canon")
+def values_by_ticker(spark, d):
+    holders = t(spark, d, "events").select(F.col("user_id").alias("cik")).distinct().withColumn("ticker", F.concat(F.lit(" t."), F.col("cik").cast("string")))
+    return concepts.by_ticker(concepts.canonical(concept_facts(spark, d), CONFIG), holders).select("ticker", "concept", "value_date", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {CONCEPTS} SELECT cik, value_date, round(value, 6) AS value FROM newest WHERE concept = 'sales' AND value IS NOT NULL ORDER BY newest.value DESC, cik LIMIT 10")
+def top_screen(spark, d):
+    newest = concepts.latest(concepts.canonical(concept_facts(spark, d), CONFIG))
+    return concepts.top_screen(newest, "sales").select("cik", "value_date", F.round("value", 6).alias("value"))
+
+
 @query(f"WITH {CONCEPTS} SELECT cik, concept, value_date, round(value, 6) AS value FROM newest UNION ALL SELECT cik, concept, value_date, round(value, 6) FROM ratios UNION ALL SELECT cik, concept, value_date, round(value, 6) FROM growth")
 def concept_snapshot(spark, d):
     history = concepts.canonical(concept_facts(spark, d), CONFIG)
