@@ -16,6 +16,7 @@ MODULES = {
     "op8_suffix_dedup": "suffixdedup",
     "op9_packing": "packing",
     "op10_decontamination": "decontam",
+    "op12_quality_rules": "rules",
 }
 
 
@@ -32,6 +33,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from tidemark.llm.embeddings import OP7_SQL
     from tidemark.llm.jaccard import OP5_SQL
+    from tidemark.llm.rules import OP12_SQL
     from tidemark.llm.urlfilter import OP2_SQL
 
-    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_neardup": OP7_SQL}
+    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_neardup": OP7_SQL, "op12_quality_rules": OP12_SQL}
