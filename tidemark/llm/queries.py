@@ -16,7 +16,9 @@ MODULES = {
     "op8_suffix_dedup": "suffixdedup",
     "op9_packing": "packing",
     "op10_decontamination": "decontam",
+    "op11_hard_negatives": "hardneg",
     "op12_quality_rules": "rules",
+    "op13_source_divergence": "divergence",
 }
 
 
@@ -31,9 +33,18 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemark.llm.divergence import OP13_SQL
     from tidemark.llm.embeddings import OP7_SQL
+    from tidemark.llm.hardneg import OP11_SQL
     from tidemark.llm.jaccard import OP5_SQL
     from tidemark.llm.rules import OP12_SQL
     from tidemark.llm.urlfilter import OP2_SQL
 
-    return {"op2_url_filter": OP2_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_embedding_neardup": OP7_SQL, "op12_quality_rules": OP12_SQL}
+    return {
+        "op2_url_filter": OP2_SQL,
+        "op5_ngram_jaccard": OP5_SQL,
+        "op7_embedding_neardup": OP7_SQL,
+        "op11_hard_negatives": OP11_SQL,
+        "op12_quality_rules": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
+    }
