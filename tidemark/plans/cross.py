@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.rel import assert_check, first_per_group, unpivot
+from tidemark.functions.scalars import fiscal_year_of, industry_in, industry_scope
+from tidemark.operators.rel import assert_check, first_per_group, union_prefer, unpivot
+from tidemark.operators.temporal import interval_join
 from tidemark.plans.concept_config import ConceptConfig
-from tidemark.plans.concepts import annual, canonical, growths, latest, ratios
+from tidemark.plans.concepts import annual, canonical, growths, guarded_periods, latest, length_of, ratios
 
 #: Groups with fewer values have no moments and are left out.
 MIN_GROUP = 5
@@ -45,6 +47,86 @@ def peer_stats(facts: DataFrame, members: DataFrame, config: ConceptConfig, asof
     return peer_moments(fresh.join(members, "cik").join(scored, "concept"), {"sector": "gics_sector", "sub_industry": "gics_sub_industry"}, ["concept"])
 
 
+YEAR = ["cik", "concept", "fiscal_year"]
+LABELS = ["ticker", "index_name", "gics_sector", "gics_sub_industry"]
+#: Forms whose balance sheet may say that a year ended without debt.
+ANNUAL_FORMS = ("10-K", "10-K/A", "10-KT")
+
+
+def fiscal_values(facts: DataFrame, members: DataFrame, config: ConceptConfig, standard_tags: DataFrame | None = None, faces: DataFrame | None = None, since="2008-01-01", until=None) -> DataFrame:
+    """A value per company, concept and fiscal year, with the index and labels of the company on the period's own end.
+
+    Filed tags first, then formulas, then the zero debt of a balance sheet's face.  A balance counts only on a day that ends
+    one of the company's annual periods, so a first-quarter balance never stands for the year before.  ``facts``:
+    consolidated rows with ticker and sic; ``members``: a disjoint timeline (cik, index_name, gics_sector,
+    gics_sub_industry, valid_from, valid_to); a period that ends outside of it is left out.  ``faces``: (cik, period_date,
+    form, filed_date, zero_by_face, tradable_from).
+    """
+    spark = facts.sparkSession
+    kinds = F.broadcast(config.frame(spark, "concepts").select("concept", "fact_type"))
+    inside = F.col("value_date") >= F.lit(since).cast("date")
+    if until is not None:
+        inside = inside & (F.col("value_date") <= F.lit(until).cast("date"))
+    usable = facts.where(F.col("value").isNotNull() & (F.col("uom") == "USD") & inside)
+    mapped = usable.join(F.broadcast(config.frame(spark, "tags")), "tag").where(industry_scope(F.col("sic"), F.col("sic_prefix"))).join(kinds, "concept")
+    mapped = mapped.where(F.col("qtrs") == length_of(F.col("fact_type")))
+    ends = facts.where("qtrs = 4").select("cik", "value_date").distinct().withColumn("_ends_year", F.lit(True))
+    rows = mapped.join(ends, ["cik", "value_date"], "left").where("fact_type <> 'balance' OR _ends_year").withColumn("fiscal_year", fiscal_year_of(F.col("value_date")))
+    order = [(F.col("sic_prefix") != "").desc(), F.col("priority").asc(), F.col("value_date").desc(), F.col("tradable_from").desc(), F.col("tag").asc(), F.col("value").desc()]
+    picked = first_per_group(rows, YEAR, order).select(*YEAR, "ticker", "sic", "value_date", "tradable_from", (F.col("value") * F.col("sign")).alias("value"))
+    timeline = members.select("cik", "index_name", "gics_sector", "gics_sub_industry", "valid_from", "valid_to")
+    direct = interval_join(picked, timeline, ["cik"], "value_date", "valid_from", "valid_to").drop("valid_from", "valid_to")
+
+    terms = config.frame(spark, "terms").join(config.frame(spark, "variants").drop("guard_match", "guard_except"), ["concept", "variant"])
+    operands = direct.withColumnRenamed("concept", "operand").join(F.broadcast(terms), "operand").where(industry_in(F.col("sic"), F.col("sic_prefixes")))
+    if standard_tags is not None:
+        lengths = guarded_periods(facts, config, standard_tags).join(kinds, "concept").where(F.col("qtrs") == length_of(F.col("fact_type")))
+        operands = operands.join(lengths.select("cik", "value_date", "concept", "variant"), ["cik", "value_date", "concept", "variant"], "left_anti")
+    sums = operands.groupBy(*YEAR, "variant", "n_required").agg(
+        *[F.max(c).alias(c) for c in (*LABELS, "value_date", "tradable_from")], F.sum(F.col("coefficient") * F.col("value")).alias("value"), F.count_if("required").alias("_have")
+    )
+    columns = [*YEAR, *LABELS, "value_date", "tradable_from", "value"]
+    derived = first_per_group(sums.where("_have = n_required"), YEAR, [F.col("variant").asc()]).select(*columns)
+    parts = [direct.select(*columns), derived]
+    if faces is not None:
+        zero = faces.where(F.col("zero_by_face") & F.col("form").isin(*ANNUAL_FORMS)).select("cik", F.col("period_date").alias("value_date"), "filed_date", "tradable_from")
+        sheets = direct.where("concept = 'total_assets'").select("cik", "value_date", *LABELS)
+        placed = zero.join(sheets, ["cik", "value_date"]).withColumns({"fiscal_year": fiscal_year_of(F.col("value_date")), "concept": F.lit("total_debt"), "value": F.lit(0.0)})
+        parts.append(first_per_group(placed, YEAR, [F.col("filed_date").desc_nulls_last(), F.col("tradable_from").desc()]).select(*columns))
+    return union_prefer(parts, YEAR)
+
+
+def fiscal_ratios(values: DataFrame, config: ConceptConfig) -> DataFrame:
+    """Ratios of a company's fiscal year from one map of its concepts; a denominator that is not positive gives no row."""
+    cell = F.struct(F.col("concept"), F.struct("value", "value_date", "tradable_from").alias("cell"))
+    folded = values.groupBy("cik", "fiscal_year").agg(*[F.max(c).alias(c) for c in LABELS], F.map_from_entries(F.collect_list(cell)).alias("_m"))
+    spec = F.broadcast(config.frame(values.sparkSession, "ratios"))  # a few rows; each company-year meets all of them
+    both = folded.crossJoin(spec).withColumns({"_n": F.try_element_at("_m", F.col("numerator")), "_d": F.try_element_at("_m", F.col("denominator"))}).where("_n.value IS NOT NULL AND _d.value > 0")
+    return both.select(*YEAR, *LABELS, F.col("_n.value_date").alias("value_date"), F.greatest("_n.tradable_from", "_d.tradable_from").alias("tradable_from"), (F.col("_n.value") / F.col("_d.value")).alias("value"))
+
+
+def fiscal_growths(values: DataFrame, config: ConceptConfig, low: int = 300, high: int = 430) -> DataFrame:
+    """Change over the fiscal year before, where that year is there, ended 300 to 430 days earlier and is positive."""
+    spec = F.broadcast(config.frame(values.sparkSession, "growths").withColumnRenamed("concept", "_growth"))
+    w = Window.partitionBy("cik", "concept").orderBy("fiscal_year")
+    before = {f"_{c}": F.lag(c).over(w) for c in ("value", "fiscal_year", "value_date")}
+    rows = values.withColumns(before).where((F.col("_fiscal_year") == F.col("fiscal_year") - 1) & (F.col("_value") > 0) & F.datediff("value_date", "_value_date").between(low, high))
+    grown = rows.join(spec, rows["concept"] == spec["numerator"]).withColumns({"concept": F.col("_growth"), "value": (F.col("value") - F.col("_value")) / F.col("_value")})
+    return grown.select(*YEAR, *LABELS, "value_date", "tradable_from", "value")
+
+
+def peer_panel(facts: DataFrame, members: DataFrame, config: ConceptConfig, **sources) -> DataFrame:
+    """Peer statistics by fiscal year: each scored value, ratio and growth against its sector and its sub-industry.
+
+    Cross-sections hold the companies that were in an index when their own period ended.  Arguments as ``fiscal_values``.
+    """
+    scored = F.broadcast(config.frame(facts.sparkSession, "concepts").where("scored").select("concept", "fact_type"))
+    values = fiscal_values(facts, members, config, **sources)
+    plain = values.join(scored, "concept", "left_semi")
+    every = plain.unionByName(fiscal_ratios(plain, config)).unionByName(fiscal_growths(plain, config))
+    return peer_moments(every.join(scored, "concept"), {"sector": "gics_sector", "sub_industry": "gics_sub_industry"}, ["concept", "fiscal_year"])
+
+
 # Factors of the sheet; higher means the higher expected return, hence growth counts the other way.
 FACTORS = {"gp_at": 1, "ocf_at": 1, "roa": 1, "roe": 1, "operating_margin": 1, "revenue_growth": -1, "roe_q": 1, "roa_q": 1, "sue": 1}
 MIN_FACTORS = 4

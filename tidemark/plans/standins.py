@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import footnotes, scalars
 from tidemark.operators import rel, temporal
-from tidemark.plans import concepts, cross, flows, items, market
+from tidemark.plans import concepts, cross, flows, items, market, standins_panel
 from tidemark.plans.concept_config import ConceptConfig
 from tidemark.sources import markup
 
@@ -799,8 +799,8 @@ def union_of_indices(spark, d):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | standins_panel.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | standins_panel.SQL
