@@ -96,23 +96,33 @@ def fiscal_values(facts: DataFrame, members: DataFrame, config: ConceptConfig, s
     return union_prefer(parts, YEAR)
 
 
-def fiscal_ratios(values: DataFrame, config: ConceptConfig) -> DataFrame:
-    """Ratios of a company's fiscal year from one map of its concepts; a denominator that is not positive gives no row."""
-    cell = F.struct(F.col("concept"), F.struct("value", "value_date", "tradable_from").alias("cell"))
-    folded = values.groupBy("cik", "fiscal_year").agg(*[F.max(c).alias(c) for c in LABELS], F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    spec = F.broadcast(config.frame(values.sparkSession, "ratios"))  # a few rows; each company-year meets all of them
-    both = folded.crossJoin(spec).withColumns({"_n": F.try_element_at("_m", F.col("numerator")), "_d": F.try_element_at("_m", F.col("denominator"))}).where("_n.value IS NOT NULL AND _d.value > 0")
-    return both.select(*YEAR, *LABELS, F.col("_n.value_date").alias("value_date"), F.greatest("_n.tradable_from", "_d.tradable_from").alias("tradable_from"), (F.col("_n.value") / F.col("_d.value")).alias("value"))
+def fiscal_derived(values: DataFrame, config: ConceptConfig, low: int = 300, high: int = 430) -> DataFrame:
+    """``values`` with the ratios and growths of each company and fiscal year, from one map of concepts a year.
 
-
-def fiscal_growths(values: DataFrame, config: ConceptConfig, low: int = 300, high: int = 430) -> DataFrame:
-    """Change over the fiscal year before, where that year is there, ended 300 to 430 days earlier and is positive."""
-    spec = F.broadcast(config.frame(values.sparkSession, "growths").withColumnRenamed("concept", "_growth"))
-    w = Window.partitionBy("cik", "concept").orderBy("fiscal_year")
-    before = {f"_{c}": F.lag(c).over(w) for c in ("value", "fiscal_year", "value_date")}
-    rows = values.withColumns(before).where((F.col("_fiscal_year") == F.col("fiscal_year") - 1) & (F.col("_value") > 0) & F.datediff("value_date", "_value_date").between(low, high))
-    grown = rows.join(spec, rows["concept"] == spec["numerator"]).withColumns({"concept": F.col("_growth"), "value": (F.col("value") - F.col("_value")) / F.col("_value")})
-    return grown.select(*YEAR, *LABELS, "value_date", "tradable_from", "value")
+    A denominator that is not positive gives no row.  Growth asks for the concept in the fiscal year before, positive and
+    ended 300 to 430 days earlier.  One grouping and one window by company; nothing is joined with itself.
+    """
+    cell = F.struct("value", "value_date", "tradable_from", *LABELS)
+    years = values.groupBy("cik", "fiscal_year").agg(*[F.max(c).alias(c) for c in LABELS], F.map_from_entries(F.collect_list(F.struct("concept", cell.alias("cell")))).alias("now"))
+    w = Window.partitionBy("cik").orderBy("fiscal_year")
+    rows = years.withColumn("before", F.when(F.lag("fiscal_year").over(w) == F.col("fiscal_year") - 1, F.lag("now").over(w)))
+    at = lambda m, concept: F.try_element_at(F.col(m), F.lit(concept))
+
+    def entry(concept, of, value, known, labels):
+        return F.struct(concept.alias("concept"), value.alias("value"), of["value_date"].alias("value_date"), known.alias("tradable_from"), *[labels[c].alias(c) for c in LABELS])
+
+    year = {c: F.col(c) for c in LABELS}
+    derived = []
+    for name, numerator, denominator in config.ratios:
+        n, d = at("now", numerator), at("now", denominator)
+        derived.append(F.when(n["value"].isNotNull() & (d["value"] > 0), entry(F.lit(name), n, n["value"] / d["value"], F.greatest(n["tradable_from"], d["tradable_from"]), year)))
+    for name, base in config.growths:
+        n, b = at("now", base), at("before", base)
+        fits = (b["value"] > 0) & F.datediff(n["value_date"], b["value_date"]).between(low, high)
+        derived.append(F.when(fits, entry(F.lit(name), n, (n["value"] - b["value"]) / b["value"], n["tradable_from"], n)))
+    own = F.transform(F.map_entries("now"), lambda e: entry(e["key"], e["value"], e["value"]["value"], e["value"]["tradable_from"], e["value"]))
+    every = F.concat(own, F.array_compact(F.array(*derived))) if derived else own
+    return rows.select("cik", "fiscal_year", F.explode(every).alias("e")).select("cik", "fiscal_year", "e.*").select(*YEAR, *LABELS, "value_date", "tradable_from", "value")
 
 
 def peer_panel(facts: DataFrame, members: DataFrame, config: ConceptConfig, **sources) -> DataFrame:
@@ -122,8 +132,7 @@ def peer_panel(facts: DataFrame, members: DataFrame, config: ConceptConfig, **so
     """
     scored = F.broadcast(config.frame(facts.sparkSession, "concepts").where("scored").select("concept", "fact_type"))
     values = fiscal_values(facts, members, config, **sources)
-    plain = values.join(scored, "concept", "left_semi")
-    every = plain.unionByName(fiscal_ratios(plain, config)).unionByName(fiscal_growths(plain, config))
+    every = fiscal_derived(values.join(scored, "concept", "left_semi"), config)
     return peer_moments(every.join(scored, "concept"), {"sector": "gics_sector", "sub_industry": "gics_sub_industry"}, ["concept", "fiscal_year"])
 
 

@@ -308,7 +308,7 @@ def suspect_anti_join(spark, d):
     return rel.semi(t(spark, d, "orders").select("o_orderkey"), refused, ["o_orderkey"], "left_anti")
 
 
-DIGEST_ROW = "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")) + ")"
+DIGEST_ROW = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
 
 
 @query(f"""WITH h AS (SELECT md5({DIGEST_ROW}) AS m FROM orders),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import parse_quarter
-from tidemark.operators.rel import upsert
+from tidemark.sources.tables import Tables
 
 # Columns of the four published tables, in file order.
 COLUMNS = {
@@ -33,31 +33,30 @@ def read_delimited(spark: SparkSession, path: str, columns, sep: str = "\t", enc
     return spark.read.csv(path, schema=text_schema(columns), sep=sep, header=True, encoding=encoding, quote=quote, nullValue="", mode="FAILFAST", enforceSchema=False)
 
 
+LOG = "source_quarter string, table_name string, n_rows long"
+
+
 def load_log(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{root}/load_log")
-    except Exception as e:  # no quarter has been loaded yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "source_quarter string, table_name string, n_rows long")
+    tables = Tables(spark, root)
+    return tables.read("load_log") if tables.exists("load_log") else spark.createDataFrame([], LOG)
 
 
 def load_quarter(spark: SparkSession, root: str, quarter: str, files: dict[str, str], force: bool = False) -> dict[str, int]:
-    """Load one quarter's files ({table: path}) into partitioned Parquet below ``root``; rows per table.
+    """Load one quarter's files ({table: path}) into tables by quarter below ``root``; rows per table.
 
-    A quarter that the log has is refused unless ``force``, which replaces exactly that quarter's partitions.
+    A quarter that the log has is refused unless ``force``, which replaces exactly that quarter.  Each table changes at
+    once, the log after all of them: a load that dies is not in the log, and loading the quarter again makes it whole.
     """
     parse_quarter(quarter)
-    log = load_log(spark, root)
-    if not force and log.where(F.col("source_quarter") == quarter).limit(1).count():
+    if not force and load_log(spark, root).where(F.col("source_quarter") == quarter).limit(1).count():
         raise ValueError(f"quarter {quarter} is loaded already")
-    counts = {}
+    tables, counts = Tables(spark, root), {}
     for name, path in files.items():
         rows = read_delimited(spark, path, COLUMNS[name]).withColumn("source_quarter", F.lit(quarter))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_quarter").parquet(f"{root}/{name}_raw")
-        counts[name] = spark.read.parquet(f"{root}/{name}_raw").where(F.col("source_quarter") == quarter).count()
-    new = spark.createDataFrame([(quarter, n, c) for n, c in counts.items()], log.schema)
-    spark.createDataFrame(upsert(log, new, ["source_quarter", "table_name"]).collect(), log.schema).write.mode("overwrite").parquet(f"{root}/load_log")
+        loaded = tables.replace_parts(f"{name}_raw", rows, "source_quarter", drop=[quarter])
+        counts[name] = tables.read(f"{name}_raw", loaded).count()
+    new = spark.createDataFrame([(quarter, n, c) for n, c in counts.items()], LOG)
+    tables.upsert("load_log", new, ["source_quarter", "table_name"], "source_quarter")
     return counts
 
 
@@ -73,18 +72,19 @@ def load_all(spark: SparkSession, root: str, quarters: dict[str, dict[str, str]]
 
 
 def truncate(spark: SparkSession, root: str) -> None:
-    """Empty every raw table and the log."""
-    for name in [*(f"{n}_raw" for n in COLUMNS), "load_log"]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove every raw table and the log, the log first, so that no quarter counts as loaded without its rows."""
+    tables = Tables(spark, root)
+    for name in ["load_log", *(f"{n}_raw" for n in COLUMNS)]:
+        tables.drop(name)
 
 
 def raw_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(text_schema([*COLUMNS[name], "source_quarter"])).parquet(f"{root}/{name}_raw")
+    tables = Tables(spark, root)
+    return tables.read(f"{name}_raw") if tables.exists(f"{name}_raw") else spark.createDataFrame([], text_schema([*COLUMNS[name], "source_quarter"]))
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by=()) -> None:
-    """Parquet or CSV sink; files appear when the job commits."""
+    """Parquet or CSV export for other programs; files appear when the job commits.  Tables of the engine are ``Tables``."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
