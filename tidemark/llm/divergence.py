@@ -4,7 +4,8 @@ Tasks count the terms of their texts by (language, source) and merge them before
 terms that occur in enough of its documents.  Each kept term becomes one wide row: its counts pivoted into an array with a
 place for every source of the language.  JVM higher-order functions turn that array into shares per billion and those into
 one contribution for every pair of sources; a pair's contributions are summed on the map side, so that only a row a pair and
-task is shuffled.  Sources that lack a term share a base contribution, which is added once a pair instead of once a term.
+task is shuffled.  What a term contributes to two sources that both lack it is the same for all such terms and is added once a
+pair, by their number.
 
 All arithmetic is on whole numbers: with n occurrences among N of a group and V kept terms the share is
 p = 1 + floor(10^9 (n + 2) / (N + 2 V)), and two shares diverge by floor((p - q)^2 / (p + q)).
@@ -13,7 +14,7 @@ p = 1 + floor(10^9 (n + 2) / (N + 2 V)), and two shares diverge by floor((p - q)
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,24 @@ from tidemark.llm.common import materialise, slices, table, utf8
 
 #: A share is so many parts at most; smoothing adds this to every count.
 PARTS, EXTRA = 1_000_000_000, 2
-#: (language, source, term) entries that a task holds before it hands them on.
-HELD = 200_000
+#: (language, source, term) entries that a task holds before it hands them on; bytes of a text that are read at a time.
+HELD, PIECE = 400_000, 1 << 20
 #: Pieces into which a language's terms are dealt, so that a language with most of the terms is not one task's work.
 DEALT = 64
 #: Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` in UTF-8, after A-Z are lower-cased.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+TERM, GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+
+
+def pieces(body: bytes):
+    """The terms of a text, in lists; long texts are cut where no term is."""
+    begin = 0
+    while begin < len(body):
+        end = len(body)
+        if end > begin + PIECE:
+            gap = GAP.search(body, begin + PIECE)
+            end = gap.start() if gap else end
+        yield TERM.findall(body, begin, end)
+        begin = end
 
 
 def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -36,25 +49,26 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     def count(batches):
         import pyarrow as pa
 
-        held: dict = defaultdict(lambda: [0, 0])
+        held: dict = {}  # (lang, source) -> occurrences and documents of its terms
 
         def out():
-            keys, figures = list(held), list(held.values())
-            columns = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([f[i] for f in figures], pa.int64()) for i in range(2)]], names=["lang", "source", "term", "n", "docs"])
+            for (group_lang, group), (n, seen) in held.items():
+                terms = list(n)
+                column = lambda x: pa.array([x.decode()] * len(terms), pa.string())  # noqa: B023, E731
+                figures = [pa.array(list(n.values()), pa.int64()), pa.array([seen[t] for t in terms], pa.int64())]
+                yield pa.RecordBatch.from_arrays([column(group_lang), column(group), pa.array(terms, pa.binary()).cast(pa.string()), *figures], names=["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for b in slices(batches, 200):
             for group_lang, group, body in zip(*[utf8(c) for c in b.columns]):
-                own: dict = defaultdict(int)
-                for m in TERM.finditer(body.lower()):  # bytes: only A-Z change
-                    own[m.group()] += 1
-                for term, n in own.items():
-                    entry = held[group_lang, group, term]
-                    entry[0] += n
-                    entry[1] += 1
-                if len(held) > HELD:
-                    yield from out()
+                n, seen = held.setdefault((group_lang, group), (Counter(), Counter()))
+                own: set = set()
+                for found in pieces(body.lower()):  # bytes: only A-Z change
+                    n.update(found)
+                    own.update(found)
+                seen.update(own)
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from out()
         yield from out()
 
     told = docs.select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
@@ -63,8 +77,10 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(PARTS (n + EXTRA) / (total + EXTRA terms)), exact for counts beyond 64-bit products."""
-    return 1 + F.call_function("div", (n + EXTRA).cast("decimal(20,0)") * F.lit(PARTS).cast("decimal(10,0)"), (total + EXTRA * terms).cast("decimal(20,0)"))
+    """1 + floor(PARTS (n + EXTRA) / (total + EXTRA terms)); decimals where the product would leave 64 bits."""
+    div, whole = (lambda a, b: F.call_function("div", a, b)), total + EXTRA * terms
+    exact = div((n + EXTRA).cast("decimal(20,0)") * F.lit(PARTS).cast("decimal(10,0)"), whole.cast("decimal(20,0)"))
+    return 1 + F.when(n < 9_000_000_000, div((n + EXTRA) * PARTS, whole)).otherwise(exact)
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -82,7 +98,7 @@ def _sources(docs: DataFrame, kept: DataFrame, lang: str, source: str) -> DataFr
 
 
 def _wide(kept: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, term, p, n, base, q, sources): shares and counts of a term by the place of the source, and the language's share."""
+    """(lang, term, q, cells): per place of a source its name, count n and share p of the term; q is the language's share."""
     whole = groups.groupBy("lang").agg(
         F.sort_array(F.collect_list(F.struct("at", "source", "total", "base"))).alias("g"), F.sum("total").alias("all"), F.first("terms").alias("terms")
     )
@@ -90,26 +106,28 @@ def _wide(kept: DataFrame, groups: DataFrame) -> DataFrame:
     right = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     left = kept.withColumn("piece", F.pmod(F.xxhash64("term"), F.lit(DEALT)).cast("int"))
     joined = left.join(right, ["lang", "piece"])
-    found = F.map_from_arrays(F.transform("counts", lambda c: c["source"]), F.transform("counts", lambda c: c["n"]))
-    n = F.transform("g", lambda g: F.coalesce(F.try_element_at(F.col("found"), g["source"]), F.lit(0).cast("long")))
-    counted = joined.withColumn("found", found).select("lang", "term", "g", "all", "terms", n.alias("n"))
-    p = F.zip_with("n", "g", lambda n, g: F.when(n == 0, g["base"]).otherwise(share(n, g["total"], F.col("terms"))))
-    every = F.aggregate("n", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return counted.select("lang", "term", "n", p.alias("p"), F.transform("g", lambda g: g["base"]).alias("base"), F.transform("g", lambda g: g["source"]).alias("sources"), share(every, F.col("all"), F.col("terms")).alias("q"))
+    # places are in the order of the sources' bytes: counts and zeros for the others, sorted, stand at their places
+    absent = F.array_except(F.col("g.source"), F.col("counts.source"))
+    pivoted = F.sort_array(F.concat("counts", F.transform(absent, lambda s: F.struct(s.alias("source"), F.lit(0).cast("long").alias("n")))))
+    counted = joined.select("lang", "term", "g", "all", "terms", pivoted.alias("counts"))
+
+    def cell(c: Column, g: Column) -> Column:
+        p = F.when(c["n"] == 0, g["base"]).otherwise(share(c["n"], g["total"], F.col("terms")))
+        return F.struct(c["source"].alias("source"), c["n"].alias("n"), p.alias("p"))
+
+    every = F.aggregate(F.col("counts.n"), F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return counted.select("lang", "term", share(every, F.col("all"), F.col("terms")).alias("q"), F.zip_with("counts", "g", cell).alias("cells"))
 
 
 def _pairs(wide: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every ordered pair of a language's sources."""
 
-    # contributions of a term to the pairs (i, j), j > i, in order, less what two absent terms contribute
-    def row(p: Column, i: Column) -> Column:
-        rest = F.slice("p", i + 2, F.size("p"))
-        mine = lambda q, k: apart(p, q) - apart(F.get("base", i), F.get("base", i + k + 1))
-        either = lambda q, k: F.when((F.get("n", i) > 0) | (F.get("n", i + k + 1) > 0), mine(q, k)).otherwise(F.lit(0).cast("long"))
-        return F.transform(rest, either)
+    # contributions of a term to the pairs (i, j), j > i, in order; null where neither source has the term
+    def row(x: Column, i: Column) -> Column:
+        return F.transform(F.slice("cells", i + 2, F.size("cells")), lambda y: F.when((x["n"] > 0) | (y["n"] > 0), apart(x["p"], y["p"])))
 
-    told = wide.select("lang", F.posexplode(F.flatten(F.transform("p", row))).alias("pair", "more"))
-    sums = told.where("more <> 0").groupBy("lang", "pair").agg(F.sum("more").alias("more"))
+    told = wide.select("lang", F.posexplode(F.flatten(F.transform("cells", row))).alias("pair", "f"))
+    sums = told.where("f IS NOT NULL").groupBy("lang", "pair").agg(F.sum("f").alias("f"), F.count("f").alias("told"))
     size = groups.groupBy("lang").agg(F.count("*").alias("size"))
     a, b = (groups.select("lang", F.col("at").alias(f"at{x}"), F.col("source").alias(f"source{x}"), F.col("base").alias(f"base{x}"), *(["terms"] if x == "a" else [])) for x in "ab")
     # one row a pair of sources of a language: the answer's own size
@@ -117,7 +135,9 @@ def _pairs(wide: DataFrame, groups: DataFrame) -> DataFrame:
     i, j, m = F.col("ata"), F.col("atb"), F.col("size")
     pair = (i * m - F.floor(i * (i + 1) / 2) + (j - i - 1)).cast("int")
     summed = both.withColumn("pair", pair).join(sums, ["lang", "pair"], "left")
-    value = F.coalesce("more", F.lit(0).cast("long")) + F.coalesce(F.col("terms") * apart(F.col("basea"), F.col("baseb")), F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    absent = (F.col("terms") - F.coalesce("told", none)) * apart(F.col("basea"), F.col("baseb"))
+    value = F.coalesce("f", none) + F.coalesce(absent, none)
     one = summed.select("lang", "sourcea", "sourceb", value.alias("value"))
     names = ["lang", "source", "item", "value"]
     return one.toDF(*names).union(one.select("lang", "sourceb", "sourcea", "value").toDF(*names))
@@ -136,10 +156,9 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("counts")).where(F.col("docs") >= least_docs)
     kept = materialise(kept.select("lang", "term", "counts"), "kept_terms")
     groups = materialise(_sources(docs, kept, lang, source), "groups")
-    wide = _wide(kept, groups)
-    cell = F.explode(F.arrays_zip("sources", "n", "p")).alias("c")
-    used = wide.select("lang", "term", "q", cell).where("c.n > 0 and c.p > q")
-    terms = used.select("lang", F.col("c.sources").alias("source"), F.col("term").alias("item"), apart(F.col("c.p"), F.col("q")).alias("value"))
+    wide = materialise(_wide(kept, groups), "wide_terms")
+    used = wide.select("lang", "term", "q", F.explode("cells").alias("c")).where("c.n > 0 and c.p > q")
+    terms = used.select("lang", F.col("c.source").alias("source"), F.col("term").alias("item"), apart(F.col("c.p"), F.col("q")).alias("value"))
     by = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
     best = terms.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     pairs = _pairs(wide, groups).withColumn("rank", F.row_number().over(by))
