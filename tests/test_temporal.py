@@ -1,6 +1,7 @@
 """Temporal and relational primitives on small inline frames."""
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,86 @@ def test_relational_helpers(spark):
         rel.assert_unique(old.union(old), ["k"])
     with pytest.raises(rel.CheckFailed):
         rel.assert_check(old, F.col("k") > 1, "k above one")
+
+
+# --- nulls, nearest rows, sweeps
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_asof_join_on_nulls(spark, by, direction):
+    left = spark.createDataFrame([(1, "a", D(2024, 1, 5)), (2, "a", None), (3, None, D(2024, 1, 5)), (4, None, None)], "i int, k string, d date")
+    right = spark.createDataFrame([("a", D(2024, 1, 4), 4), ("a", D(2024, 1, 6), 6), (None, D(2024, 1, 5), 5), ("a", None, 9), (None, None, 8)], "k string, e date, v int")
+    if not by:
+        right = right.drop("k")
+    got = {r["i"]: r["v"] for r in temporal.asof_join(left, right, "d", "e", ["v"], by, direction, strict=True).collect()}
+    hit = 6 if direction == "forward" else 4
+    assert got == ({1: hit, 2: None, 3: None, 4: None} if by else {1: hit, 2: None, 3: hit, 4: None})
+
+
+def test_nearest_against_all_pairs(spark):
+    rng = random.Random(4)
+    day = lambda: D(2024, 1, 1) + timedelta(rng.randrange(40))
+    left = [(i, rng.choice(["a", "b", "c", None]), rng.choice([day(), day(), None])) for i in range(80)]
+    right = [(rng.choice(["a", "b", None]), rng.choice([day(), day(), day(), None]), rng.randrange(3), j) for j in range(40)]
+    for within in (None, 3):
+        want = {}
+        for i, k, d in left:
+            fits = [(abs((e - d).days), -n, e, v) for kk, e, n, v in right if k is not None and kk == k and d is not None and e is not None and (within is None or abs((e - d).days) <= within)]
+            want[i] = min(((a, n, e) for a, n, e, _ in fits), default=None)
+        out = temporal.nearest_join(spark.createDataFrame(left, "i int, k string, d date"), spark.createDataFrame(right, "k string, e date, n int, v int"), "k", "d", "e", ["n", "e"], ["i"], within, [F.col("n").desc()])
+        got = {r["i"]: None if r["e"] is None else (abs((r["e"] - r["d"]).days), -r["n"], r["e"]) for r in out.collect()}
+        assert got == want
+
+
+def test_nearest_of_one_large_key(spark):
+    n = 100_000
+    left = spark.range(n).select(F.col("id").alias("i"), F.lit("k").alias("k"), F.date_add(F.lit(D(1900, 1, 1)), (F.col("id") % 60_000).cast("int")).alias("d"))
+    right = spark.range(n).select(F.lit("k").alias("k"), F.date_add(F.lit(D(1900, 1, 1)), (F.col("id") % 30_000 * 2).cast("int")).alias("e"), F.col("id").alias("v"))
+    out = temporal.nearest_join(left, right, "k", "d", "e", ["v"], ["i"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    row = out.agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.count_if(F.col("v").isNull()).alias("lost")).first()
+    # even days meet their own row, odd days the day before; of copies the earlier id would tie by time alone, so any has the day's remainder
+    assert (row["n"], row["lost"]) == (n, 0)
+    assert out.where((F.col("v") % 30_000) != F.floor((F.col("i") % 60_000) / 2)).count() == 0
+
+
+def brute_timeline(rows):
+    """Payload by day for each key, from (key, lo, hi, order, payload)."""
+    out = {}
+    for key in {r[0] for r in rows}:
+        for day in range(0, 80):
+            live = [r for r in rows if r[0] == key and r[1] is not None and r[1] <= day and (r[2] is None or r[2] > day)]
+            if live:
+                out[key, day] = min(live, key=lambda r: (r[3], -r[1], r[4] is not None, r[4] or ""))[4]
+    return out
+
+
+def test_sweep_against_days(spark):
+    rng = random.Random(8)
+    base = D(2024, 1, 1)
+    date = lambda n: None if n is None else base + timedelta(n)
+    rows = [(rng.choice("abc"), rng.randrange(60), rng.choice([None, rng.randrange(70), rng.randrange(70)]), rng.randrange(4), rng.choice(["x", "y", None])) for _ in range(120)]
+    rows += [("d", 5, 5, 0, "x"), ("d", 9, 3, 0, "x"), ("d", None, 9, 0, "x"), ("e", 1, 4, 1, "x"), ("e", 4, 8, 2, "x"), ("e", 10, None, 0, "x")]
+    df = spark.createDataFrame([(k, date(a), date(b), o, p) for k, a, b, o, p in [*rows, (None, 1, 2, 0, "x")]], "k string, lo date, hi date, o int, p string").repartition(5)
+    got = temporal.flatten_intervals(df, ["k"], "lo", "hi", ["p"], [F.col("o").asc()]).collect()
+    days = {}
+    for r in got:
+        for n in range((r["lo"] - base).days, min(80, (r["hi"] - base).days if r["hi"] else 80)):
+            assert (r["k"], n) not in days
+            days[r["k"], n] = r["p"]
+    assert days == brute_timeline(rows)
+    edges = {(r["k"], r["lo"], r["p"]) for r in got}
+    assert not any((r["k"], r["hi"], r["p"]) in edges for r in got if r["hi"])  # abutting equals are one
+    assert sorted((r["lo"], r["hi"]) for r in got if r["k"] == "e") == [(date(1), date(8)), (date(10), None)]
+    assert temporal.flatten_intervals(df.limit(0), ["k"], "lo", "hi", ["p"], [F.col("o").asc()]).count() == 0
+
+
+def test_sweep_of_one_key_with_50000_overlapping_intervals(spark):
+    n = 50_000
+    lo = F.date_add(F.lit(D(1800, 1, 1)), F.col("id").cast("int"))
+    df = spark.range(n).select(F.lit(1).alias("k"), lo.alias("lo"), F.date_add(lo, 60_000).alias("hi"), F.col("id").alias("p"), (-F.col("id")).alias("o"))
+    rows = temporal.flatten_intervals(df, ["k"], "lo", "hi", ["p"], [F.col("o").asc()])  # the newest start holds
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    out = rows.agg(F.count("*").alias("n"), F.sum(F.datediff("hi", "lo")).alias("days"), F.max("p").alias("p")).first()
+    assert (out["n"], out["days"], out["p"]) == (n, n - 1 + 60_000, n - 1)

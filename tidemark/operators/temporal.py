@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from heapq import heappop, heappush
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +53,17 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ta
     """Each left row with the nearest right row after (``forward``) or before it; at the same time too unless ``strict``.
 
     Keyed joins sort each key's rows once.  Without keys the rows are dealt by month, and a month's rows that find nothing
-    inside take the nearest right row of the other months from a table with a row a month.
+    inside take the nearest right row of the other months from a table with a row a month.  Left rows with a null time or a
+    null key find nothing, and right rows with one are not found.
     """
     if direction not in ("forward", "backward"):
         raise ValueError(f"unknown direction {direction!r}")
     names = left.columns
+    lost = reduce(or_, [F.col(c).isNull() for c in (left_on, *by)])
+    nothing = left.where(lost)  # they take no part in the windows, where nulls would meet in one
+    left = left.where(~lost)
+    for c in by:
+        right = right.where(F.col(c).isNotNull())
     month = lambda c: F.date_trunc("MM", F.col(c).cast("timestamp"))
     keys = list(by) or ["_month"]
     if not by:
@@ -80,7 +89,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, ta
     if tolerance_days is not None:
         near = F.abs(F.datediff(F.col("_hit._at"), F.col("_t"))) <= tolerance_days
         found = found.withColumn("_hit", F.when(near, F.col("_hit")))
-    return found.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_hit.{c}").alias(c) for c in take])
+    out = found.select(*[F.col(f"_row.{c}").alias(c) for c in names], *[F.col(f"_hit.{c}").alias(c) for c in take])
+    return out.unionByName(nothing.select(*names), allowMissingColumns=True)
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
@@ -97,10 +107,26 @@ def days_between(later: str | Column, earlier: str | Column, low: int, high: int
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, take: Sequence[str], ids: Sequence[str], within_days: int | None = None, ties: Sequence[Column] = ()) -> DataFrame:
-    """Each left row (named by ``ids``) with the right row of its key nearest in time; ``ties`` rank equally near ones."""
-    r = right.select(F.col(by).alias("_by"), F.col(right_on).alias("_at"), *take)
-    joined = left.join(r, (F.col(by) == F.col("_by")) & (F.lit(True) if within_days is None else (F.abs(F.datediff("_at", left_on)) <= within_days)), "left")
-    return first_per_group(joined, ids, [F.abs(F.datediff("_at", left_on)).asc_nulls_last(), *ties, F.col("_at").asc()]).drop("_by", "_at")
+    """Each left row (named by ``ids``) with the right row of its key nearest in time, by days; ``ties`` (over ``take``) rank
+    equally near ones, then the earlier one.
+
+    Two as-of passes over each key's rows, before and after, leave two candidates a row at most; nothing is paired beyond
+    that.  Rows with a null key or time find nothing.
+    """
+    day = F.to_date(right_on)
+    r = right.where(F.col(by).isNotNull() & F.col(right_on).isNotNull()).select(F.col(by).alias(by), day.alias("_day"), F.col(right_on).alias("_at"), *take)
+    best = first_per_group(r, [by, "_day"], [*ties, F.col("_at").asc()])  # one row a key and day
+    rows = left.withColumn("_on", F.to_date(left_on))
+    hit = best.select(by, "_day", F.struct("_at", *take).alias("_c"))
+    both = rows
+    for direction in ("backward", "forward"):
+        both = asof_join(both, hit.withColumnRenamed("_c", f"_{direction}"), "_on", "_day", [f"_{direction}"], [by], direction, strict=direction == "forward")
+    near = both.withColumn("_c", F.explode_outer(F.array_compact(F.array("_backward", "_forward"))))
+    away = F.abs(F.datediff("_c._at", "_on"))
+    if within_days is not None:
+        near = near.withColumn("_c", F.when(away <= within_days, F.col("_c")))
+    found = near.select(*left.columns, away.alias("_away"), F.col("_c._at").alias("_at"), *[F.col(f"_c.{c}").alias(c) for c in take])
+    return first_per_group(found, ids, [F.col("_away").asc_nulls_last(), *ties, F.col("_at").asc()]).drop("_away", "_at")
 
 
 def islands(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
@@ -156,21 +182,99 @@ def clip_intervals(df: DataFrame, lo: str, hi: str, not_before: Column, not_afte
     return cut.where(F.col(hi).isNull() | (F.col(lo) < F.col(hi)))
 
 
+def _swept(rows):
+    """Disjoint segments (key, from, to, payload) of rows (key, lo, hi, rank, payload) that come by key and lo.
+
+    At any moment the least rank among the intervals in force holds; only those are kept.  A null end is open.
+    """
+    key, at, active, last = None, None, [], None  # active: a heap of (rank, end, payload); last: the segment not yet told
+
+    def until(moment):
+        """Tell what holds from ``at`` to ``moment`` (None: for good); intervals that end on the way go."""
+        nonlocal at
+        while active:
+            rank, end, payload = active[0]
+            if end is not None and at is not None and end <= at:
+                heappop(active)
+                continue
+            stop = moment if end is None or (moment is not None and moment < end) else end
+            if stop is None or at < stop:
+                yield at, stop, payload
+            at = stop
+            if stop is None or stop == moment:
+                return
+
+    def joined(segments):
+        nonlocal last
+        for start, stop, payload in segments:
+            if last and last[2] == start and last[3] == payload:
+                last = (key, last[1], stop, payload)
+            else:
+                if last:
+                    yield last
+                last = (key, start, stop, payload)
+
+    for k, lo, hi, rank, payload in rows:
+        if k != key:
+            yield from joined(until(None))
+            if last:
+                yield last
+            key, at, last = k, lo, None
+            active.clear()
+        yield from joined(until(lo))
+        at = lo
+        heappush(active, (rank, hi, payload))
+    yield from joined(until(None))
+    if last:
+        yield last
+
+
 def flatten_intervals(df: DataFrame, keys: Sequence[str], lo: str, hi: str, payload: Sequence[str], precedence: Sequence[Column]) -> DataFrame:
     """Disjoint timeline: at every moment the covering interval that is first in ``precedence`` (made total by the payload);
-    neighbours that abut and have the same payload become one."""
-    bounds = df.select(*keys, F.col(lo).alias("_from")).union(df.where(F.col(hi).isNotNull()).select(*keys, F.col(hi))).distinct()
-    w = Window.partitionBy(*keys).orderBy("_from")
-    segments = bounds.withColumn("_to", F.lead("_from").over(w))
-    covering = interval_join(segments, df, keys, "_from", lo, hi)
-    best = first_per_group(covering, [*keys, "_from"], [*precedence, F.col(lo).desc(), F.struct(*payload).asc()])
-    order = Window.partitionBy(*keys).orderBy("_from")
-    same = F.lag("_to").over(order).eqNullSafe(F.col("_from"))
-    for p in payload:
-        same = same & F.lag(p).over(order).eqNullSafe(F.col(p))
-    runs = best.withColumn("_new", (~same).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    end = F.when(F.count_if(F.col("_to").isNull()) == 0, F.max("_to"))
-    return runs.groupBy(*keys, "_run", *payload).agg(F.min("_from").alias(lo), end.alias(hi)).drop("_run")
+    neighbours that abut and have the same payload become one.
+
+    A sweep over each key's intervals in the order of their starts, which holds only those in force; the rows of a task go
+    through it in batches.  Intervals without a start, without a key or without length cover nothing.
+    """
+    from pyspark.sql import types as T
+
+    keys, payload = list(keys), list(payload)
+    held = F.col(lo).isNotNull() & (F.col(hi).isNull() | (F.col(lo) < F.col(hi)))
+    for k in keys:
+        held = held & F.col(k).isNotNull()
+    order = [*precedence, F.col(lo).desc(), F.struct(*payload).asc(), F.col(hi).desc_nulls_first()]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = df.where(held).withColumn("_rank", rank).select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), "_rank", *payload)
+    fields = {f.name: f for f in df.schema.fields}
+    out = T.StructType([*[fields[c] for c in keys], T.StructField(lo, fields[lo].dataType), T.StructField(hi, fields[hi].dataType), *[T.StructField(c, fields[c].dataType) for c in payload]])
+    n, size = len(keys), 50_000
+
+    def sweep(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+
+        def rows():
+            for b in batches:
+                for r in zip(*[c.to_pylist() for c in b.columns]):
+                    yield r[:n], r[n], r[n + 1], r[n + 2], r[n + 3 :]
+
+        def batch(told):
+            columns = zip(*[(*k, start, stop, *what) for k, start, stop, what in told])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        told = []
+        for segment in _swept(rows()):
+            told.append(segment)
+            if len(told) == size:
+                yield batch(told)
+                told = []
+        if told:
+            yield batch(told)
+
+    # the window has brought each key's rows together; they stay where they are
+    return rows.sortWithinPartitions(*keys, "_lo", "_rank").mapInArrow(sweep, out)
 
 
 def label_segments(df: DataFrame, keys: Sequence[str], day: str, label: str) -> DataFrame:
