@@ -87,3 +87,32 @@ def test_panel_levels_moments_and_thin_groups(spark):
 
 def test_an_empty_table(spark):
     assert cross.peer_panel(spark.createDataFrame([], FACT), spark.createDataFrame([], MEMBER), CONFIG).select(F.count("*")).first()[0] == 0
+
+
+# --- states by forward fill
+
+
+def test_states_against_all_days(spark):
+    import random
+
+    from tidemark.plans import exports
+
+    rng = random.Random(6)
+    base = dt.date(2024, 1, 1)
+    date = lambda n: None if n is None else base + dt.timedelta(n)
+    rows = [(rng.choice([1, 2, 3]), rng.choice("abc"), f"f{i}", rng.choice([None, float(i)]), rng.randrange(40), rng.choice([None, rng.randrange(45), rng.randrange(45)])) for i in range(120)]
+    rows += [(9, "a", "g1", 1.0, 5, None), (9, "a", "g2", 2.0, 8, 10), (9, "b", "g3", 3.0, 12, 12)]  # g1 comes back on day 10, g3 never holds
+    want = {}
+    for k in {r[0] for r in rows}:
+        for day in {r[4] for r in rows if r[0] == k}:
+            for tag in "abc":
+                live = [r for r in rows if r[0] == k and r[1] == tag and r[4] <= day and (r[5] is None or r[5] > day)]
+                if live:
+                    best = max(live, key=lambda r: (r[4], r[2]))
+                    want[k, date(day), tag] = best[3]
+    df = spark.createDataFrame([(k, t, a, v, date(lo), date(hi)) for k, t, a, v, lo, hi in rows], "cik int, tag string, adsh string, value double, tradable_from date, superseded_tradable date")
+    out = exports.states(df.repartition(3), ["cik"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["cik"], r["state_from"], r["tag"]): r["value"] for r in out.collect()} == want
+    assert want[9, date(12), "a"] == 1.0 and (9, date(12), "b") not in want
+    assert exports.states(df.limit(0), ["cik"], ["a"]).count() == 0

@@ -76,16 +76,22 @@ def _thresholds(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, boo
     return spark.createDataFrame(rows, ", ".join([f"_g{i} {k}" for i, k in enumerate(kinds)] + [f"_firsts array<{key_type}>, _runs array<array<{key_type}>>"]))
 
 
+def has_large(df: DataFrame, by: Sequence[str], large: int | None = None) -> bool:
+    """Whether some group has more rows than one task may sort; finer groups then have not either."""
+    return bool(df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > (LARGE if large is None else large)).limit(1).collect())
+
+
 def numbered(
     df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, bool]], values: int = 1, row: str | None = None, rank: str | None = None, percent: str | None = None,
-    tile: tuple[str, int] | None = None, large: int | None = None,
+    tile: tuple[str, int] | None = None, large: int | None = None, check: bool = True,
 ) -> DataFrame:
     """``df`` with any of ``row`` (row_number), ``rank``, ``percent`` (percent_rank) and ``tile`` (name, n: ntile) in each
     group of ``by`` (nulls are a group).
 
     ``order``: (column, ascending) pairs; the first ``values`` of them are what equal rows share, the others only break ties
     of ``row`` and ``tile``.  Nulls come first ascending and last descending, as in Spark.  Groups of at most ``large`` rows
-    are numbered by a window, larger ones in pieces with the same result.
+    are numbered by a window, larger ones in pieces with the same result; without ``check`` (the caller knows that no group
+    is large) by a window all.
     """
     by, order, large = list(by), list(order), LARGE if large is None else large
     names = [f"k{i}" for i in range(len(order))]
@@ -93,7 +99,7 @@ def numbered(
     if clash := set(added) & set(df.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
     sort = lambda n: [F.col(c).asc() if up else F.col(c).desc() for c, up in order[:n]]
-    cuts = _thresholds(df, by, order, names, large)
+    cuts = _thresholds(df, by, order, names, large) if check else None
     if cuts is None:
         whole, equal = Window.partitionBy(*by).orderBy(*sort(len(order))), Window.partitionBy(*by).orderBy(*sort(values))
         columns = {row: lambda: F.row_number().over(whole), rank: lambda: F.rank().over(equal), percent: lambda: F.percent_rank().over(equal), tile and tile[0]: lambda: F.ntile(tile[1]).over(whole)}

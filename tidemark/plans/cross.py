@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import fiscal_year_of, industry_in, industry_scope
+from tidemark.operators.ranks import has_large, numbered
 from tidemark.operators.rel import assert_check, first_per_group, union_prefer, unpivot
 from tidemark.operators.temporal import interval_join
 from tidemark.plans.concept_config import ConceptConfig
@@ -151,8 +152,10 @@ def factor_percentiles(values: DataFrame, ids: list[str], sector: str, signs: di
     long = unpivot(values.select(*ids, sector, *within, *[F.col(n).cast("double") for n in names]), [*ids, sector, *within], names, "factor", "value").where("value IS NOT NULL")
     sign = F.create_map(*[F.lit(x) for p in signs.items() for x in p])
     signed = long.withColumn("_s", F.col("value") * F.try_element_at(sign, F.col("factor")))
-    rank = lambda *by: F.round(F.percent_rank().over(Window.partitionBy(*by).orderBy("_s")), 4)
-    ranked = signed.withColumns({"pct": rank("factor", *within), "sector_pct": rank("factor", sector, *within)})
+    order, large = [("_s", True), *[(c, True) for c in ids]], has_large(signed, ["factor", *within])
+    ranked = numbered(signed, ["factor", *within], order, percent="pct", check=large)
+    ranked = numbered(ranked, ["factor", sector, *within], order, percent="sector_pct", check=large)
+    ranked = ranked.withColumns({c: F.round(c, 4) for c in ("pct", "sector_pct")})
     picks = []
     for n in names:
         pick = lambda c, n=n: F.max(F.when(F.col("factor") == n, F.col(c)))

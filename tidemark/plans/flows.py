@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import month_end_back
+from tidemark.operators.ranks import has_large, numbered
 from tidemark.operators.rel import first_per_group
 from tidemark.operators.temporal import days_between
 
@@ -110,6 +111,7 @@ def profitability(series: DataFrame, balances: DataFrame, flow: str = "net_incom
 def ranked(rows: DataFrame, value: str, by=(), rank: str = "rank", percentile: str = "percentile") -> DataFrame:
     """Rank (1 = highest) and percentile among rows with a value."""
     has = rows.where(F.col(value).isNotNull())
-    best, worst = (Window.partitionBy(*by).orderBy(o) for o in (F.col(value).desc(), F.col(value).asc()))
-    scored = has.select("*", F.rank().over(best).cast("long").alias(rank), F.round(F.percent_rank().over(worst), 4).alias(percentile))
+    large = has_large(has, by)
+    best = numbered(has, by, [(value, False)], rank=rank, check=large)
+    scored = numbered(best, by, [(value, True)], percent=percentile, check=large).withColumn(percentile, F.round(percentile, 4))
     return scored.unionByName(rows.where(F.col(value).isNull()), allowMissingColumns=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import cross
+from tidemark.plans import cross, exports, items
 from tidemark.plans.concept_config import ConceptConfig
 
 QUERIES: dict = {}
@@ -113,3 +114,37 @@ def peer_panel(spark, d):
         "cik", "index_name", "concept", "fiscal_year", "peer_level", "peer_group", "value_date", cut("value", 4), "peer_count", F.round(F.col("peer_mean") * F.col("peer_count"), 2).alias("peer_total"), cut("peer_stddev", 3),
         cut("peer_min", 4), cut("peer_max", 4), "zscore", "peer_percentile",
     )
+
+
+# --- states and panels ---------------------------------------------------------------------------------------------------
+
+PANEL_ITEMS = """item,period,rule,variant,priority,term,coefficient,required,notes
+sale,duration,tag,,1,1-URGENT,1,,
+sale,duration,tag,,2,2-HIGH,1,,
+cost,duration,tag,,1,3-MEDIUM,1,,
+gain,duration,formula,1,,item:sale,1,TRUE,
+gain,duration,formula,1,,item:cost,-1,FALSE,
+gain,duration,formula,2,,tag:4-NOT SPECIFIED,1,TRUE,
+"""
+
+
+@query("""WITH o AS (SELECT o_custkey AS cik, CASE WHEN month(o_orderdate) <= 6 THEN make_date(year(o_orderdate), 6, 30) ELSE make_date(year(o_orderdate), 12, 31) END AS vd,
+  CAST(o_orderdate AS DATE) AS d, o_orderpriority AS tag, max(o_totalprice) AS v FROM orders GROUP BY ALL),
+x AS (SELECT cik, vd, d, tag, v, CASE WHEN cik % 7 = 0 THEN least(coalesce(nx, d + 20), d + 20) ELSE nx END AS n FROM (SELECT *, lead(d) OVER (PARTITION BY cik, vd, tag ORDER BY d) AS nx FROM o)),
+days AS (SELECT DISTINCT cik, vd, d AS s FROM o WHERE tag <> '5-LOW'),
+w AS (SELECT days.cik, days.vd, s, max(v) FILTER (tag = '1-URGENT') AS u, max(v) FILTER (tag = '2-HIGH') AS h, max(v) FILTER (tag = '3-MEDIUM') AS m, max(v) FILTER (tag = '4-NOT SPECIFIED') AS z
+  FROM days JOIN x ON x.cik = days.cik AND x.vd = days.vd AND x.d <= s AND (x.n > s OR x.n IS NULL) AND x.tag <> '5-LOW' GROUP BY ALL),
+i AS (SELECT cik, vd, s, coalesce(u, h) / 1e3 AS sale, m / 1e3 AS cost, CASE WHEN coalesce(u, h) IS NOT NULL THEN coalesce(u, h) - coalesce(m, 0) ELSE z END / 1e3 AS gain FROM w),
+p AS (SELECT * FROM i QUALIFY vd = max(vd) OVER (PARTITION BY cik, year(vd)))
+SELECT cik, vd AS value_date, year(vd) AS fyear, s AS state_from, round(sale, 5) AS sale, round(cost, 5) AS cost, round(gain, 5) AS gain FROM p
+WINDOW w AS (PARTITION BY cik, vd ORDER BY s)
+QUALIFY row_number() OVER w = 1 OR sale IS DISTINCT FROM lag(sale) OVER w OR cost IS DISTINCT FROM lag(cost) OVER w OR gain IS DISTINCT FROM lag(gain) OVER w""")
+def annual_panel(spark, d):
+    """Half-yearly periods of customers, their orders' priorities as tags; facts of every seventh customer lapse after 20 days."""
+    day = F.col("o_orderdate").cast("date")
+    period = F.when(F.month(day) <= 6, F.make_date(F.year(day), F.lit(6), F.lit(30))).otherwise(F.make_date(F.year(day), F.lit(12), F.lit(31)))
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), period.alias("value_date"), day.alias("tradable_from"), F.col("o_orderpriority").alias("tag")).agg(F.max("o_totalprice").alias("value"))
+    ahead, lapse = F.lead("tradable_from").over(Window.partitionBy("cik", "value_date", "tag").orderBy("tradable_from")), F.date_add("tradable_from", 20)
+    o = o.withColumns({"superseded_tradable": F.when(F.col("cik") % 7 == 0, F.least(ahead, lapse)).otherwise(ahead), "adsh": F.lit("")})
+    out = exports.annual_panel(o, items.parse_items(PANEL_ITEMS), scale=1e3)
+    return out.select("cik", "value_date", F.col("fyear").cast("long").alias("fyear"), "state_from", *[F.round(c, 5).alias(c) for c in ("sale", "cost", "gain")])
