@@ -229,13 +229,33 @@ def test_backtest_checks_its_arguments(spark):
     assert cross.rebalance_order([D(2024, 1, 31), D(2024, 2, 29), D(2024, 3, 28), D(2024, 4, 30), D(2024, 6, 28), D(2024, 7, 31)], D(2024, 2, 1), D(2024, 6, 30)) == [D(2024, 3, 28), D(2024, 6, 28), D(2024, 2, 29), D(2024, 4, 30)]
 
 
-def test_regression_recovers_coefficients():
+def test_regressions_against_matrices(spark):
+    """Three series on two factors: coefficients, errors over lags and fit against the same figures from whole matrices."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    beta, t, r2 = market.newey_west(0.5 + 2 * x + rng.normal(scale=0.1, size=400), x[:, None])
-    assert np.allclose(beta, [0.5, 2], atol=0.05) and t[1] > 50 and r2 > 0.98
+    rng, rows, lags = np.random.default_rng(0), [], 4
+    want = {}
+    for name, n in (("a", 120), ("b", 5), ("short", 3)):
+        x = np.column_stack((np.ones(n), rng.normal(size=n), rng.normal(size=n)))
+        y = x @ [0.5, 2, -1] + np.convolve(rng.normal(scale=0.3, size=n + 2), [0.5, 0.3, 0.2], "valid")
+        rows += [(name, D(2000 + i // 12, i % 12 + 1, 1), float(y[i]), float(x[i, 1]), float(x[i, 2])) for i in range(n)]
+        if n > 3:
+            beta = np.linalg.solve(x.T @ x, x.T @ y)
+            u = x * (y - x @ beta)[:, None]
+            gap = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+            meat = u.T @ np.where(gap <= lags, 1 - gap / (lags + 1), 0) @ u
+            bread = np.linalg.inv(x.T @ x)
+            fit = 1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+            for i, term in enumerate(("alpha", "f", "g")):
+                want[name, term] = (beta[i], beta[i] / np.sqrt((bread @ meat @ bread)[i, i]), fit, n)
+    rows += [("collinear", D(2000, i, 1), float(i * i), float(i), 2.0 * i) for i in range(1, 12)] + [("a", D(1990, 1, 1), None, 1.0, 1.0), ("a", D(1990, 2, 1), 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "series string, month_end date, r double, f double, g double").repartition(3)
+    got = {(r["series"], r["term"]): (r["coefficient"], r["t_stat"], r["r2"], r["n"]) for r in market.factor_regressions(df, ["f", "g"], lags=lags).collect()}
+    assert got.keys() == want.keys()
+    for key in want:
+        assert np.allclose(got[key], want[key], rtol=1e-6), key
+    flat = spark.createDataFrame([("z", D(2000, i, 1), 2.0, float(i)) for i in range(1, 9)], "series string, month_end date, r double, f double")
+    assert [(r["term"], round(r["coefficient"], 6), r["r2"]) for r in market.factor_regressions(flat, ["f"]).collect()] == [("alpha", 2.0, None), ("f", 0.0, None)]
 
 
 def test_panel_store_and_union(spark, tmp_path):

@@ -569,12 +569,23 @@ def backtest_summary(spark, d):
     return market.summary(bt).where("series LIKE 'bucket%'").select("series", "months", F.round("mean_monthly", 4).alias("mean_monthly"))
 
 
-@query(None)
+LAGGED = lambda a, b: f"{a} * {b}" + "".join(f" + {1 - j / 7} * ({a} * coalesce({b}{j}, 0) + {b} * coalesce({a}{j}, 0))" for j in range(1, 7))
+
+
+@query(f"""WITH {BACKTEST}, z AS (SELECT 'bucket ' || bucket AS series, m, round(ret, 6) AS y, round(b, 6) AS x FROM per JOIN ben USING (rb, m) WHERE ret IS NOT NULL),
+mo AS (SELECT series, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, avg(y) AS my, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / det AS b1, (sy - b1 * sx) / n AS b0 FROM z GROUP BY series HAVING count(*) > 2),
+u AS (SELECT series, m, y, my, y - b0 - b1 * x AS p, x * (y - b0 - b1 * x) AS q FROM z JOIN mo USING (series)),
+l AS (SELECT *, {", ".join(f"lag({c}, {j}) OVER w AS {c}{j}" for c in "pq" for j in range(1, 7))} FROM u WINDOW w AS (PARTITION BY series ORDER BY m)),
+s AS (SELECT series, sum({LAGGED("p", "p")}) AS s00, sum({LAGGED("p", "q")}) AS s01, sum({LAGGED("q", "q")}) AS s11, sum(p * p) AS sse, sum((y - my) * (y - my)) AS sst FROM l GROUP BY series),
+v AS (SELECT *, (sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / (det * det) AS v0, (sx * sx * s00 - 2 * n * sx * s01 + n * n * s11) / (det * det) AS v1 FROM mo JOIN s USING (series))
+SELECT series, 'alpha' AS term, round(b0, 6) AS coefficient, round(b0 / sqrt(v0), 4) AS t_stat, round(1 - sse / sst, 6) AS r2, n FROM v
+UNION ALL SELECT series, 'mkt', round(b1, 6), round(b1 / sqrt(v1), 4), round(1 - sse / sst, 6), n FROM v""")
 def factor_regression(spark, d):
     """Buckets on the benchmark, with errors robust to autocorrelation."""
     bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
     rows = bt.select(F.concat(F.lit("bucket "), F.col("bucket").cast("string")).alias("series"), "month_end", F.col("ret").alias("r"), F.col("benchmark_ret").alias("mkt"))
-    return market.factor_regressions(rows, ["mkt"])
+    out = market.factor_regressions(rows, ["mkt"])
+    return out.select("series", "term", F.round("coefficient", 6).alias("coefficient"), F.round("t_stat", 4).alias("t_stat"), F.round("r2", 6).alias("r2"), "n")
 
 
 @query(None)
