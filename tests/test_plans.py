@@ -295,13 +295,39 @@ def test_runs_resolve_in_order(spark):
     obs = [("SP500", "AAA", x, 1, "Alpha Inc") for x in d] + [("SP500", "BBB", x, None, "Beta Corp") for x in d] + [("SP500", "CCC", x, None, "Gamma Co") for x in d] + [("SP500", "DDD", x, None, None) for x in d]
     sight = spark.createDataFrame(obs, "index_name string, ticker string, observed_on date, cik int, name string")
     tick = spark.createDataFrame([(2, "BBB", True, D(2019, 1, 1), None)], "cik int, ticker string, is_primary boolean, valid_from date, valid_to date")
-    comp = spark.createDataFrame([(i,) for i in (1, 2, 3)], "cik int")
+    comp = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "cik int")
     names = spark.createDataFrame([(3, "GAMMA COMPANY", D(2010, 1, 1), None)], "cik int, name string, valid_from date, valid_to date")
     over = spark.createDataFrame([("SP500", "DDD", d[0], 4)], "index_name string, ticker string, first_seen date, cik int")
     got = {r["ticker"]: (r["cik"], r["cik_source"]) for r in spine.resolve_runs(sight, tick, comp, names, over).collect()}
     assert got == {"AAA": (1, "page"), "BBB": (2, "crosswalk"), "CCC": (3, "name"), "DDD": (4, "override")}
 
 
+def test_name_rung_of_runs(spark):
+    """Current names begin where the former one ended; empty names match nothing; spans, grace and the start of a run decide."""
+    d = [D(2020, 6, 1), D(2020, 7, 1)]
+    printed = {"CUR": "Delta Inc", "EMP": "The Company Inc", "TWO": "Echo", "OLD": "Foxtrot", "LATE": "Golf", "GONE": "Hotel", "OVR": "Xray", "NEAR": "India"}
+    sight = spark.createDataFrame([("SP500", k, x, None, v) for k, v in printed.items() for x in d], "index_name string, ticker string, observed_on date, cik int, name string")
+    none = spark.createDataFrame([], "cik int, ticker string, is_primary boolean, valid_from date, valid_to date")
+    span = lambda c, a=D(2010, 1, 1), b=D(2024, 1, 1), name=None: (c, name, a, b)
+    comp = spark.createDataFrame([span(1), span(2), span(3), span(4), span(5), span(6), span(7, b=D(2019, 1, 1)), span(8, a=D(2021, 6, 1)), span(9, name="India Corp")], "cik int, name_latest string, first_filed date, last_filed date")
+    rows = [
+        (1, "Delta Corp", None, None), (1, "Alpha", D(2012, 1, 1), D(2018, 1, 1)),  # renamed from Alpha in 2018
+        (2, "Group Holdings Ltd", None, None),  # normalises to nothing, as does "The Company Inc"
+        (3, "Echo", D(2015, 1, 1), None), (4, "Echo", D(2020, 12, 30), None),  # 4 takes the name on within the grace of the run's end only
+        (5, "Foxtrot", D(2015, 1, 1), D(2020, 1, 1)), (6, "Foxtrot", D(2015, 1, 1), D(2019, 6, 1)),  # 5's name ended within the grace
+        (7, "Golf", D(2015, 1, 1), None), (8, "Golf", D(2015, 1, 1), None),  # neither filed around the run
+        (3, "Hotel", D(2020, 1, 1), None), (4, "Hotel", D(2020, 1, 1), None),  # two of a kind
+    ]
+    names = spark.createDataFrame(rows, "cik int, name string, valid_from date, valid_to date")
+    over = spark.createDataFrame([("SP500", "OVR", d[0], 77), ("SP500", "GONE", d[0], 3)], "index_name string, ticker string, first_seen date, cik int")
+    got = {r["ticker"]: (r["cik"], r["cik_source"]) for r in spine.resolve_runs(sight, none, comp, names, over).collect()}
+    assert got == {"CUR": (1, "name"), "EMP": (None, None), "TWO": (3, "name"), "OLD": (5, "name"), "LATE": (None, None), "GONE": (3, "override"), "OVR": (None, None), "NEAR": (9, "name")}
+    events = spark.createDataFrame([(7, D(2012, 1, 1)), (7, D(2020, 5, 1))], "cik int, event_date date")
+    filed = spark.createDataFrame([(6, "XRAY CO", D(2020, 1, 5)), (None, "XRAY CO", D(2020, 1, 5))], "cik int, name string, filed_date date")
+    more = {r["ticker"]: (r["cik"], r["cik_source"]) for r in spine.resolve_runs(sight, none, comp, names, over, None, events, filed).collect()}
+    assert more["LATE"] == (7, "name") and more["OVR"] == (6, "name")
+
+
 def test_runs_number_captures_by_index_and_bridge_partial_ones(spark):
     day = lambda m: D(2020, m, 1)
     # another index was captured between; the number comes late in the run; then a partial capture without AAA, and AAA again

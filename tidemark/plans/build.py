@@ -159,7 +159,7 @@ def quarters_of(table: str) -> Callable:
     return parts
 
 
-def companies(filed: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def companies(filed: DataFrame) -> DataFrame:
     """(cik, name_latest, sic_latest, first_filed, last_filed) of the filings' companies."""
     newest = F.struct("filed_date", "adsh")
     return filed.where("cik IS NOT NULL").groupBy("cik").agg(
@@ -210,7 +210,7 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         if not seen.limit(1).count():
             return _empty(spark, MEMBERS)
         caps = spine.captures(seen, ["index_name"]).select("index_name", "observed_on", "is_partial")
-        runs = spine.resolve_runs(seen, t["company_ticker"], t["company"], or_empty(t["company_name"], NAMES), or_empty(t["overrides"], OVERRIDES), caps)
+        runs = spine.resolve_runs(seen, t["company_ticker"], t["company"], or_empty(t["company_name"], NAMES), or_empty(t["overrides"], OVERRIDES), caps, t["security_event"], t["sub"])
         at = caps.withColumn("_sn", F.row_number().over(Window.partitionBy("index_name").orderBy("observed_on")).cast("long")).drop("is_partial")
         known = runs.where("cik IS NOT NULL").select("index_name", "ticker", "first_sn", "last_sn", F.col("cik").alias("_cik"))
         placed = seen.join(at, ["index_name", "observed_on"]).join(known, ["index_name", "ticker"]).where(F.col("_sn").between(F.col("first_sn"), F.col("last_sn")))
@@ -239,7 +239,7 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         Step("company", lambda t, f: companies(t["sub"]), ["sub"]),
         Step("company_ticker", tickers, ["ticker_history", "company"], ["universe"]),
         Step("succession", lambda t, f: spine.successions(t["company_ticker"], t["company"]), ["company_ticker", "company"]),
-        Step("index_membership", members, ["index_history", "company_ticker", "company", "succession"], ["company_name", "overrides"]),
+        Step("index_membership", members, ["index_history", "company_ticker", "company", "sub", "succession"], ["company_name", "security_event", "overrides"]),
         Step("index_timeline", lambda t, f: spine.membership_timeline(t["index_membership"], preferred), ["index_membership"]),
         Step("suspect_fact", lambda t, f: gold.suspect_facts(t["num"]), ["num"]),
         Step("tradable_financials", lambda t, f: gold.tradable_financials(t["num"], t["company_ticker"], t["index_timeline"], t["suspect_fact"]), ["num", "company_ticker", "index_timeline", "suspect_fact"]),

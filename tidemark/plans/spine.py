@@ -100,13 +100,69 @@ def subtract_sightings(sightings: DataFrame, oversized: DataFrame, sibling: Data
     return sightings.join(listed, ["observed_on", "ticker"], "left_anti")
 
 
-def resolve_runs(sightings: DataFrame, tickers: DataFrame, companies: DataFrame, names: DataFrame, overrides: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+#: Days by which a name may outlive its window, and a company's filings a run, on either side.
+NAME_GRACE = 200
+
+
+def filing_spans(companies: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """(cik, first_filed, last_filed) of each company, by its events where they are known, else by its own filings."""
+    known = companies.select("cik", *[F.col(c) if c in companies.columns else F.lit(None).cast("date").alias(c) for c in ("first_filed", "last_filed")])
+    if events is None:
+        return known
+    seen = events.groupBy("cik").agg(F.min("event_date").alias("_first"), F.max("event_date").alias("_last"))
+    return known.join(seen, "cik", "left").select("cik", F.coalesce("_first", "first_filed").alias("first_filed"), F.coalesce("_last", "last_filed").alias("last_filed"))
+
+
+def dated_names(names: DataFrame, companies: DataFrame, events: DataFrame | None = None, filings: DataFrame | None = None) -> DataFrame:
+    """(cik, name, valid_from, valid_to): normalised names that are not empty, each with the days on which it was borne.
+
+    Former names have their own dates.  A current name (null start) begins where the last former one ended, else with the
+    company's first filing, and is open.  A name on filings runs from its first use to its last.
+    """
+    former = names.where("valid_from IS NOT NULL").groupBy("cik").agg(F.max("valid_to").alias("_former"))
+    start = filing_spans(companies, events).select("cik", F.col("first_filed").alias("_first"))
+    parts = [names.select("cik", "name", "valid_from", "valid_to")]
+    if "name_latest" in companies.columns:
+        parts.append(companies.select("cik", F.col("name_latest").alias("name"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    begun = F.coalesce("valid_from", "_former", "_first", F.lit("1900-01-01").cast("date"))
+    rows = rows.join(former, "cik", "left").join(start, "cik", "left").select("cik", "name", begun.alias("valid_from"), "valid_to")
+    if filings is not None:
+        used = filings.where("cik IS NOT NULL").groupBy("cik", "name").agg(F.min("filed_date").alias("valid_from"), F.max("filed_date").alias("valid_to"))
+        rows = rows.unionByName(used)
+    return rows.select("cik", norm_company_name(F.col("name")).alias("name"), "valid_from", "valid_to").where("name <> ''").distinct()
+
+
+def named_companies(runs: DataFrame, printed: DataFrame, names: DataFrame, spans: DataFrame | None, key: list[str]) -> DataFrame:
+    """(key, cik): the one company that a run's printed names can mean.
+
+    ``runs``: key, first_seen, last_seen; ``printed``: key, name (normalised); ``names`` as ``dated_names``; ``spans`` as
+    ``filing_spans``, or None for no bound.  A company must have borne the name and have filed within the grace of the run.
+    One that bore it when the run began goes before those that took it on later; two of a kind decide nothing.
+    """
+    bore = runs.join(printed, key).join(names.select("cik", "name", F.col("valid_from").alias("_nf"), F.date_add("valid_to", NAME_GRACE).alias("_nt")), "name")
+    bore = bore.withColumn("_nf", F.date_sub("_nf", NAME_GRACE)).where((F.col("_nf") <= F.col("last_seen")) & (F.col("_nt").isNull() | (F.col("_nt") >= F.col("first_seen"))))
+    if spans is not None:
+        filed = (F.date_sub("first_filed", NAME_GRACE) <= F.col("last_seen")) & (F.date_add("last_filed", NAME_GRACE) >= F.col("first_seen"))
+        bore = bore.join(spans, "cik").where(filed)
+    at_start = F.bool_or((F.col("_nf") <= F.col("first_seen")) & (F.col("_nt").isNull() | (F.col("_nt") >= F.col("first_seen"))))
+    mine = bore.groupBy(*key, "cik").agg(at_start.alias("_start"))
+    counts = mine.groupBy(*key).agg(F.count("*").alias("_n"), F.count_if("_start").alias("_ns"), F.min("cik").alias("_any"), F.min(F.when(F.col("_start"), F.col("cik"))).alias("_early"))
+    cik = F.when(F.col("_ns") == 1, F.col("_early")).when((F.col("_ns") == 0) & (F.col("_n") == 1), F.col("_any"))
+    return counts.select(*key, cik.alias("cik")).where("cik IS NOT NULL")
+
+
+def resolve_runs(
+    sightings: DataFrame, tickers: DataFrame, companies: DataFrame, names: DataFrame, overrides: DataFrame, captures: DataFrame | None = None, events: DataFrame | None = None, filings: DataFrame | None = None
+) -> DataFrame:
     """The company of each run of sightings of a ticker, and how it is known.
 
     In order: the page's own number where the crosswalk agrees or is silent; the crosswalk at the last sighting; a name
-    that one company alone bore then; an audited override; the runs before and after, where only partial captures lie
-    between and they agree.  Unresolved runs keep a null cik.  ``captures`` (index_name, observed_on, is_partial) are numbered
-    for each index by itself; without it, they are the days with sightings, all whole.
+    that one company alone bore then (``named_companies``); an audited override whose company has filed; the runs before
+    and after, where only partial captures lie between and they agree.  Unresolved runs keep a null cik.  ``captures``
+    (index_name, observed_on, is_partial) are numbered for each index by itself; without it, they are the days with
+    sightings, all whole.  ``companies``: cik and, where known, name_latest, first_filed, last_filed; ``events`` (cik,
+    event_date) and ``filings`` (cik, name, filed_date) widen what is known of filing spans and names.
     """
     if captures is None:
         captures = sightings.select("index_name", "observed_on", F.lit(False).alias("is_partial")).distinct()
@@ -123,12 +179,14 @@ def resolve_runs(sightings: DataFrame, tickers: DataFrame, companies: DataFrame,
     page = first_per_group(paged, key, [(F.col("cik") == F.col("xw_cik")).desc_nulls_last(), F.col("_n").desc(), F.col("cik").asc()])
     page = page.where(F.col("xw_cik").isNull() | (F.col("cik") == F.col("xw_cik"))).select(*key, "cik", F.lit("page").alias("cik_source"))
     xw = crosswalk.select(*key, F.col("xw_cik").alias("cik"), F.lit("crosswalk").alias("cik_source"))
-    dated = names.select("cik", norm_company_name(F.col("name")).alias("_name"), F.col("valid_from").alias("_nf"), F.col("valid_to").alias("_nt"))
-    printed = inside.where("name IS NOT NULL AND name <> ''").select(*key, norm_company_name(F.col("name")).alias("_name")).distinct().join(spans, key)
-    bore = printed.join(dated, "_name").where((F.col("_nf") <= F.col("last_seen")) & (F.col("_nt").isNull() | (F.col("_nt") >= F.col("first_seen"))))
-    unique = bore.groupBy(*key).agg(F.countDistinct("cik").alias("_n"), F.min("cik").alias("cik")).where("_n = 1").select(*key, "cik", F.lit("name").alias("cik_source"))
-    by_hand = spans.join(overrides.select("index_name", "ticker", F.col("first_seen").alias("first_seen"), "cik"), ["index_name", "ticker", "first_seen"]).select(*key, "cik", F.lit("override").alias("cik_source"))
-    best = union_prefer([page, xw, unique, by_hand], key)
+    found = page.unionByName(xw).select(*key).distinct()
+    open_runs = spans.join(found, key, "left_anti")
+    printed = inside.where("name IS NOT NULL AND name <> ''").select(*key, norm_company_name(F.col("name")).alias("name")).where("name <> ''").distinct()
+    bounded = events is not None or {"first_filed", "last_filed"} <= set(companies.columns)
+    by_name = named_companies(open_runs, printed, dated_names(names, companies, events, filings), filing_spans(companies, events) if bounded else None, key)
+    by_name = by_name.join(companies.select("cik"), "cik", "left_semi").select(*key, "cik", F.lit("name").alias("cik_source"))
+    by_hand = spans.join(overrides.select("index_name", "ticker", "first_seen", "cik"), ["index_name", "ticker", "first_seen"]).join(companies.select("cik"), "cik", "left_semi").select(*key, "cik", F.lit("override").alias("cik_source"))
+    best = union_prefer([page, xw, by_name, by_hand], key)
     resolved = runs.join(spans, key).join(best, key, "left")
     at = known.select("index_name", "sn", "whole", F.when(F.col("is_partial"), 0).otherwise(1).alias("self"))
     first, last = (at.select("index_name", F.col("sn").alias(f"{e}_sn"), F.col("whole").alias(f"_{e}"), F.col("self").alias(f"_{e}_self")) for e in ("first", "last"))

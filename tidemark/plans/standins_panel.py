@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import cross, exports, items
+from tidemark.plans import cross, exports, items, spine
 from tidemark.plans.concept_config import ConceptConfig
 
 QUERIES: dict = {}
@@ -148,3 +148,44 @@ def annual_panel(spark, d):
     o = o.withColumns({"superseded_tradable": F.when(F.col("cik") % 7 == 0, F.least(ahead, lapse)).otherwise(ahead), "adsh": F.lit("")})
     out = exports.annual_panel(o, items.parse_items(PANEL_ITEMS), scale=1e3)
     return out.select("cik", "value_date", F.col("fyear").cast("long").alias("fyear"), "state_from", *[F.round(c, 5).alias(c) for c in ("sale", "cost", "gain")])
+
+
+# --- runs of sightings ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s0 AS (SELECT 'T' || (o_custkey % 300) AS ticker, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, arg_min(o_custkey, o_orderkey) AS c, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+cap AS (SELECT d, month(d) = 7 AS part, row_number() OVER (ORDER BY d) AS sn FROM (SELECT DISTINCT d FROM s0)),
+s AS (SELECT s0.*, sn, sn - row_number() OVER (PARTITION BY ticker ORDER BY sn) AS rk, CASE WHEN k % 4 = 0 THEN c END AS page FROM s0 JOIN cap USING (d)),
+run AS (SELECT ticker, rk, min(sn) AS a, max(sn) AS b, min(d) AS f, max(d) AS l FROM s GROUP BY ALL),
+co AS (SELECT c_custkey AS cik, DATE '1990-01-01' + CAST(c_custkey * 37 % 3000 AS INTEGER) AS ff FROM customer WHERE c_custkey % 13 <> 0),
+xw AS (SELECT ticker, rk, min(c_custkey) AS x FROM run JOIN customer ON 'T' || (c_custkey % 300) = ticker AND c_custkey % 7 = 0 WHERE l >= DATE '1997-01-01' AND l < DATE '1999-01-01' GROUP BY ALL),
+pg AS (SELECT ticker, rk, page AS p, count(*) AS n FROM s JOIN co ON co.cik = page GROUP BY ALL),
+pick AS (SELECT ticker, rk, p FROM pg LEFT JOIN xw USING (ticker, rk) QUALIFY row_number() OVER (PARTITION BY ticker, rk ORDER BY (p = x) DESC NULLS LAST, n DESC, p) = 1),
+r1 AS (SELECT run.*, CASE WHEN p IS NOT NULL AND (x IS NULL OR p = x) THEN p ELSE x END AS cik, CASE WHEN p IS NOT NULL AND (x IS NULL OR p = x) THEN 'page' WHEN x IS NOT NULL THEN 'crosswalk' END AS src FROM run LEFT JOIN xw USING (ticker, rk) LEFT JOIN pick USING (ticker, rk)),
+nm AS (SELECT c_custkey AS cik, 'customer' || (c_custkey % 300) AS n, CASE WHEN c_custkey % 2 = 1 THEN coalesce(ff, DATE '1900-01-01') ELSE DATE '1995-06-01' + CAST(c_custkey % 900 AS INTEGER) END AS vf, CASE WHEN c_custkey % 2 = 0 THEN DATE '1995-06-01' + CAST(c_custkey % 900 AS INTEGER) + 1500 END AS vt FROM customer LEFT JOIN co ON co.cik = c_custkey),
+cand AS (SELECT r1.ticker, r1.rk, nm.cik, bool_or(vf - 200 <= f AND (vt IS NULL OR vt + 200 >= f)) AS st FROM r1 JOIN (SELECT DISTINCT ticker, rk, 'customer' || (c % 300) AS n FROM s WHERE c % 5 > 1) t ON t.ticker = r1.ticker AND t.rk = r1.rk JOIN nm ON nm.n = t.n JOIN co ON co.cik = nm.cik
+  WHERE r1.cik IS NULL AND vf - 200 <= l AND (vt IS NULL OR vt + 200 >= f) AND ff - 200 <= l AND ff + 2700 >= f GROUP BY ALL),
+nc AS (SELECT ticker, rk, CASE WHEN count(*) FILTER (st) = 1 THEN min(cik) FILTER (st) WHEN count(*) FILTER (st) = 0 AND count(*) = 1 THEN min(cik) END AS nk FROM cand GROUP BY ALL),
+ov AS (SELECT ticker, f, ok FROM (SELECT ticker, min(d) AS f, CAST(substr(ticker, 2) AS BIGINT) AS ok FROM s0 GROUP BY ticker) JOIN co ON co.cik = ok WHERE ok % 10 = 3),
+r2 AS (SELECT r1.ticker, a, b, r1.f, l, coalesce(cik, nk, ok) AS cik, CASE WHEN cik IS NOT NULL THEN src WHEN nk IS NOT NULL THEN 'name' WHEN ok IS NOT NULL THEN 'override' END AS src FROM r1 LEFT JOIN nc USING (ticker, rk) LEFT JOIN ov ON ov.ticker = r1.ticker AND ov.f = r1.f),
+w AS (SELECT sn, sum(CASE WHEN part THEN 0 ELSE 1 END) OVER (ORDER BY sn) AS wh, CASE WHEN part THEN 0 ELSE 1 END AS self FROM cap),
+z AS (SELECT r2.*, CASE WHEN wa.wh - wa.self - lag(wb.wh) OVER t = 0 THEN lag(cik) OVER t END AS p, CASE WHEN lead(wa.wh) OVER t - lead(wa.self) OVER t - wb.wh = 0 THEN lead(cik) OVER t END AS n FROM r2 JOIN w wa ON wa.sn = a JOIN w wb ON wb.sn = b WINDOW t AS (PARTITION BY ticker ORDER BY a)),
+y AS (SELECT *, CASE WHEN p IS NULL OR n IS NULL OR p = n THEN coalesce(p, n) END AS near FROM z)
+SELECT ticker, a AS first_sn, b AS last_sn, f AS first_seen, l AS last_seen, coalesce(cik, near) AS cik, CASE WHEN cik IS NOT NULL THEN src WHEN near IS NOT NULL THEN 'bridged' END AS cik_source FROM y""")
+def run_resolution(spark, d):
+    """Months in which any of the customers that share a ticker ordered, as sightings of it; Julys are partial captures."""
+    key, ticker = F.col("o_custkey"), lambda c: F.concat(F.lit("T"), (c % 300).cast("string"))
+    o = t(spark, d, "orders").groupBy(ticker(key).alias("ticker"), F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("observed_on")).agg(F.min_by("o_custkey", "o_orderkey").alias("c"), F.min("o_orderkey").alias("k"))
+    name = F.when(F.col("c") % 5 == 0, "The Inc").when(F.col("c") % 5 == 1, "").otherwise(F.concat(F.lit("Customer "), (F.col("c") % 300).cast("string"), F.lit(" Inc")))
+    seen = o.select(F.lit("A").alias("index_name"), "ticker", "observed_on", F.when(F.col("k") % 4 == 0, F.col("c")).alias("cik"), name.alias("name"))
+    captures = o.select(F.lit("A").alias("index_name"), "observed_on", (F.month("observed_on") == 7).alias("is_partial")).distinct()
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"))
+    date = lambda x: F.lit(x).cast("date")
+    held = c.where("cik % 7 = 0").select("cik", ticker(F.col("cik")).alias("ticker"), F.lit(True).alias("is_primary"), date("1997-01-01").alias("valid_from"), date("1999-01-01").alias("valid_to"))
+    first = F.date_add(date("1990-01-01"), (F.col("cik") * 37 % 3000).cast("int"))
+    companies = c.where("cik % 13 <> 0").select("cik", first.alias("first_filed"), F.date_add(first, 2500).alias("last_filed"))
+    start = F.when(F.col("cik") % 2 == 0, F.date_add(date("1995-06-01"), (F.col("cik") % 900).cast("int")))
+    names = c.select("cik", F.concat(F.lit("CUSTOMER "), (F.col("cik") % 300).cast("string"), F.lit(" Corp")).alias("name"), start.alias("valid_from"), F.date_add(start, 1500).alias("valid_to"))
+    overrides = o.groupBy("ticker").agg(F.min("observed_on").alias("first_seen")).select(F.lit("A").alias("index_name"), "ticker", "first_seen", F.substring("ticker", 2, 9).cast("long").alias("cik")).where("cik % 10 = 3")
+    out = spine.resolve_runs(seen, held, companies, names, overrides, captures)
+    return out.select("ticker", "first_sn", "last_sn", "first_seen", "last_seen", "cik", "cik_source")
