@@ -10,7 +10,7 @@ from tidemark.operators.rel import table_digest
 from tidemark.plans import build
 from tidemark.plans.build import Done, Raw, Step
 from tidemark.plans.concept_config import ConceptConfig
-from tidemark.sources import bronze
+from tidemark.sources import bronze, resume
 from tidemark.sources.tables import Changed, Tables
 
 ROW = "k int, v string, p string"
@@ -104,6 +104,38 @@ def test_a_quarter_that_dies_can_be_loaded_again(spark, tmp_path, monkeypatch):
     assert bronze.load_log(spark, root).count() == 0 and bronze.raw_table(spark, root, "tag").count() == 0
 
 
+# --- many sources
+
+
+def test_an_interrupted_load_ends_as_one_run(spark, tmp_path):
+    data = {"a/1": [1, 2], "b": [], "c": [3], "d": [4, 5], "e": [6]}
+    marks = {s: "1" for s in data}
+    read = lambda s: spark.createDataFrame([(n,) for n in data[s]], "n int")
+    whole, broken = Tables(spark, f"{tmp_path}/whole"), Tables(spark, f"{tmp_path}/broken")
+    assert resume.load_sources(whole, "x", marks, read) == sorted(data)
+    asked = []
+
+    def dies(s):
+        asked.append(s)
+        if s == "d":
+            raise RuntimeError("lost")
+        return read(s)
+
+    with pytest.raises(RuntimeError):
+        resume.load_sources(broken, "x", marks, dies, together=2)
+    assert set(resume.finished(broken, "x")) == {"a/1", "b"} and rows(broken.read("x")) == [(1, "a/1"), (2, "a/1")]
+    assert resume.load_sources(broken, "x", marks, read, together=2) == ["c", "d", "e"]
+    assert rows(broken.read("x")) == rows(whole.read("x")) and resume.finished(broken, "x") == resume.finished(whole, "x")
+    assert resume.load_sources(broken, "x", marks, dies) == []
+    data["a/1"] = [7]  # a changed source replaces its own rows only
+    assert resume.load_sources(broken, "x", marks | {"a/1": "2"}, read) == ["a/1"]
+    assert rows(broken.read("x").where("n IN (1, 2, 7)")) == [(7, "a/1")]
+    assert resume.purge(broken, "x", ["a/1", "c", "never"]) == ["a/1", "c"]
+    assert rows(broken.read("x")) == [(4, "d"), (5, "d"), (6, "e")]
+    assert resume.load_sources(broken, "x", marks, read) == ["a/1", "c"]
+    assert resume.finished(broken, "nothing") == {} and resume.purge(broken, "nothing", ["a"]) == []
+
+
 # --- ordered build on small steps
 
 
@@ -219,7 +251,7 @@ def test_raw_files_to_gold_in_one_call(spark, tmp_path, indices):
         (raw / "reference" / "index_history_SP500.csv").unlink()
     run = lambda: build.build(spark, build.standard_steps(spark, TODAY, CONFIG), str(raw), out)
     first = states(run())
-    optional = {"universe", "overrides", "share_class", "security_event", "company_name"}
+    optional = {"universe", "ticker_map", "overrides", "share_class", "security_event", "company_name"}
     assert {n for n, s in first.items() if s == "absent"} == optional and {s for n, s in first.items() if n not in optional} == {"built"}
     t = Tables(spark, out)
     peers = t.read("peer_stats").where("peer_level = 'sector'")
@@ -237,3 +269,12 @@ def test_raw_files_to_gold_in_one_call(spark, tmp_path, indices):
     assert {d.name for d in done if d.state == "built"} == {"num_raw", "num", "suspect_fact", "tradable_financials", "debt_face", "share_class_shares", "peer_stats"}
     assert next(d for d in done if d.name == "num_raw").parts == ("2024q1",)
     assert json.dumps(Raw(spark, str(raw)).names("quarters")) == '["2023q1", "2024q1"]'
+
+
+def test_files_in_order(spark, tmp_path):
+    (tmp_path / "u.csv").write_text('ticker,name,index_name\nb.a,"First, Inc",SP500\nZZ,Zed,SP500\nB-A,Second,SP400\n,none,SP400\nshort\n')
+    got = build.reference.load_universe(build.reference.csv_in_order(build.reference.read_lines(spark, f"{tmp_path}/u.csv"))).collect()
+    assert sorted((r["ticker"], r["name"], r["index_name"]) for r in got) == [("B-A", "First, Inc", "SP500"), ("ZZ", "Zed", "SP500")]
+    (tmp_path / "t.csv").write_text("320193,aapl,Apple,Nasdaq\n\nx,BAD,Bad,NYSE\n7,AAPL,Other,NYSE\n8,short\n9, brk ,Berk,NYSE\n")
+    got = build.reference.load_ticker_map(build.reference.read_lines(spark, f"{tmp_path}/t.csv")).collect()
+    assert sorted(tuple(r) for r in got) == [(9, "BRK", "Berk", "NYSE"), (320193, "AAPL", "Apple", "Nasdaq")]

@@ -521,6 +521,17 @@ def test_stream_folds_like_a_full_build(spark, tmp_path):
     assert superseded(spark, out, keep=3) == []
 
 
+def test_aliases_by_ticker_raise(spark):
+    f = spark.createDataFrame([(1, "Rev", D(2023, 12, 31), 4, "USD", 2e9), (1, "Rev", D(2024, 12, 31), 4, "USD", 3e9), (1, "Rev", D(2024, 9, 30), 1, "USD", 1e9), (2, "Rev", D(2024, 12, 31), 4, "USD", 9e9)], "cik int, tag string, value_date date, qtrs int, uom string, value double").withColumn("tradable_from", F.col("value_date"))
+    aliases = spark.createDataFrame([("revenue", "Rev"), ("assets", "Assets")], "metric_alias string, tag string")
+    holders = spark.createDataFrame([("AA", 1), ("BB", 2)], "ticker string, cik int")
+    got = concepts.aliased_by_ticker(f, aliases, holders, ["aa"], ["revenue"]).collect()
+    assert [(r["ticker"], r["value_date"].year, r["value_billions"]) for r in got] == [("AA", 2024, 3.0), ("AA", 2023, 2.0)]
+    for wanted, metrics in ((["ZZ"], None), (["AA"], ["profit"])):
+        with pytest.raises(LookupError):
+            concepts.aliased_by_ticker(f, aliases, holders, wanted, metrics)
+
+
 def test_values_by_ticker_and_screen(spark):
     from tidemark.plans import concepts
 

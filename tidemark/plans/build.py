@@ -182,7 +182,7 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
     """Raw quarters and reference files to silver, spine and gold; ``today`` closes what is open and bounds periods.
 
     Needed: ``quarters/<YYYYqN>/{sub,tag,num,pre}.txt``, ``reference/trading_calendar.csv`` and ``ticker_history.csv``.
-    Optional below ``reference``: an ``index_history_<index>.csv`` each, ``universe.csv``, ``index_cik_overrides.csv``,
+    Optional below ``reference``: an ``index_history_<index>.csv`` each, ``universe.csv``, ``tickers.csv``, ``index_cik_overrides.csv``,
     ``share_class_map.csv`` and ``submissions`` (JSON documents).
     """
     csv = lambda path: reference.read_csv(spark, path)
@@ -227,7 +227,8 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         Step("trading_calendar", lambda t, f: reference.load_calendar(csv(f[ref("trading_calendar")]), today, horizon_days), files=[ref("trading_calendar")]),
         Step("ticker_history", lambda t, f: reference.load_ticker_history(csv(f[ref("ticker_history")])), files=[ref("ticker_history")]),
         Step("index_history", index_history, wanted_files=list(history.values())),
-        Step("universe", lambda t, f: reference.load_universe(csv(f[ref("universe")])), files=[ref("universe")]),
+        Step("universe", lambda t, f: reference.load_universe(reference.csv_in_order(reference.read_lines(spark, f[ref("universe")]))), files=[ref("universe")]),
+        Step("ticker_map", lambda t, f: reference.load_ticker_map(reference.read_lines(spark, f[ref("tickers")])), files=[ref("tickers")]),
         Step("overrides", lambda t, f: reference.load_overrides(csv(f[ref("index_cik_overrides")])), files=[ref("index_cik_overrides")]),
         Step("share_class", lambda t, f: reference.load_share_classes(csv(f[ref("share_class_map")])), files=[ref("share_class_map")]),
         Step("security_event", lambda t, f: reference.submission_events(spark.read.schema(reference.SUBMISSION).json(f["reference/submissions"])), files=["reference/submissions"]),

@@ -154,6 +154,17 @@ def aliased_billions(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.select("cik", "metric_alias", "value_date", (F.col("value") / 1e9).alias("value_billions"), "tradable_from")
 
 
+def aliased_by_ticker(facts: DataFrame, aliases: DataFrame, holders: DataFrame, wanted: list[str], metrics: list[str] | None = None) -> DataFrame:
+    """``aliased_billions`` of the companies that hold the ``wanted`` tickers, newest first; a ticker that none holds raises
+    LookupError, and so does one of ``metrics`` that is no alias."""
+    if metrics is not None:
+        known = {r["metric_alias"] for r in aliases.select("metric_alias").distinct().collect()}  # configuration
+        if unknown := sorted(set(metrics) - known):
+            raise LookupError(f"no alias {', '.join(unknown)}")
+        aliases = aliases.where(F.col("metric_alias").isin(list(metrics)))
+    return by_ticker(aliased_billions(facts, aliases), holders, wanted).orderBy("ticker", F.col("value_date").desc_nulls_last(), "metric_alias")
+
+
 def by_ticker(values: DataFrame, holders: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Values with the ticker of their company; ``holders`` has (ticker, cik), a company a ticker, today's or a past day's.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import cross, exports, items, spine
 from tidemark.plans.concept_config import ConceptConfig
+from tidemark.sources import taxonomy
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -189,3 +190,32 @@ def run_resolution(spark, d):
     overrides = o.groupBy("ticker").agg(F.min("observed_on").alias("first_seen")).select(F.lit("A").alias("index_name"), "ticker", "first_seen", F.substring("ticker", 2, 9).cast("long").alias("cik")).where("cik % 10 = 3")
     out = spine.resolve_runs(seen, held, companies, names, overrides, captures)
     return out.select("ticker", "first_sn", "last_sn", "first_seen", "last_seen", "cik", "cik_source")
+
+
+# --- taxonomies ----------------------------------------------------------------------------------------------------------
+
+
+def linkbases(spark, d):
+    """A calculation linkbase per supplier group and year, over the part groups that it shipped."""
+    group = lambda c, n, p: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    edges = t(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year"), group("l_suppkey", 50, "S").alias("parent"), group("l_partkey", 200, "P").alias("child")).agg((F.min("l_linenumber") % 2).alias("odd"))
+    part = F.substring("child", 2, 9).cast("int")
+    loc = lambda prefix, name: F.concat(F.lit('<link:loc xlink:type="locator" xlink:href="t.xsd#'), prefix, F.lit("_"), name, F.lit('" xlink:label="loc_'), name, F.lit('"/>'))
+    here = F.when(part % 17 == 0, F.lit("")).otherwise(loc(F.when(part % 19 == 0, "other").otherwise("us-gaap"), F.col("child")))
+    arc = F.concat(F.lit('<link:calculationArc xlink:from="loc_'), "parent", F.lit('" xlink:to="loc_'), "child", F.when(F.col("odd") == 1, F.lit('" weight="-1.0"/>')).otherwise(F.lit('"/>')))
+    body = F.array_join(F.array_sort(F.collect_list(F.concat(here, arc))), "")
+    head = F.lit('<link:linkbase xmlns:link="http://www.xbrl.org/2003/linkbase" xmlns:xlink="http://www.w3.org/1999/xlink"><link:calculationLink>')
+    docs = edges.groupBy("year", "parent").agg(body.alias("body"))
+    text = F.concat(head, loc(F.lit("us-gaap"), F.col("parent")), "body", F.lit("</link:calculationLink></link:linkbase>"))
+    return docs.select(F.col("year").cast("int").alias("year"), F.concat(F.lit("cal/"), "parent").alias("path"), text.alias("text"))
+
+
+@query("""WITH e AS (SELECT year(l_shipdate) AS y, l_suppkey % 50 AS s, l_partkey % 200 AS p, min(l_linenumber) % 2 AS odd FROM lineitem GROUP BY ALL),
+a AS (SELECT y, 'S' || s AS parent, 'P' || p AS child, CASE WHEN odd = 1 THEN -1.0 ELSE 1.0 END AS weight FROM e WHERE p % 17 <> 0 AND p % 19 <> 0),
+r AS (SELECT *, y - row_number() OVER (PARTITION BY parent, child, weight ORDER BY y) AS k FROM a),
+i AS (SELECT parent, child, weight, min(y) AS f, max(y) AS l FROM r GROUP BY parent, child, weight, k)
+SELECT parent, child, CAST(weight AS DOUBLE) AS weight, CAST(min(f) AS INTEGER) AS first_year, CAST(max(l) AS INTEGER) AS last_year, count(*) AS runs,
+  string_agg(CASE WHEN l > f THEN f || '-' || l ELSE CAST(f AS VARCHAR) END, ' ' ORDER BY f) AS years FROM i GROUP BY ALL""")
+def taxonomy_spans(spark, d):
+    """Years of each calculation arc of generated linkbases; some locators lack, some point elsewhere."""
+    return taxonomy.year_spans(taxonomy.calculation_arcs(linkbases(spark, d)), ["parent", "child", "weight"])

@@ -75,11 +75,36 @@ def load_share_classes(raw: DataFrame) -> DataFrame:
     return assert_check(rows, F.col("prices_with_ticker").isNull() | F.coalesce(F.col("conversion_ratio") > 0, F.lit(False)), "a class priced by another needs a ratio")
 
 
-def load_universe(raw: DataFrame) -> DataFrame:
-    """(ticker, name): the first occurrence in file order wins."""
-    w = Window.partitionBy("ticker").orderBy("_at")
-    rows = raw.withColumn("_at", F.monotonically_increasing_id()).withColumn("ticker", norm_ticker(F.col("ticker")))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_at")
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of small reference files in their order, which a split read would not keep."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    return whole.select("path", F.posexplode("lines").alias("line", "value")).where("value <> ''")
+
+
+def csv_in_order(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(path, line, columns): fields of the lines as text; without ``columns`` each file's first line names them, and all
+    files have the same.  Lines with fewer fields go."""
+    if columns is None:
+        head = lines.where("line = 0").select("value").distinct().collect()
+        if len(head) != 1:
+            raise ValueError(f"files with {len(head)} headers")
+        columns, lines = [c.strip().strip('"') for c in head[0]["value"].split(",")], lines.where("line > 0")
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", _short string"
+    rows = lines.select("path", "line", F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_short"}).alias("x"))
+    return rows.where("x._short IS NULL").select("path", "line", *[F.col(f"x.`{c}`").alias(c) for c in columns])
+
+
+def load_universe(rows: DataFrame) -> DataFrame:
+    """The first line of each ticker; ``rows`` as ``csv_in_order`` gives them (ticker, name and any labels)."""
+    named = rows.withColumn("ticker", norm_ticker(F.col("ticker"))).where("ticker <> ''")
+    return first_per_group(named, ["ticker"], [F.col("path").asc(), F.col("line").asc()]).drop("path", "line")
+
+
+def load_ticker_map(lines: DataFrame) -> DataFrame:
+    """(cik, ticker, name, exchange) of a file without a header: the first line of each ticker with a whole number as cik."""
+    rows = csv_in_order(lines, ["cik", "ticker", "name", "exchange"])
+    rows = rows.withColumns({"cik": F.trim("cik").try_cast("int"), "ticker": F.upper(F.trim("ticker"))}).where("cik IS NOT NULL AND ticker <> ''")
+    return first_per_group(rows, ["ticker"], [F.col("path").asc(), F.col("line").asc()]).select("cik", "ticker", "name", "exchange")
 
 
 SUBMISSION = """cik string, name string, formerNames array<struct<name:string,`from`:string,`to`:string>>,

@@ -61,6 +61,10 @@ class Tables:
                 return found | {"number": number}
         return None
 
+    def part(self, value: str | None) -> str:
+        """The part of rows with a value, as Spark names its folder."""
+        return NULL_PART if value is None else self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
     def exists(self, name: str) -> bool:
         return self.manifest(name) is not None
 
@@ -108,8 +112,8 @@ class Tables:
         self._commit(name, df.schema, self._stage(name, df, by), note or {}, now and now["number"])
 
     def replace_parts(self, name: str, df: DataFrame, by: str, note: dict | None = None, drop: Sequence[str] = ()) -> list[str]:
-        """Replace the parts that ``df`` has rows of, remove the parts ``drop``, keep the others; the parts replaced."""
-        now = self.manifest(name)
+        """Replace the parts that ``df`` has rows of, remove those of the values ``drop``, keep the others; the parts replaced."""
+        now, drop = self.manifest(name), {self.part(v) for v in drop}
         new = self._stage(name, df, by)
         held = {p: at for p, at in (now["parts"] if now else {}).items() if p not in drop}
         self._commit(name, df.schema, held | new, (now or {}).get("note", {}) | (note or {}), now and now["number"])
