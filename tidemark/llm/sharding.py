@@ -37,14 +37,16 @@ def external_shuffle(df: DataFrame, key: str, size: str, n_shards: int, seed: in
         F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in df.columns]), F.lit(per_shard)).alias("bucket"),
         record.alias("record"),
     )
-    # dealt by range, so that buckets stay in the order of shards for write_shards without a second exchange of the records
-    dealt = scattered.repartitionByRange("shard", "bucket")
-    buckets = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("record", "grown_shard"))).alias("rows"))
-    placed = buckets.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed + 2))).alias("at", "row"))
     counts = scattered.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    return placed.join(F.broadcast(first), ["shard", "bucket"]).select(
+    # a bucket's first slot travels with its records: nothing is joined or sent to all.  Dealt by range, buckets stay in the
+    # order of shards for write_shards without a second exchange of the records
+    dealt = scattered.unionByName(first, allowMissingColumns=True).repartitionByRange("shard", "bucket")
+    rows = F.collect_list(F.when(F.col("record").isNotNull(), F.struct("record", "grown_shard")))
+    buckets = dealt.groupBy("shard", "bucket").agg(F.max("first").alias("first"), F.sort_array(rows).alias("rows"))
+    placed = buckets.sortWithinPartitions("shard", "bucket").select("shard", "first", F.posexplode(F.shuffle("rows", F.lit(seed + 2))).alias("at", "row"))
+    return placed.select(
         *[F.col("row.record")[c].alias(c) for c in df.columns],
         F.col("shard").cast("int").alias("shard"),
         (F.col("first") + F.col("at")).cast("long").alias("slot"),
