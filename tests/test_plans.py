@@ -484,6 +484,43 @@ def test_markup(spark):
 # --- exports and streaming
 
 
+def test_share_classes_by_spelling_and_predecessor(spark):
+    covers = [(1, "CommonClassA", "BFA"), (1, "CommonClassB", "BF-B"), (2, "CommonStock", "META"), (3, "CommonStock", "XYZ"), (4, "CommonStock", "CUK"), (5, "CommonStock", "HUBB"), (6, "A", ""), (6, "A", None)]
+    spans = [
+        (1, "BFA", D(2018, 1, 1), D(2020, 1, 1)), (1, "BF-A", D(2020, 1, 1), None), (1, "BF-B", D(2018, 1, 1), None), (1, "BF-OLD", D(2010, 1, 1), D(2018, 1, 5)),
+        (2, "FB", D(2012, 5, 1), D(2022, 7, 1)), (2, "META", D(2022, 6, 9), None), (3, "XYZ", D(2025, 1, 21), None), (3, "SQ", D(2015, 11, 1), D(2025, 1, 21)),
+        (3, "SQQ", D(2016, 1, 1), D(2019, 1, 1)), (5, "HUBB", D(2015, 12, 24), None), (5, "HUBA", D(2016, 1, 1), D(2016, 3, 1)), (6, "A", D(2015, 1, 1), None),
+    ]
+    dated, unclear = markup.share_class_rows(spark.createDataFrame(covers, "cik int, class_member string, symbol string"), spark.createDataFrame(spans, "cik int, ticker string, valid_from date, valid_to date"))
+    first = D(1900, 1, 1)
+    assert {(r["cik"], r["ticker"]): (r["class_label"], r["effective_from"], r["effective_to"]) for r in dated.collect()} == {
+        (1, "BFA"): ("CommonClassA", first, D(2020, 1, 1)), (1, "BF-A"): ("CommonClassA", D(2020, 1, 1), None), (1, "BF-B"): ("CommonClassB", first, None),
+        (2, "FB"): ("CommonStock", first, D(2022, 7, 1)), (2, "META"): ("CommonStock", D(2022, 7, 1), None), (3, "SQ"): ("CommonStock", first, D(2025, 1, 21)),
+        (3, "XYZ"): ("CommonStock", D(2025, 1, 21), None), (4, "CUK"): ("CommonStock", first, None), (5, "HUBB"): ("CommonStock", first, None),
+    }
+    assert {(r["cik"], r["ticker"]) for r in unclear.collect()} == {(3, "SQQ"), (5, "HUBA")}
+
+
+def test_footnote_items_and_cover_shares(spark):
+    d = D(2023, 12, 31)
+    rows = [("f1", "MarketingAndAdvertisingExpense", 4, 9e6), ("f1", "AdvertisingExpense", 4, 5e6), ("f1", "AdvertisingExpense", 4, 6e6), ("f1", "AdvertisingExpense", 1, 7e6), ("f2", "MarketingAndAdvertisingExpense", 4, 3e6), ("f3", "PropertyPlantAndEquipmentGross", 0, 8e6), ("f3", "AdvertisingExpense", 4, None), ("f4", "Other", 4, 1.0)]
+    got = exports.footnote_items(spark.createDataFrame([(1, a, t, d, q, v) for a, t, q, v in rows], "cik int, adsh string, tag string, value_date date, qtrs int, value double")).collect()
+    assert {r["adsh"]: (r["xad"], r["ppegt"]) for r in got} == {"f1": (6.0, None), "f2": (3.0, None), "f3": (None, 8.0)}
+    shares = [("f1", "10-K", None, 5.0), ("f1", "10-K", None, 6.0), ("f1", "10-K", "ClassOfStock=A;", 2.0), ("f2", "8-K", None, 9.0), ("f3", "10-Q/A", None, 0.0), ("f4", "20-F", None, None), ("f5", "40-F", None, 4.0)]
+    f = spark.createDataFrame([(1, a, form, "EntityCommonStockSharesOutstanding", d, s, v) for a, form, s, v in shares], "cik int, adsh string, form string, tag string, value_date date, segments string, value double").withColumn("known_at", F.lit(None).cast("timestamp"))
+    assert sorted(((r["adsh"], r["segments"] or "", r["shares"]) for r in exports.cover_shares(f).collect())) == [("f1", "", 6.0), ("f1", "ClassOfStock=A;", 2.0), ("f5", "", 4.0)]
+
+
+def test_formula_audit_tells_guarded_periods_apart(spark):
+    config = concept_config.ConceptConfig([("revenue", "flow", True), ("cost", "flow", False), ("gross_profit", "flow", True)], [("revenue", "Rev", 1, 1, ""), ("cost", "Cost", 1, 1, ""), ("gross_profit", "GP", 1, 1, "")], [("gross_profit", 1, [], "Cost", None, [("revenue", 1, True), ("cost", -1, True)])])
+    d = D(2023, 12, 31)
+    data = [(c, t, v) for c, rev, cost, gp in ((1, 100.0, 40.0, 60.0), (2, 100.0, 40.0, 60.5), (3, 100.0, 40.0, 50.0), (4, 100.0, 40.0, None), (5, 100.0, None, 60.0), (6, 0.0, 1.0, -1.0)) for t, v in (("Rev", rev), ("Cost", cost), ("GP", gp)) if v is not None]
+    f = spark.createDataFrame([(c, t, d, 4, "USD", v) for c, t, v in [*data, (3, "MyCost", 10.0)]], "cik int, tag string, value_date date, qtrs int, uom string, value double").withColumns({"tradable_from": F.col("value_date"), "sic": F.lit(1)})
+    guarded = concepts.guarded_periods(f, config, spark.createDataFrame([("Rev",), ("Cost",), ("GP",)], "tag string"))
+    out = concepts.formula_audit(concepts.resolve_direct(f, config), config, "gross_profit", "revenue", guarded).collect()
+    assert {(r["variant"], r["guarded"]): (r["n"], r["share_within"], round(r["mean_miss"], 4)) for r in out} == {(1, False): (2, 1.0, 0.0025), (1, True): (1, 0.0, 0.1)}
+
+
 def test_annual_panel_keeps_changes(spark):
     rows = [("f1", "SE", 100e6, D(2024, 2, 1), D(2024, 6, 1)), ("f2", "SE", 90e6, D(2024, 6, 1), None), ("f1", "PS", -10e6, D(2024, 2, 1), None), ("f3", "PS", -10e6, D(2024, 9, 1), None)]
     f = spark.createDataFrame(rows, "adsh string, tag string, value double, tradable_from date, superseded_tradable date").selectExpr("*", "1 AS cik", "date'2023-12-31' AS value_date")

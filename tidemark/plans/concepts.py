@@ -47,8 +47,8 @@ def guarded_periods(facts: DataFrame, config: ConceptConfig, standard_tags: Data
     return custom.join(blocked, "tag").select("cik", "value_date", "qtrs", "concept", "variant").distinct()
 
 
-def resolve_formulas(direct: DataFrame, config: ConceptConfig, guarded: DataFrame | None = None) -> DataFrame:
-    """Per period the first variant in scope, unguarded, with every required operand and at least one operand."""
+def formula_values(direct: DataFrame, config: ConceptConfig, guarded: DataFrame | None = None) -> DataFrame:
+    """Per period every variant of every formula that is in scope, unguarded, with every required operand and at least one."""
     spark = direct.sparkSession
     terms = config.frame(spark, "terms").join(config.frame(spark, "variants").drop("guard_match", "guard_except"), ["concept", "variant"])
     operands = direct.withColumnRenamed("concept", "operand").join(F.broadcast(terms), "operand").where(industry_in(F.col("sic"), F.col("sic_prefixes")))
@@ -58,7 +58,32 @@ def resolve_formulas(direct: DataFrame, config: ConceptConfig, guarded: DataFram
         F.sum(F.col("coefficient") * F.col("value")).alias("value"), F.max("tradable_from").alias("tradable_from"),
         F.count_if("required").alias("_have"), F.max_by("sic", "tradable_from").alias("sic"),
     )
-    return first_per_group(sums.where("_have = n_required"), PERIOD, [F.col("variant").asc()]).select(*PERIOD, "value", "tradable_from", "sic")
+    return sums.where("_have = n_required").select(*PERIOD, "variant", "value", "tradable_from", "sic")
+
+
+def resolve_formulas(direct: DataFrame, config: ConceptConfig, guarded: DataFrame | None = None) -> DataFrame:
+    """Per period the first variant that ``formula_values`` has."""
+    return first_per_group(formula_values(direct, config, guarded), PERIOD, [F.col("variant").asc()]).drop("variant")
+
+
+def formula_audit(direct: DataFrame, config: ConceptConfig, concept: str, size: str, guarded: DataFrame | None = None, tolerance: float = 0.01) -> DataFrame:
+    """(variant, guarded, n, share_within, mean_miss) of a concept that is filed outright where a formula has a value too.
+
+    A period counts for each variant that resolves; it is within where the formula misses the filed value by at most
+    ``tolerance`` of the positive value of ``size`` at the period.  ``guarded``: as ``guarded_periods``, whose periods are told
+    apart instead of left out, so that the figures say what the guard is worth.
+    """
+    at = ["cik", "value_date", "qtrs"]
+    filed = direct.where(F.col("concept") == concept).select(*at, F.col("value").alias("_filed"))
+    scale = direct.where((F.col("concept") == size) & (F.col("value") > 0)).select(*at, F.col("value").alias("_size"))
+    formulas = formula_values(direct, config).where(F.col("concept") == concept).select(*at, "variant", "value")
+    both = formulas.join(filed, at).join(scale, at)
+    flag = F.lit(False)
+    if guarded is not None:
+        mine = guarded.where(F.col("concept") == concept).select(*at, "variant").distinct().withColumn("_g", F.lit(True))
+        both, flag = both.join(mine, [*at, "variant"], "left"), F.coalesce("_g", F.lit(False))
+    miss = F.abs(F.col("value") - F.col("_filed")) / F.col("_size")
+    return both.groupBy("variant", flag.alias("guarded")).agg(F.count("*").alias("n"), F.round(F.avg((miss <= tolerance).cast("double")), 4).alias("share_within"), F.avg(miss).alias("mean_miss"))
 
 
 def face_zero_debt(faces: DataFrame, mode: str = "pit") -> DataFrame:

@@ -155,6 +155,36 @@ def annual_only(facts: DataFrame, filings: DataFrame) -> DataFrame:
     return facts.join(yearly, ["adsh", "value_date"], "left_semi")
 
 
+# Advertising elements in order of preference, gross plant, and what a cover counts shares in.
+ADVERTISING_TAGS = ["AdvertisingExpense", "MarketingAndAdvertisingExpense"]
+PLANT_TAG = "PropertyPlantAndEquipmentGross"
+COVER_FORMS = r"^(10-K|10-Q|20-F|40-F)"
+
+
+def footnote_items(facts: DataFrame, scale: float = 1e6) -> DataFrame:
+    """(cik, value_date, adsh, xad, ppegt) of each filing's undimensioned facts: a year's advertising by the first element
+    that is filed, and gross plant at the period's end; a filing with neither has no row.
+
+    ``facts``: cik, adsh, tag, value_date, qtrs, value.  Repeated facts count once, the larger first.
+    """
+    place = F.array_position(F.array(*map(F.lit, ADVERTISING_TAGS)), F.col("tag"))
+    best = F.struct((-place).alias("p"), F.col("value").alias("v"))  # the largest: the first element, then its larger value
+    year = (place > 0) & (F.col("qtrs") == 4) & F.col("value").isNotNull()
+    plant = (F.col("tag") == PLANT_TAG) & (F.col("qtrs") == 0)
+    wide = facts.groupBy("cik", "adsh").agg(
+        F.max("value_date").alias("value_date"), (F.max(F.when(year, best))["v"] / scale).alias("xad"), (F.max(F.when(plant, F.col("value"))) / scale).alias("ppegt")
+    )
+    return wide.where("xad IS NOT NULL OR ppegt IS NOT NULL").select("cik", "value_date", "adsh", "xad", "ppegt")
+
+
+def cover_shares(facts: DataFrame) -> DataFrame:
+    """(cik, adsh, form, known_at, value_date, segments, shares): positive share counts on the covers of periodic reports, one
+    for each class (segments, null for the whole) and date that the cover states."""
+    rows = facts.where((F.col("tag") == "EntityCommonStockSharesOutstanding") & F.col("form").rlike(COVER_FORMS) & (F.col("value") > 0))
+    best = first_per_group(rows, ["adsh", "value_date", "segments"], [F.col("value").desc()])
+    return best.select("cik", "adsh", "form", "known_at", "value_date", "segments", F.col("value").alias("shares"))
+
+
 # --- audits ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import cross, exports, items, spine
+from tidemark.plans import concepts, cross, exports, items, spine
 from tidemark.plans.concept_config import ConceptConfig
-from tidemark.sources import taxonomy
+from tidemark.sources import markup, taxonomy
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -219,3 +219,46 @@ SELECT parent, child, CAST(weight AS DOUBLE) AS weight, CAST(min(f) AS INTEGER)
 def taxonomy_spans(spark, d):
     """Years of each calculation arc of generated linkbases; some locators lack, some point elsewhere."""
     return taxonomy.year_spans(taxonomy.calculation_arcs(linkbases(spark, d)), ["parent", "child", "weight"])
+
+
+# --- audits and share classes ----------------------------------------------------------------------------------------------
+
+AUDIT_CONFIG = ConceptConfig(
+    concepts=[("revenue", "flow", True), ("cost", "flow", False), ("gross_profit", "flow", True)],
+    tags=[("revenue", "F1", 1, 1, ""), ("cost", "F2", 1, 1, ""), ("gross_profit", "F3", 1, 1, "")],
+    formulas=[("gross_profit", 1, [], "^F5$", None, [("revenue", 1, True), ("cost", -1, True)]), ("gross_profit", 2, ["1", "2", "3"], None, None, [("revenue", 1, True), ("cost", -1, False)])],
+)
+
+
+@query("""WITH o AS (SELECT o_custkey AS cik, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v,
+  CASE WHEN o_custkey % 3 > 0 THEN make_date(year(o_orderdate), 12, 31) WHEN month(o_orderdate) = 1 THEN make_date(year(o_orderdate), 1, 31) ELSE make_date(year(o_orderdate) + 1, 1, 31) END AS d FROM orders),
+w AS (SELECT cik, d, sum(v) FILTER (p = '1') AS r, sum(v) FILTER (p = '2') AS c, sum(v) FILTER (p = '3') AS g, sum(v) FILTER (p = '5') AS x FROM o GROUP BY ALL),
+e AS (SELECT 1 AS variant, x IS NOT NULL AS guarded, abs(r - c - g) / r AS miss FROM w WHERE r IS NOT NULL AND c IS NOT NULL AND g IS NOT NULL
+  UNION ALL SELECT 2, FALSE, abs(r - coalesce(c, 0) - g) / r FROM w WHERE r IS NOT NULL AND g IS NOT NULL AND left(CAST(cik % 100 AS VARCHAR), 1) IN ('1', '2', '3'))
+SELECT variant, guarded, count(*) AS n, round(avg(CASE WHEN miss <= 0.5 THEN 1.0 ELSE 0.0 END), 4) AS share_within, round(avg(miss), 6) AS mean_miss FROM e GROUP BY ALL""")
+def formula_audit(spark, d):
+    """What formulas miss where the concept is filed too, guarded periods apart."""
+    facts = panel_facts(spark, d).where("qtrs = 4")
+    standard = facts.select("tag").distinct().where("tag <> 'F5'")
+    guarded = concepts.guarded_periods(facts, AUDIT_CONFIG, standard)
+    out = concepts.formula_audit(concepts.resolve_direct(facts, AUDIT_CONFIG), AUDIT_CONFIG, "gross_profit", "revenue", guarded, 0.5)
+    return out.withColumn("mean_miss", F.round("mean_miss", 6))
+
+
+@query("""WITH c AS (SELECT c_custkey AS cik, CASE c_custkey % 4 WHEN 0 THEN 'A' || c_nationkey || 'B' WHEN 1 THEN 'A' || c_nationkey || '-B' ELSE 'C' || c_nationkey END AS symbol FROM customer),
+o AS (SELECT o_custkey AS cik, CASE o_orderstatus WHEN 'F' THEN 'A' || c_nationkey || '-B' WHEN 'O' THEN 'C' || c_nationkey ELSE 'Q' || o_orderpriority[1] END AS ticker, CAST(o_orderdate AS DATE) AS f, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) + 400 END AS t FROM orders JOIN customer ON c_custkey = o_custkey),
+s AS (SELECT cik, ticker, min(f) AS f, CASE WHEN count(*) FILTER (t IS NULL) = 0 THEN max(t) END AS t, replace(ticker, '-', '') AS line FROM o GROUP BY ALL),
+own AS (SELECT c.cik, coalesce(ticker, symbol) AS ticker, f, t FROM c LEFT JOIN s ON s.cik = c.cik AND s.line = replace(symbol, '-', '')),
+b AS (SELECT cik, min(f) AS b FROM own GROUP BY cik),
+r AS (SELECT s.cik, s.ticker, s.f, s.t FROM s JOIN b USING (cik) WHERE s.t IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.cik = s.cik AND own.ticker = s.ticker) AND s.f < b AND abs(date_diff('day', b, s.t)) <= 200),
+a AS (SELECT * FROM own UNION ALL SELECT * FROM r)
+SELECT cik, ticker, coalesce(lag(t) OVER w, DATE '1900-01-01') AS effective_from, CASE WHEN lead(ticker) OVER w IS NOT NULL THEN t END AS effective_to FROM a WINDOW w AS (PARTITION BY cik ORDER BY f NULLS LAST, ticker)""")
+def share_class_rows(spark, d):
+    """Symbols of each customer's one class by spelling and predecessor, over spans of orders as a crosswalk."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("cik"), F.col("c_nationkey").cast("string").alias("n"))
+    symbol = F.when(F.col("cik") % 4 == 0, F.concat(F.lit("A"), "n", F.lit("B"))).when(F.col("cik") % 4 == 1, F.concat(F.lit("A"), "n", F.lit("-B"))).otherwise(F.concat(F.lit("C"), "n"))
+    o = t(spark, d, "orders").join(c.withColumnRenamed("cik", "o_custkey"), "o_custkey")
+    ticker = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("A"), "n", F.lit("-B"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("C"), "n")).otherwise(F.concat(F.lit("Q"), F.substring("o_orderpriority", 1, 1)))
+    day = F.col("o_orderdate").cast("date")
+    spans = o.select(F.col("o_custkey").alias("cik"), ticker.alias("ticker"), day.alias("valid_from"), F.when(F.col("o_orderkey") % 5 > 0, F.date_add(day, 400)).alias("valid_to"))
+    return markup.share_class_rows(c.select("cik", F.lit("CommonStock").alias("class_member"), symbol.alias("symbol")), spans)[0].drop("class_label")
