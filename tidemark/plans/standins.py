@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import footnotes, scalars
 from tidemark.operators import rel, temporal
-from tidemark.plans import concepts, cross, flows, items, market, standins_panel
+from tidemark.plans import concepts, cross, flows, items, market, silver, standins_panel
 from tidemark.plans.concept_config import ConceptConfig
 from tidemark.sources import markup
 
@@ -67,14 +67,20 @@ def asof_slice(spark, d):
     return now.select("part", "adsh", "line", "tradable_from", "value", "vintage_seq")
 
 
-@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_pit = 1")
+def consolidated_chain(spark, d):
+    """The chain with the columns that tell consolidated facts; lines of four units or less are dimensioned."""
+    segments = F.when(F.col("value") <= 4, "Unit=Small;")
+    return chain(spark, d).withColumns({"segments": segments, "coreg": F.lit(None).cast("string")})
+
+
+@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_pit = 1 AND value > 4")
 def financials_pit(spark, d):
-    return chain(spark, d).where("rank_pit = 1").select("part", "adsh", "line", "value", "vintage_seq")
+    return silver.financials(consolidated_chain(spark, d), "pit").select("part", "adsh", "line", "value", "vintage_seq")
 
 
-@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_latest = 1")
+@query(f"WITH {LINES} SELECT part, adsh, line, value, vintage_seq FROM chain WHERE rank_latest = 1 AND value > 4")
 def financials_latest(spark, d):
-    return chain(spark, d).where("rank_latest = 1").select("part", "adsh", "line", "value", "vintage_seq")
+    return silver.financials(consolidated_chain(spark, d), "latest").select("part", "adsh", "line", "value", "vintage_seq")
 
 
 @query(f"WITH {LINES} SELECT * FROM chain")
@@ -304,8 +310,12 @@ def full_outer(spark, d):
 
 @query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def suspect_anti_join(spark, d):
-    refused = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return rel.semi(t(spark, d, "orders").select("o_orderkey"), refused, ["o_orderkey"], "left_anti")
+    from tidemark.plans import gold
+
+    rest = {"tag": F.lit("total"), "value_date": F.lit("2000-01-01").cast("date"), "qtrs": F.lit(4)}
+    facts = t(spark, d, "orders").select(F.col("o_orderkey").alias("adsh")).withColumns(rest)
+    refused = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("adsh")).withColumns(rest)
+    return gold.without_suspects(facts, refused).select(F.col("adsh").alias("o_orderkey"))
 
 
 DIGEST_ROW = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')" for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
@@ -465,9 +475,23 @@ def quarterly_values(spark, d):
     return flows.quarters(flow_periods(spark, d)).select("cik", "quarter_end", F.round("q_value", 2).alias("q_value"), "q_source")
 
 
-@query(None)
+@query(f"""WITH {FLOWS}, c AS (SELECT cik, d, v, 'reported' AS s, 0 AS p, 0 AS g, 1 AS l FROM period WHERE qtrs = 1
+UNION ALL SELECT a.cik, a.d, a.v - b.v, 'ytd_difference', 1, abs(date_diff('day', b.d, a.d) - 91), a.qtrs FROM period a JOIN period b ON b.cik = a.cik AND b.qtrs = a.qtrs - 1 AND date_diff('day', b.d, a.d) BETWEEN 70 AND 110 WHERE a.qtrs BETWEEN 2 AND 4),
+qv AS (SELECT cik, d, v, s FROM c QUALIFY row_number() OVER (PARTITION BY cik, d ORDER BY p, g, l, v DESC) = 1),
+fq AS (SELECT cik, d, max(qtrs) AS fq FROM period GROUP BY ALL),
+y AS (SELECT p.cik, p.d, p.qtrs, p.v, lag(p.d) OVER s AS pd, lag(p.v) OVER s AS pv, max(CASE WHEN p.qtrs = 4 THEN p.d END) OVER (PARTITION BY p.cik ORDER BY p.d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fy
+  FROM period p JOIN fq ON fq.cik = p.cik AND fq.d = p.d AND fq.fq = p.qtrs WINDOW s AS (PARTITION BY p.cik, p.qtrs ORDER BY p.d)),
+h AS (SELECT *, lag(d, 1) OVER w AS e1, lag(d, 2) OVER w AS e2, lag(d, 3) OVER w AS e3, lag(v, 1) OVER w AS v1, lag(v, 2) OVER w AS v2, lag(v, 3) OVER w AS v3 FROM qv WINDOW w AS (PARTITION BY cik ORDER BY d)),
+routes AS (SELECT cik, d, v AS t, 'annual' AS ts, 0 AS p FROM period WHERE qtrs = 4
+  UNION ALL SELECT y.cik, y.d, a.v + y.v - y.pv, 'annual_plus_ytd', 1 FROM y JOIN period a ON a.cik = y.cik AND a.qtrs = 4 AND a.d = y.fy WHERE y.qtrs BETWEEN 1 AND 3 AND date_diff('day', pd, y.d) BETWEEN 345 AND 385 AND date_diff('day', fy, y.d) - y.qtrs * 91 BETWEEN -25 AND 25
+  UNION ALL SELECT cik, d, v + v1 + v2 + v3, 'four_quarters', 2 FROM h WHERE date_diff('day', e1, d) BETWEEN 70 AND 110 AND date_diff('day', e2, e1) BETWEEN 70 AND 110 AND date_diff('day', e3, e2) BETWEEN 70 AND 110),
+ttm AS (SELECT cik, d, t, ts FROM routes QUALIFY row_number() OVER (PARTITION BY cik, d ORDER BY p) = 1),
+k AS (SELECT qv.*, t, ts, lag(qv.d) OVER w AS e1, lag(v) OVER w AS v1, lag(qv.d, 4) OVER w AS e4, lag(v, 4) OVER w AS v4, lag(t, 4) OVER w AS t4 FROM qv LEFT JOIN ttm ON ttm.cik = qv.cik AND ttm.d = qv.d WINDOW w AS (PARTITION BY qv.cik ORDER BY qv.d))
+SELECT k.cik, k.d AS quarter_end, fq AS fiscal_quarter, round(v, 4) AS q_value, round(CASE WHEN date_diff('day', e1, k.d) BETWEEN 70 AND 110 AND v1 > 0 THEN (v - v1) / v1 END, 4) AS qoq_growth,
+  round(CASE WHEN date_diff('day', e4, k.d) BETWEEN 345 AND 385 AND v4 > 0 THEN (v - v4) / v4 END, 4) AS yoy_growth, round(t, 4) AS ttm_value, round(CASE WHEN date_diff('day', e4, k.d) BETWEEN 345 AND 385 AND t4 > 0 THEN (t - t4) / t4 END, 4) AS ttm_growth, s AS q_source, ts AS ttm_source
+FROM k JOIN fq ON fq.cik = k.cik AND fq.d = k.d""")
 def quarterly_series(spark, d):
-    """Quarters with comparisons and trailing years."""
+    """Quarters with comparisons and trailing years by all three routes."""
     s = flows.quarterly(flow_periods(spark, d))
     return s.select("cik", "quarter_end", "fiscal_quarter", *[F.round(c, 4).alias(c) for c in ("q_value", "qoq_growth", "yoy_growth", "ttm_value", "ttm_growth")], "q_source", "ttm_source")
 
@@ -563,10 +587,12 @@ def backtest(spark, d):
     return market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
 
 
-@query(f"""WITH {BACKTEST} SELECT 'bucket ' || bucket AS series, CAST(count(ret) AS INTEGER) AS months, round(avg(ret), 4) AS mean_monthly FROM (SELECT bucket, round(ret, 6) AS ret FROM per) WHERE ret IS NOT NULL GROUP BY 1""")
+@query(f"""WITH {BACKTEST}, rows AS (SELECT 'bucket ' || bucket AS series, m, round(ret, 6) AS r, CAST(priced AS DOUBLE) AS n FROM per
+  UNION ALL SELECT 'spread (top - bottom)', m, round(s, 6), NULL FROM per JOIN spr USING (rb, m) WHERE bucket = 1 UNION ALL SELECT 'benchmark (equal-weight)', m, round(b, 6), NULL FROM per JOIN ben USING (rb, m) WHERE bucket = 1)
+SELECT series, CAST(count(r) AS INTEGER) AS months, min(m) AS first_month, max(m) AS last_month, round(avg(r), 5) AS mean_monthly, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(r)), 2) AS t_stat,
+  round(pow(1 + avg(r), 12) - 1, 4) AS annualised, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12), 2) AS sharpe, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 3) AS hit_rate, round(avg(n), 1) AS avg_members FROM rows WHERE r IS NOT NULL GROUP BY series""")
 def backtest_summary(spark, d):
-    bt = market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly")
-    return market.summary(bt).where("series LIKE 'bucket%'").select("series", "months", F.round("mean_monthly", 4).alias("mean_monthly"))
+    return market.summary(market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly"))
 
 
 LAGGED = lambda a, b: f"{a} * {b}" + "".join(f" + {1 - j / 7} * ({a} * coalesce({b}{j}, 0) + {b} * coalesce({a}{j}, 0))" for j in range(1, 7))
@@ -588,7 +614,15 @@ def factor_regression(spark, d):
     return out.select("series", "term", F.round("coefficient", 6).alias("coefficient"), F.round("t_stat", 4).alias("t_stat"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query(None)
+@query("""WITH ev AS (SELECT o_custkey AS cik, CASE o_orderpriority WHEN '1-URGENT' THEN 'L' WHEN '2-HIGH' THEN 'I' WHEN '5-LOW' THEN 'D' ELSE 'P' END AS e, CAST(o_orderdate AS DATE) AS d, CAST(o_orderkey AS VARCHAR) AS adsh FROM orders),
+b AS (SELECT cik, min(d) FILTER (e = 'L') AS f8, min(d) FILTER (e = 'I') AS fi, min(d) FILTER (e = 'P') AS fp, max(d) FILTER (e = 'P') AS lp, max(d) FILTER (e = 'L') AS ll FROM ev GROUP BY cik),
+a AS (SELECT b.*, coalesce((SELECT max(d) FROM ev WHERE ev.cik = b.cik AND e = 'L' AND d <= b.fi), fi, f8) AS le FROM b),
+g AS (SELECT ev.cik, d, adsh FROM ev JOIN b USING (cik) WHERE e = 'D' AND NOT coalesce(lp > DATE '2003-10-01', FALSE) AND NOT coalesce(ll >= d, FALSE) AND NOT coalesce(date_diff('day', d, lp) > 180, FALSE)
+  QUALIFY row_number() OVER (PARTITION BY ev.cik ORDER BY d, adsh) = 1)
+SELECT a.cik, CASE WHEN le IS NOT NULL AND (fp IS NULL OR fp >= le) THEN le ELSE fp END AS first_trade_date,
+  CASE WHEN le IS NOT NULL AND (fp IS NULL OR fp >= le) THEN CASE WHEN le = fi THEN '424B' ELSE '8-A' END WHEN fp IS NOT NULL THEN 'already_reporting' ELSE 'first_edgar_filing' END AS first_trade_basis,
+  fi AS first_pricing_date, d AS delisting_date, CASE WHEN d IS NOT NULL THEN 'exchange_notice' END AS reason, CASE WHEN d IS NOT NULL THEN '25' END AS form, adsh, date_diff('day', d, DATE '2005-01-01') < 180 AS is_provisional
+FROM a LEFT JOIN g USING (cik)""")
 def security_lifecycle(spark, d):
     """First trades and delistings of customers from their orders' priorities as events."""
     from tidemark.plans import security
@@ -602,14 +636,18 @@ def security_lifecycle(spark, d):
 # --- more of the inventory ------------------------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT * FROM (VALUES ('25-NSE/A'), ('253G2'), ('15-12G'), ('8-A12B'), ('S-11'), ('424B4'), (' 10-k405 '), ('20-F'), ('8-K')) t(form)),
-x AS (SELECT form, upper(trim(form)) AS u FROM f)
-SELECT form, n_name, CASE WHEN regexp_full_match(u, '8-A12[BG](/A)?') THEN 'LISTING_REGISTRATION' WHEN regexp_full_match(u, '25(-NSE)?(/A)?') THEN 'DELISTING_NOTICE'
+FORMS = ["25-NSE", "253G2", "15-12G", "8-A12B", "S-1", "424B4", " 10-k405 ", "20-F", "8-K", "F-1MEF", "424B3"]
+
+
+@query(f"""WITH f AS (SELECT o_orderkey, {FORMS}[1 + o_custkey % 11] || CASE WHEN o_orderkey % 3 = 0 THEN '/A' ELSE '' END AS form FROM orders), x AS (SELECT *, upper(trim(form)) AS u FROM f)
+SELECT o_orderkey, form, CASE WHEN regexp_full_match(u, '8-A12[BG](/A)?') THEN 'LISTING_REGISTRATION' WHEN regexp_full_match(u, '25(-NSE)?(/A)?') THEN 'DELISTING_NOTICE'
  WHEN regexp_full_match(u, '15F?-(12B|12G|15D)(/A)?') THEN 'DEREGISTRATION' WHEN regexp_full_match(u, '(S-1|F-1)(/A|MEF)?') THEN 'IPO_REGISTRATION'
- WHEN regexp_full_match(u, '424B[14]') THEN 'IPO_PRICING' WHEN regexp_full_match(u, '10-[KQ].*|[24]0-F(/A)?') THEN 'PERIODIC_REPORT' END AS event FROM x CROSS JOIN nation""")
+ WHEN regexp_full_match(u, '424B[14]') THEN 'IPO_PRICING' WHEN regexp_full_match(u, '10-[KQ].*|[24]0-F(/A)?') THEN 'PERIODIC_REPORT' END AS event FROM x""")
 def form_events(spark, d):
-    forms = spark.createDataFrame([(x,) for x in ("25-NSE/A", "253G2", "15-12G", "8-A12B", "S-11", "424B4", " 10-k405 ", "20-F", "8-K")], "form string")
-    return forms.crossJoin(t(spark, d, "nation").select("n_name")).withColumn("event", scalars.classify_form(F.col("form")))
+    """An event for each order, whose customer gives the form and whose key makes it an amendment."""
+    form = F.get(F.array(*map(F.lit, FORMS)), (F.col("o_custkey") % 11).cast("int"))
+    amended = F.concat(form, F.when(F.col("o_orderkey") % 3 == 0, "/A").otherwise(""))
+    return t(spark, d, "orders").select("o_orderkey", amended.alias("form")).withColumn("event", scalars.classify_form(F.col("form")))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '/[a-z]{2,3}(/|$)|\(new\)|\bnew$|\([a-z]{2,3}\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'),
@@ -777,14 +815,20 @@ def market_caps(spark, d):
     return market.market_caps(prices(spark, d), s, "day").select("cik", F.round(F.col("market_cap") / 1000, 0).alias("market_cap"))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part)
-SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, s_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN s ON p_partkey = l_partkey AND p_size > 25 LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0""")
+@query("""WITH tag AS (SELECT p_partkey AS tag, p_partkey % 10 AS version, p_name AS tlabel, p_brand AS doc FROM part WHERE p_size > 25),
+pre AS (SELECT l_orderkey AS adsh, l_partkey AS tag, l_partkey % 10 AS version, min(l_linestatus) AS stmt, min(l_linenumber) AS line, min(l_returnflag) AS plabel FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT o_orderkey AS adsh, l_partkey AS tag, l_partkey % 10 AS version, o_orderpriority AS form, l_suppkey AS value, tlabel, doc, stmt, line, plabel FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+LEFT JOIN tag ON tag.tag = l_partkey AND tag.version = l_partkey % 10 LEFT JOIN pre ON pre.adsh = o_orderkey AND pre.tag = l_partkey AND pre.version = l_partkey % 10""")
 def denormalised(spark, d):
     """Two inner and two optional sides in one wide table."""
-    line = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
-    part = t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    supplier = t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    return t(spark, d, "orders").select("o_orderkey").join(line, "o_orderkey").join(part, "l_partkey", "left").join(supplier, "l_suppkey", "left")
+    from tidemark.sources import reference
+
+    line = t(spark, d, "lineitem")
+    key = [F.col("l_orderkey").alias("adsh"), F.col("l_partkey").alias("tag"), (F.col("l_partkey") % 10).alias("version")]
+    tag = t(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("tag"), (F.col("p_partkey") % 10).alias("version"), F.col("p_name").alias("tlabel"), F.col("p_brand").alias("doc"))
+    pre = line.where("l_returnflag <> 'N'").groupBy(*key).agg(F.min("l_linestatus").alias("stmt"), F.min("l_linenumber").alias("line"), F.min("l_returnflag").alias("plabel"))
+    sub = t(spark, d, "orders").select(F.col("o_orderkey").alias("adsh"), F.col("o_orderpriority").alias("form"))
+    return reference.denormalise(sub, line.select(*key, F.col("l_suppkey").alias("value")), tag, pre)
 
 
 @query("""SELECT o_orderpriority AS item, round(avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0.0 END), 4) AS share FROM orders GROUP BY 1""")
