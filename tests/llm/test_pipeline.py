@@ -10,7 +10,7 @@ from tidemark.llm import queries
 
 def test_queries_name_every_operator():
     names = queries.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
 
 
