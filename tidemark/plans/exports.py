@@ -198,7 +198,7 @@ def identity_audit(panel: DataFrame, identities: dict[str, tuple[Column, Column,
     return out
 
 
-def coverage(panel: DataFrame, items: list[str]) -> DataFrame:
-    """Share of rows with each item."""
-    wide = panel.agg(*[F.round(F.avg(F.col(i).isNotNull().cast("double")), 4).alias(i) for i in items])
-    return wide.unpivot([], items, "item", "share")
+def coverage(panel: DataFrame, items: list[str], by=()) -> DataFrame:
+    """Share of rows with each item, in each group of ``by``."""
+    wide = panel.groupBy(*by).agg(*[F.round(F.avg(F.col(i).isNotNull().cast("double")), 4).alias(i) for i in items])
+    return wide.unpivot(list(by), items, "item", "share")

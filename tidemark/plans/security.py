@@ -42,7 +42,7 @@ def delistings(events: DataFrame, today) -> DataFrame:
 
 
 def securities(events: DataFrame, share_class: DataFrame, today) -> DataFrame:
-    """One row per (cik, class) with a number by that order; companies without mapped classes have ``(common)``."""
+    """One row per (cik, class), numbered by a hash of both; companies without mapped classes have ``(common)``."""
     classes = share_class.where("NOT is_excluded AND ticker IS NOT NULL").select("cik", "class_label").distinct()
     rows = first_trades(events).join(classes, "cik", "left").withColumn("class_label", F.coalesce("class_label", F.lit("(common)")))
     rows = rows.join(delistings(events, today).select("cik", "delisting_date", "reason", "is_provisional", F.concat_ws(" ", F.lit("delisting"), "form", "adsh").alias("source_detail")), "cik", "left")

@@ -835,13 +835,8 @@ def denormalised(spark, d):
 def item_coverage(spark, d):
     from tidemark.plans import exports
 
-    kinds = sorted(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
-    out = None
-    for k in kinds:
-        rows = t(spark, d, "orders").where(F.col("o_orderpriority") == k).select(F.when(F.col("o_totalprice") > 200000, 1).alias("v"))
-        one = exports.coverage(rows, ["v"]).withColumn("item", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.when(F.col("o_totalprice") > 200000, 1).alias("v"))
+    return exports.coverage(rows, ["v"], ["kind"]).select(F.col("kind").alias("item"), "share")
 
 
 @query("""WITH m AS (SELECT c_custkey AS cik, 'A' AS ix, c_mktsegment AS s, c_acctbal AS v FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'B', c_mktsegment, c_acctbal + 1 FROM customer WHERE c_nationkey < 10),
