@@ -50,6 +50,7 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
         import pyarrow as pa
 
         held: dict = {}  # (lang, source) -> occurrences and documents of its terms
+        entries = 0
 
         def out():
             for (group_lang, group), (n, seen) in held.items():
@@ -62,13 +63,15 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
         for b in slices(batches, 200):
             for group_lang, group, body in zip(*[utf8(c) for c in b.columns]):
                 n, seen = held.setdefault((group_lang, group), (Counter(), Counter()))
-                own: set = set()
+                own, before = set(), len(n)
                 for found in pieces(body.lower()):  # bytes: only A-Z change
                     n.update(found)
                     own.update(found)
                 seen.update(own)
-            if sum(len(n) for n, _ in held.values()) > HELD:
-                yield from out()
+                entries += len(n) - before
+                if entries > HELD:
+                    yield from out()
+                    entries = 0
         yield from out()
 
     told = docs.select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
