@@ -558,6 +558,26 @@ def test_stream_folds_like_a_full_build(spark, tmp_path):
     assert superseded(spark, out, keep=3) == []
 
 
+def test_a_quarter_rewrites_the_years_it_is_about(spark, tmp_path):
+    """Twelve years of facts, then a quarter of annual reports: each restates the year before."""
+    from tidemark.operators.temporal import vintage_chain
+    from tidemark.streaming.fold import current_chain, fold_stream
+
+    keys, schema = ["cik", "tag", "value_date"], "adsh string, cik int, tag string, value_date date, value double, known_at date, tradable_from date"
+    fact = lambda filed, about, c, t: (f"{filed}-{c}", c, t, D(about, 12, 31), float(filed + c), D(filed + 1, 2, 1), D(filed + 1, 2, 1))
+    history = [fact(y, y - back, c, t) for y in range(2012, 2024) for back in (0, 1) for c in range(40) for t in ("Assets", "Revenues")]
+    history += [("x", 1, "Assets", None, 1.0, D(2013, 1, 1), D(2013, 1, 1))]
+    quarter = [fact(2024, 2024 - back, c, t) for back in (0, 1) for c in range(40) for t in ("Assets", "Revenues")]
+    for rows in (history, quarter):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), keys=keys, buckets=4).awaitTermination()
+    full = vintage_chain(spark.createDataFrame([*history, *quarter], schema), keys)
+    got = current_chain(spark, str(tmp_path / "out")).select(*full.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, full.collect()))
+    written = spark.read.parquet(str(tmp_path / "out" / "data" / "version=1")).count()
+    assert written / full.count() < 0.15  # the year it reports and the one that it restates
+
+
 def test_aliases_by_ticker_raise(spark):
     f = spark.createDataFrame([(1, "Rev", D(2023, 12, 31), 4, "USD", 2e9), (1, "Rev", D(2024, 12, 31), 4, "USD", 3e9), (1, "Rev", D(2024, 9, 30), 1, "USD", 1e9), (2, "Rev", D(2024, 12, 31), 4, "USD", 9e9)], "cik int, tag string, value_date date, qtrs int, uom string, value double").withColumn("tradable_from", F.col("value_date"))
     aliases = spark.createDataFrame([("revenue", "Rev"), ("assets", "Assets")], "metric_alias string, tag string")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import concepts, cross, exports, items, spine
+from tidemark.functions import scalars
+from tidemark.operators import temporal
+from tidemark.plans import concepts, cross, exports, gold, items, spine
 from tidemark.plans.concept_config import ConceptConfig
 from tidemark.sources import markup, taxonomy
 
@@ -262,3 +264,99 @@ def share_class_rows(spark, d):
     day = F.col("o_orderdate").cast("date")
     spans = o.select(F.col("o_custkey").alias("cik"), ticker.alias("ticker"), day.alias("valid_from"), F.when(F.col("o_orderkey") % 5 > 0, F.date_add(day, 400)).alias("valid_to"))
     return markup.share_class_rows(c.select("cik", F.lit("CommonStock").alias("class_member"), symbol.alias("symbol")), spans)[0].drop("class_label")
+
+
+# --- facts under the labels of their day -----------------------------------------------------------------------------------
+
+ORDER_FACTS = """f AS (SELECT o_custkey AS cik, o_orderkey AS adsh, o_orderpriority AS tag, last_day(CAST(o_orderdate AS DATE)) AS vd, o_totalprice AS v, CAST(o_orderdate AS DATE) + 10 AS tf, CASE WHEN o_orderkey % 9 = 0 THEN 'Unit=Other;' END AS seg FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY cik, tag, vd ORDER BY tf, adsh) AS pit, count(*) OVER (PARTITION BY cik, tag, vd) AS n, lead(tf) OVER (PARTITION BY cik, tag, vd ORDER BY tf, adsh) AS nx FROM f),
+sus AS (SELECT DISTINCT adsh FROM k WHERE adsh % 17 = 0),
+c AS (SELECT c_custkey AS cik, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS sector, CAST(c_nationkey AS VARCHAR) AS sub FROM customer),
+mem AS (SELECT *, 'A' AS ix, DATE '1995-06-30' AS a, DATE '1998-06-30' AS b FROM c WHERE cik % 2 = 1 UNION ALL SELECT *, 'B', DATE '1998-06-30', NULL FROM c WHERE cik % 2 = 1 UNION ALL SELECT *, 'B', DATE '1996-12-31', NULL FROM c WHERE cik % 2 = 0),
+tick AS (SELECT c_custkey AS cik, 'OLD' || c_custkey AS ticker, 'extended' AS src, DATE '1995-01-01' AS a, DATE '1998-01-01' AS b FROM customer UNION ALL SELECT c_custkey, 'NEW' || c_custkey, 'observed', DATE '1998-01-01', NULL FROM customer WHERE c_custkey % 2 = 0)"""
+
+
+def order_facts(spark, d):
+    """Orders as facts of their customers at month ends, known ten days later; every ninth is dimensioned."""
+    day = F.col("o_orderdate").cast("date")
+    f = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("adsh"), F.col("o_orderpriority").alias("tag"), F.last_day(day).alias("value_date"), F.lit(0).alias("qtrs"), F.col("o_totalprice").alias("value"),
+        F.date_add(day, 10).alias("tradable_from"), F.when(F.col("o_orderkey") % 9 == 0, "Unit=Other;").alias("segments"), F.lit(None).cast("string").alias("coreg"),
+    )
+    return temporal.vintage_chain(f, ["cik", "tag", "value_date"], ["tradable_from", "adsh"], known="tradable_from")
+
+
+def order_suspects(facts):
+    return facts.where("adsh % 17 = 0").select("adsh", "tag", "value_date", "qtrs")
+
+
+@query(f"""WITH {ORDER_FACTS} SELECT k.cik, k.adsh, tag, vd AS value_date, v AS value, ticker, coalesce(src = 'observed', FALSE) AS ticker_is_asof, ix AS index_name, sector AS gics_sector, sector IS NOT NULL AS sector_is_asof FROM k
+LEFT JOIN tick ON tick.cik = k.cik AND tick.a <= tf AND (tick.b IS NULL OR tick.b > tf) LEFT JOIN mem ON mem.cik = k.cik AND mem.a <= tf AND (mem.b IS NULL OR mem.b > tf) WHERE pit = n AND seg IS NULL AND k.adsh NOT IN (SELECT adsh FROM sus)""")
+def tradable_financials(spark, d):
+    """Latest vintages under the ticker and index of their first session."""
+    facts, c = order_facts(spark, d), t(spark, d, "customer").select(F.col("c_custkey").alias("cik"))
+    span = lambda rows, name, source, a, b: rows.select("cik", F.concat(F.lit(name), F.col("cik").cast("string")).alias("ticker"), F.lit(True).alias("is_primary"), F.lit(source).alias("source"), F.lit(a).cast("date").alias("valid_from"), F.lit(b).cast("date").alias("valid_to"))
+    tickers = span(c, "OLD", "extended", "1995-01-01", "1998-01-01").unionByName(span(c.where("cik % 2 = 0"), "NEW", "observed", "1998-01-01", None))
+    out = gold.tradable_financials(facts, tickers, panel_members(spark, d), order_suspects(facts))
+    return out.select("cik", "adsh", "tag", "value_date", "value", "ticker", "ticker_is_asof", "index_name", "gics_sector", "sector_is_asof")
+
+
+@query(f"""WITH {ORDER_FACTS} SELECT k.cik, k.adsh, tag, vd AS value_date, v AS value, tf AS tradable_from, nx AS superseded_tradable, ix AS index_name FROM k LEFT JOIN mem ON mem.cik = k.cik AND mem.a <= tf AND (mem.b IS NULL OR mem.b > tf)
+WHERE seg IS NULL AND vd BETWEEN DATE '1996-01-31' AND DATE '2000-12-31' AND k.adsh NOT IN (SELECT adsh FROM sus)""")
+def fact_asof(spark, d):
+    """Every vintage of plausible facts with its interval and the index of its day."""
+    facts = order_facts(spark, d)
+    out = gold.fact_asof(facts, panel_members(spark, d), order_suspects(facts), "1996-01-31", "2000-12-31")
+    return out.select("cik", "adsh", "tag", "value_date", "value", "tradable_from", "superseded_tradable", "index_name")
+
+
+@query("""WITH o AS (SELECT o_custkey AS cik, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, c_nationkey % 5 AS sub, CASE WHEN o_orderkey % 3 > 0 THEN c_mktsegment END AS sec FROM orders JOIN customer ON c_custkey = o_custkey),
+x AS (SELECT cik, d, k, CAST(sub AS VARCHAR) AS sub, CASE sec WHEN 'AUTOMOBILE' THEN 'Energy' WHEN 'BUILDING' THEN 'Health Care' WHEN 'FURNITURE' THEN 'Utilities' WHEN 'MACHINERY' THEN 'Financials' END AS s FROM o),
+car AS (SELECT sub, d, s, count(*) AS n FROM x WHERE s IS NOT NULL GROUP BY ALL),
+top AS (SELECT sub, d, s, n FROM car QUALIFY row_number() OVER (PARTITION BY sub, d ORDER BY n DESC, s) = 1),
+f AS (SELECT x.cik, x.d, k, x.sub, t.s FROM x JOIN top t ON t.sub = x.sub WHERE x.s IS NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(date_diff('day', x.d, t.d)), n DESC, t.s, t.d) = 1)
+SELECT cik, k AS order_key, s AS gics_sector FROM x WHERE s IS NOT NULL UNION ALL SELECT cik, k, s FROM f""")
+def sector_fill(spark, d):
+    """Orders as sightings of customers: missing and unknown sectors from the sub-industry's nearest sighting."""
+    names = {"AUTOMOBILE": "Energy", "BUILDING": "Healthcare", "FURNITURE": "Utilites", "MACHINERY": "Finance", "HOUSEHOLD": "Household"}
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") % 5).cast("string").alias("gics_sub_industry"), F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("c_mktsegment")).alias("s"))
+    o = t(spark, d, "orders").join(c, "o_custkey")
+    seen = o.select(F.lit("A").alias("index_name"), F.col("o_custkey").alias("cik"), F.col("o_orderdate").cast("date").alias("observed_on"), F.col("o_orderkey").cast("string").alias("ticker"), F.when(F.col("o_orderkey") % 3 > 0, F.col("s")).alias("gics_sector"), "gics_sub_industry")
+    return spine.fill_sectors(seen).select("cik", F.col("ticker").cast("long").alias("order_key"), "gics_sector")
+
+
+@query("""WITH f AS (SELECT o_custkey AS cik, o_orderkey % 4000 AS adsh, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v, last_day(CAST(o_orderdate AS DATE)) AS d, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 4 END AS q FROM orders),
+g AS (SELECT cik, adsh, max(d) AS value_date, max(v) FILTER (p = '1' AND q = 4) AS a, max(v) FILTER (p = '2' AND q = 4) AS b, max(v) FILTER (p = '3') AS c FROM f GROUP BY ALL)
+SELECT cik, value_date, adsh, round(coalesce(a, b) / 1e3, 5) AS xad, round(c / 1e3, 5) AS ppegt FROM g WHERE a IS NOT NULL OR b IS NOT NULL OR c IS NOT NULL""")
+def footnote_items(spark, d):
+    """Advertising and gross plant of orders as footnote facts, by the elements that priorities stand for."""
+    names = {"1": "AdvertisingExpense", "2": "MarketingAndAdvertisingExpense", "3": "PropertyPlantAndEquipmentGross"}
+    p = F.substring("o_orderpriority", 1, 1)
+    tag = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), p), F.lit("Other"))
+    qtrs = F.when(p == "3", 0).when(F.col("o_orderkey") % 7 == 0, 1).otherwise(4)
+    f = t(spark, d, "orders").select(F.col("o_custkey").alias("cik"), (F.col("o_orderkey") % 4000).alias("adsh"), tag.alias("tag"), F.last_day(F.col("o_orderdate").cast("date")).alias("value_date"), qtrs.alias("qtrs"), F.col("o_totalprice").alias("value"))
+    return exports.footnote_items(f, 1e3).withColumns({c: F.round(c, 5) for c in ("xad", "ppegt")})
+
+
+@query("""WITH f AS (SELECT o_custkey AS cik, o_orderkey, o_orderkey % 3000 AS adsh, ['10-K', '10-Q/A', '8-K', '20-F', 'S-1'][1 + o_custkey % 5] AS form, last_day(CAST(o_orderdate AS DATE)) AS d, CASE WHEN o_orderkey % 3 = 0 THEN 'ClassOfStock=A;' END AS seg, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS v FROM orders)
+SELECT adsh, d AS value_date, seg AS segments, max(v) AS shares FROM f WHERE form IN ('10-K', '10-Q/A', '20-F') AND v > 0 GROUP BY ALL""")
+def cover_shares(spark, d):
+    """Share counts on covers: orders of customers whose reports are periodic."""
+    form = F.get(F.array(*map(F.lit, ["10-K", "10-Q/A", "8-K", "20-F", "S-1"])), (F.col("o_custkey") % 5).cast("int"))
+    f = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("cik"), (F.col("o_orderkey") % 3000).alias("adsh"), form.alias("form"), F.lit("EntityCommonStockSharesOutstanding").alias("tag"), F.last_day(F.col("o_orderdate").cast("date")).alias("value_date"),
+        F.when(F.col("o_orderkey") % 3 == 0, "ClassOfStock=A;").alias("segments"), F.when(F.col("o_orderstatus") == "P", 0.0).otherwise(F.col("o_totalprice")).alias("value"), F.col("o_orderdate").alias("known_at"),
+    )
+    return exports.cover_shares(f).select("adsh", "value_date", "segments", "shares")
+
+
+@query("""WITH x AS (SELECT c_custkey AS k, ' t' || (c_custkey % 97) || ['', '.b', '-un', '-WS', '-PA', '-RT', '.A'][1 + c_custkey % 7] || ' ' AS t, ['Energy', 'Utilites', 'Technology', 'Nothing', 'FInancials'][1 + c_nationkey % 5] AS s, CAST(c_custkey % 7000 AS VARCHAR) AS sic FROM customer)
+SELECT k, replace(upper(trim(t)), '.', '-') AS ticker, NOT regexp_matches(upper(trim(t)), '-(UN|U|WT|WS|W|R|RT|P[A-Z]?)$') AS common, CASE s WHEN 'Energy' THEN s WHEN 'Utilites' THEN 'Utilities' WHEN 'Technology' THEN 'Information Technology' WHEN 'FInancials' THEN 'Financials' END AS sector,
+  sic LIKE '6%' OR sic LIKE '63%' OR sic LIKE '15%' AS scoped FROM x""")
+def scalar_codes(spark, d):
+    """Tickers, sectors and industries made of the keys of customers."""
+    pick = lambda values, c: F.get(F.array(*map(F.lit, values)), (F.col(c) % len(values)).cast("int"))
+    name = F.concat(F.lit(" t"), (F.col("c_custkey") % 97).cast("string"), pick(["", ".b", "-un", "-WS", "-PA", "-RT", ".A"], "c_custkey"), F.lit(" "))
+    sector = scalars.sector_canonical(pick(["Energy", "Utilites", "Technology", "Nothing", "FInancials"], "c_nationkey"))
+    scoped = scalars.industry_in((F.col("c_custkey") % 7000).cast("int"), F.array(F.lit("6"), F.lit("63"), F.lit("15")))
+    return t(spark, d, "customer").select(F.col("c_custkey").alias("k"), scalars.yahoo_symbol(name).alias("ticker"), scalars.common_ticker(name).alias("common"), sector.alias("sector"), scoped.alias("scoped"))

@@ -29,15 +29,17 @@ def _read(spark: SparkSession, path: str, held: dict[int, int]) -> DataFrame:
     return spark.read.option("basePath", f"{path}/data").parquet(*folders).drop("version")
 
 
-def fold_stream(arriving: DataFrame, path: str, checkpoint: str, keys=FACT_KEY, source: str = "adsh", buckets: int = 16, **chain) -> StreamingQuery:
-    """Fold a stream of typed facts into chains below ``path``, in hash buckets of the key (their number stays as first chosen).
+def fold_stream(arriving: DataFrame, path: str, checkpoint: str, keys=FACT_KEY, source: str = "adsh", buckets: int = 16, year_of: str = "value_date", **chain) -> StreamingQuery:
+    """Fold a stream of typed facts into chains below ``path``, in buckets of the key (how they are cut stays as first chosen).
 
-    Only buckets that a batch touches are read and rewritten, below the batch's own version; the manifest follows the data, so
+    Where ``year_of`` is one of the keys, a bucket is a year of it and a hash of the key, for a quarter's facts are about the last
+    two or three years and leave the buckets of all others alone; else it is a hash.  Only buckets that a batch touches are read and rewritten, below the batch's own version; the manifest follows the data, so
     a batch that is lost between the two, or replayed, gives the same tables.  Null keys are keys like others; a batch without
     rows changes nothing.  Old versions stay for readers until their folders (``superseded``) are removed from the storage.
     """
     keys = list(keys)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    year = F.coalesce(F.year(year_of), F.lit(0)) if year_of in keys else F.lit(0)
+    bucket = (year * buckets + F.pmod(F.xxhash64(*keys), F.lit(buckets))).cast("int")
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
