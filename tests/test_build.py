@@ -88,6 +88,18 @@ def test_digest_tells_rows_apart(spark):
     assert digest(("a", "b"), ("c", "d")) == digest(("c", "d"), ("a", "b"))
 
 
+def test_prices_are_upserted_by_year(spark, tmp_path):
+    from tidemark.plans import market
+
+    t, schema = Tables(spark, f"{tmp_path}/t"), "cik int, ticker string, month_end date, close_raw double"
+    day = dt.date.fromisoformat
+    market.store_prices(t, spark.createDataFrame([(1, "A", day("2022-12-30"), 1.0), (1, "A", day("2023-01-31"), 2.0), (2, None, day("2023-01-31"), 3.0)], schema))
+    before = t.manifest("monthly_price")["parts"]
+    assert market.store_prices(t, spark.createDataFrame([(1, "A", day("2023-01-31"), 2.5), (2, None, day("2023-01-31"), 3.5), (1, "A", day("2023-02-28"), 4.0)], schema)) == ["2023"]
+    assert t.manifest("monthly_price")["parts"]["2022"] == before["2022"]
+    assert sorted(r["close_raw"] for r in t.read("monthly_price").collect()) == [1.0, 2.5, 3.5, 4.0]
+
+
 def test_a_quarter_that_dies_can_be_loaded_again(spark, tmp_path, monkeypatch):
     path = tmp_path / "tag.txt"
     path.write_text("\t".join(bronze.COLUMNS["tag"]) + "\n" + "\t".join(["T", "v", "0", "0", "m", "I", "D", "L", ""]) + "\n")

@@ -308,6 +308,14 @@ def full_outer(spark, d):
     return join_footnotes(s, c, ["nation"])
 
 
+@query("""WITH new AS (SELECT o_custkey AS k, o_totalprice AS v FROM orders WHERE year(o_orderdate) = 1998)
+SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new""")
+def replace_keys(spark, d):
+    """Every key of the new rows, several a key, takes the place of its old row."""
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return rel.replace_keys(old, t(spark, d, "orders").where(F.year("o_orderdate") == 1998).select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v")), ["k"])
+
+
 @query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""")
 def suspect_anti_join(spark, d):
     from tidemark.plans import gold
@@ -349,7 +357,19 @@ def json_scan(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(None)
+def _first_sql(text: str, i: int) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{r[0]}') THEN {'NULL' if r[i] is None else r[i]}" for r in footnotes.SIN_SEGMENTS) + " END"
+
+
+def _passes_sql(text: str) -> str:
+    for pattern, by in scalars.NAME_PASSES:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@query(f"""WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part)
+SELECT p_partkey, {_passes_sql("lower(name)")} AS company, name AS words, CASE WHEN regexp_matches(name, '{footnotes.GOVERNMENT_CUSTOMER}') THEN 'GOVERNMENT' WHEN regexp_matches(name, '{footnotes.GENERIC_CUSTOMER}') THEN 'UNKNOWN' ELSE 'COMPANY' END AS ctype,
+  CAST({_first_sql("lower(name)", 1)} AS INTEGER) AS sic, CAST({_first_sql("lower(name)", 2)} AS INTEGER) AS naics, 'plan_other' AS scope, CAST(NULL AS VARCHAR) AS event FROM n""")
 def classify_names(spark, d):
     """Name and dimension classifiers over part names."""
     name = F.initcap("p_name")
@@ -496,6 +516,14 @@ def quarterly_series(spark, d):
     return s.select("cik", "quarter_end", "fiscal_quarter", *[F.round(c, 4).alias(c) for c in ("q_value", "qoq_growth", "yoy_growth", "ttm_value", "ttm_growth")], "q_source", "ttm_source")
 
 
+@query(f"""WITH {FLOWS}, c AS (SELECT cik, d, v, 'reported' AS s, 0 AS p, 0 AS g, 1 AS l FROM period WHERE qtrs = 1
+UNION ALL SELECT a.cik, a.d, a.v - b.v, 'ytd_difference', 1, abs(date_diff('day', b.d, a.d) - 91), a.qtrs FROM period a JOIN period b ON b.cik = a.cik AND b.qtrs = a.qtrs - 1 AND date_diff('day', b.d, a.d) BETWEEN 70 AND 110 WHERE a.qtrs BETWEEN 2 AND 4),
+qv AS (SELECT cik, d, v, s FROM c QUALIFY row_number() OVER (PARTITION BY cik, d ORDER BY p, g, l, v DESC) = 1)
+SELECT cik, d AS quarter_end, round(v, 2) AS q_value, s AS q_source FROM qv QUALIFY row_number() OVER (PARTITION BY cik ORDER BY d DESC) = 1""")
+def newest_quarter(spark, d):
+    return flows.newest_quarter(flows.quarters(flow_periods(spark, d))).select("cik", "quarter_end", F.round("q_value", 2).alias("q_value"), "q_source")
+
+
 @query("""WITH x AS (SELECT user_id, ts, event_id, value - lag(value, 4) OVER (PARTITION BY user_id ORDER BY ts) AS change FROM events),
 w AS (SELECT *, count(change) OVER f AS n, stddev_samp(change) OVER f AS sd FROM x WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
 SELECT event_id, round(CASE WHEN n = 8 AND sd > 0 THEN change / sd END, 6) AS sue FROM w""")
@@ -595,6 +623,11 @@ def backtest_summary(spark, d):
     return market.summary(market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly"))
 
 
+@query(f"""WITH {BACKTEST} SELECT CAST(year(rb) AS INTEGER) AS year, round(avg(members), 1) AS avg_members, round(sum(priced) / sum(members), 4) AS priced_share FROM per GROUP BY 1""")
+def backtest_coverage(spark, d):
+    return market.coverage(market.backtest(panel(spark, d), market.monthly_returns(prices(spark, d), 95), "bal", "quarterly"))
+
+
 LAGGED = lambda a, b: f"{a} * {b}" + "".join(f" + {1 - j / 7} * ({a} * coalesce({b}{j}, 0) + {b} * coalesce({a}{j}, 0))" for j in range(1, 7))
 
 

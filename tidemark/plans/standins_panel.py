@@ -360,3 +360,14 @@ def scalar_codes(spark, d):
     sector = scalars.sector_canonical(pick(["Energy", "Utilites", "Technology", "Nothing", "FInancials"], "c_nationkey"))
     scoped = scalars.industry_in((F.col("c_custkey") % 7000).cast("int"), F.array(F.lit("6"), F.lit("63"), F.lit("15")))
     return t(spark, d, "customer").select(F.col("c_custkey").alias("k"), scalars.yahoo_symbol(name).alias("ticker"), scalars.common_ticker(name).alias("common"), sector.alias("sector"), scoped.alias("scoped"))
+
+
+@query(f"""WITH {ORDER_FACTS}, h AS (SELECT c_custkey AS new, c_custkey + 1000000 AS old, DATE '1996-06-30' + CAST(c_custkey % 1500 AS INTEGER) AS cut FROM customer WHERE c_custkey % 5 = 0),
+j AS (SELECT mem.cik, ix, a, b, old, cut FROM mem LEFT JOIN h ON h.new = mem.cik)
+SELECT cik, ix AS index_name, CASE WHEN cut > a THEN cut ELSE a END AS valid_from, b AS valid_to FROM j WHERE cut IS NULL OR a >= cut OR b IS NULL OR b > cut
+UNION ALL SELECT old, ix, a, least(cut, coalesce(b, DATE '9999-12-31')) FROM j WHERE cut IS NOT NULL AND a < cut""")
+def succession_split(spark, d):
+    """Memberships before a handoff go to the predecessor."""
+    cut = F.date_add(F.lit("1996-06-30").cast("date"), (F.col("c_custkey") % 1500).cast("int"))
+    handoffs = t(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("new_cik"), (F.col("c_custkey") + 1000000).alias("old_cik"), cut.alias("handoff_date"), F.lit(None).cast("date").alias("new_first_filed"))
+    return spine.split_successions(panel_members(spark, d), handoffs).select("cik", "index_name", "valid_from", "valid_to")
