@@ -61,8 +61,12 @@ def test_footnote_classes(spark):
     assert column(spark, ["Smokeless Products", "Gaming", "Beer"], lambda c: footnotes.sin_codes(c)[0]) == [2111, None, 2082]
     assert column(spark, ["Las Vegas Casinos"], lambda c: footnotes.sin_codes(c)[1]) == [713210]
     df = spark.createDataFrame([(10.0, 6.0, 4.0, 12.0, True), (None, 6.0, 4.0, None, False), (None, None, 4.0, 23.0, True), (None, None, 4.0, None, False), (None, None, None, 12.0, False)], "t double, d double, f double, n double, o boolean")
-    v, rule = footnotes.select_pension(footnotes.pension_rules(*[F.col(c) for c in "tdfno"]))
-    assert [tuple(r) for r in df.select(v, rule).collect()] == [(10.0, "pension_total"), (10.0, "dom_plus_for"), (None, ""), (4.0, "one_location"), (12.0, "undimensioned")]
+    first = F.get(footnotes.pension_rules({n: F.col(n[0]) for n in ("total", "domestic", "foreign", "none")}, F.col("o")), F.lit(0))
+    assert [tuple(r) for r in df.select(first["value"], first["rule"]).collect()] == [(10.0, "pension_total"), (10.0, "dom_plus_for"), (None, None), (4.0, "one_location"), (12.0, "undimensioned")]
+    scope = lambda s: {"total": plan + "PensionPlan;", "domestic": place + "US;" + plan + "PensionPlan;", "foreign": place + "Foreign;" + plan + "PensionPlan;", "none": None, "opeb": plan + "OtherPostretirementBenefitPlan;"}[s]
+    filed = [("f1", "A", "total", 5.0), ("f1", "A", "none", 9.0), ("f1", "O", "none", 8.0), ("f2", "A", "domestic", 3.0), ("f2", "A", "foreign", 4.0), ("f2", "O", "total", 6.0), ("f3", "A", "none", 7.0), ("f3", "A", "opeb", 1.0), ("f4", "O", "foreign", 2.0)]
+    facts_ = spark.createDataFrame([(a, t, scope(s), v) for a, t, s, v in filed], "adsh string, tag string, segments string, value double").withColumn("value_date", F.lit(D(2023, 12, 31)))
+    assert {r["adsh"]: (r["assets"], r["obligation"], r["rule"]) for r in exports.pensions(facts_, "A", "O").collect()} == {"f1": (9.0, 8.0, "undimensioned"), "f2": (7.0, 6.0, ""), "f3": (None, None, ""), "f4": (None, 2.0, "")}
     tags = spark.createDataFrame([(footnotes.AOCI_TOTAL, "EquityComponents=AccumulatedNetUnrealizedInvestmentGainLoss;"), (footnotes.AOCI_TOTAL, None)], "t string, s string")
     assert [tuple(r) for r in tags.select(*footnotes.aoci_component(F.col("t"), F.col("s"))).collect()] == [("msa", "component_axis"), (None, "")]
 

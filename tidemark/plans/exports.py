@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.footnotes import aoci_component, common_rule, customer_type, pension_rules, pension_scope, select_pension, sin_codes
+from tidemark.functions.footnotes import aoci_component, by_one_rule, customer_type, pension_rules, pension_scope, sin_codes
 from tidemark.functions.scalars import camel_words, fiscal_year_of, parse_segments
 from tidemark.operators.rel import changed_rows, first_per_group
 from tidemark.operators.temporal import asof_join, flatten_intervals
@@ -101,23 +101,14 @@ def quarterly_panel(flows: DataFrame, year_ends: DataFrame, kinds: dict[str, str
 
 def pensions(facts: DataFrame, assets_tag: str, obligation_tag: str) -> DataFrame:
     """(adsh, value_date, assets, obligation, rule): one rule for both elements, else each by its own first rule."""
+    scopes = ["total", "domestic", "foreign", "none"]
     scoped = facts.where(F.col("tag").isin(assets_tag, obligation_tag)).withColumn("scope", pension_scope(F.col("segments")))
-    value = lambda t, s: F.max(F.when((F.col("tag") == t) & (F.col("scope") == s), F.col("value")))
-    other = lambda t: F.bool_or((F.col("tag") == t) & F.col("scope").isin("opeb", "plan_other"))
-    picks = []
-    for name, t in (("a", assets_tag), ("o", obligation_tag)):
-        picks += [value(t, s).alias(f"_{name}_{s}") for s in ("total", "domestic", "foreign", "none")] + [other(t).alias(f"_{name}_other")]
-    wide = scoped.groupBy("adsh", "value_date").agg(*picks)
-    rules = {n: pension_rules(*[F.col(f"_{n}_{s}") for s in ("total", "domestic", "foreign", "none")], F.col(f"_{n}_other")) for n in "ao"}
-    shared = common_rule(rules["a"], rules["o"])
-
-    def by_shared(n: str) -> Column:
-        out = select_pension(rules[n])[0]
-        for rule, v in rules[n].items():
-            out = F.when(shared == rule, v).otherwise(out)
-        return out
-
-    return wide.select("adsh", "value_date", by_shared("a").alias("assets"), by_shared("o").alias("obligation"), shared.alias("rule"))
+    cells = [F.max(F.when((F.col("tag") == t) & (F.col("scope") == s), F.col("value"))).alias(f"_{n}_{s}") for n, t in (("a", assets_tag), ("o", obligation_tag)) for s in scopes]
+    others = [F.bool_or((F.col("tag") == t) & F.col("scope").isin("opeb", "plan_other")).alias(f"_{n}_other") for n, t in (("a", assets_tag), ("o", obligation_tag))]
+    wide = scoped.groupBy("adsh", "value_date").agg(*cells, *others)
+    rules = [pension_rules({s: F.col(f"_{n}_{s}") for s in scopes}, F.col(f"_{n}_other")) for n in "ao"]
+    assets, obligation, rule = by_one_rule(*rules)
+    return wide.select("adsh", "value_date", assets.alias("assets"), obligation.alias("obligation"), rule.alias("rule"))
 
 
 def segments(facts: DataFrame, axis: str, tag: str) -> DataFrame:
