@@ -205,17 +205,25 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         seen = spine.company_tickers(t["ticker_history"], or_empty(t["universe"], UNIVERSE), today)
         return spine.extend_back(seen, t["company"], floor)
 
+    def captures(t, f):
+        return spine.captures(t["index_history"], ["index_name"]).select("index_name", "observed_on", "is_partial")
+
+    # runs, sightings and intervals are tables of their own: each plan stays as short as its step
+    def runs(t, f):
+        names, overrides = or_empty(t["company_name"], NAMES), or_empty(t["overrides"], OVERRIDES)
+        return spine.resolve_runs(t["index_history"], t["company_ticker"], t["company"], names, overrides, t["index_capture"], t["security_event"], t["sub"])
+
+    def sightings(t, f):
+        at = t["index_capture"].withColumn("_sn", F.row_number().over(Window.partitionBy("index_name").orderBy("observed_on")).cast("long")).drop("is_partial")
+        known = t["index_run"].where("cik IS NOT NULL").select("index_name", "ticker", "first_sn", "last_sn", F.col("cik").alias("_cik"))
+        placed = t["index_history"].join(at, ["index_name", "observed_on"]).join(known, ["index_name", "ticker"]).where(F.col("_sn").between(F.col("first_sn"), F.col("last_sn")))
+        return spine.fill_sectors(placed.withColumn("cik", F.col("_cik")).drop("_cik", "_sn", "first_sn", "last_sn"))
+
     def members(t, f):
-        seen = t["index_history"]
+        seen = t["index_sighting"]
         if not seen.limit(1).count():
             return _empty(spark, MEMBERS)
-        caps = spine.captures(seen, ["index_name"]).select("index_name", "observed_on", "is_partial")
-        runs = spine.resolve_runs(seen, t["company_ticker"], t["company"], or_empty(t["company_name"], NAMES), or_empty(t["overrides"], OVERRIDES), caps, t["security_event"], t["sub"])
-        at = caps.withColumn("_sn", F.row_number().over(Window.partitionBy("index_name").orderBy("observed_on")).cast("long")).drop("is_partial")
-        known = runs.where("cik IS NOT NULL").select("index_name", "ticker", "first_sn", "last_sn", F.col("cik").alias("_cik"))
-        placed = seen.join(at, ["index_name", "observed_on"]).join(known, ["index_name", "ticker"]).where(F.col("_sn").between(F.col("first_sn"), F.col("last_sn")))
-        resolved = placed.withColumn("cik", F.col("_cik")).drop("_cik", "_sn", "first_sn", "last_sn")
-        return spine.split_successions(spine.membership(spine.fill_sectors(resolved), caps), t["succession"])
+        return spine.split_successions(spine.membership(seen, t["index_capture"]), t["succession"])
 
     def panel(t, f):
         rows = t["tradable_financials"].drop("index_name", "gics_sector", "gics_sub_industry").join(t["company"].select("cik", F.col("sic_latest").alias("sic")), "cik", "left")
@@ -240,7 +248,10 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         Step("company", lambda t, f: companies(t["sub"]), ["sub"]),
         Step("company_ticker", tickers, ["ticker_history", "company"], ["universe"]),
         Step("succession", lambda t, f: spine.successions(t["company_ticker"], t["company"]), ["company_ticker", "company"]),
-        Step("index_membership", members, ["index_history", "company_ticker", "company", "sub", "succession"], ["company_name", "security_event", "overrides"]),
+        Step("index_capture", captures, ["index_history"]),
+        Step("index_run", runs, ["index_history", "index_capture", "company_ticker", "company", "sub"], ["company_name", "security_event", "overrides"]),
+        Step("index_sighting", sightings, ["index_history", "index_capture", "index_run"]),
+        Step("index_membership", members, ["index_sighting", "index_capture", "succession"]),
         Step("index_timeline", lambda t, f: spine.membership_timeline(t["index_membership"], preferred), ["index_membership"]),
         Step("suspect_fact", lambda t, f: gold.suspect_facts(t["num"]), ["num"]),
         Step("tradable_financials", lambda t, f: gold.tradable_financials(t["num"], t["company_ticker"], t["index_timeline"], t["suspect_fact"]), ["num", "company_ticker", "index_timeline", "suspect_fact"]),
