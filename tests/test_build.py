@@ -245,7 +245,7 @@ def write_raw(root, companies=7):
         facts = [{"adsh": s["adsh"], "tag": t, "version": "us-gaap/2023", "ddate": s["period"], "qtrs": q, "uom": "USD", "value": s["cik"] * k * (year - 2020)} for s in subs for t, q, k in (("Revenues", 4, 10), ("Assets", 0, 100))]
         table(quarter, "num", facts)
         table(quarter, "pre", [{"adsh": s["adsh"], "report": 2, "line": i, "stmt": "BS", "inpth": 0, "tag": "Assets", "version": "us-gaap/2023", "plabel": "Assets"} for s in subs for i in (1,)])
-    ref = root / "reference"
+    ref = root / "lookups"
     ref.mkdir()
     days = [dt.date(2022, 1, 3) + dt.timedelta(i) for i in range(1300)]
     (ref / "trading_calendar.csv").write_text("session_date,close_time_et\n" + "".join(f"{d},16:00:00\n" for d in days if d.weekday() < 5))
@@ -260,7 +260,7 @@ def test_raw_files_to_gold_in_one_call(spark, tmp_path, indices):
     raw.mkdir()
     write_raw(raw)
     if not indices:
-        (raw / "reference" / "index_history_SP500.csv").unlink()
+        (raw / "lookups" / "index_history_SP500.csv").unlink()
     run = lambda: build.build(spark, build.standard_steps(spark, TODAY, CONFIG), str(raw), out)
     first = states(run())
     optional = {"universe", "ticker_map", "overrides", "share_class", "security_event", "company_name"}

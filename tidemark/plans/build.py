@@ -181,13 +181,13 @@ MEMBERS = "index_name string, cik int, ticker string, gics_sector string, gics_s
 def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: Sequence[str] = reference.INDICES, floor="2009-01-01", horizon_days: int = reference.HORIZON_DAYS) -> list[Step]:
     """Raw quarters and reference files to silver, spine and gold; ``today`` closes what is open and bounds periods.
 
-    Needed: ``quarters/<YYYYqN>/{sub,tag,num,pre}.txt``, ``reference/trading_calendar.csv`` and ``ticker_history.csv``.
-    Optional below ``reference``: an ``index_history_<index>.csv`` each, ``universe.csv``, ``tickers.csv``, ``index_cik_overrides.csv``,
-    ``share_class_map.csv`` and ``submissions`` (JSON documents).
+    Needed: ``quarters/<YYYYqN>/{sub,tag,num,pre}.txt``, ``lookups/trading_calendar.csv`` and ``ticker_history.csv``.
+    Optional below ``lookups``: an ``index_history_<index>.csv`` each, ``universe.csv``, ``tickers.csv``, ``overrides.csv``,
+    ``share_classes.csv`` and ``submissions`` (JSON documents).
     """
     csv = lambda path: reference.read_csv(spark, path)
     or_empty = lambda df, schema: df if df is not None else _empty(spark, schema)
-    ref = lambda name: f"reference/{name}.csv"
+    ref = lambda name: f"lookups/{name}.csv"
     history = {i: ref(f"index_history_{i}") for i in indices}
 
     def bronze_step(table: str) -> Step:
@@ -237,10 +237,10 @@ def standard_steps(spark: SparkSession, today, config: ConceptConfig, indices: S
         Step("index_history", index_history, wanted_files=list(history.values())),
         Step("universe", lambda t, f: reference.load_universe(reference.csv_in_order(reference.read_lines(spark, f[ref("universe")]))), files=[ref("universe")]),
         Step("ticker_map", lambda t, f: reference.load_ticker_map(reference.read_lines(spark, f[ref("tickers")])), files=[ref("tickers")]),
-        Step("overrides", lambda t, f: reference.load_overrides(csv(f[ref("index_cik_overrides")])), files=[ref("index_cik_overrides")]),
-        Step("share_class", lambda t, f: reference.load_share_classes(csv(f[ref("share_class_map")])), files=[ref("share_class_map")]),
-        Step("security_event", lambda t, f: reference.submission_events(spark.read.schema(reference.SUBMISSION).json(f["reference/submissions"])), files=["reference/submissions"]),
-        Step("company_name", lambda t, f: reference.submission_names(spark.read.schema(reference.SUBMISSION).json(f["reference/submissions"])), files=["reference/submissions"]),
+        Step("overrides", lambda t, f: reference.load_overrides(csv(f[ref("overrides")])), files=[ref("overrides")]),
+        Step("share_class", lambda t, f: reference.load_share_classes(csv(f[ref("share_classes")])), files=[ref("share_classes")]),
+        Step("security_event", lambda t, f: reference.submission_events(spark.read.schema(reference.SUBMISSION).json(f["lookups/submissions"])), files=["lookups/submissions"]),
+        Step("company_name", lambda t, f: reference.submission_names(spark.read.schema(reference.SUBMISSION).json(f["lookups/submissions"])), files=["lookups/submissions"]),
         Step("sub", lambda t, f: silver.filings(t["sub_raw"], t["trading_calendar"]), ["sub_raw", "trading_calendar"]),
         Step("tag", lambda t, f: silver.tags(t["tag_raw"]), ["tag_raw"]),
         Step("pre", lambda t, f: silver.presentation(t["pre_raw"]), ["pre_raw"]),
