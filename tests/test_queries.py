@@ -15,3 +15,19 @@ def test_financials_pit_keeps_every_part(spark, tmp_path):
     spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r["part"], r["adsh"], r["value"]) for r in standins.queries()["financials_pit"](spark, str(tmp_path)).collect()}
     assert got == {(10, 1, 3.0), (20, 3, 8.0), (30, 4, 4.0)}  # first lines of four units or less too
+
+
+def test_fold_moves_each_row_once(spark, tmp_path):
+    lines = [(i, i % 5 if i % 11 else None, 1, 1, 9.0, day(i * 29) if i % 13 else None) for i in range(60)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_shipdate timestamp"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to send
+    try:
+        folded = standins.queries()["incremental_fold"](spark, str(tmp_path))
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 3  # old rows, new rows, the sources of the new
+        whole = standins.queries()["vintage_chain"](spark, str(tmp_path))
+        assert sorted(map(str, folded.collect())) == sorted(map(str, whole.select(*folded.columns).collect())) and folded.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

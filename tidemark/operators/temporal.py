@@ -38,15 +38,32 @@ def vintage_chain(facts: DataFrame, keys: Sequence[str] = FACT_KEY, order: Seque
 CHAIN_COLUMNS = ["vintage_seq", "superseded_known_at", "superseded_tradable", "rank_pit", "rank_latest"]
 
 
+#: Sources of a batch that are sent to every task at most; beyond that the old rows are shuffled by source.
+SOURCES = 500_000
+
+
 def fold_chain(old: DataFrame, new: DataFrame, keys: Sequence[str] = FACT_KEY, source: str = "adsh", **chain) -> DataFrame:
     """Fold new facts into a built chain: only touched keys are rebuilt, from their old rows of other filings plus the new.
 
-    ``old`` has the chain's columns, ``new`` has not; folding twice equals folding once.
+    ``old`` has the chain's columns, ``new`` has not; folding twice equals folding once.  Old and new rows meet in one window
+    over the keys, which tells the touched ones, so rows move once; the sources of ``new`` are counted first.
     """
-    touched = semi(old, new, keys)
-    base = semi(touched.drop(*CHAIN_COLUMNS), new, [source], "left_anti")
-    rebuilt = vintage_chain(base.unionByName(new), keys, **chain)
-    return semi(old, new, keys, "left_anti").unionByName(rebuilt)
+    keys = list(keys)
+    facts = [c for c in old.columns if c not in CHAIN_COLUMNS]
+    sources = new.select(F.col(source).alias("_source"), F.lit(True).alias("_again")).distinct()
+    if sources.limit(SOURCES + 1).count() <= SOURCES:
+        sources = F.broadcast(sources)
+    marked = old.join(sources, F.col(source).eqNullSafe(F.col("_source")), "left")
+    before = marked.select(*facts, F.struct(*CHAIN_COLUMNS).alias("_chain"), F.coalesce("_again", F.lit(False)).alias("_again"))
+    # dealt by key, for an old chain that is dealt so stays where it is
+    after = new.repartition(*keys).withColumns({"_chain": F.lit(None).cast(before.schema["_chain"].dataType), "_again": F.lit(False)})
+    rows = before.unionByName(after)
+    order = [F.col(c).asc_nulls_last() for c in chain.get("order", ("known_at", "adsh"))]
+    whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = rows.withColumn("_touched", F.max(F.col("_chain").isNull()).over(whole)).where(~(F.col("_touched") & F.col("_again")))
+    rebuilt = vintage_chain(told, keys, **chain)
+    kept = {c: F.when(F.col("_touched"), F.col(c)).otherwise(F.col(f"_chain.{c}")) for c in CHAIN_COLUMNS}
+    return rebuilt.withColumns(kept).select(*old.columns)
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, take: Sequence[str], by: Sequence[str] = (), direction: str = "forward", strict: bool = True, tolerance_days: int | None = None) -> DataFrame:
