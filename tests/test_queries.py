@@ -31,3 +31,29 @@ def test_fold_moves_each_row_once(spark, tmp_path):
         assert sorted(map(str, folded.collect())) == sorted(map(str, whole.select(*folded.columns).collect())) and folded.count() == 60
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def dealt_once(spark, tmp_path, monkeypatch, name):
+    """Rows of the query with 4 orders a task; its plan deals rows by number only, and by the number that the rows ask for."""
+    import duckdb
+
+    from tidemark.operators import rel
+    from tidemark.plans import standins
+
+    ranks = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    orders = [(i, i % 9, "O", float(i * 7 % 50), day(i * 37 % 900), ranks[i * 3 % 5]) for i in range(120)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, schema).write.parquet(f"{tmp_path}/orders.parquet")
+    asked = rel.parts_for
+    monkeypatch.setattr(rel, "parts_for", lambda df: asked(df, 4))
+    got = standins.queries()[name](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "hashpartitioning(cik" in plan and ", 30), REPARTITION_BY_NUM" in plan
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({standins.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and want
+
+
+def test_annual_panel_deals_tasks_by_rows(spark, tmp_path, monkeypatch):
+    dealt_once(spark, tmp_path, monkeypatch, "annual_panel")

@@ -18,6 +18,11 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def parts_for(df: DataFrame, rows: int = 250_000) -> int:
+    """Into how many tasks to deal ``df`` by key for about ``rows`` rows each, whatever its size; counts it."""
+    return -(-df.count() // rows) or 1
+
+
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition where a null key equals a null key."""
     on = F.lit(True)

@@ -19,20 +19,25 @@ def resupersede(facts: DataFrame, forms=("10-K", "10-K/A", "10-KT", "10-Q", "10-
     return mine.withColumn("superseded_tradable", F.lead("tradable_from").over(w))
 
 
-def filled_states(facts: DataFrame, tags: list[str], keys=("cik", "value_date")) -> DataFrame:
+def filled_states(facts: DataFrame, tags: list[str], keys=("cik", "value_date"), parts: int | None = None) -> DataFrame:
     """(keys, state_from, _t0, _t1, ...): every key at every day on which one of its facts became known, with a struct
     (on, value) for each of ``tags``, null or with ``on`` 0 where the tag has no fact in force.
 
     Facts of a tag become a disjoint timeline (the latest start holds, then adsh, then value); its starts and ends are events,
-    pivoted once, and what a day does not mention is carried forward from the day before.
+    pivoted once, and what a day does not mention is carried forward from the day before.  With ``parts`` (``rel.parts_for``)
+    events are dealt by the first key into that many tasks; facts that are dealt so already stay where they are.
     """
     keys = list(keys)
     mine = facts.where(F.col("tag").isin(tags) & F.col("tradable_from").isNotNull())
     timeline = flatten_intervals(mine, [*keys, "tag"], "tradable_from", "superseded_tradable", ["value"], [F.col("tradable_from").desc(), F.col("adsh").desc(), F.col("value").desc()])
-    begins = timeline.select(*keys, F.col("tradable_from").alias("state_from"), "tag", F.struct(F.lit(1).alias("on"), "value").alias("_e"))
-    ends = timeline.where("superseded_tradable IS NOT NULL").select(*keys, F.col("superseded_tradable").alias("state_from"), "tag", F.struct(F.lit(0).alias("on"), F.lit(None).cast(timeline.schema["value"].dataType).alias("value")).alias("_e"))
+    event = lambda at, on, value: F.struct(F.col(at).alias("state_from"), F.struct(F.lit(on).alias("on"), value.alias("value")).alias("_e"))
+    ends = event("superseded_tradable", 0, F.lit(None).cast(timeline.schema["value"].dataType))
+    edges = F.array_compact(F.array(event("tradable_from", 1, F.col("value")), F.when(F.col("superseded_tradable").isNotNull(), ends)))
+    turns = timeline.select(*keys, "tag", F.inline(edges))
     days = mine.select(*keys, F.col("tradable_from").alias("state_from")).distinct().withColumn("_known", F.lit(True))
-    events = begins.unionByName(ends).unionByName(days, allowMissingColumns=True)
+    events = turns.unionByName(days, allowMissingColumns=True)
+    if parts:
+        events = events.repartition(parts, keys[0])
     wide = events.groupBy(*keys, "state_from").agg(F.bool_or("_known").alias("_known"), *[F.max(F.when(F.col("tag") == t, F.col("_e"))).alias(f"_t{i}") for i, t in enumerate(tags)])
     w = Window.partitionBy(*keys).orderBy("state_from").rowsBetween(Window.unboundedPreceding, 0)
     held = wide.withColumns({f"_t{i}": F.last(f"_t{i}", ignorenulls=True).over(w) for i in range(len(tags))})
@@ -40,28 +45,28 @@ def filled_states(facts: DataFrame, tags: list[str], keys=("cik", "value_date"))
     return held.where(F.col("_known") & F.coalesce(live, F.lit(False))).drop("_known")
 
 
-def states(facts: DataFrame, keys=("cik", "value_date"), tags: list[str] | None = None) -> DataFrame:
+def states(facts: DataFrame, keys=("cik", "value_date"), tags: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(keys, state_from, tag, value): what was in force of each key at every day on which one of its facts became known.
 
     ``tags`` are the columns of a wide row on the way; without it, those of the facts (few kinds of facts, not many).
     """
     if tags is None:
         tags = sorted(r["tag"] for r in facts.select("tag").where("tag IS NOT NULL").distinct().collect())
-    wide = filled_states(facts, tags, keys)
+    wide = filled_states(facts, tags, keys, parts)
     cells = F.array(*[F.struct(F.lit(t).alias("tag"), F.col(f"_t{i}").alias("e")) for i, t in enumerate(tags)])
     return wide.select(*keys, "state_from", F.explode(cells).alias("c")).where("c.e.on = 1").select(*keys, "state_from", F.col("c.tag").alias("tag"), F.col("c.e.value").alias("value"))
 
 
-def annual_panel(facts: DataFrame, items: dict[str, Item], scale: float = 1e6, absolute=(), keys=("cik", "value_date")) -> DataFrame:
+def annual_panel(facts: DataFrame, items: dict[str, Item], scale: float = 1e6, absolute=(), keys=("cik", "value_date"), parts: int | None = None) -> DataFrame:
     """States by items: a row per company, period and change of any item; the last period of a fiscal year only."""
     keys = list(keys)
     tags = sorted(set().union(*[i.tags() for i in items.values()]))
-    held = filled_states(facts, tags, keys)
+    held = filled_states(facts, tags, keys, parts)
     wide = held.select(*keys, "state_from", *[F.col(f"_t{i}.value").alias(t) for i, t in enumerate(tags)])
     out = resolve_items(wide, items, prefix="i_").select(*keys, "state_from", *[F.col(f"i_{n}").alias(n) for n in exported(items)])
     out = out.withColumns({n: (F.abs(F.col(n)) if n in absolute else F.col(n)) / scale for n in exported(items)}).withColumn("fyear", fiscal_year_of(F.col("value_date")))
-    newest = out.groupBy("cik", "fyear").agg(F.max("value_date").alias("value_date"))
-    kept = out.join(newest, ["cik", "fyear", "value_date"])
+    newest = F.max("value_date").over(Window.partitionBy("cik", "fyear"))
+    kept = out.withColumn("_newest", newest).where("value_date = _newest").drop("_newest")
     return changed_rows(kept, ["cik", "value_date"], [F.col("state_from").asc()], exported(items))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import temporal
+from tidemark.operators import rel, temporal
 from tidemark.plans import concepts, cross, exports, gold, items, spine
 from tidemark.plans.concept_config import ConceptConfig
 from tidemark.sources import markup, taxonomy
@@ -146,10 +146,12 @@ def annual_panel(spark, d):
     """Half-yearly periods of customers, their orders' priorities as tags; facts of every seventh customer lapse after 20 days."""
     day = F.col("o_orderdate").cast("date")
     period = F.when(F.month(day) <= 6, F.make_date(F.year(day), F.lit(6), F.lit(30))).otherwise(F.make_date(F.year(day), F.lit(12), F.lit(31)))
-    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("cik"), period.alias("value_date"), day.alias("tradable_from"), F.col("o_orderpriority").alias("tag")).agg(F.max("o_totalprice").alias("value"))
+    orders = t(spark, d, "orders")
+    parts = rel.parts_for(orders)
+    o = orders.repartition(parts, "o_custkey").groupBy(F.col("o_custkey").alias("cik"), period.alias("value_date"), day.alias("tradable_from"), F.col("o_orderpriority").alias("tag")).agg(F.max("o_totalprice").alias("value"))
     ahead, lapse = F.lead("tradable_from").over(Window.partitionBy("cik", "value_date", "tag").orderBy("tradable_from")), F.date_add("tradable_from", 20)
     o = o.withColumns({"superseded_tradable": F.when(F.col("cik") % 7 == 0, F.least(ahead, lapse)).otherwise(ahead), "adsh": F.lit("")})
-    out = exports.annual_panel(o, items.parse_items(PANEL_ITEMS), scale=1e3)
+    out = exports.annual_panel(o, items.parse_items(PANEL_ITEMS), scale=1e3, parts=parts)
     return out.select("cik", "value_date", F.col("fyear").cast("long").alias("fyear"), "state_from", *[F.round(c, 5).alias(c) for c in ("sale", "cost", "gain")])
 
 
