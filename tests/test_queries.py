@@ -61,3 +61,26 @@ def test_annual_panel_deals_tasks_by_rows(spark, tmp_path, monkeypatch):
 
 def test_state_expansion_deals_tasks_by_rows(spark, tmp_path, monkeypatch):
     dealt_once(spark, tmp_path, monkeypatch, "state_expansion")
+
+
+def test_successions_meet_in_slices_of_the_calendar(spark):
+    import random
+
+    from tidemark.plans import spine
+
+    rng, d0 = random.Random(3), dt.date(2000, 1, 1)
+    span = lambda: (a := d0 - dt.timedelta(rng.randrange(-900, 900)), a + dt.timedelta(rng.choice([30, 200, 400])) if rng.random() < 0.9 else None)
+    held = [(rng.randrange(30), f"T{rng.randrange(3)}", *span(), rng.random() < 0.9) for _ in range(120)]
+    filed = {c: (d0 + dt.timedelta(rng.randrange(500)) if c % 4 else None, d0 + dt.timedelta(rng.randrange(900))) for c in range(28)}
+    t = spark.createDataFrame(held, "cik int, ticker string, valid_from date, valid_to date, is_primary boolean")
+    c = spark.createDataFrame([(k, *v) for k, v in filed.items()], "cik int, first_filed date, last_filed date")
+    want = {}
+    for o, tick, _, end, p in held:
+        for n, other, start, _, q in held:
+            if p and q and end and o != n and o in filed and tick == other and -45 <= (start - end).days <= 120:
+                of, ol, nf = *filed[o], filed.get(n, (None,))[0]
+                if (nf and of and (nf - of).days > 30) or (nf is None and (end - ol).days <= 400):
+                    want[o, n, tick] = min(start, want.get((o, n, tick), start))
+    out = spine.successions(t, c)
+    assert {tuple(r)[:3]: r["handoff_date"] for r in out.collect()} == want and out.count() == len(want) > 20
+    assert "_slice" in out._jdf.queryExecution().optimizedPlan().toString()  # pairs are not made of all holders of a ticker

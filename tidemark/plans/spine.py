@@ -50,18 +50,35 @@ def extend_back(tickers: DataFrame, companies: DataFrame, floor) -> DataFrame:
     return tickers.unionByName(out.select("cik", "ticker", "valid_from", F.col("first_seen").alias("valid_to"), F.lit(True).alias("is_primary"), F.lit("extended").alias("source")))
 
 
+#: Days from the end of one holder's interval to the start of the next one's, and of a slice of the calendar they meet in.
+HANDOFF, SLICE = (-45, 120), 14
+
+
 def successions(tickers: DataFrame, companies: DataFrame) -> DataFrame:
-    """(old_cik, new_cik, ticker, handoff_date): a primary ticker passes on within -45 to +120 days to a later registrant."""
+    """(old_cik, new_cik, ticker, handoff_date): a primary ticker passes on within -45 to +120 days to a later registrant.
+
+    Intervals meet by ticker and slice of the calendar: a start lies in one slice, an end asks those of its 166 days, so hardly
+    a pair outside them is made.  Only holders with several intervals of a ticker can repeat a pair; only theirs are ranked.
+    """
     p = tickers.where("is_primary")
-    a = p.where("valid_to IS NOT NULL").select(F.col("cik").alias("old_cik"), "ticker", F.col("valid_to").alias("_end"))
-    b = p.select(F.col("cik").alias("new_cik"), "ticker", F.col("valid_from").alias("handoff_date"))
-    pairs = a.join(b, "ticker").where((F.col("old_cik") != F.col("new_cik")) & F.datediff("handoff_date", "_end").between(-45, 120))
+    slice_of = lambda c, n=0: F.floor((F.datediff(c, F.lit("1970-01-01").cast("date")) + n) / SLICE)
+    alone = lambda c: (F.count("*").over(Window.partitionBy(c, "ticker")) == 1).alias("_alone")
     old = companies.select(F.col("cik").alias("old_cik"), F.col("first_filed").alias("_of"), F.col("last_filed").alias("old_last_filed"))
     new = companies.select(F.col("cik").alias("new_cik"), F.col("first_filed").alias("new_first_filed"))
-    joined = pairs.join(old, "old_cik").join(new, "new_cik", "left")
+    a = p.where("valid_to IS NOT NULL").select(F.col("cik").alias("old_cik"), "ticker", F.col("valid_to").alias("_end")).join(old, "old_cik")
+    b = p.select(F.col("cik").alias("new_cik"), "ticker", F.col("valid_from").alias("handoff_date")).join(new, "new_cik", "left")
+    a = a.select("*", alone("old_cik")).withColumn("_slice", F.explode(F.sequence(slice_of("_end", HANDOFF[0]), slice_of("_end", HANDOFF[1]))))
+    b = b.select("*", alone("new_cik")).withColumn("_slice", slice_of("handoff_date"))
     later = (F.datediff("new_first_filed", "_of") > 30) | (F.col("new_first_filed").isNull() & (F.datediff("_end", "old_last_filed") <= 400))
-    best = first_per_group(joined.where(later), ["old_cik", "new_cik", "ticker"], [F.col("handoff_date").asc()])
-    return best.select("old_cik", "new_cik", "ticker", "handoff_date", "old_last_filed", "new_first_filed")
+
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        met = a.drop("_alone").join(b.drop("_alone"), ["ticker", "_slice"])
+        held = (F.col("old_cik") != F.col("new_cik")) & F.datediff("handoff_date", "_end").between(*HANDOFF) & later
+        return met.where(held).select("old_cik", "new_cik", "ticker", "handoff_date", "old_last_filed", "new_first_filed")
+
+    again = pairs(a.where("NOT _alone"), b).unionByName(pairs(a.where("_alone"), b.where("NOT _alone")))
+    best = first_per_group(again, ["old_cik", "new_cik", "ticker"], [F.col("handoff_date").asc()])
+    return pairs(a.where("_alone"), b.where("_alone")).unionByName(best)
 
 
 def ticker_at(tickers: DataFrame, day) -> DataFrame:
