@@ -206,6 +206,24 @@ def test_kneser_ney_sums_to_one_and_grows(spark):
     assert more.seen[quality.ORDER].count() > model.seen[quality.ORDER].count()
 
 
+@pytest.mark.parametrize("sent", [0, 40, 1000])
+def test_perplexity_moves_no_text_and_is_whole_however_few_answers_are_sent(spark, monkeypatch, sent):
+    written, write = [], quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, *a, **b: written.append(df.columns) or write(df, *a, **b))
+    monkeypatch.setattr(quality, "FREQUENT", sent, raising=False)
+    model = quality.fit(spark.createDataFrame(TRUSTED, "lang string, text string"))
+    docs = [(i, text, lang) for i, (text, lang) in enumerate([("the mat sat on the cat.", "en"), ("%%% ###!! ZZQ", "en"), ("", "en"), ("der Hund, ÄÖ", "de"), ("x", None)] * 2)]
+    p = {r["doc_id"]: r["perplexity"] for r in quality.perplexities(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model, keep_text=False).collect()}
+    assert len(p) == len(docs) and not any("text" in columns for columns in written)
+    every = brute_kneser_ney([t for _, t in TRUSTED])
+    for doc, text, lang in docs:
+        mine = [t for k, t in TRUSTED if k == lang and lang]
+        n, own = sum(len((t or "").encode()) for t in mine), brute_kneser_ney(mine)
+        w = n / (n + quality.PRIOR_BYTES)
+        logs = [math.log((w * own(g) if n else 0) + (1 - w) * every(g)) for g in padded_grams(text)]
+        assert p[doc] is None if not text else math.isclose(p[doc], math.exp(-sum(logs) / len(logs)), rel_tol=1e-9), doc
+
+
 def trusted_corpus(n):
     rng = random.Random(5)
     words = [("".join(rng.choice("abcdefgh") for _ in range(4))) for _ in range(60)]

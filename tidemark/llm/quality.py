@@ -2,9 +2,10 @@
 
 An n-gram is its bytes packed into a long, so nothing is hashed.  Counts of trusted text are sharded over Spark by
 (language, n-gram) and grow with it; joins of each order's counts with its contexts and discounts give the parts of the
-interpolation.  Documents ask by batches of about 16 MB of text: a batch sends each n-gram once, the distinct n-grams
-meet the count tables of every order in joins, and the answers go back to the batch, where a document's perplexity is
-summed.  No key of these joins is hot: a context has at most 256 successors and an n-gram one request a batch.
+interpolation.  Stretches of about 16 MB of text send each n-gram once, and the distinct n-grams meet the count tables of
+every order in joins.  The most frequent answers, a fixed number, are sent to all tasks, which sum a document's log
+probabilities where its text is read; its other n-grams are joined with the other answers, and no text is moved.  No key
+of these joins is hot: a context has at most 256 successors, and an n-gram that is not sent is rare.
 A language's model is mixed with that of all languages by the trusted bytes behind it, and documents are kept up to a
 quantile of trusted documents that were left out of the fit, drawn to the quantile of all languages by their number.
 """
@@ -22,8 +23,10 @@ from tidemark.llm.common import chunked, discard, materialise, slices, small_bat
 
 #: Bytes of an n-gram; up to 7 fit into a long.
 ORDER = 5
-#: Text of one batch of requests.
+#: Text of one stretch whose n-grams are counted together.
 BATCH_TEXT = 16 << 20
+#: Answers sent to every task at most (16 bytes each), the most asked ones; the others are joined.
+FREQUENT = 500_000
 #: Trusted bytes at which a language's own model and the pooled one weigh alike.
 PRIOR_BYTES = 20_000
 #: Left-out trusted documents keep up to this quantile; the pooled quantile counts like so many documents of a language.
@@ -63,8 +66,8 @@ def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]), len(code)).astype(np.int64)
 
 
-def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """(lang, code, c) of all text of ``trusted`` (lang, text), and of all languages together under POOLED."""
+def _counting():
+    """Counts n-grams of (lang, text) by stretches of about BATCH_TEXT bytes: (lang, code, count)."""
 
     def count(batches):
         import pyarrow as pa
@@ -72,7 +75,7 @@ def count_ngrams(trusted: DataFrame) -> DataFrame:
         def flush():
             for lang, texts in held.items():
                 code, c = _distinct(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(c)], names=["lang", "code", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(c)], names=["lang", "code", "n"])
 
         held, size = {}, 0
         for b in slices(batches):
@@ -84,8 +87,13 @@ def count_ngrams(trusted: DataFrame) -> DataFrame:
                     held, size = {}, 0
         yield from flush()
 
-    parts = trusted.select("lang", "text").mapInArrow(count, "lang string, code long, c long")
-    named = materialise(parts.groupBy("lang", "code").agg(F.sum("c").alias("c")), "counts")
+    return count
+
+
+def count_ngrams(trusted: DataFrame) -> DataFrame:
+    """(lang, code, c) of all text of ``trusted`` (lang, text), and of all languages together under POOLED."""
+    parts = trusted.select("lang", "text").mapInArrow(_counting(), "lang string, code long, n long")
+    named = materialise(parts.groupBy("lang", "code").agg(F.sum("n").alias("c")), "counts")
     pooled = named.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "code", "c")
     counts = materialise(named.where(F.col("lang") != POOLED).unionByName(pooled), "ngrams")
     discard(named)
@@ -164,108 +172,92 @@ def _refuse(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns of the operator are in use: {taken}")
 
 
-def in_batches(docs: DataFrame) -> DataFrame:
-    """``docs`` written with ``_batch``, which numbers neighbouring rows of about BATCH_TEXT bytes.  Rows are told apart by
-    place, so equal rows spread like any others."""
-    _refuse(docs, "perplexity", "_batch")
-    small_batches(docs.sparkSession)
-    at, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField("_batch", T.LongType())])
-
-    def number(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        mine, size = TaskContext.get().partitionId() << 32, 0
-        for b in slices(batches):
-            upto = size + np.cumsum([len(t) for t in utf8(b.column(at))], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mine + upto // BATCH_TEXT)], names=schema.names)
-            size = int(upto[-1])
-
-    return materialise(docs.mapInArrow(number, schema), "batches", compression="zstd")
+def requests(docs: DataFrame) -> DataFrame:
+    """(lang, code, n): the distinct n-grams of the texts of ``docs`` (lang, text) and how often they occur, a null language
+    under POOLED."""
+    parts = docs.select("lang", "text").mapInArrow(_counting(), "lang string, code long, n long")
+    return materialise(parts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "requests")
 
 
-def requests(batched: DataFrame) -> DataFrame:
-    """(_batch, lang, code) that the texts of a table of ``in_batches`` need: once for neighbouring rows of a batch, and again
-    only where two tasks read parts of it."""
+def _frequent(answers: DataFrame) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The answers that stay with Spark, and at most FREQUENT of the most asked ones as sorted arrays per language."""
+    import pyarrow.compute as pc
 
-    def ask(batches):
-        import pyarrow as pa
-
-        def flush():
-            for lang, texts in held.items():
-                code, _ = _distinct(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(code), pa.int64()), pa.array([lang] * len(code), pa.string()), pa.array(code)], names=["_batch", "lang", "code"])
-
-        held, at = {}, None
-        for b in slices(batches):
-            for batch, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                if batch != at:
-                    yield from flush()
-                    held, at = {}, batch
-                held.setdefault(lang if lang is not None else POOLED, []).append(text)
-        yield from flush()
-
-    asked = batched.select("_batch", "lang", "text").mapInArrow(ask, "_batch long, lang string, code long")
-    return materialise(asked, "requests")
+    binned = answers.withColumn("bin", F.floor(F.log2("n") * 16).cast("int"))
+    # the least bin from which on all n-grams fit; a few hundred bins reach the driver
+    cut, total = 1 << 30, 0
+    for r in sorted(binned.groupBy("bin").count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        cut = r["bin"]
+    top, sent = binned.where(F.col("bin") >= cut).select("lang", "code", "logp").toArrow(), {}
+    for lang in pc.unique(top["lang"]).to_pylist():
+        mine = top.filter(pc.equal(top["lang"], lang))
+        code, logp = mine["code"].to_numpy(), mine["logp"].to_numpy()
+        order = np.argsort(code)
+        sent[lang] = code[order], logp[order]
+    return binned.where(F.col("bin") < cut).drop("bin"), sent
 
 
 def perplexities(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     """``docs`` with perplexity, on request without the text; null for null and empty texts (and for all, without any
-    trusted text).  Columns called perplexity or _batch are refused."""
-    return _score(in_batches(docs), model, keep_text)
-
-
-def _score(batched: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    asked = requests(batched)
-    answers = asked.join(probabilities(asked.select("lang", "code").distinct(), model), ["lang", "code"]).select("_batch", "lang", "code", "logp")
-    kept = [f.name for f in batched.schema.fields if f.name != "_batch" and (keep_text or f.name != "text")]
-    schema = T.StructType([*(batched.schema[c] for c in kept), T.StructField("perplexity", T.DoubleType())])
-    at = batched.columns.index("_batch")
-
-    def pack(batches):  # rows of a batch travel as compressed Arrow streams: a shuffle of plain texts is as large as they are
+    trusted text).  The texts are read twice.  Columns called perplexity, _row, _lang, _size, _sum or _rest are refused."""
+    _refuse(docs, "perplexity", "_row", "_lang", "_size", "_sum", "_rest")
+    small_batches(docs.sparkSession)
+    asked = requests(docs)
+    told = probabilities(asked.select("lang", "code"), model)
+    # no answer at all (a model without text) is not a number, which no sum loses
+    answers = materialise(asked.join(told, ["lang", "code"]).withColumn("logp", F.coalesce("logp", F.lit(float("nan")))), "answers")
+    discard(asked)
+    rare, frequent = _frequent(answers)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    kept = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    at, lang_at, places = docs.columns.index("text"), docs.columns.index("lang"), [docs.columns.index(f.name) for f in kept]
+    rest = T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())]))
+    own = [T.StructField("_row", T.LongType()), T.StructField("_lang", T.StringType()), T.StructField("_size", T.LongType()), T.StructField("_sum", T.DoubleType()), T.StructField("_rest", rest)]
+    schema = T.StructType([*kept, *own])
+
+    def score(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        row, empty = TaskContext.get().partitionId() << 32, (np.zeros(0, np.int64), np.zeros(0))
         for b in slices(batches):
-            ids = b.column(at).to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-            for i, j in zip(edges[:-1], edges[1:]):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
-                    out.write_batch(b.slice(i, j - i))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_batch", "rows"])
-
-    def score(packed, answers):
-        import pyarrow as pa
-
-        known = np.array(answers["lang"].to_pylist(), object)
-        code, logp = answers["code"].to_numpy(), answers["logp"].to_numpy()
-        tables = {}
-        for lang in set(known):
-            mine = np.flatnonzero(known == lang)
-            mine = mine[np.argsort(code[mine])]
-            tables[lang] = code[mine], logp[mine]
-        scored = []
-        for stream in packed["rows"]:
-            docs = pa.ipc.open_stream(stream.as_buffer()).read_all()
-            langs = np.array([x if x is not None else POOLED for x in docs["lang"].to_pylist()], object)
-            texts, out = utf8(docs["text"]), np.full(len(langs), np.nan)
+            langs = np.array([x if x is not None else POOLED for x in b.column(lang_at).to_pylist()], object)
+            texts = utf8(b.column(at))
+            total, lost = np.zeros(len(langs)), [None] * len(langs)
             for lang in set(langs):
+                codes, logs = sent.value.get(lang, empty)
                 rows = np.flatnonzero(langs == lang)
-                own = [texts[i] for i in rows]
-                for s in chunked(own):
-                    ends, sizes = grams(own[s])
-                    if len(ends):
-                        codes, logs = tables[lang]
-                        total = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(codes, ends)])))
-                        upto, some = np.cumsum(sizes), sizes > 0
-                        out[rows[s][some]] = np.exp(-(total[upto] - total[upto - sizes])[some] / sizes[some])
-            scores = pa.array(out, pa.float64(), mask=np.isnan(out))
-            scored.append(pa.Table.from_arrays([*(docs[c] for c in kept), scores], names=schema.names))
-        return pa.concat_tables(scored)
-
-    packed = batched.mapInArrow(pack, "_batch long, rows binary")
-    return packed.groupBy("_batch").cogroup(answers.groupBy("_batch")).applyInArrow(score, schema)
+                mine = [texts[i] for i in rows]
+                for s in chunked(mine):
+                    ends, sizes = grams(mine[s])
+                    place = np.minimum(np.searchsorted(codes, ends), max(len(codes) - 1, 0))
+                    known = codes[place] == ends if len(codes) else np.zeros(len(ends), bool)
+                    upto = np.cumsum(sizes)
+                    for i, lo, hi in zip(rows[s], upto - sizes, upto):
+                        have = known[lo:hi]
+                        total[i] = logs[place[lo:hi][have]].sum()
+                        if not have.all():
+                            lost[i] = np.unique(ends[lo:hi][~have], return_counts=True)
+            none = np.zeros(0, np.int64)
+            code, n = (np.concatenate([none, *(x[j] for x in lost if x)]).astype(np.int64) for j in (0, 1))
+            edges = np.cumsum([0, *(len(x[0]) if x else 0 for x in lost)]).astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"]))
+            number = pa.array(np.arange(row, row + len(langs), dtype=np.int64))
+            row += len(langs)
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), number, pa.array(langs, pa.string()), sizes, pa.array(total), arrays], names=schema.names)
+
+    # rows are told apart by place, so equal rows stay apart; written once, so that the places hold
+    known = materialise(docs.mapInArrow(score, schema), "known", compression="zstd")
+    asks = known.select("_row", F.col("_lang").alias("lang"), F.explode("_rest").alias("r")).select("_row", "lang", "r.code", "r.n")
+    added = asks.join(rare.select("lang", "code", "logp"), ["lang", "code"], "left")
+    more = added.groupBy("_row").agg(F.sum(F.col("n") * F.coalesce("logp", F.lit(float("nan")))).alias("_more"))
+    total = F.col("_sum") + F.coalesce("_more", F.lit(0.0))
+    perplexity = F.when((F.col("_size") > 0) & ~F.isnan(total), F.exp(-total / F.col("_size")))
+    return known.drop("_rest").join(more, "_row", "left").select(*[f.name for f in kept], perplexity.alias("perplexity"))
 
 
 def _quantile(values: DataFrame, by: str, q: float) -> DataFrame:
@@ -284,16 +276,17 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -
     Trusted documents whose crc32(doc_id) mod FOLDS is 0 are left out of the fit and set thresholds: a language's quantile
     of bits per byte, averaged with the quantile of all languages by n to PRIOR_DOCS, at every n from none up.
     Null and empty texts are not kept; repeated rows are judged alike; nothing is kept without trusted rows on both sides.
-    Columns called perplexity, threshold, keep, _batch, _lang, _n or _cut are refused.
+    Columns called perplexity, threshold, keep, _batch, _lang, _n, _cut, _row, _size, _sum or _rest are refused.  The texts are read
+    three times.
     """
-    _refuse(docs, "threshold", "keep", "_lang", "_n", "_cut")
-    batched = in_batches(docs)
+    _refuse(docs, "threshold", "keep", "_batch", "_n", "_cut")
+    small_batches(docs.sparkSession)
     ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
     # up to MAX_SENT ids are sent to the texts; beyond it both sides are shuffled
     ids = ids.hint("broadcast" if ids.count() <= MAX_SENT else "merge")
     left_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
-    model = fit(batched.join(ids.where(~left_out), "doc_id", "left_semi"))
-    scored = materialise(_score(batched, model, keep_text=False), "perplexities")
+    model = fit(docs.join(ids.where(~left_out), "doc_id", "left_semi"))
+    scored = materialise(perplexities(docs, model, keep_text=False), "perplexities")
     mine = scored.join(ids.where(left_out), "doc_id", "left_semi").where("perplexity IS NOT NULL")
     bits = materialise(mine.select("lang", F.lit(0).alias("every"), F.round(F.log2("perplexity"), DIGITS).alias("bits")), "left-out")
     pooled = _quantile(bits, "every", quantile).first()
