@@ -103,6 +103,39 @@ def test_a_single_set_that_meets_only_a_group(spark):
     assert got == groups(edges, list(sets))
 
 
+def _linked_sets(rng, n, frequent):
+    """A set of n tokens, partly frequent, and one that is only just linked with it at 0.9."""
+    token = lambda m: rng.integers(-(1 << 63), (1 << 63) - 1, m)
+    a = np.unique(np.concatenate((rng.choice(frequent, n // 2, replace=False), token(n - n // 2))))
+    drop = int(rng.integers(0, n // 19 + 1))
+    add = 0
+    while 100 * (n - drop) >= 90 * (n + add + 1):
+        add += 1
+    return a, np.sort(np.concatenate((rng.choice(a, n - drop, replace=False), token(add))))
+
+
+def test_linked_sets_share_a_compound_token():
+    rng = np.random.default_rng(4)
+    frequent, least = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 3000)), jaccard.bands(90, 100)
+    for n in [*range(10, 60), 99, 100, 101, *least[(least > 100) & (least < 3000)], *(least[(least > 100) & (least < 3000)] - 1)]:
+        for _ in range(8):
+            a, b = _linked_sets(rng, int(n), frequent)
+            x, y = (jaccard.part_tokens(s, frequent, least, 90, 100) for s in (a, b))
+            assert np.array_equal(a, b) or np.intersect1d(x, y).size, n
+
+
+def test_tokens_in_few_sets_do_not_make_pairs_that_grow_with_the_square(spark):
+    """Sets of tokens that are rare, but not frequent enough for the order: shared by chance, linked with nothing."""
+    counts = []
+    for n in (300, 1500):
+        rng = random.Random(n)
+        rows = [(i, " ".join("w%d" % rng.randrange(20_000) for _ in range(200))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(""))
+        tokens = jaccard.signatures(docs, 1, 90, 100, np.empty(0, np.int64)).select(F.explode("prefix").alias("token"))
+        counts.append(tokens.groupBy("token").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0])
+    assert counts[1] <= 5 * counts[0] + 100, counts
+
+
 def test_jaccard_edges_and_stage(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "y"), (4, None, "z"), (5, "", "z"), (6, "q " * 30_000, "long"), (7, "q " * 30_000 + "r", "long")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

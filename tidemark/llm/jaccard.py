@@ -1,7 +1,9 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix.
 
 1. Equal sets become one node.  Each set's tokens have a global order, rare ones first; sets that reach the threshold
-   share a token among their first ``n - ceil(t n) + 1`` (the prefix).
+   share a token among their first ``n - ceil(t n) + 1`` (the prefix).  At high thresholds (``compound``) a set's tokens
+   are dealt by hash into more parts than linked sets have differences, so that these agree in a whole part; each part's
+   content is one token of the prefix.  Such tokens stay rare when the corpus grows, the single ones do not.
 2. Similar sets that crowd the same prefix token form groups of a bounded size; every other set is a group of its own.
    The matrix has a row for each prefix token and group, with the bounds of its sets' sizes and of the token's place in
    them.  Groups meet where they share a row, if sizes and places leave room for the overlap that the threshold needs.
@@ -31,6 +33,8 @@ CROWD, GROUP = 128, 256
 FILTER_BITS = 1 << 25
 #: A sketch's count at which it stops; two such cells bound nothing.
 FULL = 255
+#: Sizes of sets whose parts are dealt alike: the largest is about so many times the least.
+BAND = 1.3
 
 
 def _node(tokens: np.ndarray) -> bytes:
@@ -110,10 +114,55 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r["token"] for r in sorted(top, key=lambda r: (r["n"], -r["token"]))], np.int64)
 
 
+def compound(num: int, den: int) -> bool:
+    """Whether prefixes hold whole parts: at 8/9 and above, where a part has six tokens or more."""
+    return 9 * num >= 8 * den
+
+
+def bands(num: int, den: int) -> np.ndarray:
+    """Least sizes of the bands; linked sets lie in one band or in two that are next to each other."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(-(-least[-1] * den // num), int(least[-1] * BAND) + 1))
+    return np.array(least)
+
+
+def part_tokens(tokens: np.ndarray, frequent: np.ndarray, least: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Compound tokens of a set (sorted hashes); linked sets with different tokens share one at least.
+
+    A set deals with its own band's number of parts and, if it may link into the band below, with that band's.  Linked
+    sets of which the lesser lies in the band differ by ``d`` tokens at most.  With ``d + 1 + spare`` parts they agree in
+    ``1 + spare``, so a set with up to ``spare`` weak parts (nothing but frequent tokens, or none) need not tell those.
+    """
+    n, band, out = len(tokens), int(np.searchsorted(least, len(tokens), side="right")) - 1, [np.empty(0, np.uint64)]
+    rare = np.ones(n, bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] != tokens
+    with np.errstate(over="ignore"):
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens.view(np.uint64)), dtype=np.uint64)))
+        rares = np.concatenate(([0], np.cumsum(rare)))
+        for b in (band, band - 1):
+            if b < 0 or (b < band and n * num > int(least[band] - 1) * den):
+                continue
+            d = int(least[b + 1] - 1) * (den - num) // num
+            if not d:  # only equal sets link
+                continue
+            spare = 1 + d // 16
+            parts = d + 1 + spare
+            edges = np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)
+            at = np.concatenate(([0], np.searchsorted(tokens, (edges ^ np.uint64(1 << 63)).view(np.int64)), [n]))
+            place = np.arange(parts, dtype=np.uint64) + np.uint64(b << 44)
+            names = mix(mix(upto[at[1:]] - upto[at[:-1]]) + place * np.uint64(0x9E3779B97F4A7C15))
+            strong = rares[at[1:]] > rares[at[:-1]]
+            out.append(names if parts - strong.sum() > spare else names[strong])
+    return np.concatenate(out).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, key, n, node, prefix) per row; a set repeated in a batch has its prefix once, empty sets have no node."""
     by_token = np.argsort(frequent, kind="stable")
     known = frequent[by_token]
+    least = bands(num, den) if compound(num, den) else None
 
     def sign(batches):
         import pyarrow as pa
@@ -129,6 +178,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
                         prefixes.append(None)
                         continue
                     seen.add(node)
+                    if least is not None:
+                        prefixes.append(part_tokens(s, known, least, num, den))
+                        continue
                     rank = np.zeros(len(s), np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -317,14 +369,19 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int)
     once = tokens.groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     live = materialise(once.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1"), "matrix")
     top = live.where(F.col("m") > CROWD).groupBy("node").agg(F.max(F.struct("m", "token")).alias("top"), F.first("n").alias("n"))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / GROUP))
-    name = F.concat_ws(":", F.col("top.token").cast("string"), chunk.cast("string"), F.length(F.bin("n")).cast("string"))
-    groups = materialise(top.select("node", F.encode(name, "UTF-8").alias("gid")), "groups")
+    top = materialise(top.select("node", F.col("top.token").alias("token"), F.length(F.bin("n")).alias("bits")), "tops")
+    # as many chunks as the sets that gather under the token need; most of its sets may gather under another
+    sizes = top.groupBy("token", "bits").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    name = F.concat_ws(":", *[c.cast("string") for c in (F.col("token"), F.pmod(F.xxhash64("node"), F.col("chunks")), F.col("bits"))])
+    groups = materialise(top.join(sizes, ["token", "bits"]).select("node", F.encode(name, "UTF-8").alias("gid")), "groups")
+    discard(top)
 
     def compatible(n, pos, lo_n, hi_n, lo_pos, hi_pos):
-        """Sizes, and room for the overlap: some tokens before this one's place, this one, and what follows it in both."""
+        """Sizes, and room for the overlap: some tokens before this one's place, this one, and what follows it in both.
+        Compound tokens have no place."""
+        sizes = (n * den >= lo_n * num) & (hi_n * den >= n * num)
         room = F.least(pos, hi_pos) + 1 + F.least(n - 1 - pos, hi_n - 1 - lo_pos)
-        return (n * den >= lo_n * num) & (hi_n * den >= n * num) & ((num + den) * room >= num * (n + lo_n))
+        return sizes if compound(num, den) else sizes & ((num + den) * room >= num * (n + lo_n))
 
     # a token of few sets: pairs of sets; of two single sets or two groups one asks the other, of a set and a group the set
     few = live.where(F.col("m") <= CROWD).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "pos"))).alias("sets"))
@@ -337,7 +394,7 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int)
     u_asks = F.when(F.col("gu").isNull() == F.col("gv").isNull(), gu < gv).otherwise(F.col("gu").isNull())
     asked = pairs.where(gu != gv).select(F.when(u_asks, F.col("u")).otherwise(F.col("v")).alias("node"), F.when(u_asks, gv).otherwise(gu).alias("gid"))
     # a crowded token: all its sets are in groups; a set that has it asks the groups that have it
-    rows = live.where(F.col("m") > CROWD).join(groups, "node")
+    rows = materialise(live.where(F.col("m") > CROWD).join(groups, "node"), "crowded")
     matrix = rows.groupBy("token", "gid").agg(*[f(c).alias(n + c) for c in ("n", "pos") for n, f in (("lo_", F.min), ("hi_", F.max))])
     fits = compatible(*[F.col(c) for c in ("n", "pos", "lo_n", "hi_n", "lo_pos", "hi_pos")])
     crowd = rows.withColumnRenamed("gid", "mine").join(matrix, "token").where((F.col("mine") < F.col("gid")) & fits).select("node", "gid")
@@ -349,7 +406,7 @@ def link_nodes(docs: DataFrame, prefixes: DataFrame, k: int, num: int, den: int)
     unions = materialise(unions.union(short.join(groups, "node", "left_anti").select(F.col("node").alias("gid"), F.col("n").alias("lo"), F.col("sketch").alias("union"))), "unions")
     bounded = asks.join(unions, "gid").join(fresh(short), "node").select("node", "gid", "n", "lo", "sketch", "union").mapInArrow(_bounded(num, den), "node binary, gid binary")
     kept = materialise(bounded, "bounded")
-    discard(live, asks)
+    discard(live, rows, asks)
 
     big = groups.select("gid").distinct()
     inside = groups.join(short, "node").select("gid", "node", "n", "sketch")
