@@ -1,6 +1,7 @@
 """Jaccard join, suffix dedup, embedding join, components and the pipeline against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 
@@ -272,3 +273,42 @@ def test_embeddings_edges(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
     got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
     assert sorted((r["id"] or -1, r["n_links"], r["component_id"]) for r in got) == [(-1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2)]
+
+
+def test_a_task_of_repeated_passages_holds_little_at_once():
+    """An executor has little memory beside its heap: kernels take texts and windows in small pieces, also in long batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([rng.integers(97, 123, 4096, np.uint8).tobytes().decode() for _ in range(1000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    before = [bytes(x) for x in rng.integers(97, 99, (3000, 360), np.uint8)]
+    shared = rng.integers(32, 400, 3000)
+    low, high = np.zeros(3000, int), np.full(3000, 360)
+
+    def peak(work):
+        work()  # tables of powers stay
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 2**20
+
+    def scan():
+        for _ in suffixdedup._batches(batch, 200):
+            pass
+
+    assert peak(scan) < 50
+    assert peak(lambda: suffixdedup.repeated_windows(shared, before, low, high, 400)) < 40
+
+
+def test_told_places_leave_a_run_before_it_is_full():
+    run, key = suffixdedup.Run(), b"k" * 16
+    for i in range(12_000):
+        run.tell(key, 2000 * i, 2000 * i + 200)
+    told = [x for part, blob in run.places() for x in pickle.loads(blob)]
+    assert told == [(key, 2000 * i, 2000 * i + 200) for i in range(12_000)] and not run.told
+    run.tell(key, 5, 300)
+    assert [x for _, blob in run.places() for x in pickle.loads(blob)] == [(key, 5, 300)]

@@ -82,9 +82,12 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
         import pyarrow as pa
 
         def report(held):
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(n[keep])], names=["token", "n"])
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()
+            often = np.unique(tokens[: len(tokens) - REPORT + 1][tokens[: len(tokens) - REPORT + 1] == tokens[REPORT - 1 :]])
+            n = np.searchsorted(tokens, often, side="right") - np.searchsorted(tokens, often)
+            return pa.RecordBatch.from_arrays([pa.array(often), pa.array(n)], names=["token", "n"])
 
         held, size, seen = [], 0, set()  # copies in a stretch count once
         for b in slices(batches):

@@ -61,7 +61,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of some texts with their counts, a slice of about 1 MB at a time."""
-    parts = [np.unique(grams(texts[s])[0], return_counts=True) for s in chunked(texts)]
+    parts = [np.unique(grams(texts[s])[0], return_counts=True) for s in chunked(texts, 1 << 20)]
     code, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in parts)]), return_inverse=True)
     return code, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]), len(code)).astype(np.int64)
 
@@ -231,7 +231,7 @@ def perplexities(docs: DataFrame, model: Model, keep_text: bool = True) -> DataF
                 codes, logs = sent.value.get(lang, empty)
                 rows = np.flatnonzero(langs == lang)
                 mine = [texts[i] for i in rows]
-                for s in chunked(mine):
+                for s in chunked(mine, 1 << 20):
                     ends, sizes = grams(mine[s])
                     place = np.minimum(np.searchsorted(codes, ends), max(len(codes) - 1, 0))
                     known = codes[place] == ends if len(codes) else np.zeros(len(ends), bool)
